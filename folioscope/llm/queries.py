@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from folioscope.llm import exactdup, sharding
+from folioscope.llm import bpe, exactdup, sharding, tokenbin
 from folioscope.llm.common import table
 
 #: Two regions of three racks of four shards: shards 0 to 23.
@@ -21,8 +23,31 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exactdup.exact_groups(docs).select("doc_id", *exactdup.OUTPUT)
 
 
+def ranked_tokenizer(path: str | None = None) -> str:
+    """The tokenizers definition of a rank file; read on the driver, and sent with the tasks."""
+    return bpe.tokenizer_json_from_ranks(path or public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_digests(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def token_digests(docs: DataFrame) -> DataFrame:
+    coded = bpe.encode(docs, ranked_tokenizer(), public_tokenizers.PATTERN, decoded=True, keep=["doc_id"])
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
+        definition = file.read()
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return tokenbin.token_files(docs, definition, public_tokenizers.PATTERN, end_id=2)
+
+
 def queries() -> dict:
     return {
         "op1_sharding": op1_sharding,
         "op6_exact_dedup": op6_exact_dedup,
+        "op7_byte_bpe": op7_byte_bpe,
+        "op8_token_files": op8_token_files,
     }
