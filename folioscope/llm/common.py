@@ -24,9 +24,13 @@ def ascii_lower(text: str) -> str:
     return text.lower() if text.isascii() else text.translate(_ASCII_LOWER)
 
 
-def words_of(text: str | None) -> list[str]:
-    """The words of a text in order; none for null."""
-    return _WORD.findall(ascii_lower(text)) if text else []
+#: In UTF-8 every byte from 0x80 on is part of a word's character; A-Z become lower case, and all that is no word a blank.
+_WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
+
+
+def words_of(text: str | None) -> list[bytes]:
+    """The words of a text in order, A-Z in lower case, as UTF-8; none for null. They are WORD's matches in ascii_lower's text."""
+    return text.encode("utf-8", "surrogatepass").translate(_WORD_BYTES).split() if text else []
 
 
 def ascii_lower_col(col: Column) -> Column:

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import bpe, exactdup, sharding, tokenbin
+from folioscope.llm import bpe, decontam, exactdup, pii, quality, secrets, sharding, tokenbin, toxicity
 from folioscope.llm.common import table
 
 #: Two regions of three racks of four shards: shards 0 to 23.
@@ -18,6 +18,57 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(docs, SHARD_TREE).select("doc_id", *sharding.OUTPUT)
 
 
+def _digested(found: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+    """The digest columns of a scan's spans."""
+    joined = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return found.select("doc_id", *[f"n_{k}" for k in kinds], F.sha2(F.col("base_spans").cast("binary"), 256).alias("base_sha256"), joined.alias("spans"))
+
+
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return _digested(pii.pii_spans(docs, keep=["doc_id"]), pii.BASE_KINDS)
+
+
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return _digested(secrets.secret_spans(docs, keep=["doc_id"]), tuple(r.kind for r in secrets.BASE_RULES))
+
+
+def _remainder(n: int) -> Column:
+    """crc32 of doc_id as text, by n."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(n))
+
+
+def _labelled(spark: SparkSession, sf_dir: str, label: str, learn: Column) -> DataFrame:
+    """doc_id, text and y of the labelled rows that may be learned from."""
+    rows = table(spark, sf_dir, "labels").filter(learn & F.col(label).isNotNull()).select("doc_id", F.col(label).alias("y"))
+    return table(spark, sf_dir, "documents").select("doc_id", "text").join(rows, "doc_id")
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = F.coalesce(_remainder(5) == 0, F.lit(False))
+    model = quality.fit(_labelled(spark, sf_dir, "quality", _remainder(5) != 0))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.quality(docs, model, keep=["doc_id"]).select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
+def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.ToxicityModel:
+    return toxicity.fit(_labelled(spark, sf_dir, "toxic", _remainder(4) != 2))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = F.coalesce(_remainder(4) == 2, F.lit(False))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.toxicity(docs, toxicity_model(spark, sf_dir), keep=["doc_id"]).select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+    names = F.array_sort(F.transform("item_ids", lambda i: i.cast("string")))
+    return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.array_join(names, ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return exactdup.exact_groups(docs).select("doc_id", *exactdup.OUTPUT)
@@ -47,7 +98,12 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_sharding": op1_sharding,
+        "op2_pii": op2_pii,
+        "op3_secrets": op3_secrets,
+        "op4_quality": op4_quality,
         "op6_exact_dedup": op6_exact_dedup,
         "op7_byte_bpe": op7_byte_bpe,
         "op8_token_files": op8_token_files,
+        "op9_toxicity": op9_toxicity,
+        "op10_decontamination": op10_decontamination,
     }
