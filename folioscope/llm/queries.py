@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import bpe, decontam, exactdup, pii, quality, secrets, sharding, tokenbin, toxicity
+from folioscope.llm import bpe, decontam, exactdup, neardup, pii, quality, secrets, sharding, tokenbin, toxicity
 from folioscope.llm.common import table
 
 #: Two regions of three racks of four shards: shards 0 to 23.
@@ -69,6 +69,11 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.array_join(names, ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return neardup.near_groups(docs).select("doc_id", *neardup.OUTPUT)
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return exactdup.exact_groups(docs).select("doc_id", *exactdup.OUTPUT)
@@ -101,6 +106,7 @@ def queries() -> dict:
         "op2_pii": op2_pii,
         "op3_secrets": op3_secrets,
         "op4_quality": op4_quality,
+        "op5_near_dedup": op5_near_dedup,
         "op6_exact_dedup": op6_exact_dedup,
         "op7_byte_bpe": op7_byte_bpe,
         "op8_token_files": op8_token_files,
