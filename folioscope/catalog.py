@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from folioscope.queries import style
+from folioscope.queries.common import Query
 
-from pyspark.sql import DataFrame, SparkSession
-
-Query = Callable[[SparkSession, str], DataFrame]
+THEMES = (style,)
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {name: query for theme in THEMES for name, query in theme.catalog.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for theme in THEMES for name, sql in theme.catalog.sql.items()}
