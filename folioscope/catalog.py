@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from folioscope.queries import style
+from folioscope.queries import registry, style
 from folioscope.queries.common import Query
 
-THEMES = (style,)
+THEMES = (style, registry)
 
 
 def queries() -> dict[str, Query]:
