@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from folioscope.queries import registry, style
+from folioscope.queries import records, registry, style
 from folioscope.queries.common import Query
 
-THEMES = (style, registry)
+THEMES = (style, registry, records)
 
 
 def queries() -> dict[str, Query]:
