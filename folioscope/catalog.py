@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from folioscope.queries import records, registry, style
+from folioscope.queries import audit, records, registry, rules, style
 from folioscope.queries.common import Query
 
-THEMES = (style, registry, records)
+THEMES = (style, registry, records, audit, rules)
 
 
 def queries() -> dict[str, Query]:
