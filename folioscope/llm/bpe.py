@@ -8,6 +8,7 @@ from __future__ import annotations
 import base64
 import json
 import re
+import struct
 from functools import lru_cache
 
 import numpy as np
@@ -21,6 +22,8 @@ from folioscope.llm.common import free_columns, map_texts
 
 #: A single space between two other characters: the pattern's matches never cross the place before it.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
+#: Letters below it have long been letters in every version of Unicode.
+_PLAIN = "\u0250"
 _TIGHT = re.compile(r" \s|\s ")
 
 
@@ -79,21 +82,32 @@ class _Chunks(dict):
 class Codec:
     """Encodes and decodes with a byte-level BPE given as tokenizers JSON."""
 
-    def __init__(self, definition: str, pattern: str, limit: int = 200_000):
+    def __init__(self, definition: str, pattern: str, limit: int = 400_000):
         self.model = (kept := Tokenizer.from_str(definition)).model
         self._kept = kept
         characters = byte_characters()
         self.to_characters = dict(enumerate(characters))
         self.find = regex.compile(pattern).findall
         self.vocabulary = kept.get_vocab(with_added_tokens=True)
-        self.later = _Chunks(lambda chunk: self._ids(" " + chunk), limit)
+        self.later = _Chunks(self._later_ids, limit)
+        self.blank = characters[32]
         self._bytes = None
 
     def _ids(self, chunk: str) -> bytes:
         out: list[int] = []
-        for piece in [chunk] if chunk[1:].isalpha() and chunk[:1] == " " and chunk.isascii() else self.find(chunk):
+        for piece in self.find(chunk):
             out += [token.id for token in self.model.tokenize(piece.encode().decode("latin-1").translate(self.to_characters))]
-        return np.array(out, dtype="<u4").tobytes()
+        return struct.pack(f"<{len(out)}I", *out)
+
+    def _later_ids(self, chunk: str) -> bytes:
+        """Of a chunk and the blank before it. A word of letters that every engine takes for letters is one match, and so is a comma or full stop behind it."""
+        if chunk.isalpha() and max(chunk) < _PLAIN:
+            as_bytes = chunk if chunk.isascii() else chunk.encode().decode("latin-1").translate(self.to_characters)
+            out = [token.id for token in self.model.tokenize(self.blank + as_bytes)]
+            return struct.pack(f"<{len(out)}I", *out)
+        if chunk[-1:] in (",", ".") and chunk[:-1].isalpha():
+            return self.later[chunk[:-1]] + self._ids(chunk[-1])
+        return self._ids(" " + chunk)
 
     def encode_bytes(self, text: str | None) -> bytes:
         """The ids of a text as little-endian unsigned 32-bit integers; null is empty."""
