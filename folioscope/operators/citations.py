@@ -18,7 +18,9 @@ LOCATOR = r"^\s*,\s*(?:[сСcCpP]{1,2}\.|стр\.|[тТ]\.|[гГ]л\.|разд\.
 LENIENT_PREFIX = r"(?iu)^\s*(?:цит\.?\s*по(?:\s*(?:кн|ст)\.?)?|см\.?(?:\s*также)?|ср\.?|подробнее\s+см\.?|cit\.?\s*(?:by|from|in)?|see(?:\s+also)?|cf\.?)\s*:?\s*"
 
 _PART = rf"^\s*({PREFIX})(?:{ID}|{NUMBER})(\s*,\s*[^;]*?)?\s*$"
-_NO_INTS = F.array().cast("array<int>")
+
+def _no_ints() -> Column:
+    return F.array().cast("array<int>")
 
 
 def _group(c: Column, i: int) -> Column:
@@ -36,7 +38,7 @@ def strict_parts(raw: Column) -> Column:
 
     def numbers(p: Column) -> Column:
         extra = F.regexp_extract_all(p["loc"], F.lit(r"\d+"), F.lit(0)).cast("array<int>")
-        nums = F.when(~p["ok"] | (p["kind"] == "id"), _NO_INTS).when(p["kind"] == "range", F.sequence(p["first"], F.greatest(p["last"], p["first"]))).when(p["kind"] == "list", F.concat(F.array(p["first"]), extra)).otherwise(F.array(p["first"]))
+        nums = F.when(~p["ok"] | (p["kind"] == "id"), _no_ints()).when(p["kind"] == "range", F.sequence(p["first"], F.greatest(p["last"], p["first"]))).when(p["kind"] == "list", F.concat(F.array(p["first"]), extra)).otherwise(F.array(p["first"]))
         return F.struct(p["ok"].alias("ok"), p["prefix"].alias("prefix"), p["kind"].alias("kind"), p["id"].alias("id"), nums.alias("nums"), F.when(p["kind"] == "list", F.lit("")).otherwise(p["loc"]).alias("loc"))
 
     return F.transform(F.transform(kinds, checked), numbers)
@@ -73,8 +75,8 @@ def lenient_numbers(c: Column) -> Column:
     # further numbers directly behind the first, as far as the list goes
     tail = r"^((?:\s*,\s*\d{1,3}(?=\s*(?:,|$)))+)"
     found = F.transform(parts, lambda p: F.struct(F.regexp_extract(p, head, 1).try_cast("int").alias("a"), F.regexp_extract(p, head, 2).try_cast("int").alias("b"), F.regexp_extract_all(F.regexp_extract(F.regexp_replace(p, head, ""), tail, 1), F.lit(r"\d+"), F.lit(0)).cast("array<int>").alias("more")))
-    own = lambda x: F.when((x["a"] < x["b"]) & (x["b"] <= x["a"] + 20), F.sequence(x["a"], F.greatest(x["a"], x["b"]))).when(x["a"].isNotNull(), F.array(x["a"])).otherwise(_NO_INTS)
-    numbers = F.flatten(F.transform(found, lambda x: F.concat(own(x), F.when(x["a"].isNotNull(), x["more"]).otherwise(_NO_INTS))))
+    own = lambda x: F.when((x["a"] < x["b"]) & (x["b"] <= x["a"] + 20), F.sequence(x["a"], F.greatest(x["a"], x["b"]))).when(x["a"].isNotNull(), F.array(x["a"])).otherwise(_no_ints())
+    numbers = F.flatten(F.transform(found, lambda x: F.concat(own(x), F.when(x["a"].isNotNull(), x["more"]).otherwise(_no_ints()))))
     return F.filter(numbers, lambda n: n.between(1, 500))
 
 

@@ -16,7 +16,9 @@ ANCHORS = ("it is", "that the", "que la", "mit der")
 OVERUSED = ("the", "de", "und", "que")
 PRONOUNS = (("he", "he"), ("that", "that"), ("elle", "elles?"), ("ein", "ein(?:e|er|en)?"))
 PASSIVE = M.passive_pattern(("is", "was", "be", "are"), "ed|er|on", "s?", ("edes", "anon"))
-SECTION_OF_SOURCE = F.element_at(F.array(*[F.lit(s) for s in M.SECTIONS]), (F.pmod(F.regexp_extract("source", r"(\d+)$", 1).cast("int"), F.lit(len(M.SECTIONS))) + 1).cast("int"))
+
+def section_of_source():
+    return F.element_at(F.array(*[F.lit(s) for s in M.SECTIONS]), (F.pmod(F.regexp_extract("source", r"(\d+)$", 1).cast("int"), F.lit(len(M.SECTIONS))) + 1).cast("int"))
 
 _TOKENS = r"[t FOR t IN string_split_regex(x, '\s+') IF length(t) > 0]"
 
@@ -241,13 +243,13 @@ SELECT doc_id, section, words, CASE WHEN words >= 300 THEN s END AS score, CASE
 def risk_score(spark, sf_dir):
     # the lexical verdict's words are the standard ones of the measure; the corpus's own stand in for them here
     docs = table(spark, sf_dir, "documents")
-    return M.risk(docs, SECTION_OF_SOURCE, STRONG, MEDIUM, ANCHORS, PRONOUNS, PASSIVE, with_mtld=False, overused=OVERUSED)
+    return M.risk(docs, section_of_source(), STRONG, MEDIUM, ANCHORS, PRONOUNS, PASSIVE, with_mtld=False, overused=OVERUSED)
 
 
 @catalog.add("risk_score_full")
 def risk_score_full(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    return M.risk(docs, SECTION_OF_SOURCE, STRONG, MEDIUM, ANCHORS, PRONOUNS, PASSIVE, overused=OVERUSED)
+    return M.risk(docs, section_of_source(), STRONG, MEDIUM, ANCHORS, PRONOUNS, PASSIVE, overused=OVERUSED)
 
 
 @catalog.add(
