@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import ascii_lower_col, free_columns
+from folioscope.llm.common import ascii_lower_col, free_columns, stored
 
 #: Bits of one map piece, as bitmap_construct_agg makes them.
 PIECE = 32_768
@@ -39,23 +39,26 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     norm = ascii_lower_col(F.col(text_col).cast("string"))
     base = free_columns(docs, OUTPUT)
     df = base.withColumn("__h", F.xxhash64(norm)).withColumns({"__c0": F.pmod("__h", F.lit(filter_bits)), "__c1": F.pmod(F.xxhash64("__h", F.lit(1)), F.lit(filter_bits)), "__row": F.monotonically_increasing_id()})
-    bits = F.broadcast(repeated_cells(df, ["__c0", "__c1"]))
+    bits = F.broadcast(stored(repeated_cells(df, ["__c0", "__c1"]), "bits"))
     for i in (0, 1):
         df = df.withColumn("__piece", F.expr(f"__c{i} div {PIECE}")).join(bits.select(F.col("piece").alias("__piece"), F.col("bits").alias(f"__b{i}")), "__piece", "left")
     df = df.withColumn("text_sha256", F.sha2(norm.cast("binary"), 256)).withColumn("__maybe", _bit("__b0", "__c0") & _bit("__b1", "__c1")).drop("__piece", "__b0", "__b1", "__c0", "__c1", "__h")
-    unique, maybe = df.filter(~F.col("__maybe")), df.filter("__maybe")
-    one = {"keep_id": F.col(id_col), "group_size": F.lit(1).cast("long"), "kept": F.lit(True)}
+    maybe = df.filter("__maybe")
     best = F.max(F.struct(F.col(id_col).alias("id"), F.col("__row").alias("row")))
-    groups = maybe.groupBy("text_sha256").agg(F.count("*").alias("__n"), best.alias("__best")).filter("__n > 1")
+    groups = stored(maybe.groupBy("text_sha256").agg(F.count("*").alias("__n"), best.alias("__best")).filter("__n > 1"), "groups")
     heavy_rows = max(2.0, docs.count() * heavy_share)
     hot = F.broadcast(groups.filter(F.col("__n") > heavy_rows))
-    seen = maybe.join(hot, "text_sha256", "left")
-    rest = seen.filter("__n is null").drop("__n", "__best").join(groups.filter(F.col("__n") <= heavy_rows), "text_sha256", "left")
-    grouped = seen.filter("__n is not null").unionByName(rest).withColumns(
-        {"keep_id": F.when(F.col("__n").isNull(), F.col(id_col)).otherwise(F.col("__best.id")), "group_size": F.coalesce("__n", F.lit(1)).cast("long"), "kept": F.coalesce(F.col("__best.row") == F.col("__row"), F.lit(True))}
-    )
     columns = [*base.columns, *OUTPUT]
-    return unique.withColumns(one).select(*columns).unionByName(grouped.select(*columns))
+
+    def resolved(rows: DataFrame) -> DataFrame:
+        """Rows with __n and __best of their group, null for a row that is alone."""
+        return rows.withColumns({"keep_id": F.when(F.col("__n").isNull(), F.col(id_col)).otherwise(F.col("__best.id")), "group_size": F.coalesce("__n", F.lit(1)).cast("long"), "kept": F.coalesce(F.col("__best.row") == F.col("__row"), F.lit(True))}).select(*columns)
+
+    # one scan for the rows that pass straight through or are in a hot group, one for those that are shuffled
+    seen = df.join(hot, "text_sha256", "left")
+    straight = resolved(seen.filter("not __maybe or __n is not null"))
+    shuffled = resolved(seen.filter("__maybe and __n is null").drop("__n", "__best").join(groups.filter(F.col("__n") <= heavy_rows), "text_sha256", "left"))
+    return straight.unionByName(shuffled)
 
 
 def exact_dedup(docs: DataFrame, **options) -> DataFrame:
