@@ -109,13 +109,20 @@ def _walk(tree) -> tuple[set[str] | None, object]:
         elif op in (K.MAX_REPEAT, K.MIN_REPEAT, K.POSSESSIVE_REPEAT):
             low, high, body = arg
             inner, query = _walk(body)
+            times = {""}
+            for _ in range(low if inner is not None and len(inner) ** low <= _MOST else 0):
+                times = {a + b for a in times for b in inner}
+            if low and high != low and times != {""} and (current is None or len(current) * len(times) <= _MOST):
+                # the least number of repetitions stands right behind what is before, the last one right before what follows
+                current = times if current is None else {a + b for a in current for b in times}
+                exact = False
+                cut()
+                current = set(inner)
+                continue
             if high == 1 and low == 0 and inner is not None:
                 strings, query = inner | {""}, ANY
             elif low == high and inner is not None and len(inner) ** low <= _MOST:
-                strings = {""}
-                for _ in range(low):
-                    strings = {a + b for a in strings for b in inner}
-                query = ANY
+                strings, query = times, ANY
             else:
                 strings, query = None, query if low else ANY
         else:
