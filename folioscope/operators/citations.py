@@ -17,19 +17,24 @@ NUMBER = r"([1-9]\d{0,2})(?:\s*[–—-]\s*([1-9]\d{0,2}))?"
 LOCATOR = r"^\s*,\s*(?:[сСcCpP]{1,2}\.|стр\.|[тТ]\.|[гГ]л\.|разд\.|[рР]ис\.|[тТ]абл\.|[чЧ]\.|[сС]т\.|§|[vV]ol\.|[nN]o\.|pp?\.|[сС]\s*\d)"
 LENIENT_PREFIX = r"(?iu)^\s*(?:цит\.?\s*по(?:\s*(?:кн|ст)\.?)?|см\.?(?:\s*также)?|ср\.?|подробнее\s+см\.?|cit\.?\s*(?:by|from|in)?|see(?:\s+also)?|cf\.?)\s*:?\s*"
 
-_PART = rf"^\s*({PREFIX})(?:{ID}|{NUMBER})(\s*,\s*[^;]*?)?\s*$"
+_PART = rf"^\s*({PREFIX})(?:{ID}|{NUMBER})(\s*,[^;]*)?\s*$"
+#: Parts a match's groups once a pattern has been replaced by them, so that one run of it gives them all.
+_CUT = "\u0001"
 
 def _no_ints() -> Column:
     return F.array().cast("array<int>")
 
 
-def _group(c: Column, i: int) -> Column:
-    return F.regexp_extract(c, _PART, i)
+def _groups(c: Column, pattern: str, n: int) -> Column:
+    """The n groups of a pattern that matches the whole text, or one element where it doesn't match."""
+    return F.split(F.regexp_replace(c, pattern, _CUT.join(f"${i}" for i in range(1, n + 1))), _CUT)
 
 
 def strict_parts(raw: Column) -> Column:
     """Of an array of parts (ok, prefix, kind, id, nums, loc): kind is id, range, list or num; nums are the numbers of the part. Built in steps, so that each pattern is run once."""
-    found = F.transform(raw, lambda p: F.struct(p.rlike(_PART).alias("fits"), _group(p, 1).alias("prefix"), _group(p, 2).alias("id"), _group(p, 3).try_cast("int").alias("first"), _group(p, 4).try_cast("int").alias("last"), _group(p, 5).alias("loc")))
+    cut = F.transform(raw, lambda p: _groups(p, _PART, 5))
+    some = lambda g, i: F.coalesce(F.get(g, i), F.lit(""))
+    found = F.transform(cut, lambda g: F.struct((F.size(g) == 5).alias("fits"), F.get(g, 0).alias("prefix"), some(g, 1).alias("id"), some(g, 2).try_cast("int").alias("first"), some(g, 3).try_cast("int").alias("last"), F.rtrim(some(g, 4)).alias("loc")))
     kinds = F.transform(found, lambda p: p.withField("kind", F.when(p["id"] != "", "id").when(p["last"].isNotNull(), "range").when(p["loc"].rlike(r"^\s*,\s*\d[\d\s,]*$"), "list").otherwise("num")))
 
     def checked(p: Column) -> Column:
@@ -52,7 +57,9 @@ def strict_groups(inner: Column) -> Column:
 
 def mask_inline_code(c: Column) -> Column:
     """Inline code as blanks of the same length."""
-    return F.array_join(F.transform(F.regexp_extract_all(X.null_empty(c), F.lit(r"`[^`\n]+`|[^`]+|`"), F.lit(0)), lambda p: F.when(p.rlike(r"^`[^`\n]+`$"), F.repeat(F.lit(" "), F.length(p))).otherwise(p)), "")
+    text = X.null_empty(c)
+    masked = F.array_join(F.transform(F.regexp_extract_all(X.null_empty(c), F.lit(r"`[^`\n]+`|[^`]+|`"), F.lit(0)), lambda p: F.when(p.rlike(r"^`[^`\n]+`$"), F.repeat(F.lit(" "), F.length(p))).otherwise(p)), "")
+    return F.when(F.contains(text, F.lit("`")), masked).otherwise(text)
 
 
 def strict_citations(c: Column) -> Column:
@@ -71,10 +78,10 @@ def lenient_numbers(c: Column) -> Column:
     inner = F.regexp_extract_all(X.null_empty(c), F.lit(rf"(?<![\p{{L}}\p{{N}}_\])])\[([^\[\]\n]{{1,200}})\]"), F.lit(1))
 
     parts = F.transform(F.flatten(F.transform(inner, lambda s: F.split(s, ";"))), lambda p: F.trim(F.regexp_replace(p, LENIENT_PREFIX, "")))
-    head = r"^(\d{1,3})(?:\s*[-–—]\s*(\d{1,3}))?(?=$|[\s,])"
-    # further numbers directly behind the first, as far as the list goes
-    tail = r"^((?:\s*,\s*\d{1,3}(?=\s*(?:,|$)))+)"
-    found = F.transform(parts, lambda p: F.struct(F.regexp_extract(p, head, 1).try_cast("int").alias("a"), F.regexp_extract(p, head, 2).try_cast("int").alias("b"), F.regexp_extract_all(F.regexp_extract(F.regexp_replace(p, head, ""), tail, 1), F.lit(r"\d+"), F.lit(0)).cast("array<int>").alias("more")))
+    # a number or range, and further numbers directly behind it, as far as the list goes
+    head = r"^(\d{1,3})(?:\s*[-–—]\s*(\d{1,3}))?(?=$|[\s,])((?:\s*,\s*\d{1,3}(?=\s*(?:,|$)))*).*$"
+    cut = F.transform(parts, lambda p: _groups(p, head, 3))
+    found = F.transform(F.filter(cut, lambda g: F.size(g) == 3), lambda g: F.struct(F.get(g, 0).cast("int").alias("a"), F.get(g, 1).try_cast("int").alias("b"), F.regexp_extract_all(F.get(g, 2), F.lit(r"\d+"), F.lit(0)).cast("array<int>").alias("more")))
     own = lambda x: F.when((x["a"] < x["b"]) & (x["b"] <= x["a"] + 20), F.sequence(x["a"], F.greatest(x["a"], x["b"]))).when(x["a"].isNotNull(), F.array(x["a"])).otherwise(_no_ints())
     numbers = F.flatten(F.transform(found, lambda x: F.concat(own(x), F.when(x["a"].isNotNull(), x["more"]).otherwise(_no_ints()))))
     return F.filter(numbers, lambda n: n.between(1, 500))

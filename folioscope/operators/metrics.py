@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -88,22 +89,29 @@ def plain_phrase_counts(docs: DataFrame, phrases: Sequence[str], keep: Sequence[
     return df.select(*keep, "n", F.when(F.col("n") == 0, "none").when(F.col("n") <= 3, "few").when(F.col("n") <= 8, "many").otherwise("too many").alias("verdict"))
 
 
-def _mtld_step(threshold: float):
-    def step(a: Column, w: Column) -> Column:
-        seen = F.when(F.array_contains(a["types"], w), a["types"]).otherwise(F.concat(a["types"], F.array(w)))
-        n = a["n"] + 1
-        full = F.size(seen) / n < threshold
-        return F.struct(F.when(full, F.array().cast("array<string>")).otherwise(seen).alias("types"), F.when(full, 0).otherwise(n).alias("n"), (a["factors"] + F.when(full, 1).otherwise(0)).alias("factors"))
-
-    return step
+def mtld(words: Column, threshold: float = 0.72) -> Column:
+    """Words over the factors that an ordered walk closes whenever the share of different words falls below the threshold; the rest counts in part.
 
+    The walk keeps a set that grows and empties, which no built-in fold holds without copying it at each word: this one is an Arrow function.
+    """
 
-def mtld(words: Column, threshold: float = 0.72) -> Column:
-    """Words over the factors that an ordered walk closes whenever the share of different words falls below the threshold; the rest counts in part."""
-    start = F.struct(F.array().cast("array<string>").alias("types"), F.lit(0).alias("n"), F.lit(0).alias("factors"))
-    end = F.aggregate(words, start, _mtld_step(threshold))
-    factors = end["factors"] + F.when(end["n"] > 0, (1 - F.size(end["types"]) / end["n"]) / (1 - threshold)).otherwise(0.0)
-    return F.when(factors > 0, F.size(words) / factors).otherwise(F.size(words).cast("double"))
+    @F.pandas_udf("double")
+    def walk(lists: pd.Series) -> pd.Series:
+        out = []
+        for one in lists:
+            types, n, factors = set(), 0, 0.0
+            for w in one if one is not None else ():
+                types.add(w)
+                n += 1
+                if len(types) / n < threshold:
+                    factors, types, n = factors + 1, set(), 0
+            if n:
+                factors += (1 - len(types) / n) / (1 - threshold)
+            size = 0 if one is None else len(one)
+            out.append(size / factors if factors > 0 else float(size))
+        return pd.Series(out, dtype="float64")
+
+    return walk(words)
 
 
 def lexical_diversity(docs: DataFrame, overused: Sequence[str] = L.OVERUSED, least: int = 100, with_mtld: bool = True, keep: Sequence[str] = KEEP) -> DataFrame:

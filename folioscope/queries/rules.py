@@ -93,12 +93,12 @@ def rule_bibliography(spark, sf_dir):
 
 @catalog.add("rule_checks")
 def rule_checks(spark, sf_dir):
-    return V.checks(_works(spark, sf_dir))
+    return V.checks(_works(spark, sf_dir).persist())  # each rule reads the blocks
 
 
 @catalog.add("rule_summary")
 def rule_summary(spark, sf_dir):
-    return V.summary(V.checks(_works(spark, sf_dir)), table(spark, sf_dir, "documents"))
+    return V.summary(V.checks(_works(spark, sf_dir).persist()), table(spark, sf_dir, "documents"))
 
 
 _SECTIONS = "SELECT o_custkey AS doc_id, o_orderkey AS section, CASE WHEN o_orderkey % 3 = 0 THEN 16838 ELSE 11906 END AS width, CASE WHEN o_orderkey % 3 = 0 THEN 11906 WHEN o_orderkey % 5 = 0 THEN 15840 ELSE 16838 END AS height, 1134 AS top, 1134 AS bottom, CASE WHEN o_orderkey % 4 = 0 THEN 1701 ELSE 1985 END AS \"left\", 567 AS \"right\" FROM orders"
