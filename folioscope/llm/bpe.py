@@ -9,7 +9,6 @@ import base64
 import json
 import re
 import struct
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from folioscope.llm.common import free_columns, map_texts
+from folioscope.llm.common import free_columns, held, map_texts
 
 #: A single space between two other characters: the pattern's matches never cross the place before it.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -82,7 +81,7 @@ class _Chunks(dict):
 class Codec:
     """Encodes and decodes with a byte-level BPE given as tokenizers JSON."""
 
-    def __init__(self, definition: str, pattern: str, limit: int = 400_000):
+    def __init__(self, definition: str, pattern: str, limit: int = 250_000):
         self.model = (kept := Tokenizer.from_str(definition)).model
         self._kept = kept
         characters = byte_characters()
@@ -147,10 +146,9 @@ class Codec:
         return character[starts].astype(np.int32), (character[ends - 1] + 1).astype(np.int32)
 
 
-@lru_cache(maxsize=4)
 def codec(definition: str, pattern: str) -> Codec:
     """One codec in each worker, whatever the number of its tasks."""
-    return Codec(definition, pattern)
+    return held("codec", (definition, pattern), lambda: Codec(definition, pattern))
 
 
 def int_lists(parts: list[bytes]) -> pa.ListArray:

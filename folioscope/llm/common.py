@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import re
 import string
 import tempfile
@@ -62,6 +65,10 @@ def free_columns(df: DataFrame, names: Sequence[str]) -> DataFrame:
     return df.drop(*[c for c in df.columns if c in set(names)])
 
 
+#: Rows that are worked on at once.
+SLICE = 256
+
+
 def map_texts(
     df: DataFrame, fields: Sequence[T.StructField], make: Callable[[], Callable[[list[str | None]], Sequence[pa.Array]]], text_col: str = "text", keep: Sequence[str] | None = None
 ) -> DataFrame:
@@ -78,12 +85,32 @@ def map_texts(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
-            if batch.num_rows:
-                *rest, texts = batch.columns
+            for at in range(0, batch.num_rows, SLICE):  # so that what a worker makes of a batch never is in memory as a whole
+                *rest, texts = batch.slice(at, SLICE).columns
                 yield pa.RecordBatch.from_arrays([*rest, *work(texts.to_pylist())], names=schema.names)
 
     return source.mapInArrow(run, schema).toDF(*passed, *names)
 
 
+_HELD: dict = {}
+
+
+def _give_back() -> None:
+    """Free memory that the process keeps for itself goes back to the machine, as far as its C library can do that."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def held(owner: str, key: object, build: Callable[[], object]) -> object:
+    """A worker's one large object (a token table, a memory of chunks, an automaton), built where the owner or its key is another one. Workers are used by one stage after the other; what an earlier stage held is let go first."""
+    if _HELD.get("at") != (owner, key):
+        _HELD.clear()
+        _give_back()
+        _HELD.update(value=build(), at=(owner, key))
+    return _HELD["value"]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

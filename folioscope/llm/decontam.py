@@ -8,7 +8,6 @@ The automaton is broadcast with the tasks. Its size follows the benchmark's, whi
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioscope.llm.common import _WORD, ascii_lower, free_columns, words_of
+from folioscope.llm.common import _WORD, ascii_lower, free_columns, held, words_of
 
 OUTPUT = ("n_words", "n_hit", "longest", "item_ids", "contaminated")
 
@@ -134,10 +133,9 @@ class SuffixAutomaton:
         return flags, items, longest if flags else 0
 
 
-@lru_cache(maxsize=2)
 def _automaton(items: tuple, window: int) -> SuffixAutomaton:
     """One automaton in each worker and block."""
-    return SuffixAutomaton([(i, words_of(t)) for i, t in items], window)
+    return held("automaton", (items, window), lambda: SuffixAutomaton([(i, words_of(t)) for i, t in items], window))
 
 
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Iterator[tuple]:

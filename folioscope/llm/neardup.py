@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioscope.llm.common import _WORD_BYTES, ascii_lower_col, free_columns, map_texts, stored
+from folioscope.llm.common import _WORD_BYTES, ascii_lower_col, free_columns, held, map_texts, stored
 
 OUTPUT = ("class_id", "class_size", "kept")
 
@@ -129,6 +129,7 @@ class Signer:
 
     def sets(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For each text (signature, ascending distinct shingle hashes); the signature is empty where there are no words."""
+        held("signatures", None, lambda: None)
         for chunk in self._chunks(texts):
             doc, element, count, _ = shingles(chunk, self.words)
             signature = prob_minhash(doc, element, 1 + np.log(count), len(chunk), self.bands * self.rows)
@@ -235,17 +236,17 @@ def verified_links(base: DataFrame, nodes: DataFrame, signer: Signer, similar: f
     dealt = tiled.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list] = [[], [], [], []]
+        own: list[list] = [[], [], [], []]
         at = None
 
         def out(found):
             return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.binary()) for k in (0, 1)], names=["u", "v"])
 
         def done():
-            if len(held[0]) < 2:
+            if len(own[0]) < 2:
                 return []
-            sketches = np.frombuffer(b"".join(held[1]), dtype="<u2").reshape(len(held[0]), -1)
-            return links(held[0], sketches, held[2], np.array(held[3]), at[0] >> 57, signer.rows, similar, least)
+            sketches = np.frombuffer(b"".join(own[1]), dtype="<u2").reshape(len(own[0]), -1)
+            return links(own[0], sketches, own[2], np.array(own[3]), at[0] >> 57, signer.rows, similar, least)
 
         for batch in batches:
             found = []
@@ -253,9 +254,9 @@ def verified_links(base: DataFrame, nodes: DataFrame, signer: Signer, similar: f
             for i, tile_key in enumerate(zip(key, low, high)):
                 if tile_key != at:
                     found += done() if at else []
-                    held, at = [[], [], [], []], tile_key
+                    own, at = [[], [], [], []], tile_key
                 for k, column in enumerate((node, sketch, shingle, block)):
-                    held[k].append(column[i])
+                    own[k].append(column[i])
             if found:
                 yield out(found)
         if at and (found := done()):

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioscope.llm.common import map_texts
+from folioscope.llm.common import held, map_texts
 from folioscope.llm.tokens import TokenTable
 
 PASSAGE = 60
@@ -45,9 +45,8 @@ def _lexical(start: str) -> tuple[float, ...]:
     return tuple((1.0 if code & 0x100 else -1.0) if i == code % LEXICAL else 0.0 for i in range(LEXICAL))
 
 
-@lru_cache(maxsize=1)
 def _table() -> TokenTable:
-    return TokenTable(token_features, TOKEN_WIDTH)
+    return held("quality", None, lambda: TokenTable(token_features, TOKEN_WIDTH))
 
 
 def passages(text: str | None) -> np.ndarray:

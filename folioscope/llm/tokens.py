@@ -10,7 +10,7 @@ import numpy as np
 class TokenTable:
     """Row numbers and features of tokens. Beyond limit distinct tokens it begins anew, so its memory is bounded; tokens of over 64 characters are held by their text only within one call."""
 
-    def __init__(self, features: Callable[[str], tuple[float, ...]], width: int, limit: int = 400_000):
+    def __init__(self, features: Callable[[str], tuple[float, ...]], width: int, limit: int = 300_000):
         self.features, self.width, self.limit = features, width, limit
         self._begin()
 

@@ -7,7 +7,6 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioscope.llm.common import map_texts
+from folioscope.llm.common import held, map_texts
 from folioscope.llm.tokens import TokenTable
 
 #: Common English insults; any other term comes from the labels.
@@ -84,11 +83,10 @@ def features(texts: list[str | None], lexicon: dict[str, float]) -> np.ndarray:
     return out
 
 
-@lru_cache(maxsize=2)
 def _table(lexicon: tuple) -> TokenTable:
     words = dict(lexicon)
     roots = frozenset(t[:ROOT].rstrip("*") for t in (*words, *SEEDS))
-    return TokenTable(lambda token: token_features(token, words, roots), WIDTH)
+    return held("toxicity", lexicon, lambda: TokenTable(lambda token: token_features(token, words, roots), WIDTH))
 
 
 @dataclass
