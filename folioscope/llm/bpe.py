@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from folioscope.llm.common import free_columns, held, map_texts
+from folioscope.llm.common import bounded_batches, free_columns, held, map_texts
 
 #: A single space between two other characters: the pattern's matches never cross the place before it.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -203,4 +203,4 @@ def decode(df: DataFrame, definition: str, pattern: str, ids_col: str = "ids", o
             *rest, ids = batch.columns
             yield pa.RecordBatch.from_arrays([*rest, pa.array([own.decode(np.array(x or [], dtype=np.int64)) for x in ids.to_pylist()], pa.string())], names=schema.names)
 
-    return source.mapInArrow(run, schema).toDF(*passed, out)
+    return bounded_batches(source).mapInArrow(run, schema).toDF(*passed, out)

@@ -67,6 +67,17 @@ def free_columns(df: DataFrame, names: Sequence[str]) -> DataFrame:
 
 #: Rows that are worked on at once.
 SLICE = 256
+#: Bytes of an Arrow batch, at which it is closed (Spark's own bound of 64 MB is held several times over by an executor and its worker).
+BATCH_BYTES = 2 << 20
+_BATCH_CONF, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """df. From now on its session's Arrow batches are closed at BATCH_BYTES, unless the session has a bound of its own; results don't depend on it."""
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH_CONF) == _BATCH_DEFAULT:
+        conf.set(_BATCH_CONF, str(BATCH_BYTES))
+    return df
 
 
 def map_texts(
@@ -89,7 +100,7 @@ def map_texts(
                 *rest, texts = batch.slice(at, SLICE).columns
                 yield pa.RecordBatch.from_arrays([*rest, *work(texts.to_pylist())], names=schema.names)
 
-    return source.mapInArrow(run, schema).toDF(*passed, *names)
+    return bounded_batches(source).mapInArrow(run, schema).toDF(*passed, *names)
 
 
 _HELD: dict = {}

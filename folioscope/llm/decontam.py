@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioscope.llm.common import _WORD, ascii_lower, free_columns, held, words_of
+from folioscope.llm.common import _WORD, ascii_lower, bounded_batches, free_columns, held, words_of
 
 OUTPUT = ("n_words", "n_hit", "longest", "item_ids", "contaminated")
 
@@ -164,13 +164,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, cover
     for k, block in enumerate(blocks):
         last = k == len(blocks) - 1
         schema = T.StructType(out_fields if clean or not last else [f for f in out_fields if f.name != "t"])
-        df = df.mapInArrow(_scan(block, window, k == 0, clean or not last, schema), schema)
+        df = bounded_batches(df).mapInArrow(_scan(block, window, k == 0, clean or not last, schema), schema)
     flags = F.coalesce(F.col("flags").cast("string"), F.lit(""))
     hit = F.length(flags) - F.length(F.replace(flags, F.lit("1"), F.lit("")))
     done = [F.col("n").alias("n_words"), hit.cast("long").alias("n_hit"), F.col("longest"), F.array_sort(F.array_distinct("items")).alias("item_ids")]
     done.append(((hit > 0) & (hit * coverage >= F.col("n"))).alias("contaminated"))
     if clean:
-        df = df.mapInArrow(_cut(df.schema), df.schema)
+        df = bounded_batches(df).mapInArrow(_cut(df.schema), df.schema)
         done.append(F.col("t").alias("clean_text"))
     return df.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(passed)], *done)
 

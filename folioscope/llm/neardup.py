@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioscope.llm.common import _WORD_BYTES, ascii_lower_col, free_columns, held, map_texts, stored
+from folioscope.llm.common import _WORD_BYTES, ascii_lower_col, bounded_batches, free_columns, held, map_texts, stored
 
 OUTPUT = ("class_id", "class_size", "kept")
 
@@ -262,7 +262,7 @@ def verified_links(base: DataFrame, nodes: DataFrame, signer: Signer, similar: f
         if at and (found := done()):
             yield out(found)
 
-    return dealt.mapInArrow(compare, LINK).distinct()
+    return bounded_batches(dealt).mapInArrow(compare, LINK).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:

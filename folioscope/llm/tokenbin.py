@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folioscope.llm.bpe import codec
-from folioscope.llm.common import shared_dir
+from folioscope.llm.common import bounded_batches, shared_dir
 
 MAGIC = b"S8B1"
 #: Fixed values of the format: (ids, bits of each) by selector.
@@ -141,7 +141,7 @@ def write_tokens(docs: DataFrame, path: str, definition: str, pattern: str, end_
         if ids:
             yield block()
 
-    rows.mapInArrow(run, BLOCK).write.parquet(path)
+    bounded_batches(rows).mapInArrow(run, BLOCK).write.parquet(path)
 
 
 _ARROW = pa.schema([("part", pa.int64()), ("seq", pa.int64()), ("start", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("payload", pa.binary())])
@@ -169,7 +169,7 @@ def read_tokens(spark: SparkSession, path: str, ids: bool = True) -> DataFrame:
                     out.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(values.astype(np.int64))))
                 yield pa.RecordBatch.from_arrays(out, names=schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return bounded_batches(rows).mapInArrow(run, schema)
 
 
 def token_files(docs: DataFrame, definition: str, pattern: str, end_id: int, path: str | None = None, **options) -> DataFrame:
