@@ -100,8 +100,8 @@ class Codec:
 
     def _later_ids(self, chunk: str) -> bytes:
         """Of a chunk and the blank before it. A word of letters that every engine takes for letters is one match, and so is a comma or full stop behind it."""
-        if chunk.isalpha() and max(chunk) < _PLAIN:
-            as_bytes = chunk if chunk.isascii() else chunk.encode().decode("latin-1").translate(self.to_characters)
+        if chunk.isalpha() and ((plain := chunk.isascii()) or max(chunk) < _PLAIN):
+            as_bytes = chunk if plain else chunk.encode().decode("latin-1").translate(self.to_characters)
             out = [token.id for token in self.model.tokenize(self.blank + as_bytes)]
             return struct.pack(f"<{len(out)}I", *out)
         if chunk[-1:] in (",", ".") and chunk[:-1].isalpha():
@@ -146,9 +146,9 @@ class Codec:
         return character[starts].astype(np.int32), (character[ends - 1] + 1).astype(np.int32)
 
 
-def codec(definition: str, pattern: str) -> Codec:
-    """One codec in each worker, whatever the number of its tasks."""
-    return held("codec", (definition, pattern), lambda: Codec(definition, pattern))
+def codec(definition: str, pattern: str, limit: int = 250_000) -> Codec:
+    """One codec in each worker, whatever the number of its tasks; limit bounds its memory of chunks (about 0.2 kB each, two generations)."""
+    return held("codec", (definition, pattern, limit), lambda: Codec(definition, pattern, limit))
 
 
 def int_lists(parts: list[bytes]) -> pa.ListArray:

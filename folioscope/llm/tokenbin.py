@@ -106,10 +106,10 @@ BLOCK = T.StructType(
 )
 
 
-def write_tokens(docs: DataFrame, path: str, definition: str, pattern: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", block_ids: int = 1 << 16) -> None:
+def write_tokens(docs: DataFrame, path: str, definition: str, pattern: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", block_ids: int = 1 << 16, chunks: int = 800_000) -> None:
     """Write every whole text's ids (null: none) and end_id, in ascending id order (null first; equal ids by text), as blocks under path.
 
-    A block ends with the document in which it reaches block_ids. Documents are dealt out by ranges of the id, so parts are as even as ids are distinct. An empty table gives no blocks.
+    A block ends with the document in which it reaches block_ids; chunks bounds a worker's memory of chunks, and is larger than where other operators share the worker. Documents are dealt out by ranges of the id, so parts are as even as ids are distinct. An empty table gives no blocks.
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -117,7 +117,7 @@ def write_tokens(docs: DataFrame, path: str, definition: str, pattern: str, end_
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, part = codec(definition, pattern), TaskContext.get().partitionId()
+        own, part = codec(definition, pattern, chunks), TaskContext.get().partitionId()
         seq = start = held = 0
         ids, texts = [], []
 
