@@ -1,6 +1,6 @@
 """Near duplicates by ProbMinHash, banding and verification.
 
-Texts that are equal after lower-casing A-Z are one node. Each node's shingles of five words, weighted by 1 + ln(count), get a ProbMinHash signature: elements arrive by Poisson processes, with early termination, and slots agree as often as the probability Jaccard says. Nodes that agree on all slots of a band are in one bucket. In each bucket, pairs whose signatures agree often enough are verified on their whole shingle sets; as classes are connected components, a pair that verified links have already joined is skipped. A pair is looked at in its first common band only.
+Texts that are equal after lower-casing A-Z are one node. Each node's set of shingles of five words gets a ProbMinHash signature: elements arrive by Poisson processes, with early termination, and slots agree as often as the probability Jaccard says, which for equal weights is the Jaccard similarity of the sets, whatever the shingles' counts. Nodes that agree on all slots of a band are in one bucket. In each bucket, all pairs whose sizes allow a link are verified on their whole shingle sets; as classes are connected components, a pair that verified links have already joined is skipped. A pair is looked at in its first common band only.
 
 A bucket is dealt into blocks of bounded size, and each two blocks are compared in a task of their own; so no task holds a whole bucket, no pair is written unless it is a verified link, and nothing is capped. Components are found by large-star and small-star steps on stored tables.
 """
@@ -131,8 +131,8 @@ class Signer:
         """For each text (signature, ascending distinct shingle hashes); the signature is empty where there are no words."""
         held("signatures", None, lambda: None)
         for chunk in self._chunks(texts):
-            doc, element, count, _ = shingles(chunk, self.words)
-            signature = prob_minhash(doc, element, 1 + np.log(count), len(chunk), self.bands * self.rows)
+            doc, element, _, _ = shingles(chunk, self.words)
+            signature = prob_minhash(doc, element, np.ones(len(doc)), len(chunk), self.bands * self.rows)
             ends = np.searchsorted(doc, np.arange(len(chunk) + 1))
             for i in range(len(chunk)):
                 yield signature[i] if ends[i] < ends[i + 1] else signature[i, :0], element[ends[i] : ends[i + 1]]
@@ -174,29 +174,39 @@ class Joined:
         return i != j
 
 
-def links(nodes: list[bytes], sketches: np.ndarray, sets: list[bytes], block: np.ndarray, band: int, rows: int, similar: float, least: float) -> list[tuple[bytes, bytes]]:
-    """Verified links that join all similar nodes of one tile: pairs whose first common band is this one, likeliest first, without those that links found before have joined. block tells the tile's two blocks apart (all 0: one block); pairs of a tile with two are across them."""
+def links(nodes: list[bytes], keys: np.ndarray, sets: list[bytes], block: np.ndarray, band: int, similar: float) -> list[tuple[bytes, bytes]]:
+    """Verified links that join all similar nodes of one tile: pairs whose first common band is this one, likeliest first, without those that links found before have joined. keys holds each node's bands. block tells the tile's two blocks apart (all 0: one block); pairs of a tile with two are across them.
+
+    The smaller set's size is at most the union's times the similarity, so pairs whose sizes differ by more are no links.
+    """
     n = len(nodes)
     across = block.min() != block.max()
-    found: list[tuple[float, int, int]] = []
+    sizes = np.array([len(s) // 8 for s in sets])
+    rates, lefts, rights = [], [], []
     for i in range(n - 1):
-        equal = sketches[i + 1 :] == sketches[i]
-        rate = equal.mean(axis=1)
-        good = rate >= least
+        equal = keys[i + 1 :] == keys[i]
+        good = equal[:, band] & ~equal[:, :band].any(axis=1)
+        good &= np.minimum(sizes[i + 1 :], sizes[i]) >= similar * np.maximum(sizes[i + 1 :], sizes[i])
         if across:
             good &= block[i + 1 :] != block[i]
-        for j in np.nonzero(good)[0].tolist():
-            common = equal[j].reshape(-1, rows).all(axis=1)
-            if common.argmax() == band and common[band]:
-                found.append((-float(rate[j]), i, i + 1 + j))
+        right = np.nonzero(good)[0]
+        rates.append(equal[right].sum(axis=1).astype(np.uint8))
+        lefts.append(np.full(len(right), i, dtype=np.int32))
+        rights.append((right + i + 1).astype(np.int32))
+    rate, left, right = map(np.concatenate, (rates, lefts, rights))
+    order = np.argsort(-rate.astype(np.int16), kind="stable")
     out, joined, arrays = [], Joined(n), {}
-    for _, i, j in sorted(found):
-        if joined.root(i) == joined.root(j) or nodes[i] == nodes[j]:
-            continue
-        a, b = (arrays.setdefault(k, np.frombuffer(sets[k], dtype="<u8")) for k in (i, j))
-        if min(len(a), len(b)) >= similar * max(len(a), len(b)) and jaccard(a, b) >= similar:
-            joined.join(i, j)
-            out.append((min(nodes[i], nodes[j]), max(nodes[i], nodes[j])))
+    for at in range(0, len(order), 4096):
+        roots = np.array([joined.root(k) for k in range(n)])
+        i, j = left[order[at : at + 4096]], right[order[at : at + 4096]]
+        apart = roots[i] != roots[j]
+        for i, j in zip(i[apart].tolist(), j[apart].tolist()):
+            if joined.root(i) == joined.root(j) or nodes[i] == nodes[j]:
+                continue
+            a, b = (arrays.setdefault(k, np.frombuffer(sets[k], dtype="<u8")) for k in (i, j))
+            if jaccard(a, b) >= similar:
+                joined.join(i, j)
+                out.append((min(nodes[i], nodes[j]), max(nodes[i], nodes[j])))
     return out
 
 
@@ -207,7 +217,7 @@ def _node(text: Column) -> Column:
 LINK = T.StructType([T.StructField("u", T.BinaryType()), T.StructField("v", T.BinaryType())])
 
 
-def verified_links(base: DataFrame, nodes: DataFrame, signer: Signer, similar: float, least: float, tile: int, broadcast_rows: int) -> DataFrame:
+def verified_links(base: DataFrame, nodes: DataFrame, signer: Signer, similar: float, tile: int, broadcast_rows: int) -> DataFrame:
     """(u, v): links between nodes. base has node, id, row and text; nodes has node, best (id and row of the node's own row) and bands."""
     each = nodes.select("node", F.explode("bands").alias("key"))
     buckets = each.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.sum(F.xxhash64("node", F.lit(1)).cast("decimal(20,0)")).alias("s")).filter("n > 1")
@@ -218,11 +228,11 @@ def verified_links(base: DataFrame, nodes: DataFrame, signer: Signer, similar: f
     wanted = stored(wanted.select(F.col("node").alias("w"), F.col("best.id").alias("wid"), F.col("best.row").alias("wrow")), "wanted")
     side = F.broadcast(wanted) if wanted.count() <= broadcast_rows else wanted
     texts = base.join(side, (F.col("node") == F.col("w")) & F.col("id").eqNullSafe(F.col("wid")) & (F.col("row") == F.col("wrow")), "left_semi")
-    fields = [T.StructField("sketch", T.BinaryType()), T.StructField("shingles", T.BinaryType())]
+    fields = [T.StructField("bands", T.BinaryType()), T.StructField("shingles", T.BinaryType())]
 
     def make():
         def work(batch):
-            both = [(s.astype("<u2").tobytes(), e.astype("<u8").tobytes()) for s, e in signer.sets(batch)]
+            both = [(signer.keys(s).astype("<i8").tobytes(), e.astype("<u8").tobytes()) for s, e in signer.sets(batch)]
             return [pa.array([b[k] for b in both], pa.binary()) for k in (0, 1)]
 
         return work
@@ -231,8 +241,8 @@ def verified_links(base: DataFrame, nodes: DataFrame, signer: Signer, similar: f
     blocks = F.ceil(F.col("n") / F.lit(tile)).cast("int")
     rows = members.join(sets, "node").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node", F.lit(2)), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    tiled = rows.select("key", "node", "sketch", "shingles", "block", other)
-    tiled = tiled.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "sketch", "shingles")
+    tiled = rows.select("key", "node", "bands", "shingles", "block", other)
+    tiled = tiled.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "bands", "shingles")
     dealt = tiled.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,17 +255,17 @@ def verified_links(base: DataFrame, nodes: DataFrame, signer: Signer, similar: f
         def done():
             if len(own[0]) < 2:
                 return []
-            sketches = np.frombuffer(b"".join(own[1]), dtype="<u2").reshape(len(own[0]), -1)
-            return links(own[0], sketches, own[2], np.array(own[3]), at[0] >> 57, signer.rows, similar, least)
+            keys = np.frombuffer(b"".join(own[1]), dtype="<i8").reshape(len(own[0]), -1)
+            return links(own[0], keys, own[2], np.array(own[3]), at[0] >> 57, similar)
 
         for batch in batches:
             found = []
-            key, low, high, block, node, sketch, shingle = (c.to_pylist() for c in batch.columns)
+            key, low, high, block, node, bands, shingle = (c.to_pylist() for c in batch.columns)
             for i, tile_key in enumerate(zip(key, low, high)):
                 if tile_key != at:
                     found += done() if at else []
                     own, at = [[], [], [], []], tile_key
-                for k, column in enumerate((node, sketch, shingle, block)):
+                for k, column in enumerate((node, bands, shingle, block)):
                     own[k].append(column[i])
             if found:
                 yield out(found)
@@ -287,12 +297,12 @@ def components(edges: DataFrame) -> DataFrame:
         state = tuple(now)
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = 0.8, words: int = 5, bands: int = 20, rows: int = 5, least: float = 0.66, tile: int = 1024, broadcast_rows: int = 1 << 20) -> DataFrame:
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = 0.8, words: int = 5, bands: int = 20, rows: int = 5, tile: int = 1024, broadcast_rows: int = 1 << 20) -> DataFrame:
     """docs with class_id, class_size and kept; input columns of these names give way.
 
     A class is a connected component of texts whose sets of shingles (of words words; a text of fewer words, but not none, is one shingle) have a Jaccard similarity of similar or more, or that are equal after lower-casing A-Z (null counts as empty); texts without words are linked to equal texts only. class_id is the smallest id of the class (null is the smallest), class_size its number of rows; kept is true in exactly one row of each class, one with that id. Whole texts are read. An empty table gives an empty table. docs must be a stored table, since it is read more than once.
 
-    Candidates: pairs that agree on a band of rows slots (with the standard 20 bands of 5, a pair of similarity 0.8 does so with a probability of 0.9996) and on a share of least of all slots (at a similarity of 0.8, 3.5 standard deviations below what is expected).
+    Candidates: pairs that agree on a band of rows slots; with the standard 20 bands of 5, a pair of similarity 0.8 does so with a probability of 0.9996, however often each text repeats its shingles.
     """
     base = free_columns(docs, OUTPUT)
     signer = Signer(words, bands, rows)
@@ -307,7 +317,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     signed = map_texts(narrow, [T.StructField("bands", T.ArrayType(T.LongType(), True))], make, "text", ["id", "row", "node"])
     nodes = stored(signed.groupBy("node").agg(F.min(F.struct("id", "row")).alias("best"), F.count("*").alias("copies"), F.first("bands").alias("bands")), "nodes")
-    roots = components(verified_links(narrow, nodes, signer, similar, least, tile, broadcast_rows))
+    roots = components(verified_links(narrow, nodes, signer, similar, tile, broadcast_rows))
     rooted = nodes.select("node", "best", "copies").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     classes = rooted.groupBy("root").agg(F.min("best").alias("__best"), F.sum("copies").alias("__size"), F.count("*").alias("__nodes"))
     # nodes of one row are their own class; only the others are looked up

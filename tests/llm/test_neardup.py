@@ -77,6 +77,26 @@ def test_one_group_of_a_third(spark, tmp_path):
     assert all((r.class_id, r.class_size) == want[r.text] for r in neardup.near_groups(docs, tile=16).collect())
 
 
+def test_repeated_passages(spark, tmp_path):
+    """Links are between sets, however often each text repeats a passage."""
+    rng = random.Random(6)
+    rows = []
+    for times in (50, 200):
+        for share in (0.2, 0.3):
+            for changed in (0, 3):
+                for _ in range(6):
+                    base = words(rng, 200).split()
+                    passage, rest = base[: int(200 * share)], base[int(200 * share) :]
+                    again = list(rest)
+                    for k in range(changed):
+                        again[10 + 30 * k] = words(rng, 1)
+                    rows += [(len(rows), " ".join(base), *[None] * 18), (len(rows) + 1, " ".join(passage * times + again), *[None] * 18)]
+    docs = stored(spark.createDataFrame(rows, SCHEMA), tmp_path)
+    want = classes([(r[0], r[1]) for r in rows])
+    assert {n for _, n in want.values()} == {2}
+    assert all((r.class_id, r.class_size) == want[r.text] for r in neardup.near_groups(docs).collect())
+
+
 def test_empty(spark):
     assert neardup.near_groups(empty(spark)).count() == 0
 
