@@ -1,6 +1,6 @@
 """Byte-level BPE: encoding with character offsets, and decoding.
 
-The tokenizers library does the merges. Texts come in Arrow batches; a text is cut at single spaces (which the split pattern never crosses), and each distinct chunk is encoded once per worker: its UTF-8 bytes are mapped to the printable characters that the model's vocabulary is written in, and the model tokenizes each match of the split pattern. A worker's memory of chunks is bounded.
+The tokenizers library does the merges. Texts come in Arrow batches; a text is split at the definition's added tokens, as the library does by default, and then cut at single spaces (which the split pattern never crosses), and each distinct chunk is encoded once per worker: its UTF-8 bytes are mapped to the printable characters that the model's vocabulary is written in, and the model tokenizes each match of the split pattern. A worker's memory of chunks is bounded.
 """
 
 from __future__ import annotations
@@ -88,6 +88,13 @@ class Codec:
         self.to_characters = dict(enumerate(characters))
         self.find = regex.compile(pattern).findall
         self.vocabulary = kept.get_vocab(with_added_tokens=True)
+        added = kept.get_added_tokens_decoder()
+        if any(t.single_word or t.lstrip or t.rstrip for t in added.values()):
+            raise ValueError("added tokens that look at or take what is around them are not supported")
+        self.added = {t.content: i for i, t in added.items() if t.content}
+        # the library looks for tokens that aren't normalized first; of several at a place, the longest is taken
+        rounds = [sorted((t.content for t in added.values() if t.content and t.normalized == n), key=len, reverse=True) for n in (False, True)]
+        self.marks = [re.compile("(" + "|".join(map(re.escape, r)) + ")") for r in rounds if r]
         self.later = _Chunks(self._later_ids, limit)
         self.blank = characters[32]
         self._bytes = None
@@ -110,6 +117,21 @@ class Codec:
 
     def encode_bytes(self, text: str | None) -> bytes:
         """The ids of a text as little-endian unsigned 32-bit integers; null is empty."""
+        if not text:
+            return b""
+        if any(map(text.__contains__, self.added)):
+            return b"".join(struct.pack("<I", self.added[p]) if token else self._plain_bytes(p) for p, token in self._split(text))
+        return self._plain_bytes(text)
+
+    def _split(self, text: str) -> list[tuple[str, bool]]:
+        """The text's parts, each with whether it is an added token."""
+        parts = [(text, False)]
+        for mark in self.marks:
+            parts = [x for p, token in parts for x in ([(p, True)] if token else [(q, k % 2 == 1) for k, q in enumerate(mark.split(p))])]
+        return parts
+
+    def _plain_bytes(self, text: str) -> bytes:
+        """The ids of a text, or of a part of one, without added tokens."""
         if not text:
             return b""
         first, *rest = _CUT.split(text) if _TIGHT.search(text) else text.split(" ")
@@ -125,7 +147,7 @@ class Codec:
             back = {c: b for b, c in enumerate(byte_characters())}
             self._bytes = [b""] * (max(self.vocabulary.values(), default=-1) + 1)
             for token, i in self.vocabulary.items():
-                self._bytes[i] = bytes(back[c] for c in token) if all(c in back for c in token) else token.encode()
+                self._bytes[i] = bytes(back[c] for c in token) if token not in self.added and all(c in back for c in token) else token.encode()
             self.lengths = np.array([len(b) for b in self._bytes], dtype=np.int64)
         return self._bytes
 
@@ -161,7 +183,7 @@ IDS = T.StructField("ids", T.ArrayType(T.IntegerType(), True))
 
 
 def encode(docs: DataFrame, definition: str, pattern: str, text_col: str = "text", offsets: bool = False, decoded: bool = False, keep: list[str] | None = None) -> DataFrame:
-    """docs's columns (or those in keep) and ids: the ids of the whole text, each match of the pattern encoded separately, without special tokens.
+    """docs's columns (or those in keep) and ids: the ids of the whole text, each match of the pattern encoded separately, without special tokens of the encoder's own; the definition's added tokens in the text are one id each.
 
     offsets adds starts and ends: the first character and the end (exclusive) of each id, in code points. decoded adds the bytes that the ids decode to. Input columns of these names give way. Null and empty texts have no ids; rows are independent, so repeated rows give repeated results; an empty table gives an empty table.
     """

@@ -81,5 +81,23 @@ def test_token_files(spark, tmp_path):
         at += len(ids)
 
 
+def test_token_files_with_added_tokens(spark, tmp_path):
+    """The library in its default setting takes an added token in the text for one id."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tokenizer, rng = Tokenizer.from_file(path), random.Random(8)
+    rows = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>", "x  <|endoftext|>\n\n  y <|endoftext|", "é<|endoftext|>漢 ", None]
+    rows += ["".join(rng.choice(["<|endoftext|>", " ", "  ", "word", "\n", "'s", "é", "<|"]) for _ in range(rng.randint(1, 9))) for _ in range(60)]
+    docs = stored(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3), tmp_path)
+    with open(path, encoding="utf-8") as f:
+        definition = f.read()
+    tokenbin.write_tokens(docs, str(tmp_path / "files"), definition, public_tokenizers.PATTERN, 2, block_ids=50)
+    found, at = {r.doc_id: r for r in tokenbin.read_tokens(spark, str(tmp_path / "files")).collect()}, 0
+    for i, text in enumerate(rows):
+        ids = [*tokenizer.encode(text or "", add_special_tokens=False).ids, 2]
+        assert (found[i].start, list(found[i].ids)) == (at, ids), text
+        assert bpe.codec(definition, public_tokenizers.PATTERN).decode(np.array(ids[:-1])) == (text or "")
+        at += len(ids)
+
+
 def test_token_files_of_nothing(spark, definition):
     assert tokenbin.token_files(empty(spark), definition, public_tokenizers.PATTERN, 2).count() == 0
