@@ -229,12 +229,17 @@ def html_fingerprints(spark, sf_dir):
     return S.text_fingerprint(S.html_blocks(table(spark, sf_dir, "pages")), ["page_id"])
 
 
-def work_blocks(spark, sf_dir):
-    """Documents as works: headings are put between their lines."""
+#: The SQL of the queries over works reads this many lines of each document, and so do these queries; those without SQL read all.
+SQL_LINES = 40
+
+
+def work_blocks(spark, sf_dir, lines: int | None = None):
+    """Documents as works: headings are put between their lines, all or the first ones."""
     docs = table(spark, sf_dir, "documents")
+    own = F.filter(F.split(X.null_empty(F.col("text")), "\n"), lambda p: F.length(p) > 0)
     n = F.col("doc_id")
     heads = F.array(*[F.lit(x) for x in ("Содержание", "Введение.", "Глава 1. Основы", "ГЛАВА II", "Заключение", "Список литературы", "Приложение 1")])
-    each = docs.select("doc_id", F.posexplode(F.slice(F.filter(F.split(X.null_empty(F.col("text")), "\n"), lambda p: F.length(p) > 0), 1, 40)).alias("i", "line"))
+    each = docs.select("doc_id", F.posexplode(own if lines is None else F.slice(own, 1, lines)).alias("i", "line"))
     head = F.when((F.col("i") + n) % 5 == 0, F.element_at(heads, ((F.col("i") / 5 + n) % 7 + 1).cast("int")))
     both = each.select("doc_id", F.explode(F.array(F.struct((F.col("i") * 2).alias("idx"), head.alias("text")), F.struct((F.col("i") * 2 + 1).alias("idx"), F.col("line").alias("text")))).alias("b"))
     return both.filter("b.text is not null").select("doc_id", "b.idx", "b.text").withColumn("heading_level", F.when(F.col("idx") % 2 == 0, 1))
@@ -254,7 +259,7 @@ k AS (SELECT doc_id, idx, text, {_KINDS} AS kind, CASE text WHEN 'Глава 1.
     f"""WITH {_BLOCKS} SELECT doc_id, idx, coalesce(last_value(kind IGNORE NULLS) OVER w, 'front') AS region_kind, CASE WHEN last_value(kind IGNORE NULLS) OVER w = 'chapter' THEN last_value(CASE WHEN kind = 'chapter' THEN number END IGNORE NULLS) OVER w END AS chapter_no, count(kind) OVER w AS region, kind IS NOT NULL AS starts FROM k WINDOW w AS (PARTITION BY doc_id ORDER BY idx ROWS UNBOUNDED PRECEDING)""",
 )
 def regions(spark, sf_dir):
-    return S.regions(work_blocks(spark, sf_dir)).select("doc_id", "idx", "region_kind", "chapter_no", "region", "starts")
+    return S.regions(work_blocks(spark, sf_dir, SQL_LINES)).select("doc_id", "idx", "region_kind", "chapter_no", "region", "starts")
 
 
 @catalog.add("sections")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from folioscope.operators import rules as V
 from folioscope.operators import segments as S
-from folioscope.queries.audit import _BLOCKS, work_blocks
+from folioscope.queries.audit import _BLOCKS, SQL_LINES, work_blocks
 from folioscope.queries.common import Catalog, table
 
 catalog = Catalog()
@@ -14,8 +14,8 @@ catalog = Catalog()
 _REGIONS = f"""{_BLOCKS}, r AS (SELECT doc_id, idx, text, coalesce(last_value(kind IGNORE NULLS) OVER w, 'front') AS region_kind, CASE WHEN last_value(kind IGNORE NULLS) OVER w = 'chapter' THEN last_value(CASE WHEN kind = 'chapter' THEN number END IGNORE NULLS) OVER w END AS chapter_no, kind IS NOT NULL AS starts FROM k WINDOW w AS (PARTITION BY doc_id ORDER BY idx ROWS UNBOUNDED PRECEDING))"""
 
 
-def _works(spark, sf_dir):
-    return S.regions(work_blocks(spark, sf_dir))
+def _works(spark, sf_dir, lines: int | None = None):
+    return S.regions(work_blocks(spark, sf_dir, lines))
 
 
 @catalog.add(
@@ -23,17 +23,17 @@ def _works(spark, sf_dir):
     f"WITH {_REGIONS}, n AS (SELECT DISTINCT doc_id FROM r), w(part) AS (VALUES ('contents'), ('introduction'), ('chapter'), ('conclusion'), ('bibliography')), h AS (SELECT DISTINCT doc_id, region_kind AS part FROM r WHERE starts) SELECT doc_id, 'structure' AS rule, 'error' AS severity, 'missing ' || part AS code FROM n CROSS JOIN w WHERE (doc_id, part) NOT IN (SELECT (doc_id, part) FROM h)",
 )
 def rule_structure(spark, sf_dir):
-    return V.required_structure(_works(spark, sf_dir))
+    return V.required_structure(_works(spark, sf_dir, SQL_LINES))
 
 
 @catalog.add("rule_three_chapters", f"WITH {_REGIONS}, g AS (SELECT doc_id, count(*) FILTER (starts AND region_kind = 'chapter') AS n FROM r GROUP BY doc_id) SELECT doc_id, 'profile' AS rule, 'error' AS severity, 'chapters: ' || n AS code FROM g WHERE n <> 3")
 def rule_three_chapters(spark, sf_dir):
-    return V.three_chapters(_works(spark, sf_dir))
+    return V.three_chapters(_works(spark, sf_dir, SQL_LINES))
 
 
 @catalog.add("rule_chapter_conclusions", f"WITH {_REGIONS}, g AS (SELECT doc_id, count(*) FILTER (starts AND region_kind = 'chapter') AS n FROM r GROUP BY doc_id) SELECT doc_id, 'chapter_conclusions' AS rule, 'warning' AS severity, 'fewer conclusions than chapters' AS code FROM g WHERE n > 0")
 def rule_chapter_conclusions(spark, sf_dir):
-    return V.chapter_conclusions(_works(spark, sf_dir))
+    return V.chapter_conclusions(_works(spark, sf_dir, SQL_LINES))
 
 
 FORMS = ("he", "that", "elle", "ein")
@@ -47,7 +47,7 @@ PHRASES = ("of the", "de la", "und", "que")
     SELECT doc_id, 'pronouns' AS rule, CASE WHEN a > 0 THEN 'error' ELSE 'warning' END AS severity, CASE WHEN a > 0 THEN 'main text' ELSE 'appendix' END AS code FROM g WHERE a > 0 OR b > 0""",
 )
 def rule_pronouns(spark, sf_dir):
-    return V.pronoun_rule(_works(spark, sf_dir), FORMS)
+    return V.pronoun_rule(_works(spark, sf_dir, SQL_LINES), FORMS)
 
 
 _PLAIN = " + ".join(f"(length(lower(text)) - length(replace(lower(text), '{p}', ''))) // {len(p)}" for p in PHRASES)
@@ -58,7 +58,7 @@ _PLAIN = " + ".join(f"(length(lower(text)) - length(replace(lower(text), '{p}',
     f"WITH {_REGIONS}, g AS (SELECT doc_id, sum({_PLAIN})::BIGINT AS n FROM r WHERE region_kind IN ('introduction', 'chapter', 'conclusion') GROUP BY doc_id) SELECT doc_id, 'cliches' AS rule, CASE WHEN n <= 3 THEN 'info' WHEN n <= 8 THEN 'warning' ELSE 'error' END AS severity, n::VARCHAR AS code FROM g WHERE n > 0",
 )
 def rule_cliches(spark, sf_dir):
-    return V.cliche_rule(_works(spark, sf_dir), PHRASES)
+    return V.cliche_rule(_works(spark, sf_dir, SQL_LINES), PHRASES)
 
 
 @catalog.add(
