@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from folioscope.operators import rules as V
@@ -72,9 +73,9 @@ def rule_captions(spark, sf_dir):
     return V.caption_mentions(blocks)
 
 
-def _listed(spark, sf_dir):
-    """Orders as works: lines cite their number, and the list has the numbers of lines with a small quantity."""
-    lines = table(spark, sf_dir, "lineitem").filter("l_orderkey < 3000").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("n"), F.col("l_quantity").alias("q")).groupBy("doc_id", "n").agg(F.max("q").alias("q"))
+def _listed(spark, sf_dir, orders: Column | None = None):
+    """Orders (all, or those chosen) as works: lines cite their number, and the list has the numbers of lines with a small quantity."""
+    lines = table(spark, sf_dir, "lineitem").filter(F.lit(True) if orders is None else orders).select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("n"), F.col("l_quantity").alias("q")).groupBy("doc_id", "n").agg(F.max("q").alias("q"))
     n = F.col("n").cast("string")
     text = lines.select("doc_id", F.col("n").alias("idx"), F.concat(F.lit("Тезис ["), n, F.lit(", с. 5].")).alias("text"), F.lit("chapter").alias("region_kind"))
     listed = lines.filter("q < 30").select("doc_id", (F.col("n") + 100).alias("idx"), F.concat(n, F.lit(". Автор "), F.chr(F.lit(65) + F.col("q").cast("int") % 26), F.lit(". Книга")).alias("text"), F.lit("bibliography").alias("region_kind"))
@@ -83,7 +84,7 @@ def _listed(spark, sf_dir):
 
 @catalog.add("rule_references", "SELECT l_orderkey AS doc_id, 'references' AS rule, 'error' AS severity, 'not listed: ' || l_linenumber AS code FROM lineitem WHERE l_orderkey < 3000 GROUP BY l_orderkey, l_linenumber HAVING max(l_quantity) >= 30")
 def rule_references(spark, sf_dir):
-    return V.cross_references(_listed(spark, sf_dir))
+    return V.cross_references(_listed(spark, sf_dir, F.col("l_orderkey") < 3000))  # as its SQL does
 
 
 @catalog.add("rule_bibliography")
