@@ -1,6 +1,6 @@
 """Byte-level BPE: encoding with character offsets, and decoding.
 
-The tokenizers library does the merges. Texts come in Arrow batches; a text is split at the definition's added tokens, as the library does by default, and then cut at single spaces (which the split pattern never crosses), and each distinct chunk is encoded once per worker: its UTF-8 bytes are mapped to the printable characters that the model's vocabulary is written in, and the model tokenizes each match of the split pattern. A worker's memory of chunks is bounded.
+The tokenizers library does the merges. Texts come as Arrow arrays. Their bytes are cut, for a whole batch at once, before single blanks and around single line ends (which the split pattern never crosses); Arrow's dictionary encoding finds the distinct pieces, and each of them is encoded once per worker: its UTF-8 bytes are mapped to the printable characters that the model's vocabulary is written in, and the model tokenizes each match of the split pattern. The texts' ids are then gathered by piece. A worker's memory of pieces is bounded. Texts that hold one of the definition's added tokens are split there first, as the library does by default.
 """
 
 from __future__ import annotations
@@ -8,7 +8,6 @@ from __future__ import annotations
 import base64
 import json
 import re
-import struct
 
 import numpy as np
 import pyarrow as pa
@@ -19,11 +18,19 @@ from tokenizers import Tokenizer
 
 from folioscope.llm.common import bounded_batches, free_columns, held, map_texts
 
-#: A single space between two other characters: the pattern's matches never cross the place before it.
-_CUT = re.compile(r"(?<=\S) (?=\S)")
 #: Letters below it have long been letters in every version of Unicode.
 _PLAIN = "\u0250"
-_TIGHT = re.compile(r" \s|\s ")
+_WHITE = [*range(9, 14), *range(28, 33)]
+#: Bytes that white space beyond ASCII begins with.
+_WIDE_WHITE = (0xC2, 0xE1, 0xE2, 0xE3)
+_NO_WHITE = np.ones(256, dtype=bool)
+_NO_WHITE[_WHITE] = False
+#: Bytes that certainly begin a character that is no white space.
+_BEGINS = _NO_WHITE.copy()
+_BEGINS[list(_WIDE_WHITE)] = False
+#: Bytes of text that are worked on at once.
+WINDOW = 8 << 20
+_LONG = 64
 
 
 def byte_characters() -> list[str]:
@@ -59,23 +66,36 @@ def tokenizer_json_from_ranks(path: str) -> str:
     return json.dumps({"version": "1.0", "truncation": None, "padding": None, "added_tokens": [], "normalizer": None, "pre_tokenizer": None, "post_processor": None, "decoder": None, "model": model})
 
 
-class _Chunks(dict):
-    """Ids of chunks as little-endian unsigned 32-bit integers; two generations of at most limit chunks each are kept."""
+def piece_starts(raw: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """First bytes of the pieces of texts that stand one behind the other, and begin at starts (ascending).
 
-    def __init__(self, encode, limit: int):
-        super().__init__()
-        self.encode, self.limit, self.old = encode, limit, {}
-
-    def __missing__(self, chunk: str) -> bytes:
-        found = self.old.get(chunk)
-        if found is None:
-            found = self.encode(chunk)
-        if len(self) >= self.limit:
-            self.old = dict(self)
-            self.clear()
-        if len(chunk) <= 64:
-            self[chunk] = found
-        return found
+    A blank or a line end alone between two characters that are no white space ends a piece: the blank begins the next one, the line end is a piece of its own. Where a neighbour may be white space beyond ASCII, nothing is cut.
+    """
+    first = np.zeros(len(raw) + 1, dtype=bool)
+    first[starts] = True
+    out = first.copy()
+    for sign in (32, 10):
+        at = np.nonzero(raw[:-1] == sign)[0]
+        at = at[(at > 0) & ~first[at] & ~first[at + 1]]
+        before = raw[at - 1]
+        two, three = raw[np.maximum(at - 2, 0)], raw[np.maximum(at - 3, 0)]
+        alone = _BEGINS[raw[at + 1]] & np.where(before < 128, _NO_WHITE[before], (two != 0xC2) & ((three < 0xE1) | (three > 0xE3)))
+        out[at[alone]] = True
+        if sign == 10:
+            out[at[alone] + 1] = True
+    return np.nonzero(out[: len(raw)])[0]
+
+
+def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(the bytes of all texts, the places where they begin and the end of the last); null is empty."""
+    texts = texts.fill_null("") if texts.null_count else texts
+    if not len(texts):
+        return np.zeros(0, dtype=np.uint8), np.zeros(1, dtype=np.int64)
+    _, places, data = texts.buffers()
+    kind = "<i8" if pa.types.is_large_string(texts.type) else "<i4"
+    places = np.frombuffer(places, dtype=kind)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    raw = np.frombuffer(data, dtype=np.uint8)[places[0] : places[-1]] if places[-1] > places[0] else np.zeros(0, dtype=np.uint8)
+    return raw, places - places[0]
 
 
 class Codec:
@@ -84,6 +104,7 @@ class Codec:
     def __init__(self, definition: str, pattern: str, limit: int = 250_000):
         self.model = (kept := Tokenizer.from_str(definition)).model
         self._kept = kept
+        self.model._resize_cache(0)  # every piece is asked for once
         characters = byte_characters()
         self.to_characters = dict(enumerate(characters))
         self.find = regex.compile(pattern).findall
@@ -95,33 +116,117 @@ class Codec:
         # the library looks for tokens that aren't normalized first; of several at a place, the longest is taken
         rounds = [sorted((t.content for t in added.values() if t.content and t.normalized == n), key=len, reverse=True) for n in (False, True)]
         self.marks = [re.compile("(" + "|".join(map(re.escape, r)) + ")") for r in rounds if r]
-        self.later = _Chunks(self._later_ids, limit)
-        self.blank = characters[32]
+        self.blank, self.limit = characters[32], limit
+        # place << 32 | number of the ids of each piece known
+        self.pieces: dict[bytes, int] = {}
+        # ids of the pieces, and behind the used ones those that aren't in the array yet
+        self.ids, self.used, self.fresh = np.zeros(1 << 20, dtype=np.uint32), 0, []
         self._bytes = None
 
-    def _ids(self, chunk: str) -> bytes:
-        out: list[int] = []
-        for piece in self.find(chunk):
-            out += [token.id for token in self.model.tokenize(piece.encode().decode("latin-1").translate(self.to_characters))]
-        return struct.pack(f"<{len(out)}I", *out)
-
-    def _later_ids(self, chunk: str) -> bytes:
-        """Of a chunk and the blank before it. A word of letters that every engine takes for letters is one match, and so is a comma or full stop behind it."""
-        if chunk.isalpha() and ((plain := chunk.isascii()) or max(chunk) < _PLAIN):
-            as_bytes = chunk if plain else chunk.encode().decode("latin-1").translate(self.to_characters)
-            out = [token.id for token in self.model.tokenize(self.blank + as_bytes)]
-            return struct.pack(f"<{len(out)}I", *out)
-        if chunk[-1:] in (",", ".") and chunk[:-1].isalpha():
-            return self.later[chunk[:-1]] + self._ids(chunk[-1])
-        return self._ids(" " + chunk)
-
-    def encode_bytes(self, text: str | None) -> bytes:
-        """The ids of a text as little-endian unsigned 32-bit integers; null is empty."""
-        if not text:
-            return b""
-        if any(map(text.__contains__, self.added)):
-            return b"".join(struct.pack("<I", self.added[p]) if token else self._plain_bytes(p) for p, token in self._split(text))
-        return self._plain_bytes(text)
+    def _match(self, text: str) -> list[int]:
+        return [token.id for token in self.model.tokenize(text)]
+
+    def _piece_ids(self, piece: bytes) -> list[int]:
+        """A word of letters that every engine takes for letters is one match with the blank before it, and so is a comma or full stop behind it."""
+        body = piece[1:] if piece[:1] == b" " else piece
+        if body.isalpha():
+            return self._match(piece.decode().replace(" ", self.blank))
+        if not body.isascii() and (text := body.decode()).isalpha() and max(text) < _PLAIN:
+            return self._match(piece.decode("latin-1").translate(self.to_characters))
+        if body[-1:] in (b",", b".") and body[:-1].decode().isalpha():
+            return [*self._known(piece[:-1]), *self._known(piece[-1:])]
+        return [i for match in self.find(piece.decode()) for i in self._match(match.encode().decode("latin-1").translate(self.to_characters))]
+
+    def _known(self, piece: bytes) -> list[int]:
+        code = self.pieces.get(piece)
+        if code is None:
+            code = self._add(piece)
+        at = (code >> 32) - self.used
+        return self.fresh[at : at + (code & 0xFFFFFFFF)] if at >= 0 else self.ids[code >> 32 : (code >> 32) + (code & 0xFFFFFFFF)].tolist()
+
+    def _add(self, piece: bytes) -> int:
+        ids = self._piece_ids(piece)
+        code = self.used + len(self.fresh) << 32 | len(ids)
+        self.fresh += ids
+        if len(piece) <= _LONG:
+            self.pieces[piece] = code
+        return code
+
+    def _settle(self) -> None:
+        """Move fresh ids into the array."""
+        end = self.used + len(self.fresh)
+        if end > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids) // 2, len(self.fresh)), dtype=np.uint32)])
+        self.ids[self.used : end] = self.fresh
+        self.used, self.fresh = end, []
+
+    def _window(self, raw: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids before each text and all in all) of texts that begin at places."""
+        if not len(raw):
+            return np.zeros(0, dtype=np.uint32), np.zeros(len(places), dtype=np.int64)
+        if len(self.pieces) >= self.limit or self.used >= 16 * self.limit:
+            self.pieces.clear()
+            self.ids, self.used = np.zeros(1 << 20, dtype=np.uint32), 0
+        starts = piece_starts(raw, places[:-1])
+        offsets = np.append(starts, len(raw)).astype(np.int32)
+        pieces = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(raw)]).dictionary_encode()
+        _, bounds, data = pieces.dictionary.buffers()
+        bounds, data = np.frombuffer(bounds, dtype="<i4")[: len(pieces.dictionary) + 1].tolist(), data.to_pybytes()
+        distinct = [data[a:b] for a, b in zip(bounds, bounds[1:])]
+        # a piece may have become known as a part of another new one
+        codes = [c if c is not None else k if (k := self.pieces.get(p)) is not None else self._add(p) for p, c in zip(distinct, map(self.pieces.get, distinct))]
+        self._settle()
+        own = np.array(codes, dtype=np.int64)[pieces.indices.to_numpy()]
+        counts = own & 0xFFFFFFFF
+        ends = np.cumsum(counts)
+        ids = self.ids[np.repeat((own >> 32) - ends + counts, counts) + np.arange(ends[-1])]
+        return ids, np.append(0, ends)[np.searchsorted(starts, places)]
+
+    def _long(self, raw: np.ndarray) -> np.ndarray:
+        """The ids of one text, a window of whole pieces at a time."""
+        out, at, size = [], 0, WINDOW
+        while at < len(raw):
+            end = min(at + size, len(raw))
+            if end < len(raw):
+                last = int(piece_starts(raw[at:end], np.zeros(1, dtype=np.int64))[-1])
+                if not last:
+                    size *= 2
+                    continue
+                end = at + last
+            out.append(self._window(raw[at:end], np.array([0, end - at]))[0])
+            at, size = end, WINDOW
+        return np.concatenate(out) if out else np.zeros(0, dtype=np.uint32)
+
+    def _plain(self, raw: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Like _window, for texts of any size without added tokens."""
+        if len(raw) <= WINDOW:
+            return self._window(raw, places)
+        out, counts, at, n = [], [], 0, len(places) - 1
+        while at < n:
+            end = max(int(np.searchsorted(places, places[at] + WINDOW, side="right")) - 1, at + 1)
+            own = raw[places[at] : places[end]]
+            if end == at + 1:
+                out.append(self._long(own))
+                counts.append(np.array([len(out[-1])]))
+            else:
+                ids, before = self._window(own, places[at : end + 1] - places[at])
+                out.append(ids)
+                counts.append(np.diff(before))
+            at = end
+        return np.concatenate(out), np.cumsum(np.concatenate([[0], *counts]))
+
+    def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one behind the other, number of ids before each text and all in all); null is empty."""
+        raw, places = text_bytes(texts)
+        held = raw.tobytes() if self.added else b""
+        if not any(t.encode() in held for t in self.added):
+            return self._plain(raw, places)
+        split = [self._split(t or "") for t in texts.to_pylist()]
+        parts = [p for s in split for p in s]
+        ids, before = self._plain(*text_bytes(pa.array(["" if token else p for p, token in parts], pa.string())))
+        each = [np.array([self.added[p]], dtype=np.uint32) if token else ids[a:b] for (p, token), a, b in zip(parts, before[:-1], before[1:])]
+        counts = np.cumsum([0, *map(len, each)])
+        return np.concatenate([np.zeros(0, dtype=np.uint32), *each]), counts[np.cumsum([0, *map(len, split)])]
 
     def _split(self, text: str) -> list[tuple[str, bool]]:
         """The text's parts, each with whether it is an added token."""
@@ -130,15 +235,8 @@ class Codec:
             parts = [x for p, token in parts for x in ([(p, True)] if token else [(q, k % 2 == 1) for k, q in enumerate(mark.split(p))])]
         return parts
 
-    def _plain_bytes(self, text: str) -> bytes:
-        """The ids of a text, or of a part of one, without added tokens."""
-        if not text:
-            return b""
-        first, *rest = _CUT.split(text) if _TIGHT.search(text) else text.split(" ")
-        return self._ids(first) + b"".join(map(self.later.__getitem__, rest))
-
     def encode(self, text: str | None) -> np.ndarray:
-        return np.frombuffer(self.encode_bytes(text), dtype="<u4")
+        return self.encode_column(pa.array([text], pa.string()))[0]
 
     @property
     def token_bytes(self) -> list[bytes]:
@@ -169,14 +267,13 @@ class Codec:
 
 
 def codec(definition: str, pattern: str, limit: int = 250_000) -> Codec:
-    """One codec in each worker, whatever the number of its tasks; limit bounds its memory of chunks (about 0.2 kB each, two generations)."""
+    """One codec in each worker, whatever the number of its tasks; limit bounds its memory of pieces (about 0.2 kB each; it is emptied when it is full)."""
     return held("codec", (definition, pattern, limit), lambda: Codec(definition, pattern, limit))
 
 
-def int_lists(parts: list[bytes]) -> pa.ListArray:
-    """A list array of ints from each row's little-endian 32-bit integers."""
-    ends = np.cumsum([0, *(len(p) // 4 for p in parts)]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(parts), dtype="<i4")))
+def int_lists(values: np.ndarray, before: np.ndarray) -> pa.ListArray:
+    """A list array of ints; row i has the values from before[i] to before[i + 1]."""
+    return pa.ListArray.from_arrays(pa.array(before.astype(np.int32)), pa.array(values.view("<i4") if values.dtype == np.uint32 else values.astype("<i4")))
 
 
 IDS = T.StructField("ids", T.ArrayType(T.IntegerType(), True))
@@ -194,22 +291,22 @@ def encode(docs: DataFrame, definition: str, pattern: str, text_col: str = "text
     def make():
         own = codec(definition, pattern)
 
-        def work(texts):
-            parts = [own.encode_bytes(t) for t in texts]
-            out = [int_lists(parts)]
+        def work(texts: pa.Array):
+            ids, before = own.encode_column(texts)
+            out = [int_lists(ids, before)]
             if offsets or decoded:
-                ids = [np.frombuffer(p, dtype="<u4") for p in parts]
-                raw = [own.decode_bytes(i) for i in ids]
+                each = [ids[a:b] for a, b in zip(before[:-1], before[1:])]
+                raw = [own.decode_bytes(i) for i in each]
                 if offsets:
-                    both = [own.offsets(i, r) for i, r in zip(ids, raw)]
-                    out += [int_lists([b[k].astype("<i4").tobytes() for b in both]) for k in (0, 1)]
+                    both = [own.offsets(i, r) for i, r in zip(each, raw)]
+                    out += [int_lists(np.concatenate([np.zeros(0, dtype=np.int32), *(b[k] for b in both)]), before) for k in (0, 1)]
                 if decoded:
                     out.append(pa.array(raw, pa.binary()))
             return out
 
         return work
 
-    return map_texts(docs, fields, make, text_col, keep)
+    return map_texts(docs, fields, make, text_col, keep, arrow=True)
 
 
 def decode(df: DataFrame, definition: str, pattern: str, ids_col: str = "ids", out: str = "text") -> DataFrame:

@@ -81,11 +81,11 @@ def bounded_batches(df: DataFrame) -> DataFrame:
 
 
 def map_texts(
-    df: DataFrame, fields: Sequence[T.StructField], make: Callable[[], Callable[[list[str | None]], Sequence[pa.Array]]], text_col: str = "text", keep: Sequence[str] | None = None
+    df: DataFrame, fields: Sequence[T.StructField], make: Callable[[], Callable[[list[str | None]], Sequence[pa.Array]]], text_col: str = "text", keep: Sequence[str] | None = None, arrow: bool = False
 ) -> DataFrame:
     """df's columns (or those in keep) and the fields that a function computes from the text, one Arrow batch at a time.
 
-    make() is called once in each task and returns the function; that gets a batch's texts and returns an array for each field. An input column with a field's name gives way.
+    make() is called once in each task and returns the function; that gets a slice of a batch's texts as a list (with arrow: a whole batch's as an Arrow array) and returns an array for each field. An input column with a field's name gives way.
     """
     names = [f.name for f in fields]
     passed = [c for c in (df.columns if keep is None else keep) if c not in names]
@@ -96,6 +96,10 @@ def map_texts(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
+            if arrow:
+                *rest, texts = batch.columns
+                yield pa.RecordBatch.from_arrays([*rest, *work(texts)], names=schema.names)
+                continue
             for at in range(0, batch.num_rows, SLICE):  # so that what a worker makes of a batch never is in memory as a whole
                 *rest, texts = batch.slice(at, SLICE).columns
                 yield pa.RecordBatch.from_arrays([*rest, *work(texts.to_pylist())], names=schema.names)

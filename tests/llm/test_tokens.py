@@ -58,8 +58,15 @@ def test_blocks_round_trip():
             ids = rng.integers(0, 1 << bits, n, dtype=np.int64).astype(np.uint64)
             if n > 2 and bits > 16:
                 ids[[0, n // 2]] = (1 << 64) - 1  # escapes
-            assert (tokenbin.unpack(tokenbin.pack(ids)) == ids).all()
-    assert len(tokenbin.pack(np.zeros(24_000))) < 1000
+            (payload,) = tokenbin.pack(ids)
+            assert (tokenbin.unpack(payload) == ids).all()
+            # the same ids as documents of several sizes, some of them empty, and as one block of them
+            ends = np.sort(rng.integers(0, n + 1, 5))
+            ends[-1] = n
+            several = tokenbin.pack(ids, ends)
+            assert all((tokenbin.unpack(p) == ids[a:b]).all() for p, a, b in zip(several, [0, *ends], ends))
+            assert (tokenbin.unpack(tokenbin.join([tokenbin.join(several[:2]), *several[2:]])) == ids).all()
+    assert len(tokenbin.pack(np.zeros(24_000, dtype=np.uint64))[0]) < 1000
     with pytest.raises(ValueError):
         tokenbin.unpack(b"nothing of the kind")
 
@@ -67,7 +74,6 @@ def test_blocks_round_trip():
 def test_token_files(spark, tmp_path):
     path = public_tokenizers.path("byte_bpe_50k.json")
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     docs = stored(documents(spark), tmp_path)
     with open(path, encoding="utf-8") as f:
         tokenbin.write_tokens(docs, str(tmp_path / "files"), f.read(), public_tokenizers.PATTERN, 2, block_ids=300)
