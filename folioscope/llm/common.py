@@ -42,24 +42,60 @@ def ascii_lower_col(col: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where that is unset, as in tests."""
+    """The folder that all executors share: spark.checkpoint.dir. Where it is unset, a local session gets a folder of its own, as in tests; a cluster has to name one."""
+    context = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        held = context._jsc.sc().getCheckpointDir()
+        if not held.isDefined() and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = held.get() if held.isDefined() else tempfile.mkdtemp(prefix="folioscope-")
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(found)
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        context.setCheckpointDir(found)
     return found
 
 
-def stored(df: DataFrame, keep: str = "") -> DataFrame:
-    """df written as Parquet in the shared folder and read back: lineage is cut, and any executor can be lost."""
+def step_path(spark: SparkSession, keep: str = "") -> str:
+    """A new place in the shared folder."""
+    return f"{shared_dir(spark).rstrip('/')}/folioscope-{keep or 'step'}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, keep: str = "", path: str | None = None) -> DataFrame:
+    """df written as Parquet in the shared folder (or at path) and read back: lineage is cut, and any executor can be lost."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/folioscope-{keep or 'step'}-{uuid.uuid4().hex}"
+    path = path or step_path(spark, keep)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def removed(spark: SparkSession, path: str | None) -> None:
+    """Delete a step that nothing reads any more."""
+    if path:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+#: Plans whose rows are the same, in the same places, each time they are read.
+_FIXED = {"Project", "LogicalRelation", "SubqueryAlias"}
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df where it only reads files, else df stored: an operator that reads its input twice finds each row in its place again."""
+    todo = [df._jdf.queryExecution().optimizedPlan()]
+    while todo:
+        node = todo.pop()
+        if node.getClass().getSimpleName() not in _FIXED:
+            return stored(df, "input")
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return df
+
+
+def heavy_rows(total: int) -> float:
+    """A key with more rows than this is joined by broadcast: a thousandth of the rows, a million at most. So there are at most a thousand such keys, or one for each million rows."""
+    return min(max(2.0, total / 1000), 1e6)
+
+
 def free_columns(df: DataFrame, names: Sequence[str]) -> DataFrame:
     """df without columns that an operator is about to add; an input column of the same name gives way."""
     return df.drop(*[c for c in df.columns if c in set(names)])

@@ -1,6 +1,6 @@
 """Exact deduplication by two passes over a Bloom filter.
 
-The first pass counts, for each of a row's filter cells, whether a second row hits it, and stores the cells with two hits or more as a bit map of bounded size. The second pass looks each row's cells up in that map: a row with a cell that no other row hits is unique and passes straight through; only the others are shuffled and grouped by the full digest, so the filter's errors never change the result. A filter that is too small for the table lets more rows be shuffled, and nothing else.
+One scan reads the texts, and stores each row's place, id and digest. The first pass over these counts, for each of a row's two filter cells, whether a second row hits it, and keeps the cells with two hits or more as a bit map, sized by the number of rows up to a bound. The second pass looks each row's cells up in that map: a row with a cell that no other row hits is unique and passes straight through; only the others are shuffled and grouped by the full digest, so the filter's errors never change the result. Beyond the bound more rows are shuffled, and nothing else changes.
 """
 
 from __future__ import annotations
@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import ascii_lower_col, free_columns, stored
+from folioscope.llm.common import ascii_lower_col, free_columns, heavy_rows, settled, stored
 
 #: Bits of one map piece, as bitmap_construct_agg makes them.
 PIECE = 32_768
@@ -27,37 +27,56 @@ def repeated_cells(keys: DataFrame, cells: list[str]) -> DataFrame:
     return hit.groupBy(F.expr(f"cell div {PIECE}").alias("piece")).agg(F.expr(f"bitmap_construct_agg(pmod(cell, {PIECE}))").alias("bits"))
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", filter_bits: int = 1 << 27, heavy_share: float = 0.001) -> DataFrame:
+def filter_size(rows: int, most: int) -> int:
+    """Bits for so many rows: sixteen for each row (then some 1.4 % of the unique rows are taken for repeated ones), a multiple of PIECE, most at most."""
+    return max(PIECE, min(most, -(-16 * rows // PIECE) * PIECE))
+
+
+def _seen(rows: DataFrame, digest: str, bits: DataFrame, size: int) -> DataFrame:
+    """rows with __maybe: are both cells of the row's digest hit by two rows or more."""
+    for i, cell in enumerate(_cells(digest, size)):
+        rows = rows.withColumn(f"__c{i}", cell).withColumn("__piece", F.expr(f"__c{i} div {PIECE}"))
+        rows = rows.join(bits.select(F.col("piece").alias("__piece"), F.col("bits").alias(f"__b{i}")), "__piece", "left")
+    return rows.withColumn("__maybe", _bit("__b0", "__c0") & _bit("__b1", "__c1")).drop("__piece", "__b0", "__b1", "__c0", "__c1")
+
+
+def _cells(digest: str, size: int) -> list[Column]:
+    return [F.pmod(F.xxhash64(digest, F.lit(i)), F.lit(size)) for i in (0, 1)]
+
+
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_bits: int = 1 << 30) -> DataFrame:
     """docs with keep_id, group_size, kept and text_sha256; input columns of these names give way.
 
-    Texts are equal when identical after lower-casing A-Z (null counts as empty). Of equal texts the row with the largest id stays (ids compare as they are; null is the smallest); if rows repeat that id too, one of them stays. kept is true in exactly one row of each group. An empty table gives an empty table. docs must be a stored table, since it is read more than once.
+    Texts are equal when identical after lower-casing A-Z (null counts as empty). Of equal texts the row with the largest id stays (ids compare as they are; null is the smallest); if rows repeat that id too, one of them stays. kept is true in exactly one row of each group. An empty table gives an empty table. A table that isn't read from files alone is stored first, since it is read more than once.
 
-    filter_bits bounds what is broadcast (filter_bits / 8 bytes). A text with over heavy_share of all rows is resolved by a broadcast join (at most 1 / heavy_share groups), so no task gets a hot text's rows.
+    most_bits bounds what is broadcast (most_bits / 8 bytes a copy). A text with over a thousandth of all rows, or over a million, is resolved by a broadcast join (of at most a thousand groups, or one for each million rows), so no task gets a hot text's rows.
     """
-    if filter_bits % PIECE or filter_bits <= 0:
-        raise ValueError(f"filter_bits is a multiple of {PIECE}")
-    norm = ascii_lower_col(F.col(text_col).cast("string"))
+    if most_bits % PIECE or most_bits <= 0:
+        raise ValueError(f"most_bits is a multiple of {PIECE}")
+    docs = settled(docs)
     base = free_columns(docs, OUTPUT)
-    df = base.withColumn("__h", F.xxhash64(norm)).withColumns({"__c0": F.pmod("__h", F.lit(filter_bits)), "__c1": F.pmod(F.xxhash64("__h", F.lit(1)), F.lit(filter_bits)), "__row": F.monotonically_increasing_id()})
-    bits = F.broadcast(stored(repeated_cells(df, ["__c0", "__c1"]), "bits"))
-    for i in (0, 1):
-        df = df.withColumn("__piece", F.expr(f"__c{i} div {PIECE}")).join(bits.select(F.col("piece").alias("__piece"), F.col("bits").alias(f"__b{i}")), "__piece", "left")
-    df = df.withColumn("text_sha256", F.sha2(norm.cast("binary"), 256)).withColumn("__maybe", _bit("__b0", "__c0") & _bit("__b1", "__c1")).drop("__piece", "__b0", "__b1", "__c0", "__c1", "__h")
-    maybe = df.filter("__maybe")
-    best = F.max(F.struct(F.col(id_col).alias("id"), F.col("__row").alias("row")))
-    groups = stored(maybe.groupBy("text_sha256").agg(F.count("*").alias("__n"), best.alias("__best")).filter("__n > 1"), "groups")
-    heavy_rows = max(2.0, docs.count() * heavy_share)
-    hot = F.broadcast(groups.filter(F.col("__n") > heavy_rows))
+    digest = F.unhex(F.sha2(ascii_lower_col(F.col(text_col).cast("string")).cast("binary"), 256))
+    place = F.monotonically_increasing_id()
+    rows = stored(docs.select(F.col(id_col).alias("id"), place.alias("row"), digest.alias("digest")), "digests")
+    total = rows.count()
+    size = filter_size(total, most_bits)
+    # cells lie in a map as bits, so it is small: most_bits / 8 bytes at most
+    bits = F.broadcast(stored(repeated_cells(rows.select(*[c.alias(f"c{i}") for i, c in enumerate(_cells("digest", size))]), ["c0", "c1"]), "bits"))
+    best = F.max(F.struct("id", "row"))
+    groups = stored(_seen(rows, "digest", bits, size).filter("__maybe").groupBy("digest").agg(F.count("*").alias("__n"), best.alias("__best")).filter("__n > 1").withColumnRenamed("digest", "__digest"), "groups")
+    heavy = heavy_rows(total)
+    hot = F.broadcast(groups.filter(F.col("__n") > heavy))
     columns = [*base.columns, *OUTPUT]
 
-    def resolved(rows: DataFrame) -> DataFrame:
+    def resolved(found: DataFrame) -> DataFrame:
         """Rows with __n and __best of their group, null for a row that is alone."""
-        return rows.withColumns({"keep_id": F.when(F.col("__n").isNull(), F.col(id_col)).otherwise(F.col("__best.id")), "group_size": F.coalesce("__n", F.lit(1)).cast("long"), "kept": F.coalesce(F.col("__best.row") == F.col("__row"), F.lit(True))}).select(*columns)
+        named = found.withColumns({"keep_id": F.when(F.col("__n").isNull(), F.col(id_col)).otherwise(F.col("__best.id")), "group_size": F.coalesce("__n", F.lit(1)).cast("long"), "kept": F.coalesce(F.col("__best.row") == F.col("__row"), F.lit(True))})
+        return named.withColumn("text_sha256", F.lower(F.hex("__digest"))).select(*columns)
 
     # one scan for the rows that pass straight through or are in a hot group, one for those that are shuffled
-    seen = df.join(hot, "text_sha256", "left")
+    seen = _seen(base.withColumns({"__digest": digest, "__row": place}), "__digest", bits, size).join(hot, "__digest", "left")
     straight = resolved(seen.filter("not __maybe or __n is not null"))
-    shuffled = resolved(seen.filter("__maybe and __n is null").drop("__n", "__best").join(groups.filter(F.col("__n") <= heavy_rows), "text_sha256", "left"))
+    shuffled = resolved(seen.filter("__maybe and __n is null").drop("__n", "__best").join(groups.filter(F.col("__n") <= heavy), "__digest", "left"))
     return straight.unionByName(shuffled)
 
 

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from folioscope.llm import exactdup, sharding
 from folioscope.llm.common import ascii_lower
@@ -72,7 +73,19 @@ def test_native_empty_and_bad(spark):
     with pytest.raises(ValueError):
         sharding.ShardTree((((0.0,),),))
     with pytest.raises(ValueError):
-        exactdup.exact_groups(empty(spark), filter_bits=100)
+        exactdup.exact_groups(empty(spark), most_bits=100)
+
+
+def test_filter_grows_with_the_rows(spark, tmp_path):
+    """The share of rows that the filter lets through stays near the share of repeats at ten times the rows."""
+    for n in (20_000, 200_000):
+        rows = spark.range(n).select((F.col("id") - F.when(F.col("id") % 10 == 0, F.col("id") % 20).otherwise(0)).cast("string").alias("t"))
+        size = exactdup.filter_size(n, 1 << 30)
+        keys = rows.select(F.unhex(F.sha2("t", 256)).alias("digest"))
+        bits = exactdup.repeated_cells(keys.select(*[c.alias(f"c{i}") for i, c in enumerate(exactdup._cells("digest", size))]), ["c0", "c1"])
+        share = exactdup._seen(keys, "digest", bits, size).filter("__maybe").count() / n
+        assert 0.1 <= share < 0.13
+    assert exactdup.filter_size(10**12, 1 << 30) == 1 << 30
 
 
 @pytest.mark.parametrize("bits", [1 << 15, 1 << 27])
@@ -83,7 +96,7 @@ def test_exact_groups(spark, tmp_path, bits):
     groups = defaultdict(list)
     for r in docs.collect():
         groups[ascii_lower(r.text or "")].append(r.doc_id)
-    rows = exactdup.exact_groups(docs, filter_bits=bits).collect()
+    rows = exactdup.exact_groups(docs, most_bits=bits).collect()
     assert len(rows) == docs.count()
     kept = Counter()
     for r in rows:
