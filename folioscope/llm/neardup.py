@@ -1,6 +1,6 @@
 """Near duplicates by ProbMinHash, banding and verification.
 
-Texts that are equal after lower-casing A-Z are one node. Each node's set of shingles of five words gets a ProbMinHash signature: elements arrive by Poisson processes, with early termination, and slots agree as often as the probability Jaccard says, which for equal weights is the Jaccard similarity of the sets, whatever the shingles' counts. Nodes that agree on all slots of a band are in one bucket. In each bucket, all pairs whose sizes allow a link are verified on their whole shingle sets; as classes are connected components, a pair that verified links have already joined is skipped. A pair is looked at in its first common band only.
+Texts that are equal after lower-casing A-Z are one node. A node is a set of shingles of five words, each weighted by 1 + ln(its count). ProbMinHash signs it: elements arrive by Poisson processes whose rates are the weights, with early termination, and slots agree as often as the probability Jaccard says. Two nodes are linked if their probability Jaccard is 0.8 or more, with these weights or with equal ones (which is the Jaccard similarity of the sets). So a text that repeats shingles has two signatures, one for either; for all others they are the same one. Nodes that agree on all slots of a band, in either signature, are in one bucket. In each bucket, pairs are verified by the exact similarities of their whole sets; as classes are connected components, a pair that verified links have already joined is skipped. A pair is looked at in its first common band only.
 
 A bucket is dealt into blocks of bounded size, and each two blocks are compared in a task of their own; so no task holds a whole bucket, no pair is written unless it is a verified link, and nothing is capped. Components are found by large-star and small-star steps on stored tables.
 """
@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioscope.llm.common import _WORD_BYTES, ascii_lower_col, bounded_batches, free_columns, held, map_texts, stored
+from folioscope.llm.common import _WORD_BYTES, ascii_lower_col, bounded_batches, free_columns, heavy_rows, held, map_texts, removed, settled, step_path, stored
 
 OUTPUT = ("class_id", "class_size", "kept")
 
@@ -127,24 +127,37 @@ class Signer:
         if own:
             yield own
 
-    def sets(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """For each text (signature, ascending distinct shingle hashes); the signature is empty where there are no words."""
+    def sets(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For each text (keys of its bands, ascending distinct shingle hashes, their counts); no keys where there are no words, and twice as many where shingles are repeated."""
         held("signatures", None, lambda: None)
         for chunk in self._chunks(texts):
-            doc, element, _, _ = shingles(chunk, self.words)
-            signature = prob_minhash(doc, element, np.ones(len(doc)), len(chunk), self.bands * self.rows)
-            ends = np.searchsorted(doc, np.arange(len(chunk) + 1))
+            doc, element, count, _ = shingles(chunk, self.words)
+            slots = self.bands * self.rows
+            plain = self.keys(prob_minhash(doc, element, np.ones(len(doc)), len(chunk), slots))
+            repeats = np.zeros(len(chunk), dtype=bool)
+            repeats[doc[count > 1]] = True
+            some = np.nonzero(repeats)[0]
+            own = repeats[doc]
+            weighted = self.keys(prob_minhash(np.searchsorted(some, doc[own]), element[own], weights(count[own]), len(some), slots))
+            ends, at = np.searchsorted(doc, np.arange(len(chunk) + 1)), 0
             for i in range(len(chunk)):
-                yield signature[i] if ends[i] < ends[i + 1] else signature[i, :0], element[ends[i] : ends[i + 1]]
-
-    def keys(self, signature: np.ndarray) -> np.ndarray:
-        """A long for each band: the band's number above a hash of its slots."""
-        if not len(signature):
-            return np.zeros(0, dtype=np.int64)
-        out = np.arange(self.bands, dtype=np.uint64)
+                keys = plain[i] if ends[i] < ends[i + 1] else plain[i, :0]
+                if repeats[i]:
+                    keys, at = np.concatenate([keys, weighted[at]]), at + 1
+                yield keys, element[ends[i] : ends[i + 1]], count[ends[i] : ends[i + 1]]
+
+    def keys(self, signatures: np.ndarray) -> np.ndarray:
+        """A long for each band of each signature: the band's number above a hash of its slots."""
+        band = np.arange(self.bands, dtype=np.uint64)
+        out = np.tile(band, (len(signatures), 1))
         for k in range(self.rows):
-            out = mix(out * _U(31) + signature[k :: self.rows])
-        return ((np.arange(self.bands, dtype=np.uint64) << _U(57)) | (out >> _U(7))).astype(np.int64)
+            out = mix(out * _U(31) + signatures[:, k :: self.rows])
+        return ((band << _U(57)) | (out >> _U(7))).astype(np.int64)
+
+
+def weights(count: np.ndarray) -> np.ndarray:
+    """Of shingles, by how often a text holds them."""
+    return 1.0 + np.log(count)
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -156,6 +169,33 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
+def probability_jaccard(a: np.ndarray, x: np.ndarray, b: np.ndarray, y: np.ndarray) -> float:
+    """Of two ascending sets with weights: the sum, over what both hold, of 1 / (sum over all elements j of max(x_j / x_i, y_j / y_i)).
+
+    With r = x_i / y_i the inner sum is that of x_j where x_j / y_j >= r, and of r y_j elsewhere, by x_i; ordered by x_j / y_j, these are running sums.
+    """
+    every = np.union1d(a, b)
+    u, v = np.zeros(len(every)), np.zeros(len(every))
+    u[np.searchsorted(every, a)], v[np.searchsorted(every, b)] = x, y
+    ratio = np.divide(u, v, out=np.full(len(every), np.inf), where=v > 0)
+    order = np.argsort(ratio, kind="stable")
+    ratio, u, v = ratio[order], u[order], v[order]
+    above = np.append(np.cumsum(u[::-1])[::-1], 0.0)
+    below = np.append(0.0, np.cumsum(v))
+    both = (u > 0) & (v > 0)
+    first = np.searchsorted(ratio, ratio[both], side="left")
+    return float((u[both] / (above[first] + ratio[both] * below[first])).sum())
+
+
+def linked(a: np.ndarray, m: np.ndarray, b: np.ndarray, n: np.ndarray, similar: float) -> bool:
+    """Whether two sets with the counts m and n (empty: all 1) are similar, by equal weights or by those of the counts."""
+    if jaccard(a, b) >= similar:
+        return True
+    if not len(m) and not len(n):
+        return False
+    return probability_jaccard(a, weights(m) if len(m) else np.ones(len(a)), b, weights(n) if len(n) else np.ones(len(b))) >= similar
+
+
 class Joined:
     """Disjoint sets of places."""
 
@@ -174,19 +214,23 @@ class Joined:
         return i != j
 
 
-def links(nodes: list[bytes], keys: np.ndarray, sets: list[bytes], block: np.ndarray, band: int, similar: float) -> list[tuple[bytes, bytes]]:
-    """Verified links that join all similar nodes of one tile: pairs whose first common band is this one, likeliest first, without those that links found before have joined. keys holds each node's bands. block tells the tile's two blocks apart (all 0: one block); pairs of a tile with two are across them.
+def links(nodes: list[bytes], keys: list[bytes], sets: list[bytes], counts: list[bytes], block: np.ndarray, bands: int, band: int, similar: float) -> list[tuple[bytes, bytes]]:
+    """Verified links that join all similar nodes of one tile: pairs whose first common band is this one, likeliest first, without those that links found before have joined. keys holds the bands of each node's signature or signatures, counts the shingles' counts (empty: all 1). block tells the tile's two blocks apart (all 0: one block); pairs of a tile with two are across them.
 
-    The smaller set's size is at most the union's times the similarity, so pairs whose sizes differ by more are no links.
+    Where neither text repeats a shingle, the smaller set's size is at most the union's times the similarity, so pairs whose sizes differ by more are no links.
     """
     n = len(nodes)
     across = block.min() != block.max()
+    own = np.stack([np.resize(np.frombuffer(k, dtype="<i8"), 2 * bands) for k in keys]).reshape(n, 2, bands)
+    double = np.array([len(c) > 0 for c in counts])
     sizes = np.array([len(s) // 8 for s in sets])
     rates, lefts, rights = [], [], []
     for i in range(n - 1):
-        equal = keys[i + 1 :] == keys[i]
+        equal = own[i + 1 :, 0] == own[i, 0]
+        if double.any():
+            equal |= (own[i + 1 :, 1] == own[i, 0]) | (own[i + 1 :, 0] == own[i, 1]) | (own[i + 1 :, 1] == own[i, 1])
         good = equal[:, band] & ~equal[:, :band].any(axis=1)
-        good &= np.minimum(sizes[i + 1 :], sizes[i]) >= similar * np.maximum(sizes[i + 1 :], sizes[i])
+        good &= (np.minimum(sizes[i + 1 :], sizes[i]) >= similar * np.maximum(sizes[i + 1 :], sizes[i])) | double[i + 1 :] | double[i]
         if across:
             good &= block[i + 1 :] != block[i]
         right = np.nonzero(good)[0]
@@ -203,8 +247,8 @@ def links(nodes: list[bytes], keys: np.ndarray, sets: list[bytes], block: np.nda
         for i, j in zip(i[apart].tolist(), j[apart].tolist()):
             if joined.root(i) == joined.root(j) or nodes[i] == nodes[j]:
                 continue
-            a, b = (arrays.setdefault(k, np.frombuffer(sets[k], dtype="<u8")) for k in (i, j))
-            if jaccard(a, b) >= similar:
+            (a, m), (b, k) = (arrays.setdefault(x, (np.frombuffer(sets[x], dtype="<u8"), np.frombuffer(counts[x], dtype="<u4"))) for x in (i, j))
+            if linked(a, m, b, k, similar):
                 joined.join(i, j)
                 out.append((min(nodes[i], nodes[j]), max(nodes[i], nodes[j])))
     return out
@@ -217,36 +261,39 @@ def _node(text: Column) -> Column:
 LINK = T.StructType([T.StructField("u", T.BinaryType()), T.StructField("v", T.BinaryType())])
 
 
-def verified_links(base: DataFrame, nodes: DataFrame, signer: Signer, similar: float, tile: int, broadcast_rows: int) -> DataFrame:
-    """(u, v): links between nodes. base has node, id, row and text; nodes has node, best (id and row of the node's own row) and bands."""
-    each = nodes.select("node", F.explode("bands").alias("key"))
-    buckets = each.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.sum(F.xxhash64("node", F.lit(1)).cast("decimal(20,0)")).alias("s")).filter("n > 1")
+def verified_links(base: DataFrame, nodes: DataFrame, signer: Signer, similar: float, tile: int, tile_bytes: int, broadcast_rows: int) -> DataFrame:
+    """(u, v): links between nodes. base has row and text; nodes has node, best (id and row of the node's own row), bands and size (number of shingles)."""
+    each = nodes.select("node", "size", F.explode(F.array_distinct("bands")).alias("key"))
+    buckets = each.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("shingles"), F.bit_xor(F.xxhash64("node")).alias("x"), F.sum(F.xxhash64("node", F.lit(1)).cast("decimal(20,0)")).alias("s")).filter("n > 1")
     # buckets of equal members say the same; the one of the first band stays
-    kept = buckets.groupBy("n", "x", "s").agg(F.min("key").alias("key")).select("key", "n")
-    members = stored(each.join(kept, "key"), "members")
+    kept = buckets.groupBy("n", "x", "s").agg(F.min(F.struct("key", "shingles")).alias("k")).select("k.key", "n", "k.shingles")
+    # a block's rows grow with the square root of the bucket's, so both a tile and the copies of a row do; a block of long texts has fewer
+    rows_each = F.greatest(F.lit(tile), F.ceil(8 * F.sqrt("n")))
+    blocks = F.greatest(F.ceil(F.col("n") / rows_each), F.ceil(12 * F.col("shingles") / F.lit(tile_bytes))).cast("int")
+    members = stored(each.drop("size").join(kept.select("key", blocks.alias("blocks")), "key"), "members")
     wanted = members.select("node").distinct().join(nodes.select("node", "best"), "node")
-    wanted = stored(wanted.select(F.col("node").alias("w"), F.col("best.id").alias("wid"), F.col("best.row").alias("wrow")), "wanted")
-    side = F.broadcast(wanted) if wanted.count() <= broadcast_rows else wanted
-    texts = base.join(side, (F.col("node") == F.col("w")) & F.col("id").eqNullSafe(F.col("wid")) & (F.col("row") == F.col("wrow")), "left_semi")
-    fields = [T.StructField("bands", T.BinaryType()), T.StructField("shingles", T.BinaryType())]
+    wanted = stored(wanted.select("node", F.col("best.row").alias("row")), "wanted")
+    # a row's place is its own, so this join has no hot key
+    texts = base.select("row", "text").join(F.broadcast(wanted) if wanted.count() <= broadcast_rows else wanted, "row").select("node", "text")
+    fields = [T.StructField(n, T.BinaryType()) for n in ("bands", "shingles", "counts")]
 
     def make():
         def work(batch):
-            both = [(signer.keys(s).astype("<i8").tobytes(), e.astype("<u8").tobytes()) for s, e in signer.sets(batch)]
-            return [pa.array([b[k] for b in both], pa.binary()) for k in (0, 1)]
+            found = [(k.astype("<i8").tobytes(), e.astype("<u8").tobytes(), c.astype("<u4").tobytes() if (c > 1).any() else b"") for k, e, c in signer.sets(batch)]
+            return [pa.array([f[k] for f in found], pa.binary()) for k in range(3)]
 
         return work
 
     sets = map_texts(texts, fields, make, "text", ["node"])
-    blocks = F.ceil(F.col("n") / F.lit(tile)).cast("int")
-    rows = members.join(sets, "node").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node", F.lit(2)), F.col("blocks")).cast("int"))
+    rows = members.join(sets, "node").withColumn("block", F.pmod(F.xxhash64("node", F.lit(2)), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    tiled = rows.select("key", "node", "bands", "shingles", "block", other)
-    tiled = tiled.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "bands", "shingles")
+    tiled = rows.select("key", "node", "bands", "shingles", "counts", "block", other)
+    tiled = tiled.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "bands", "shingles", "counts")
     dealt = tiled.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
+    bands = signer.bands
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: list[list] = [[], [], [], []]
+        own: list[list] = [[], [], [], [], []]
         at = None
 
         def out(found):
@@ -255,17 +302,17 @@ def verified_links(base: DataFrame, nodes: DataFrame, signer: Signer, similar: f
         def done():
             if len(own[0]) < 2:
                 return []
-            keys = np.frombuffer(b"".join(own[1]), dtype="<i8").reshape(len(own[0]), -1)
-            return links(own[0], keys, own[2], np.array(own[3]), at[0] >> 57, similar)
+            node, band, shingle, count, block = own
+            return links(node, band, shingle, count, np.array(block), bands, at[0] >> 57, similar)
 
         for batch in batches:
             found = []
-            key, low, high, block, node, bands, shingle = (c.to_pylist() for c in batch.columns)
+            key, low, high, block, node, band, shingle, count = (c.to_pylist() for c in batch.columns)
             for i, tile_key in enumerate(zip(key, low, high)):
                 if tile_key != at:
                     found += done() if at else []
-                    own, at = [[], [], [], []], tile_key
-                for k, column in enumerate((node, bands, shingle, block)):
+                    own, at = [[], [], [], [], []], tile_key
+                for k, column in enumerate((node, band, shingle, count, block)):
                     own[k].append(column[i])
             if found:
                 yield out(found)
@@ -280,7 +327,9 @@ def components(edges: DataFrame) -> DataFrame:
 
     Large-star and small-star steps until nothing changes; each step is stored, so lineage stays short.
     """
-    edges = stored(edges.filter("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "edges")
+    spark = edges.sparkSession
+    path = step_path(spark, "edges")
+    edges = stored(edges.filter("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), path=path)
     state = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -290,40 +339,53 @@ def components(edges: DataFrame) -> DataFrame:
         lowest = down.groupBy("high").agg(F.min("low").alias("m"))
         pairs = down.join(lowest, "high")
         small = pairs.select(F.col("m").alias("u"), F.col("low").alias("v")).unionByName(pairs.select(F.col("m").alias("u"), F.col("high").alias("v"))).filter("u <> v").distinct()
-        edges = stored(small, "edges")
+        old, path = path, step_path(spark, "edges")
+        edges = stored(small, path=path)
+        removed(spark, old)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if tuple(now) == state:
             return edges.select(F.col("v").alias("node"), F.col("u").alias("root"))
         state = tuple(now)
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = 0.8, words: int = 5, bands: int = 20, rows: int = 5, tile: int = 1024, broadcast_rows: int = 1 << 20) -> DataFrame:
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = 0.8, words: int = 5, bands: int = 20, rows: int = 5, tile: int = 256, tile_bytes: int = 32 << 20, broadcast_rows: int = 1 << 20) -> DataFrame:
     """docs with class_id, class_size and kept; input columns of these names give way.
 
-    A class is a connected component of texts whose sets of shingles (of words words; a text of fewer words, but not none, is one shingle) have a Jaccard similarity of similar or more, or that are equal after lower-casing A-Z (null counts as empty); texts without words are linked to equal texts only. class_id is the smallest id of the class (null is the smallest), class_size its number of rows; kept is true in exactly one row of each class, one with that id. Whole texts are read. An empty table gives an empty table. docs must be a stored table, since it is read more than once.
+    A class is a connected component of texts whose shingles (of words words; a text of fewer words, but not none, is one shingle) have a probability Jaccard of similar or more, weighted by 1 + ln(count) or equally (the Jaccard similarity of the sets), or that are equal after lower-casing A-Z (null counts as empty); texts without words are linked to equal texts only. class_id is the smallest id of the class (null is the smallest), class_size its number of rows; kept is true in exactly one row of each class, one with that id. Whole texts are read. An empty table gives an empty table. A table that isn't read from files alone is stored first, since it is read more than once.
 
-    Candidates: pairs that agree on a band of rows slots; with the standard 20 bands of 5, a pair of similarity 0.8 does so with a probability of 0.9996, however often each text repeats its shingles.
+    Candidates: pairs that agree on a band of rows slots, in the signature of either weighting; with the standard 20 bands of 5, a pair of similarity 0.8 does so with a probability of 0.9996, however often each text repeats its shingles.
     """
+    docs = settled(docs)
     base = free_columns(docs, OUTPUT)
     signer = Signer(words, bands, rows)
-    narrow = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), _node(F.col(text_col)).alias("node"), F.col(text_col).cast("string").alias("text"))
+    place = F.monotonically_increasing_id()
+    narrow = docs.select(F.col(id_col).alias("id"), place.alias("row"), _node(F.col(text_col)).alias("node"), F.col(text_col).cast("string").alias("text"))
 
     def make():
         def work(batch):
-            keys = [signer.keys(s) for s, _ in signer.sets(batch)]
-            return [pa.array(keys, pa.list_(pa.int64()))]
+            found = [(k, len(e)) for k, e, _ in signer.sets(batch)]
+            return [pa.array([k for k, _ in found], pa.list_(pa.int64())), pa.array([n for _, n in found], pa.int64())]
 
         return work
 
-    signed = map_texts(narrow, [T.StructField("bands", T.ArrayType(T.LongType(), True))], make, "text", ["id", "row", "node"])
-    nodes = stored(signed.groupBy("node").agg(F.min(F.struct("id", "row")).alias("best"), F.count("*").alias("copies"), F.first("bands").alias("bands")), "nodes")
-    roots = components(verified_links(narrow, nodes, signer, similar, tile, broadcast_rows))
+    fields = [T.StructField("bands", T.ArrayType(T.LongType(), True)), T.StructField("size", T.LongType())]
+    signed = map_texts(narrow, fields, make, "text", ["id", "row", "node"])
+    nodes = stored(signed.groupBy("node").agg(F.min(F.struct("id", "row")).alias("best"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.first("size").alias("size")), "nodes")
+    texts = docs.select(place.alias("row"), F.col(text_col).cast("string").alias("text"))
+    roots = components(verified_links(texts, nodes, signer, similar, tile, tile_bytes, broadcast_rows))
     rooted = nodes.select("node", "best", "copies").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    classes = rooted.groupBy("root").agg(F.min("best").alias("__best"), F.sum("copies").alias("__size"), F.count("*").alias("__nodes"))
+    classes = rooted.groupBy("root").agg(F.min("best").alias("__best"), F.sum("copies").alias("__size"))
     # nodes of one row are their own class; only the others are looked up
-    several = rooted.select(F.col("node").alias("__node"), "root").join(classes.filter("__size > 1"), "root").select("__node", "__best", "__size")
-    out = base.withColumns({"__row": F.monotonically_increasing_id(), "__node": _node(docs[text_col])}).join(several, "__node", "left")
-    out = out.withColumns({"class_id": F.when(F.col("__size").isNull(), F.col(id_col)).otherwise(F.col("__best.id")), "class_size": F.coalesce("__size", F.lit(1)).cast("long"), "kept": F.coalesce(F.col("__best.row") == F.col("__row"), F.lit(True))})
+    several = stored(rooted.select(F.col("node").alias("__node"), "root", "copies").join(classes.filter("__size > 1"), "root").select("__node", "copies", "__best", "__size"), "classes")
+    heavy = heavy_rows(nodes.agg(F.sum("copies")).first()[0] or 0)
+    hot = F.broadcast(several.filter(F.col("copies") > heavy).select("__node", F.col("__best").alias("__hot_best"), F.col("__size").alias("__hot_size")))
+    rest = several.filter(F.col("copies") <= heavy).select(F.col("__node").alias("__key"), F.lit(False).alias("__hot"), "__best", "__size")
+    out = base.withColumns({"__row": place, "__node": _node(docs[text_col])}).join(hot, "__node", "left")
+    # rows of a hot text have their answer, and are dealt out by their places
+    is_hot = F.col("__hot_size").isNotNull()
+    out = out.withColumns({"__hot": is_hot, "__key": F.when(is_hot, F.col("__row").cast("string").cast("binary")).otherwise(F.col("__node"))}).join(rest, ["__key", "__hot"], "left")
+    best, size = F.coalesce("__hot_best", "__best"), F.coalesce("__hot_size", "__size")
+    out = out.withColumns({"class_id": F.when(size.isNull(), F.col(id_col)).otherwise(best["id"]), "class_size": F.coalesce(size, F.lit(1)).cast("long"), "kept": F.coalesce(best["row"] == F.col("__row"), F.lit(True))})
     return out.select(*base.columns, *OUTPUT)
 
 

@@ -1,18 +1,37 @@
 """Near duplicates against all pairs, and the signature's law."""
 
+import math
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from folioscope.llm import neardup
 from folioscope.llm.common import ascii_lower, words_of
 from tests.llm.data import SCHEMA, documents, empty, stored, words
 
 
-def shingle_set(text):
+def shingle_counts(text):
     w = words_of(text)
-    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    return Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else Counter()
+
+
+def shingle_set(text):
+    return set(shingle_counts(text))
+
+
+def exact_probability_jaccard(a, b):
+    return sum(1 / sum(max(a.get(e, 0) / a[d], b.get(e, 0) / b[d]) for e in a.keys() | b.keys()) for d in a.keys() & b.keys())
+
+
+def similar(a, b):
+    """Of two counters: the Jaccard similarity of the sets, or the probability Jaccard with weights 1 + ln(count)."""
+    if len(a.keys() & b.keys()) >= 0.8 * len(a.keys() | b.keys()):
+        return True
+    if max(*a.values(), *b.values()) == 1:
+        return False
+    return exact_probability_jaccard(*({k: 1 + math.log(n) for k, n in x.items()} for x in (a, b))) >= 0.8
 
 
 def classes(rows):
@@ -20,7 +39,7 @@ def classes(rows):
     nodes = defaultdict(list)
     for i, t in rows:
         nodes[ascii_lower(t or "")].append(i)
-    names, sets = list(nodes), [shingle_set(n) for n in nodes]
+    names, sets = list(nodes), [shingle_counts(n) for n in nodes]
     up = list(range(len(names)))
 
     def root(x):
@@ -30,7 +49,7 @@ def classes(rows):
 
     for a in range(len(names)):
         for b in range(a):
-            if sets[a] and sets[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+            if sets[a] and sets[b] and not sets[a].keys().isdisjoint(sets[b]) and similar(sets[a], sets[b]):
                 up[root(a)] = root(b)
     members = defaultdict(list)
     for k, n in enumerate(names):
@@ -78,10 +97,10 @@ def test_one_group_of_a_third(spark, tmp_path):
 
 
 def test_repeated_passages(spark, tmp_path):
-    """Links are between sets, however often each text repeats a passage."""
+    """Texts whose sets are similar are linked, however often either repeats a passage."""
     rng = random.Random(6)
     rows = []
-    for times in (50, 200):
+    for times in (5, 50, 500):
         for share in (0.2, 0.3):
             for changed in (0, 3):
                 for _ in range(6):
@@ -97,6 +116,36 @@ def test_repeated_passages(spark, tmp_path):
     assert all((r.class_id, r.class_size) == want[r.text] for r in neardup.near_groups(docs).collect())
 
 
+def test_weighted_links(spark, tmp_path):
+    """Texts that are alike by their weights alone: a passage of both, repeated, outweighs what only one has."""
+    rng = random.Random(9)
+    rows = []
+    for _ in range(30):
+        passage = words(rng, 40)
+        rows += [(len(rows) + k, " ".join([passage] * 60 + [words(rng, extra)]), *[None] * 18) for k, extra in enumerate((11, 12))]
+    want = classes([(r[0], r[1]) for r in rows])
+    sets = [shingle_set(r[1]) for r in rows]
+    assert all(len(a & b) < 0.8 * len(a | b) for a, b in zip(sets[::2], sets[1::2])) and {n for _, n in want.values()} == {2}
+    docs = stored(spark.createDataFrame(rows, SCHEMA), tmp_path)
+    assert all((r.class_id, r.class_size) == want[r.text] for r in neardup.near_groups(docs).collect())
+
+
+def test_probability_jaccard():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        a, b = ({int(k): float(rng.integers(1, 5)) for k in rng.integers(1, 40, rng.integers(1, 30))} for _ in range(2))
+        arrays = [(np.array(sorted(x), dtype=np.uint64), np.array([x[k] for k in sorted(x)])) for x in (a, b)]
+        assert abs(neardup.probability_jaccard(*arrays[0], *arrays[1]) - exact_probability_jaccard(a, b)) < 1e-9
+
+
+def test_not_from_files(spark):
+    """A table whose rows come in another order at each reading."""
+    rows = [(i, f"one two three four five six {i % 7}", *[None] * 18) for i in range(60)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(5).withColumn("lang", F.rand().cast("string"))
+    found = neardup.near_groups(docs).collect()
+    assert sum(r.kept for r in found) == len({r.class_id for r in found})
+
+
 def test_empty(spark):
     assert neardup.near_groups(empty(spark)).count() == 0
 
