@@ -77,10 +77,10 @@ def place(df: DataFrame, tree: ShardTree, key: Column, out: str) -> DataFrame:
     return df.withColumn(out, _choose(F.col(r), leaves).cast("int")).drop(r, k)
 
 
-def shard(docs: DataFrame, tree: ShardTree, grow: float | None = 1.0, id_col: str = "doc_id", text_col: str = "text", runs: int = 64) -> DataFrame:
+def shard(docs: DataFrame, tree: ShardTree, grow: float | None = 1.0, id_col: str = "doc_id", text_col: str = "text", run_rows: int = 500_000) -> DataFrame:
     """docs with size, text_crc32, law, shard, slot and grown_shard; input columns of these names give way, all others stay.
 
-    Size is the text's UTF-8 bytes (null: 0) plus 8. The shard depends on the id and the tree only (a null id is a key like any other). Slots are gapless from 0 in each shard: a shard's rows are numbered in runs (by a hash of id and text), and runs are put one behind the other, so that no task holds a whole shard; rows that repeat id and text get neighbouring slots in any order. grown_shard is the shard after tree.grown(grow), or null where grow is None. An empty table gives an empty table.
+    Size is the text's UTF-8 bytes (null: 0) plus 8. The shard depends on the id and the tree only (a null id is a key like any other). Slots are gapless from 0 in each shard: a shard's rows are numbered in runs (by a hash of id and text; of about run_rows rows, but 64 runs at least), and runs are put one behind the other, so that no task holds a whole shard; rows that repeat id and text get neighbouring slots in any order. grown_shard is the shard after tree.grown(grow), or null where grow is None. An empty table gives an empty table.
     """
     key = F.col(id_col).cast("string")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -91,9 +91,10 @@ def shard(docs: DataFrame, tree: ShardTree, grow: float | None = 1.0, id_col: st
     else:
         old = F.array_min(F.array(*[_draw(key, f"r{i}", sum(map(sum, racks))) for i, racks in enumerate(tree.regions)]))
         df = df.withColumn("grown_shard", F.when(_draw(key, f"r{len(tree.regions)}", grow) < old, F.lit(tree.size)).otherwise(F.col("shard")))
+    runs = max(64, -(-docs.count() // (tree.size * run_rows)))
     df = df.withColumn("__run", F.pmod(F.xxhash64(key, F.col("text_crc32")), F.lit(runs)).cast("int"))
     by_shard = Window.partitionBy("shard").orderBy("__run").rowsBetween(Window.unboundedPreceding, -1)
-    # tree.size * runs rows at most, whatever the table's size
+    # a row for each run: 64 for each shard, or one for every run_rows rows of the table
     starts = df.groupBy("shard", "__run").agg(F.count("*").alias("__n")).select("shard", "__run", F.coalesce(F.sum("__n").over(by_shard), F.lit(0)).alias("__start"))
     own = Window.partitionBy("shard", "__run").orderBy(key, "text_crc32", "size")
     numbered = df.withColumn("__rank", F.row_number().over(own)).join(F.broadcast(starts), ["shard", "__run"])
