@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from folioscope.queries import audit, projects, records, registry, rules, style
+from folioscope.queries import audit, finals, projects, records, registry, rules, style
 from folioscope.queries.common import Query
 
-THEMES = (style, registry, records, audit, rules, projects)
+THEMES = (style, registry, records, audit, rules, projects, finals)
 
 
 def queries() -> dict[str, Query]:

@@ -1,90 +1,121 @@
 """Citations in brackets: two grammars, resolution, rewriting to numbers and back.
 
-The strict grammar (drafts) knows @ids and numbers and drops a bracket with any part that is no citation; the lenient one (finished texts) takes what numbers it finds. They are kept apart on purpose.
+The strict grammar (drafts) knows @ids and numbers and drops a bracket with any part that is no citation; the lenient one (finished texts) takes what numbers it finds. They are kept apart on purpose. Reading a bracket is a sequential parse, so it is done by Arrow functions; most brackets come again and again, and are remembered.
 """
 
 from __future__ import annotations
 
+import re
+from functools import lru_cache
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from folioscope.functions import text as X
 
-#: What may stand before a reference, and what may follow it as a locator.
+#: What may stand before a reference, the reference, and what may follow it as a locator.
 PREFIX = r"(?:(?:Цит\.\s*по(?:\s*(?:кн|ст)\.)?|[СсCc]м\.|[Сс]р\.)\s*:?\s*)?"
 ID = r"@([A-Za-z0-9_](?:[A-Za-z0-9_.:\-]*[A-Za-z0-9_])?)"
 NUMBER = r"([1-9]\d{0,2})(?:\s*[–—-]\s*([1-9]\d{0,2}))?"
-LOCATOR = r"^\s*,\s*(?:[сСcCpP]{1,2}\.|стр\.|[тТ]\.|[гГ]л\.|разд\.|[рР]ис\.|[тТ]абл\.|[чЧ]\.|[сС]т\.|§|[vV]ol\.|[nN]o\.|pp?\.|[сС]\s*\d)"
-LENIENT_PREFIX = r"(?iu)^\s*(?:цит\.?\s*по(?:\s*(?:кн|ст)\.?)?|см\.?(?:\s*также)?|ср\.?|подробнее\s+см\.?|cit\.?\s*(?:by|from|in)?|see(?:\s+also)?|cf\.?)\s*:?\s*"
-
-_PART = rf"^\s*({PREFIX})(?:{ID}|{NUMBER})(\s*,[^;]*)?\s*$"
-#: Parts a match's groups once a pattern has been replaced by them, so that one run of it gives them all.
-_CUT = "\u0001"
-
-def _no_ints() -> Column:
-    return F.array().cast("array<int>")
-
-
-def _groups(c: Column, pattern: str, n: int) -> Column:
-    """The n groups of a pattern that matches the whole text, or one element where it doesn't match."""
-    return F.split(F.regexp_replace(c, pattern, _CUT.join(f"${i}" for i in range(1, n + 1))), _CUT)
-
-
-def strict_parts(raw: Column) -> Column:
-    """Of an array of parts (ok, prefix, kind, id, nums, loc): kind is id, range, list or num; nums are the numbers of the part. Built in steps, so that each pattern is run once."""
-    cut = F.transform(raw, lambda p: _groups(p, _PART, 5))
-    some = lambda g, i: F.coalesce(F.get(g, i), F.lit(""))
-    found = F.transform(cut, lambda g: F.struct((F.size(g) == 5).alias("fits"), F.get(g, 0).alias("prefix"), some(g, 1).alias("id"), some(g, 2).try_cast("int").alias("first"), some(g, 3).try_cast("int").alias("last"), F.rtrim(some(g, 4)).alias("loc")))
-    kinds = F.transform(found, lambda p: p.withField("kind", F.when(p["id"] != "", "id").when(p["last"].isNotNull(), "range").when(p["loc"].rlike(r"^\s*,\s*\d[\d\s,]*$"), "list").otherwise("num")))
-
-    def checked(p: Column) -> Column:
-        fine = F.when(p["kind"] == "range", (p["last"] >= p["first"]) & (p["last"] - p["first"] <= 50)).when((p["kind"] == "num") & (p["loc"] != ""), p["loc"].rlike(LOCATOR)).otherwise(F.lit(True))
-        return p.withField("ok", p["fits"] & fine)
+LOCATOR = r"\s*,\s*(?:[сСcCpP]{1,2}\.|стр\.|[тТ]\.|[гГ]л\.|разд\.|[рР]ис\.|[тТ]абл\.|[чЧ]\.|[сС]т\.|§|[vV]ol\.|[nN]o\.|pp?\.|[сС]\s*\d)"
+LENIENT_PREFIX = r"\s*(?:цит\.?\s*по(?:\s*(?:кн|ст)\.?)?|см\.?(?:\s*также)?|ср\.?|подробнее\s+см\.?|cit\.?\s*(?:by|from|in)?|see(?:\s+also)?|cf\.?)\s*:?\s*"
+#: Brackets of either grammar, and a number or range with the further numbers directly behind it.
+BRACKET = r"\[([^\[\]\n]{1,400})\]"
+LENIENT_BRACKET = r"(?<![\w\])])\[([^\[\]\n]{1,200})\]"
+LENIENT_NUMBERS = r"([0-9]{1,3})(?:[ \t\n\r\f\v]*[-–—][ \t\n\r\f\v]*([0-9]{1,3}))?(?=$|[ \t\n\r\f\v,])((?:[ \t\n\r\f\v]*,[ \t\n\r\f\v]*[0-9]{1,3}(?=[ \t\n\r\f\v]*(?:,|$)))*)"
+
+_PART = re.compile(rf"\s*({PREFIX})(?:{ID}|{NUMBER})(\s*,[^;]*)?\s*", re.ASCII)
+_LOCATOR, _LIST = re.compile(LOCATOR, re.ASCII), re.compile(r"\s*,\s*\d[\d\s,]*", re.ASCII)
+_BRACKET, _CODE = re.compile(BRACKET), re.compile(r"`[^`\n]+`")
+_PIECE = re.compile(r"`[^`\n]+`|\[[^\[\]\n]{1,400}\]|[^\[`]+|\[|`")
+_LENIENT, _LENIENT_PREFIX, _LENIENT_NUMBERS = re.compile(LENIENT_BRACKET), re.compile(LENIENT_PREFIX.replace(r"\s", r"[ \t\n\r\f\v]"), re.I), re.compile(LENIENT_NUMBERS)
+
+PART = T.StructType([T.StructField(n, T.ArrayType(T.IntegerType()) if n == "nums" else T.StringType()) for n in ("prefix", "kind", "id", "nums", "loc")])
+PIECE = T.StructType([T.StructField("s", T.StringType()), T.StructField("p", T.ArrayType(PART))])
+_PART_ARROW = pa.struct([("prefix", pa.string()), ("kind", pa.string()), ("id", pa.string()), ("nums", pa.list_(pa.int32())), ("loc", pa.string())])
+
+
+def _strict_part(text: str) -> dict | None:
+    m = _PART.fullmatch(text)
+    if m is None:
+        return None
+    prefix, name, first, last, loc = m[1], m[2] or "", m[3] and int(m[3]), m[4] and int(m[4]), (m[5] or "").rstrip(" ")
+    kind = "id" if name else "range" if last is not None else "list" if _LIST.fullmatch(loc) else "num"
+    if kind == "range" and not first <= last <= first + 50 or kind == "num" and loc and not _LOCATOR.match(loc):
+        return None
+    more = [int(x) for x in re.findall("[0-9]+", loc)] if kind == "list" else []
+    if any(n > 0x7FFFFFFF for n in more):
+        return None
+    nums = [] if kind == "id" else list(range(first, last + 1)) if kind == "range" else [first, *more]
+    return {"prefix": prefix, "kind": kind, "id": name, "nums": nums, "loc": "" if kind == "list" else loc}
+
+
+@lru_cache(maxsize=50_000)
+def _strict_bracket(inner: str) -> list[dict]:
+    """The parts of a bracket's content; none where any of them is no citation."""
+    parts = [_strict_part(p) for p in inner.split(";")]
+    return [] if None in parts else parts
+
+
+@F.arrow_udf(T.ArrayType(T.ArrayType(PART)))
+def _strict(texts: pa.Array) -> pa.Array:
+    out = []
+    for t in texts.to_pylist():
+        if not t or "[" not in t:
+            out.append([])
+            continue
+        if "`" in t:
+            t = _CODE.sub(lambda m: " " * len(m[0]), t)
+        out.append([g for g in map(_strict_bracket, _BRACKET.findall(t)) if g])
+    return pa.array(out, pa.list_(pa.list_(_PART_ARROW)))
 
-    def numbers(p: Column) -> Column:
-        extra = F.regexp_extract_all(p["loc"], F.lit(r"\d+"), F.lit(0)).cast("array<int>")
-        nums = F.when(~p["ok"] | (p["kind"] == "id"), _no_ints()).when(p["kind"] == "range", F.sequence(p["first"], F.greatest(p["last"], p["first"]))).when(p["kind"] == "list", F.concat(F.array(p["first"]), extra)).otherwise(F.array(p["first"]))
-        return F.struct(p["ok"].alias("ok"), p["prefix"].alias("prefix"), p["kind"].alias("kind"), p["id"].alias("id"), nums.alias("nums"), F.when(p["kind"] == "list", F.lit("")).otherwise(p["loc"]).alias("loc"))
 
-    return F.transform(F.transform(kinds, checked), numbers)
+def strict_citations(c: Column) -> Column:
+    """The citations of a text, inline code left out: an array of arrays of parts (prefix, kind, id, nums, loc). kind is id, range, list or num; nums are the part's numbers."""
+    return _strict(c.cast("string"))
 
 
-def strict_groups(inner: Column) -> Column:
-    """For each bracket's content its parts, an empty array where any of them is no citation."""
-    groups = F.transform(inner, lambda s: strict_parts(F.split(s, ";")))
-    return F.transform(groups, lambda g: F.filter(g, lambda p: F.forall(g, lambda q: q["ok"])))
+def refs_of(citations: Column) -> Column:
+    """All references of citations in order, as text: @id or a number."""
+    return F.flatten(F.transform(F.flatten(citations), lambda p: F.when(p["kind"] == "id", F.array(F.concat(F.lit("@"), p["id"]))).otherwise(p["nums"].cast("array<string>"))))
 
 
-def mask_inline_code(c: Column) -> Column:
-    """Inline code as blanks of the same length."""
-    text = X.null_empty(c)
-    masked = F.array_join(F.transform(F.regexp_extract_all(X.null_empty(c), F.lit(r"`[^`\n]+`|[^`]+|`"), F.lit(0)), lambda p: F.when(p.rlike(r"^`[^`\n]+`$"), F.repeat(F.lit(" "), F.length(p))).otherwise(p)), "")
-    return F.when(F.contains(text, F.lit("`")), masked).otherwise(text)
+def strict_refs(c: Column) -> Column:
+    """All references of a text in order, as text: @id or a number."""
+    return refs_of(strict_citations(c))
 
 
-def strict_citations(c: Column) -> Column:
-    """The citations of a text: an array of arrays of parts."""
-    inner = F.regexp_extract_all(mask_inline_code(c), F.lit(r"\[([^\[\]\n]{1,400})\]"), F.lit(1))
-    return F.filter(strict_groups(inner), lambda g: F.size(g) > 0)
+@lru_cache(maxsize=50_000)
+def _lenient_bracket(inner: str) -> list[int]:
+    out: list[int] = []
+    for part in inner.split(";"):
+        m = _LENIENT_NUMBERS.match((_LENIENT_PREFIX.sub("", part, count=1) if _LENIENT_PREFIX.match(part) else part).strip(" "))
+        if m:
+            first, last = int(m[1]), m[2] and int(m[2])
+            out += range(first, last + 1) if last and first < last <= first + 20 else [first]
+            out += [int(x) for x in re.findall("[0-9]+", m[3])]
+    return [n for n in out if 1 <= n <= 500]
 
 
-def strict_refs(c: Column) -> Column:
-    """All references of a text in order, as text: @id or a number."""
-    return F.flatten(F.transform(F.flatten(strict_citations(c)), lambda p: F.when(p["kind"] == "id", F.array(F.concat(F.lit("@"), p["id"]))).otherwise(p["nums"].cast("array<string>"))))
+@F.arrow_udf(T.ArrayType(T.IntegerType()))
+def _lenient_numbers(texts: pa.Array) -> pa.Array:
+    return pa.array([[n for b in _LENIENT.findall(t) for n in _lenient_bracket(b)] if t and "[" in t else [] for t in texts.to_pylist()], pa.list_(pa.int32()))
 
 
 def lenient_numbers(c: Column) -> Column:
     """Numbers from 1 to 500 of the brackets that no word character, bracket or parenthesis stands before; a range counts if it goes up by 20 at most, else its first number."""
-    inner = F.regexp_extract_all(X.null_empty(c), F.lit(rf"(?<![\p{{L}}\p{{N}}_\])])\[([^\[\]\n]{{1,200}})\]"), F.lit(1))
+    return _lenient_numbers(c.cast("string"))
 
-    parts = F.transform(F.flatten(F.transform(inner, lambda s: F.split(s, ";"))), lambda p: F.trim(F.regexp_replace(p, LENIENT_PREFIX, "")))
-    # a number or range, and further numbers directly behind it, as far as the list goes
-    head = r"^(\d{1,3})(?:\s*[-–—]\s*(\d{1,3}))?(?=$|[\s,])((?:\s*,\s*\d{1,3}(?=\s*(?:,|$)))*).*$"
-    cut = F.transform(parts, lambda p: _groups(p, head, 3))
-    found = F.transform(F.filter(cut, lambda g: F.size(g) == 3), lambda g: F.struct(F.get(g, 0).cast("int").alias("a"), F.get(g, 1).try_cast("int").alias("b"), F.regexp_extract_all(F.get(g, 2), F.lit(r"\d+"), F.lit(0)).cast("array<int>").alias("more")))
-    own = lambda x: F.when((x["a"] < x["b"]) & (x["b"] <= x["a"] + 20), F.sequence(x["a"], F.greatest(x["a"], x["b"]))).when(x["a"].isNotNull(), F.array(x["a"])).otherwise(_no_ints())
-    numbers = F.flatten(F.transform(found, lambda x: F.concat(own(x), F.when(x["a"].isNotNull(), x["more"]).otherwise(_no_ints()))))
-    return F.filter(numbers, lambda n: n.between(1, 500))
+
+@F.arrow_udf(T.ArrayType(PIECE))
+def _pieces(texts: pa.Array) -> pa.Array:
+    """The text cut at inline code and brackets; a bracket that is a citation has its parts."""
+    out = []
+    for t in texts.to_pylist():
+        out.append([{"s": s, "p": _strict_bracket(s[1:-1]) if len(s) > 2 and s[0] == "[" and s[-1] == "]" else []} for s in _PIECE.findall(t or "")])
+    return pa.array(out, pa.list_(pa.struct([("s", pa.string()), ("p", pa.list_(_PART_ARROW))])))
 
 
 def render_numbers(nums: Column) -> Column:
@@ -105,14 +136,11 @@ def rewritten(c: Column, numbers: Column) -> Column:
         nums = F.when(p["kind"] == "range", render_numbers(p["found"])).otherwise(F.array_join(p["found"].cast("array<string>"), ", "))
         return F.when(F.forall(p["found"], lambda n: n.isNotNull()), F.concat(p["prefix"], nums, p["loc"]))
 
-    def piece(s: Column) -> Column:
-        return F.struct(s.alias("s"), F.transform(F.flatten(strict_groups(F.regexp_extract_all(s, F.lit(r"^\[([^\[\]\n]{1,400})\]$"), F.lit(1)))), part).alias("p"))
-
     def joined(x: Column) -> Column:
         return F.when((F.size(x["p"]) > 0) & F.forall(x["p"], lambda t: t.isNotNull()), F.concat(F.lit("["), F.array_join(x["p"], "; "), F.lit("]"))).otherwise(x["s"])
 
-    pieces = F.regexp_extract_all(X.null_empty(c), F.lit(r"`[^`\n]+`|\[[^\[\]\n]{1,400}\]|[^\[`]+|\[|`"), F.lit(0))
-    done = F.transform(F.transform(pieces, piece), lambda x: F.struct(x["s"].alias("s"), F.transform(x["p"], shown).alias("p")))
+    found = F.transform(_pieces(c.cast("string")), lambda x: F.struct(x["s"].alias("s"), F.transform(x["p"], part).alias("p")))
+    done = F.transform(found, lambda x: F.struct(x["s"].alias("s"), F.transform(x["p"], shown).alias("p")))
     return F.array_join(F.transform(done, joined), "")
 
 

@@ -5,7 +5,7 @@ Every measure is a map over rows: paragraphs, sentences and words are arrays of
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -135,11 +135,17 @@ def author_anchors(docs: DataFrame, personal: Sequence[str] = (), builtin: Seque
     return df.select(*keep, "words", _total(F.col("h")).alias("anchors"), F.size("h").cast("long").alias("distinct_anchors"), F.round(rate, 6).alias("per_1k"), verdict.alias("verdict"))
 
 
+def _matches(form: str) -> Callable[[Column], Column]:
+    return lambda word: word.rlike(f"^(?:{form})$")
+
+
 def pronouns(docs: DataFrame, forms: Sequence[tuple[str, str]] = L.PRONOUNS, keep: Sequence[str] = KEEP) -> DataFrame:
     """Personal pronouns by label, once initials are taken out."""
     clean = F.regexp_replace(X.null_empty(F.col("text")), rf"(?<!{X.W})[А-ЯЁA-Z]\.\s?[А-ЯЁA-Z]\.(?:\s?[А-ЯЁA-Z]\.)?", " ")
     clean = F.lower(F.regexp_replace(clean, rf"(?<!{X.W})[А-ЯЁA-Z]\.", " "))
-    df = docs.select(*keep, F.array(*[F.struct(F.lit(label).alias("phrase"), F.regexp_count(clean, F.lit(rf"(?<!{X.W})(?:{form})(?!{X.W})")).cast("long").alias("n")) for label, form in forms]).alias("h"))
+    words = F.regexp_extract_all(clean, F.lit(rf"(?<!{X.W})(?:{'|'.join(form for _, form in forms)})(?!{X.W})"), F.lit(0)) if forms else F.array().cast("array<string>")
+    found = docs.select(*keep, words.alias("__found"))  # one pass over the text for all forms
+    df = found.select(*keep, F.array(*[F.struct(F.lit(label).alias("phrase"), F.size(F.filter("__found", _matches(form))).cast("long").alias("n")) for label, form in forms]).alias("h"))
     df = df.select(*keep, F.filter("h", lambda h: h["n"] > 0).alias("h"))
     return df.select(*keep, _total(F.col("h")).alias("total"), F.array_join(F.transform("h", lambda h: F.concat_ws("=", h["phrase"], h["n"].cast("string"))), ";").alias("found"), F.when(F.size("h") == 0, "clean").otherwise("present").alias("verdict"))
 

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -151,17 +152,27 @@ def joined_lines(table: DataFrame, by: Sequence[str], order: str, text: str, sta
 
 
 def assigned_ids(table: DataFrame, by: Sequence[str], order: str, wanted: str) -> DataFrame:
-    """An id for each row in order: its number if positive and not yet taken, else one more than the largest taken. An ordered walk over each group."""
+    """An id for each row in order: its number if positive and not yet taken, else one more than the largest taken.
+
+    Without repeated numbers that would be windows; a number that is taken turns its row into one that counts on, and what it takes may be wanted later. So it is an ordered walk over each group's numbers, in an Arrow function.
+    """
     rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(wanted).cast("long").alias("w"))))
-    start = F.struct(F.array().cast("array<struct<o:bigint,id:bigint>>").alias("out"), F.array().cast("array<bigint>").alias("used"), F.lit(0).cast("long").alias("top"))
 
-    def step(a: Column, r: Column) -> Column:
-        free = (r["w"] > 0) & ~F.array_contains(a["used"], F.coalesce(r["w"], F.lit(0).cast("long")))
-        own = F.when(F.coalesce(free, F.lit(False)), r["w"]).otherwise(a["top"] + 1)
-        return F.struct(F.concat(a["out"], F.array(F.struct(r["o"].cast("long").alias("o"), own.alias("id")))).alias("out"), F.concat(a["used"], F.array(own)).alias("used"), F.greatest(a["top"], own).alias("top"))
+    @F.pandas_udf("array<bigint>")
+    def walk(lists: pd.Series) -> pd.Series:
+        out = []
+        for one in lists:
+            used, top, ids = set(), 0, []
+            for w in one:
+                own = int(w) if w == w and w is not None and w > 0 and w not in used else top + 1
+                used.add(own)
+                top = max(top, own)
+                ids.append(own)
+            out.append(ids)
+        return pd.Series(out)
 
-    done = table.groupBy(*by).agg(F.aggregate(rows, start, step)["out"].alias("r"))
-    return done.select(*by, F.explode("r").alias("r")).select(*by, F.col("r.o").alias(order), F.col("r.id").alias("id"))
+    done = table.groupBy(*by).agg(rows.alias("r")).withColumn("ids", walk(F.transform("r", lambda x: x["w"])))
+    return done.select(*by, F.explode(F.arrays_zip(F.transform("r", lambda x: x["o"]).alias("o"), F.col("ids").alias("i"))).alias("x")).select(*by, F.col("x.o").alias(order), F.col("x.i").alias("id"))
 
 
 def pairs_not_independent(table: DataFrame, person: str, task: str, gate: str) -> DataFrame:
@@ -178,28 +189,41 @@ def same_person_pairs(a: DataFrame, b: DataFrame, person: str, gate: str) -> Dat
 
 
 def newer(table: DataFrame, snapshots: DataFrame, by: Sequence[str], seq: str, sha: str) -> DataFrame:
-    """For each row how many snapshots of its group are newer (a larger number) and differ from its own."""
-    s = snapshots.select(*by, F.col(seq).alias("__q"), F.col(sha).alias("__h"))
-    joined = table.join(s, list(by), "left")
-    keys = [c for c in table.columns]
-    return joined.groupBy(*keys).agg(F.count_if((F.col("__q") > F.col(seq)) & (F.col("__h") != F.col(sha))).alias("newer"))
+    """For each row how many snapshots of its group are newer (a larger number) and differ from its own; none for a row without number or SHA.
+
+    Counted by running windows over rows and snapshots together: newer ones of the group, less newer ones with the same SHA.
+    """
+    s = snapshots.filter(F.col(seq).isNotNull() & F.col(sha).isNotNull()).select(*by, seq, sha, F.lit(1).alias("__s"))
+    both = table.withColumn("__s", F.lit(0)).unionByName(s, allowMissingColumns=True)
+
+    def later(*keys: str) -> Column:
+        own = Window.partitionBy(*keys)
+        return F.sum("__s").over(own) - F.sum("__s").over(own.orderBy(seq).rangeBetween(Window.unboundedPreceding, Window.currentRow))
+
+    out = both.withColumn("newer", F.when(F.col(seq).isNull() | F.col(sha).isNull(), F.lit(0)).otherwise(later(*by) - later(*by, sha)).cast("long"))
+    return out.filter("__s = 0").select(*table.columns, "newer")
 
 
 def waves_since(points: DataFrame, waves: DataFrame, by: Sequence[str], at: str, planned: str, closed: str, until: str | None = None) -> DataFrame:
-    """For each point how many waves of its group were planned from it on, and closed (before until, if given): a range join inside equal groups."""
-    w = waves.select(*by, F.col(planned).alias("__p"), F.col(closed).alias("__c"))
-    inside = (F.col("__p") >= F.col(at)) & F.col("__c").isNotNull()
-    if until:
-        inside = inside & (F.col("__c") < F.col(until))
-    return points.join(w, list(by), "left").groupBy(*points.columns).agg(F.count_if(inside).alias("waves"))
+    """For each point how many waves of its group were planned from it on, and closed (before until, if given): a range join inside equal groups, of the different points only."""
+    w = waves.filter(F.col(planned).isNotNull() & F.col(closed).isNotNull()).select(*by, F.col(planned).alias("__p"), F.col(closed).alias("__c"))
+    if until is None:
+        both = points.select(*by, F.col(at).alias("__p")).distinct().withColumn("__w", F.lit(0)).unionByName(w.select(*by, "__p", F.lit(1).alias("__w")))
+        own = Window.partitionBy(*by)
+        before = F.coalesce(F.sum("__w").over(own.orderBy("__p").rangeBetween(Window.unboundedPreceding, Window.currentRow)), F.lit(0)) - F.sum("__w").over(Window.partitionBy(*by, "__p"))
+        counted = both.withColumn("waves", (F.sum("__w").over(own) - before).cast("long")).filter("__w = 0").select(*by, F.col("__p").alias(at), "waves")
+        return points.join(counted, [*by, at], "left").withColumn("waves", F.coalesce("waves", F.lit(0).cast("long"))).select(*points.columns, "waves")
+    keys = [*by, at, until]
+    inside = points.select(*keys).distinct().join(w, list(by)).filter((F.col("__p") >= F.col(at)) & (F.col("__c") < F.col(until)))
+    counted = inside.groupBy(*keys).agg(F.count("*").alias("waves"))
+    return points.join(counted, keys, "left").withColumn("waves", F.coalesce("waves", F.lit(0).cast("long"))).select(*points.columns, "waves")
 
 
 def coverage(done: DataFrame, required: DataFrame, by: Sequence[str], kind: str, replica: str, need: str) -> DataFrame:
-    """Kinds of which a group has fewer different replicas than required."""
+    """Kinds of which a group has fewer different replicas than required. required is a table of kinds; it goes to the groups as one value."""
     have = done.groupBy(*by, kind).agg(F.count_distinct(replica).alias("have"))
-    groups = done.select(*by).distinct()
-    # the requirement is a small table of kinds; every group meets every kind
-    wanted = groups.withColumn("__k", F.explode(F.array(*[F.struct(F.lit(r[kind]).alias("k"), F.lit(r[need]).alias("n")) for r in required.collect()]))).select(*by, F.col("__k.k").alias(kind), F.col("__k.n").alias(need))
+    kinds = required.agg(F.collect_list(F.struct(F.col(kind).alias("k"), F.col(need).alias("n")))).scalar()
+    wanted = done.select(*by).distinct().select(*by, F.explode(kinds).alias("__k")).select(*by, F.col("__k.k").alias(kind), F.col("__k.n").alias(need))
     return wanted.join(have, [*by, kind], "left").withColumn("have", F.coalesce("have", F.lit(0))).filter(F.col("have") < F.col(need))
 
 
@@ -211,9 +235,9 @@ def weighted_mode(table: DataFrame, by: Sequence[str], value: str, weight: Colum
 
 
 def tolerance_share(table: DataFrame, by: Sequence[str], ok: Column, good: float, fair: float) -> DataFrame:
-    """Share of rows within a tolerance, and its band."""
-    out = table.groupBy(*by).agg(F.count("*").alias("n"), F.avg(ok.cast("double")).alias("s"))
-    return out.select(*by, "n", F.round("s", 6).alias("share"), F.when(F.col("s") >= good, "ok").when(F.col("s") >= fair, "warning").otherwise("error").alias("level"))
+    """How many rows lie within a tolerance, their share, and its band."""
+    out = table.groupBy(*by).agg(F.count("*").alias("n"), F.count_if(ok).alias("within")).withColumn("s", F.col("within") / F.col("n"))
+    return out.select(*by, "n", "within", F.col("s").alias("share"), F.when(F.col("s") >= good, "ok").when(F.col("s") >= fair, "warning").otherwise("error").alias("level"))
 
 
 def counts_by_status(table: DataFrame, by: Sequence[str], status: str, statuses: Sequence[str]) -> DataFrame:

@@ -1,6 +1,6 @@
 """Structure of documents: kinds of blocks, regions, sections, chapters; markers and patterns in paragraphs.
 
-Blocks are rows (doc_id, idx, text and flags). A block's kind is a chain of conditions; regions are an ordered fold over a document's blocks, whose array is one row of its document.
+Blocks are rows (doc_id, idx, text and flags). A block's kind is a chain of conditions; regions are running windows over a document's blocks.
 """
 
 from __future__ import annotations
@@ -103,46 +103,33 @@ def classified(blocks: DataFrame) -> DataFrame:
     return df.withColumn("kind", kind).withColumn("number", F.when(F.col("kind") == "chapter", number)).drop("__key")
 
 
-_STATE = "struct<now:string,number:int,seen:boolean,top:int,region:int,out:array<struct<idx:bigint,kind:string,number:int,region:int,starts:boolean>>>"
-
-
 def regions(blocks: DataFrame) -> DataFrame:
     """blocks with region (counted in each document from 0), region_kind, chapter_no and starts (is it the region's heading).
 
     A block belongs to the last boundary before it. A first-level heading inside introduction or chapter is a chapter of its own where the document names none; a chapter's number is the one given, or one more than the largest so far. The last sheet counts only behind the body.
     """
-    df = classified(blocks).withColumn("__key", X.heading_key(F.col("text")))
-    df = df.withColumn("__lead", F.regexp_extract("__key", r"^(\d{1,2})(?:\.|\)|\s)\s*\S", 1).try_cast("int")).withColumn("__sub", F.col("__key").rlike(r"^\d+\.\d+"))
-    df = df.withColumn("__idx", F.col("idx").cast("long"))
-    rows = F.array_sort(F.collect_list(F.struct(F.col("__idx").alias("idx"), "kind", "number", F.col("heading_level").alias("level"), F.col("__lead").alias("lead"), F.col("__sub").alias("sub"))))
-    explicit = F.bool_or(F.col("kind") == "chapter")
-    start = F.struct(F.lit("front").alias("now"), F.lit(None).cast("int").alias("number"), F.lit(False).alias("seen"), F.lit(0).alias("top"), F.lit(0).alias("region"), F.array().alias("out")).cast(_STATE)
-
-    def step(named: Column) -> Callable[[Column, Column], Column]:
-        def one(a: Column, b: Column) -> Column:
-            implicit = (b["kind"] == "heading") & (b["level"] == 1) & a["now"].isin("introduction", "chapter") & ~named & ~b["sub"]
-            kind = (
-                F.when((b["kind"] == "last_sheet") & ~a["seen"], F.lit(None).cast("string"))
-                .when(b["kind"] == "heading", F.when(implicit, "chapter").when((b["level"] == 1) & a["now"].isin(*AFTER), "other"))
-                .otherwise(b["kind"])
-            )
-            following = a["top"] + 1
-            number = F.when(b["kind"] == "heading", F.when(b["lead"] > a["top"], b["lead"]).otherwise(following)).otherwise(F.coalesce(b["number"], following))
-
-            def moved(x: Column) -> Column:
-                kind, own = x["kind"], F.when(x["kind"] == "chapter", x["number"])
-                new = kind.isNotNull()
-                now, no, region = F.when(new, kind).otherwise(a["now"]), F.when(new, own).otherwise(a["number"]), a["region"] + F.when(new, 1).otherwise(0)
-                row = F.struct(b["idx"].alias("idx"), now.alias("kind"), no.alias("number"), region.alias("region"), new.alias("starts"))
-                return F.struct(now.alias("now"), no.alias("number"), (a["seen"] | F.coalesce(kind.isin(*BODY, "bibliography"), F.lit(False))).alias("seen"), F.greatest(a["top"], F.coalesce(own, F.lit(0))).alias("top"), region.alias("region"), F.array_append(a["out"], row).alias("out")).cast(_STATE)
-
-            return let(F.struct(kind.alias("kind"), number.alias("number")), moved)
-
-        return one
-
-    grouped = df.groupBy("doc_id").agg(rows.alias("r"), F.coalesce(explicit, F.lit(False)).alias("named"))
-    done = grouped.select("doc_id", F.explode(F.aggregate("r", start, step(F.col("named")))["out"]).alias("x")).select("doc_id", F.col("x.idx").alias("__idx"), F.col("x.region").alias("region"), F.col("x.kind").alias("region_kind"), F.col("x.number").alias("chapter_no"), F.col("x.starts").alias("starts"))
-    return df.drop("__key", "__lead", "__sub").join(done, ["doc_id", "__idx"]).drop("__idx")
+    every = Window.partitionBy("doc_id")
+    upto = every.orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
+    before = every.orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
+    kind, level, key = F.col("kind"), F.col("heading_level"), X.heading_key(F.col("text"))
+    heads = (F.coalesce(kind, F.lit("")) == "heading") & (F.coalesce(level, F.lit(0)) == 1)
+    df = classified(blocks).withColumns({"__lead": F.when(heads, F.regexp_extract(key, r"^(\d{1,2})(?:\.|\)|\s)\s*\S", 1).try_cast("int")), "__sub": heads & key.rlike(r"^\d+\.\d+")})
+    df = df.withColumns({"__named": F.coalesce(F.bool_or(kind == "chapter").over(every), F.lit(False)), "__seen": F.coalesce(F.bool_or(kind.isin(*BODY, "bibliography")).over(before), F.lit(False))})
+    # boundaries that hold by themselves; the last one tells what a heading between them is
+    df = df.withColumn("__own", F.when((kind == "heading") | ((kind == "last_sheet") & ~F.col("__seen")), None).otherwise(kind))
+    df = df.withColumn("__last", F.coalesce(F.last("__own", ignorenulls=True).over(before), F.lit("front")))
+    implied = F.when(heads & ~F.col("__named") & ~F.col("__sub") & F.col("__last").isin("introduction", "chapter"), "chapter").when(heads & F.col("__last").isin(*AFTER), "other")
+    df = df.withColumn("__kind", F.coalesce("__own", implied))
+    # the largest number so far: t = max(t + step, given), hence the sum of steps and the largest given less the sum up to it
+    chapter = F.col("__kind") == "chapter"
+    given = F.when(chapter, F.when(kind == "heading", F.col("__lead")).otherwise(F.col("number")))
+    step = F.when(chapter & ((kind == "heading") | F.col("number").isNull()), 1).otherwise(0)
+    df = df.withColumns({"__given": given, "__sum": F.sum(step).over(upto)})
+    df = df.withColumn("__top", F.col("__sum") + F.greatest(F.lit(0), F.coalesce(F.max(F.col("__given") - F.col("__sum")).over(upto), F.lit(0))))
+    number = F.when(chapter, F.when(kind == "heading", F.col("__top")).otherwise(F.coalesce("number", "__top"))).cast("int")
+    df = df.withColumns({"__number": number, "region": F.count("__kind").over(upto).cast("int"), "region_kind": F.coalesce(F.last("__kind", ignorenulls=True).over(upto), F.lit("front")), "starts": F.col("__kind").isNotNull()})
+    df = df.withColumn("chapter_no", F.when(F.col("region_kind") == "chapter", F.last("__number", ignorenulls=True).over(upto)))
+    return df.drop("__lead", "__sub", "__named", "__seen", "__own", "__last", "__kind", "__given", "__sum", "__top", "__number")
 
 
 def section_name(kind: Column, number: Column) -> Column:

@@ -70,13 +70,13 @@ _PLAN = ", ".join(f"('{p}', '{i}', {j}, {o}, '{role}', {n})" for p in _PRESETS f
 def _runs(spark, sf_dir):
     n = F.col("event_id")
     pick = lambda xs, k: F.element_at(F.array(*[F.lit(x) for x in xs]), (k % len(xs) + 1).cast("int"))
-    return table(spark, sf_dir, "events").filter("event_id % 10 = 0").select(n.cast("string").alias("run_id"), pick(_PRESETS, n / 10).alias("preset"), pick(_INTENSITIES, n / 30).alias("intensity"), (n % 20 == 0).alias("project"), (n % 30 == 0).alias("odd_index"))
+    return table(spark, sf_dir, "events").select(n.cast("string").alias("run_id"), pick(_PRESETS, n / 10).alias("preset"), pick(_INTENSITIES, n / 30).alias("intensity"), (n % 20 == 0).alias("project"), (n % 30 == 0).alias("odd_index"))
 
 
 @catalog.add(
     "plan_tasks",
     f"""WITH p(preset, intensity, project, odd_index, role, replicas) AS (VALUES {_PLAN}),
-    r AS (SELECT event_id::VARCHAR AS run_id, {_PRESETS}[(floor(event_id / 10)::BIGINT % {len(_PRESETS)}) + 1] AS preset, {_INTENSITIES}[(floor(event_id / 30)::BIGINT % 3) + 1] AS intensity, event_id % 20 = 0 AS project, event_id % 30 = 0 AS odd_index FROM events WHERE event_id % 10 = 0)
+    r AS (SELECT event_id::VARCHAR AS run_id, {_PRESETS}[(floor(event_id / 10)::BIGINT % {len(_PRESETS)}) + 1] AS preset, {_INTENSITIES}[(floor(event_id / 30)::BIGINT % 3) + 1] AS intensity, event_id % 20 = 0 AS project, event_id % 30 = 0 AS odd_index FROM events)
     SELECT run_id, role, replica::INT AS replica, run_id || '-' || role || '-' || replica AS task_id FROM (SELECT *, unnest(range(1, replicas + 1)) AS replica FROM r JOIN p USING (preset, intensity, project, odd_index))""",
 )
 def plan_tasks(spark, sf_dir):
@@ -108,11 +108,11 @@ def report_problems(spark, sf_dir):
     return A.report_problems(reports)
 
 
-@catalog.add("close_outcome", "WITH t AS (SELECT user_id, CASE event_type WHEN 'error' THEN 'pending' WHEN 'signup' THEN 'fail' WHEN 'click' THEN 'not_applicable' ELSE 'pass' END AS status FROM events WHERE event_id % 40 = user_id % 40) SELECT user_id, CASE WHEN bool_or(status = 'pending') THEN 'open' WHEN bool_and(status IN ('pass', 'not_applicable')) THEN 'complete' ELSE 'reported' END AS outcome FROM t GROUP BY user_id")
+@catalog.add("close_outcome", "WITH t AS (SELECT user_id, event_id % 40 AS run, CASE event_type WHEN 'error' THEN 'pending' WHEN 'signup' THEN 'fail' WHEN 'click' THEN 'not_applicable' ELSE 'pass' END AS status FROM events) SELECT user_id, run, CASE WHEN bool_or(status = 'pending') THEN 'open' WHEN bool_and(status IN ('pass', 'not_applicable')) THEN 'complete' ELSE 'reported' END AS outcome FROM t GROUP BY user_id, run")
 def close_outcome(spark, sf_dir):
     kind = F.col("event_type")
-    tasks = table(spark, sf_dir, "events").filter("event_id % 40 = user_id % 40").select("user_id", F.when(kind == "error", "pending").when(kind == "signup", "fail").when(kind == "click", "not_applicable").otherwise("pass").alias("status"))
-    return A.close_outcome(tasks, ["user_id"])
+    tasks = table(spark, sf_dir, "events").select("user_id", (F.col("event_id") % 40).alias("run"), F.when(kind == "error", "pending").when(kind == "signup", "fail").when(kind == "click", "not_applicable").otherwise("pass").alias("status"))
+    return A.close_outcome(tasks, ["user_id", "run"])
 
 
 @catalog.add(
@@ -165,11 +165,11 @@ def handoff_staleness(spark, sf_dir):
     return A.staleness(handoff, table(spark, sf_dir, "events"), ["user_id"], "recorded", "event_id")
 
 
-@catalog.add("readiness", "SELECT user_id, count(*) FILTER (event_type = 'error') AS errors, count(*) FILTER (event_type = 'purchase') AS warnings, count(*) FILTER (event_type NOT IN ('error', 'purchase')) AS infos, CASE WHEN count(*) FILTER (event_type = 'error') > 0 THEN 'not_ready' WHEN count(*) FILTER (event_type = 'purchase') > 0 THEN 'ready_with_warnings' ELSE 'ready' END AS status FROM events WHERE event_id % 20 = 3 GROUP BY user_id")
+@catalog.add("readiness", "SELECT user_id, event_id % 20 AS project, count(*) FILTER (event_type = 'error') AS errors, count(*) FILTER (event_type = 'purchase') AS warnings, count(*) FILTER (event_type NOT IN ('error', 'purchase')) AS infos, CASE WHEN count(*) FILTER (event_type = 'error') > 0 THEN 'not_ready' WHEN count(*) FILTER (event_type = 'purchase') > 0 THEN 'ready_with_warnings' ELSE 'ready' END AS status FROM events GROUP BY ALL")
 def readiness(spark, sf_dir):
     kind = F.col("event_type")
-    findings = table(spark, sf_dir, "events").filter("event_id % 20 = 3").select("user_id", F.when(kind == "error", "ERROR").when(kind == "purchase", "WARNING").otherwise("INFO").alias("severity"))
-    return A.verdict(findings, ["user_id"])
+    findings = table(spark, sf_dir, "events").select("user_id", (F.col("event_id") % 20).alias("project"), F.when(kind == "error", "ERROR").when(kind == "purchase", "WARNING").otherwise("INFO").alias("severity"))
+    return A.verdict(findings, ["user_id", "project"])
 
 
 @catalog.add("intensity_lowered", "SELECT * FROM (SELECT user_id, event_id, event_id % 3 AS rank, max(event_id % 3) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS highest FROM events) WHERE rank < highest")
@@ -179,12 +179,12 @@ def intensity_lowered(spark, sf_dir):
 
 @catalog.add(
     "blind_pairs",
-    """WITH r AS (SELECT user_id AS work, event_id AS run_id, CASE WHEN event_id % 2 = 0 THEN 'primary' ELSE 'blind' END AS kind, event_id AS planned, CASE WHEN event_id % 5 <> 0 THEN event_id + 100 END AS closed, [event_id % 4, event_id % 6] AS auditors FROM events WHERE event_id % 13 < 2)
+    """WITH r AS (SELECT user_id AS work, event_id AS run_id, CASE WHEN event_id % 2 = 0 THEN 'primary' ELSE 'blind' END AS kind, event_id AS planned, CASE WHEN event_id % 5 <> 0 THEN event_id + 100 END AS closed, [event_id % 4, event_id % 6] AS auditors FROM events)
     SELECT a.work, a.run_id AS primary_run, b.run_id AS blind_run FROM r a JOIN r b USING (work) WHERE a.kind = 'primary' AND b.kind = 'blind' AND a.closed IS NOT NULL AND b.planned > a.closed AND NOT list_has_any(a.auditors, b.auditors)""",
 )
 def blind_pairs(spark, sf_dir):
     n = F.col("event_id")
-    runs = table(spark, sf_dir, "events").filter("event_id % 13 < 2").select(F.col("user_id").alias("work"), n.alias("run_id"), F.when(n % 2 == 0, "primary").otherwise("blind").alias("kind"), n.alias("planned"), F.when(n % 5 != 0, n + 100).alias("closed"), F.array(n % 4, n % 6).alias("auditors"))
+    runs = table(spark, sf_dir, "events").select(F.col("user_id").alias("work"), n.alias("run_id"), F.when(n % 2 == 0, "primary").otherwise("blind").alias("kind"), n.alias("planned"), F.when(n % 5 != 0, n + 100).alias("closed"), F.array(n % 4, n % 6).alias("auditors"))
     return A.blind_pairs(runs)
 
 
@@ -229,17 +229,13 @@ def html_fingerprints(spark, sf_dir):
     return S.text_fingerprint(S.html_blocks(table(spark, sf_dir, "pages")), ["page_id"])
 
 
-#: The SQL of the queries over works reads this many lines of each document, and so do these queries; those without SQL read all.
-SQL_LINES = 40
-
-
-def work_blocks(spark, sf_dir, lines: int | None = None):
-    """Documents as works: headings are put between their lines, all or the first ones."""
+def work_blocks(spark, sf_dir):
+    """Documents as works: headings are put between their lines."""
     docs = table(spark, sf_dir, "documents")
     own = F.filter(F.split(X.null_empty(F.col("text")), "\n"), lambda p: F.length(p) > 0)
     n = F.col("doc_id")
     heads = F.array(*[F.lit(x) for x in ("Содержание", "Введение.", "Глава 1. Основы", "ГЛАВА II", "Заключение", "Список литературы", "Приложение 1")])
-    each = docs.select("doc_id", F.posexplode(own if lines is None else F.slice(own, 1, lines)).alias("i", "line"))
+    each = docs.select("doc_id", F.posexplode(own).alias("i", "line"))
     head = F.when((F.col("i") + n) % 5 == 0, F.element_at(heads, ((F.col("i") / 5 + n) % 7 + 1).cast("int")))
     both = each.select("doc_id", F.explode(F.array(F.struct((F.col("i") * 2).alias("idx"), head.alias("text")), F.struct((F.col("i") * 2 + 1).alias("idx"), F.col("line").alias("text")))).alias("b"))
     return both.filter("b.text is not null").select("doc_id", "b.idx", "b.text").withColumn("heading_level", F.when(F.col("idx") % 2 == 0, 1))
@@ -247,7 +243,7 @@ def work_blocks(spark, sf_dir, lines: int | None = None):
 
 _KINDS = "CASE text WHEN 'Содержание' THEN 'contents' WHEN 'Введение.' THEN 'introduction' WHEN 'Глава 1. Основы' THEN 'chapter' WHEN 'ГЛАВА II' THEN 'chapter' WHEN 'Заключение' THEN 'conclusion' WHEN 'Список литературы' THEN 'bibliography' WHEN 'Приложение 1' THEN 'appendix' END"
 _BLOCKS = f"""
-d AS (SELECT doc_id, [x FOR x IN string_split(coalesce(text, ''), chr(10)) IF length(x) > 0][1:40] AS ls FROM documents),
+d AS (SELECT doc_id, [x FOR x IN string_split(coalesce(text, ''), chr(10)) IF length(x) > 0] AS ls FROM documents),
 e AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS i FROM d),
 b AS (SELECT doc_id, (i * 2)::INT AS idx, ['Содержание', 'Введение.', 'Глава 1. Основы', 'ГЛАВА II', 'Заключение', 'Список литературы', 'Приложение 1'][trunc((i / 5 + doc_id) % 7 + 1)::INT] AS text FROM e WHERE (i + doc_id) % 5 = 0 UNION ALL SELECT doc_id, (i * 2 + 1)::INT, line FROM e),
 k AS (SELECT doc_id, idx, text, {_KINDS} AS kind, CASE text WHEN 'Глава 1. Основы' THEN 1 WHEN 'ГЛАВА II' THEN 2 END AS number FROM b)
@@ -259,7 +255,7 @@ k AS (SELECT doc_id, idx, text, {_KINDS} AS kind, CASE text WHEN 'Глава 1.
     f"""WITH {_BLOCKS} SELECT doc_id, idx, coalesce(last_value(kind IGNORE NULLS) OVER w, 'front') AS region_kind, CASE WHEN last_value(kind IGNORE NULLS) OVER w = 'chapter' THEN last_value(CASE WHEN kind = 'chapter' THEN number END IGNORE NULLS) OVER w END AS chapter_no, count(kind) OVER w AS region, kind IS NOT NULL AS starts FROM k WINDOW w AS (PARTITION BY doc_id ORDER BY idx ROWS UNBOUNDED PRECEDING)""",
 )
 def regions(spark, sf_dir):
-    return S.regions(work_blocks(spark, sf_dir, SQL_LINES)).select("doc_id", "idx", "region_kind", "chapter_no", "region", "starts")
+    return S.regions(work_blocks(spark, sf_dir)).select("doc_id", "idx", "region_kind", "chapter_no", "region", "starts")
 
 
 @catalog.add("sections")

@@ -23,12 +23,15 @@ _K = "(l_suppkey % 900 + 1)"
 
 @catalog.add("citation_refs", f"SELECT l_orderkey, l_linenumber, '@p' || l_partkey || ',' || {_K} || ',' || l_linenumber || ',3,4,5,6,25,' || {_K} || ',1,2' AS refs, 7 AS n_citations FROM lineitem")
 def citation_refs(spark, sf_dir):
-    return _citing(spark, sf_dir).select("l_orderkey", "l_linenumber", F.array_join(C.strict_refs(F.col("text")), ",").alias("refs"), (F.size(C.strict_citations(F.col("text"))) + 1).alias("n_citations"))
+    return _citing(spark, sf_dir).select("l_orderkey", "l_linenumber", C.strict_citations(F.col("text")).alias("c")).select("l_orderkey", "l_linenumber", F.array_join(C.refs_of(F.col("c")), ",").alias("refs"), (F.size("c") + 1).alias("n_citations"))
 
 
-@catalog.add("citation_numbers", f"SELECT l_orderkey, l_linenumber, {_K} || ',' || l_linenumber || ',3,4,5,6,6,' || {_K} || ',7,1,2' AS numbers FROM lineitem WHERE {_K} <= 500")
+_SMALL = f"CASE WHEN {_K} <= 500 THEN {_K} || ',' ELSE '' END"  # the grammar of finished texts knows no larger number
+
+
+@catalog.add("citation_numbers", f"SELECT l_orderkey, l_linenumber, {_SMALL} || l_linenumber || ',3,4,5,6,6,' || {_SMALL} || '7,1,2' AS numbers FROM lineitem")
 def citation_numbers(spark, sf_dir):
-    return _citing(spark, sf_dir).filter("k <= 500").select("l_orderkey", "l_linenumber", F.array_join(C.lenient_numbers(F.col("text")).cast("array<string>"), ",").alias("numbers"))
+    return _citing(spark, sf_dir).select("l_orderkey", "l_linenumber", F.array_join(C.lenient_numbers(F.col("text")).cast("array<string>"), ",").alias("numbers"))
 
 
 @catalog.add(
@@ -52,9 +55,9 @@ def citations_in_conclusion(spark, sf_dir):
     return docs.groupBy("source").agg(F.count("*").alias("documents"), F.count_if(has).alias("with_citations"), F.when(F.count_if(has) < 20, "few").otherwise("ok").alias("level"))
 
 
-@catalog.add("citation_after_period", "SELECT l_orderkey, l_linenumber, l_linenumber % 3 = 1 AS after_period FROM lineitem WHERE l_orderkey < 2000")
+@catalog.add("citation_after_period", "SELECT l_orderkey, l_linenumber, l_linenumber % 3 = 1 AS after_period FROM lineitem")
 def citation_after_period(spark, sf_dir):
-    lines = table(spark, sf_dir, "lineitem").filter("l_orderkey < 2000").select("l_orderkey", "l_linenumber")
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber")
     text = F.when(F.col("l_linenumber") % 3 == 1, "Вывод сделан автором. [12, с. 4] Далее").when(F.col("l_linenumber") % 3 == 2, "Вывод сделан автором [12, с. 4]. Далее").otherwise("Это верно и т. д. [12]. Далее")
     return lines.select("l_orderkey", "l_linenumber", C.after_period(text).alias("after_period"))
 

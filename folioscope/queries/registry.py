@@ -152,7 +152,15 @@ def joined_entries(spark, sf_dir):
     return R.joined_lines(table(spark, sf_dir, "conversations"), ["conv_id"], "turn", "text", (F.col("turn") == 0) | (F.length("text") % 3 != 0))
 
 
-@catalog.add("assigned_ids")
+_IDS = """
+WITH RECURSIVE l AS (SELECT l_orderkey, l_linenumber, l_quantity::BIGINT % 4 AS wanted, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity::BIGINT % 4) AS k FROM lineitem),
+r AS (SELECT l_orderkey, l_linenumber, k, CASE WHEN wanted > 0 THEN wanted ELSE 1 END AS id, [CASE WHEN wanted > 0 THEN wanted ELSE 1 END] AS used FROM l WHERE k = 1
+  UNION ALL SELECT l.l_orderkey, l.l_linenumber, l.k, CASE WHEN wanted > 0 AND NOT list_contains(used, wanted) THEN wanted ELSE list_max(used) + 1 END, list_append(used, CASE WHEN wanted > 0 AND NOT list_contains(used, wanted) THEN wanted ELSE list_max(used) + 1 END) FROM r JOIN l ON l.l_orderkey = r.l_orderkey AND l.k = r.k + 1)
+SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, id FROM r
+"""
+
+
+@catalog.add("assigned_ids", _IDS)
 def assigned_ids(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("long").alias("l_linenumber"), (F.col("l_quantity").cast("long") % 4).alias("wanted"))
     return R.assigned_ids(lines, ["l_orderkey"], "l_linenumber", "wanted")
@@ -171,22 +179,30 @@ def same_person_pairs(spark, sf_dir):
 
 @catalog.add(
     "newer_snapshots",
-    "WITH p AS (SELECT user_id AS g, event_id AS q, sha256(event_type) AS h FROM events WHERE event_id % 50 = 0), s AS (SELECT user_id AS g, event_id AS q, sha256(event_type) AS h FROM events WHERE event_id % 5 = 0) SELECT p.g, p.q, p.h, count(*) FILTER (s.q > p.q AND s.h <> p.h) AS newer FROM p LEFT JOIN s USING (g) GROUP BY ALL",
+    "WITH e AS (SELECT user_id AS g, event_id AS q, sha256(event_type) AS h FROM events) SELECT p.g, p.q, p.h, count(*) FILTER (s.q > p.q AND s.h <> p.h) AS newer FROM e p JOIN e s USING (g) GROUP BY ALL",
 )
 def newer_snapshots(spark, sf_dir):
     events = table(spark, sf_dir, "events").select(F.col("user_id").alias("g"), F.col("event_id").alias("q"), F.sha2(F.col("event_type").cast("binary"), 256).alias("h"))
-    return R.newer(events.filter("q % 50 = 0"), events.filter("q % 5 = 0"), ["g"], "q", "h")
+    return R.newer(events, events, ["g"], "q", "h")
 
 
-@catalog.add(
-    "waves_since",
-    "WITH p AS (SELECT user_id AS g, event_id AS pos, event_id + 4000 AS until FROM events WHERE event_id % 40 = 0), w AS (SELECT user_id AS g, event_id AS planned, CASE WHEN event_id % 3 <> 0 THEN event_id + 500 END AS closed FROM events WHERE event_id % 4 = 1) SELECT g, pos, until, count(*) FILTER (planned >= pos AND closed IS NOT NULL AND closed < until) AS waves FROM p LEFT JOIN w USING (g) GROUP BY ALL",
-)
-def waves_since(spark, sf_dir):
+_WAVES = "p AS (SELECT user_id AS g, event_id AS pos, event_id + 4000 AS until FROM events), w AS (SELECT user_id AS g, event_id AS planned, CASE WHEN event_id % 3 <> 0 THEN event_id + 500 END AS closed FROM events)"
+
+
+def _waves(spark, sf_dir):
     events = table(spark, sf_dir, "events").select(F.col("user_id").alias("g"), "event_id")
-    points = events.filter("event_id % 40 = 0").select("g", F.col("event_id").alias("pos"), (F.col("event_id") + 4000).alias("until"))
-    waves = events.filter("event_id % 4 = 1").select("g", F.col("event_id").alias("planned"), F.when(F.col("event_id") % 3 != 0, F.col("event_id") + 500).alias("closed"))
-    return R.waves_since(points, waves, ["g"], "pos", "planned", "closed", "until")
+    points = events.select("g", F.col("event_id").alias("pos"), (F.col("event_id") + 4000).alias("until"))
+    return points, events.select("g", F.col("event_id").alias("planned"), F.when(F.col("event_id") % 3 != 0, F.col("event_id") + 500).alias("closed"))
+
+
+@catalog.add("waves_since", f"WITH {_WAVES} SELECT g, pos, until, count(*) FILTER (planned >= pos AND closed IS NOT NULL AND closed < until) AS waves FROM p LEFT JOIN w USING (g) GROUP BY ALL")
+def waves_since(spark, sf_dir):
+    return R.waves_since(*_waves(spark, sf_dir), ["g"], "pos", "planned", "closed", "until")
+
+
+@catalog.add("waves_from", f"WITH {_WAVES} SELECT g, pos, until, count(*) FILTER (planned >= pos AND closed IS NOT NULL) AS waves FROM p LEFT JOIN w USING (g) GROUP BY ALL")
+def waves_from(spark, sf_dir):
+    return R.waves_since(*_waves(spark, sf_dir), ["g"], "pos", "planned", "closed")
 
 
 NEEDED = (("view", 3), ("click", 2), ("purchase", 2), ("refund", 1))
@@ -210,7 +226,7 @@ def weighted_mode(spark, sf_dir):
     return R.weighted_mode(lines, ["l_suppkey"], "l_shipmode", F.col("l_quantity"), "pos")
 
 
-@catalog.add("tolerance_share", "WITH c AS (SELECT l_suppkey, count(*) AS n, avg((abs(l_discount - 0.05) <= 0.025)::INT) AS s FROM lineitem GROUP BY l_suppkey) SELECT l_suppkey, n, round(s, 6) AS share, CASE WHEN s >= 0.5 THEN 'ok' WHEN s >= 0.4 THEN 'warning' ELSE 'error' END AS level FROM c")
+@catalog.add("tolerance_share", "WITH c AS (SELECT l_suppkey, count(*) AS n, count(*) FILTER (abs(l_discount - 0.05) <= 0.025) AS within FROM lineitem GROUP BY l_suppkey) SELECT l_suppkey, n, within, within / n AS share, CASE WHEN within / n >= 0.5 THEN 'ok' WHEN within / n >= 0.4 THEN 'warning' ELSE 'error' END AS level FROM c")
 def tolerance_share(spark, sf_dir):
     return R.tolerance_share(table(spark, sf_dir, "lineitem"), ["l_suppkey"], F.abs(F.col("l_discount") - 0.05) <= 0.025, 0.5, 0.4)
 

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from folioscope.operators import rules as V
 from folioscope.operators import segments as S
-from folioscope.queries.audit import _BLOCKS, SQL_LINES, work_blocks
+from folioscope.queries.audit import _BLOCKS, work_blocks
 from folioscope.queries.common import Catalog, table
 
 catalog = Catalog()
@@ -15,8 +14,8 @@ catalog = Catalog()
 _REGIONS = f"""{_BLOCKS}, r AS (SELECT doc_id, idx, text, coalesce(last_value(kind IGNORE NULLS) OVER w, 'front') AS region_kind, CASE WHEN last_value(kind IGNORE NULLS) OVER w = 'chapter' THEN last_value(CASE WHEN kind = 'chapter' THEN number END IGNORE NULLS) OVER w END AS chapter_no, kind IS NOT NULL AS starts FROM k WINDOW w AS (PARTITION BY doc_id ORDER BY idx ROWS UNBOUNDED PRECEDING))"""
 
 
-def _works(spark, sf_dir, lines: int | None = None):
-    return S.regions(work_blocks(spark, sf_dir, lines))
+def _works(spark, sf_dir):
+    return S.regions(work_blocks(spark, sf_dir))
 
 
 @catalog.add(
@@ -24,17 +23,17 @@ def _works(spark, sf_dir, lines: int | None = None):
     f"WITH {_REGIONS}, n AS (SELECT DISTINCT doc_id FROM r), w(part) AS (VALUES ('contents'), ('introduction'), ('chapter'), ('conclusion'), ('bibliography')), h AS (SELECT DISTINCT doc_id, region_kind AS part FROM r WHERE starts) SELECT doc_id, 'structure' AS rule, 'error' AS severity, 'missing ' || part AS code FROM n CROSS JOIN w WHERE (doc_id, part) NOT IN (SELECT (doc_id, part) FROM h)",
 )
 def rule_structure(spark, sf_dir):
-    return V.required_structure(_works(spark, sf_dir, SQL_LINES))
+    return V.required_structure(_works(spark, sf_dir))
 
 
 @catalog.add("rule_three_chapters", f"WITH {_REGIONS}, g AS (SELECT doc_id, count(*) FILTER (starts AND region_kind = 'chapter') AS n FROM r GROUP BY doc_id) SELECT doc_id, 'profile' AS rule, 'error' AS severity, 'chapters: ' || n AS code FROM g WHERE n <> 3")
 def rule_three_chapters(spark, sf_dir):
-    return V.three_chapters(_works(spark, sf_dir, SQL_LINES))
+    return V.three_chapters(_works(spark, sf_dir))
 
 
 @catalog.add("rule_chapter_conclusions", f"WITH {_REGIONS}, g AS (SELECT doc_id, count(*) FILTER (starts AND region_kind = 'chapter') AS n FROM r GROUP BY doc_id) SELECT doc_id, 'chapter_conclusions' AS rule, 'warning' AS severity, 'fewer conclusions than chapters' AS code FROM g WHERE n > 0")
 def rule_chapter_conclusions(spark, sf_dir):
-    return V.chapter_conclusions(_works(spark, sf_dir, SQL_LINES))
+    return V.chapter_conclusions(_works(spark, sf_dir))
 
 
 FORMS = ("he", "that", "elle", "ein")
@@ -48,7 +47,7 @@ PHRASES = ("of the", "de la", "und", "que")
     SELECT doc_id, 'pronouns' AS rule, CASE WHEN a > 0 THEN 'error' ELSE 'warning' END AS severity, CASE WHEN a > 0 THEN 'main text' ELSE 'appendix' END AS code FROM g WHERE a > 0 OR b > 0""",
 )
 def rule_pronouns(spark, sf_dir):
-    return V.pronoun_rule(_works(spark, sf_dir, SQL_LINES), FORMS)
+    return V.pronoun_rule(_works(spark, sf_dir), FORMS)
 
 
 _PLAIN = " + ".join(f"(length(lower(text)) - length(replace(lower(text), '{p}', ''))) // {len(p)}" for p in PHRASES)
@@ -59,32 +58,32 @@ _PLAIN = " + ".join(f"(length(lower(text)) - length(replace(lower(text), '{p}',
     f"WITH {_REGIONS}, g AS (SELECT doc_id, sum({_PLAIN})::BIGINT AS n FROM r WHERE region_kind IN ('introduction', 'chapter', 'conclusion') GROUP BY doc_id) SELECT doc_id, 'cliches' AS rule, CASE WHEN n <= 3 THEN 'info' WHEN n <= 8 THEN 'warning' ELSE 'error' END AS severity, n::VARCHAR AS code FROM g WHERE n > 0",
 )
 def rule_cliches(spark, sf_dir):
-    return V.cliche_rule(_works(spark, sf_dir, SQL_LINES), PHRASES)
+    return V.cliche_rule(_works(spark, sf_dir), PHRASES)
 
 
 @catalog.add(
     "rule_captions",
-    "SELECT l_orderkey AS doc_id, 'captions' AS rule, CASE WHEN l_linenumber % 2 = 0 THEN 'warning' ELSE 'error' END AS severity, CASE WHEN l_linenumber % 2 = 0 THEN 'table not mentioned: ' ELSE 'figure absent: ' END || l_linenumber AS code FROM lineitem WHERE l_orderkey < 3000 GROUP BY ALL",
+    "SELECT l_orderkey AS doc_id, 'captions' AS rule, CASE WHEN l_linenumber % 2 = 0 THEN 'warning' ELSE 'error' END AS severity, CASE WHEN l_linenumber % 2 = 0 THEN 'table not mentioned: ' ELSE 'figure absent: ' END || l_linenumber AS code FROM lineitem GROUP BY ALL",
 )
 def rule_captions(spark, sf_dir):
-    lines = table(spark, sf_dir, "lineitem").filter("l_orderkey < 3000").select(F.col("l_orderkey").alias("doc_id"), "l_linenumber").distinct()
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), "l_linenumber").distinct()
     n = F.col("l_linenumber").cast("string")
     blocks = lines.select("doc_id", F.col("l_linenumber").alias("idx"), F.when(F.col("l_linenumber") % 2 == 0, F.concat(F.lit("Таблица "), n, F.lit(". Данные"))).otherwise(F.concat(F.lit("Итоги (рис. "), n, F.lit(") видны")))).toDF("doc_id", "idx", "text")
     return V.caption_mentions(blocks)
 
 
-def _listed(spark, sf_dir, orders: Column | None = None):
-    """Orders (all, or those chosen) as works: lines cite their number, and the list has the numbers of lines with a small quantity."""
-    lines = table(spark, sf_dir, "lineitem").filter(F.lit(True) if orders is None else orders).select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("n"), F.col("l_quantity").alias("q")).groupBy("doc_id", "n").agg(F.max("q").alias("q"))
+def _listed(spark, sf_dir):
+    """Orders as works: lines cite their number, and the list has the numbers of lines with a small quantity."""
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("n"), F.col("l_quantity").alias("q")).groupBy("doc_id", "n").agg(F.max("q").alias("q"))
     n = F.col("n").cast("string")
     text = lines.select("doc_id", F.col("n").alias("idx"), F.concat(F.lit("Тезис ["), n, F.lit(", с. 5].")).alias("text"), F.lit("chapter").alias("region_kind"))
     listed = lines.filter("q < 30").select("doc_id", (F.col("n") + 100).alias("idx"), F.concat(n, F.lit(". Автор "), F.chr(F.lit(65) + F.col("q").cast("int") % 26), F.lit(". Книга")).alias("text"), F.lit("bibliography").alias("region_kind"))
     return text.unionByName(listed).withColumn("starts", F.lit(False))
 
 
-@catalog.add("rule_references", "SELECT l_orderkey AS doc_id, 'references' AS rule, 'error' AS severity, 'not listed: ' || l_linenumber AS code FROM lineitem WHERE l_orderkey < 3000 GROUP BY l_orderkey, l_linenumber HAVING max(l_quantity) >= 30")
+@catalog.add("rule_references", "SELECT l_orderkey AS doc_id, 'references' AS rule, 'error' AS severity, 'not listed: ' || l_linenumber AS code FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING max(l_quantity) >= 30")
 def rule_references(spark, sf_dir):
-    return V.cross_references(_listed(spark, sf_dir, F.col("l_orderkey") < 3000))  # as its SQL does
+    return V.cross_references(_listed(spark, sf_dir))
 
 
 @catalog.add("rule_bibliography")
