@@ -34,12 +34,30 @@ def log(spark, sf_dir):
     )
 
 
-@catalog.add("replay_status")
+_REPLAY = """
+WITH RECURSIVE e AS (SELECT 'F-' || user_id AS id, event_id AS seq, event_type AS kind, event_id % 2 = 0 AS even, CASE event_type WHEN 'click' THEN 'pass' WHEN 'purchase' THEN CASE WHEN event_id % 3 = 0 THEN 'fail' ELSE 'partial' END WHEN 'signup' THEN 'invalid_finding' END AS verdict,
+    event_id // 100 AS sseq, 's' || (event_id // 100) % 40 AS ssha, event_id % 7 AS auditor, event_id % 5 AS level, user_id % 4 AS sev, user_id % 9 AS gate, user_id % 3 = 0 AS approval, event_id % 4 <> 0 AS reasoned, event_id % 6 <> 1 AS allowed, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),
+r AS (SELECT DISTINCT id, 0::BIGINT AS k, NULL::VARCHAR AS status, 0::BIGINT AS fseq, ''::VARCHAR AS fsha, 0::BIGINT AS faud, []::VARCHAR[] AS neg, 0 AS history, NULL::BIGINT AS resolved, 0::BIGINT AS sev, 0::BIGINT AS gate FROM e
+  UNION ALL SELECT id, k, ns, CASE WHEN starts THEN sseq ELSE fseq END, CASE WHEN starts THEN ssha ELSE fsha END, CASE WHEN starts THEN auditor ELSE faud END, CASE WHEN status IS NOT NULL AND verdict IN ('fail', 'partial') THEN list_append(neg, ssha) ELSE neg END,
+    history + CASE WHEN status IS NOT NULL AND kind <> 'view' AND (kind <> 'error' OR ns <> status) THEN 1 ELSE 0 END, CASE WHEN status IS NOT NULL AND kind <> 'view' AND ns <> status THEN CASE WHEN ns <> 'open' THEN seq END ELSE resolved END, esev, egate
+  FROM (SELECT r.id, e.k, r.status, r.fseq, r.fsha, r.faud, r.neg, r.history, r.resolved, e.seq, e.kind, e.verdict, e.sseq, e.ssha, e.auditor, e.sev AS esev, e.gate AS egate, r.status IS NULL AND kind = 'view' AS starts,
+    CASE WHEN r.status IS NULL THEN CASE WHEN kind = 'view' THEN 'open' END
+      WHEN verdict = 'pass' AND r.status = 'open' AND NOT list_contains(neg, ssha) AND sseq > fseq AND ssha <> fsha THEN 'resolved'
+      WHEN verdict = 'invalid_finding' AND r.status = 'open' AND NOT list_contains(neg, ssha) AND auditor <> faud AND level >= 3 THEN 'rejected'
+      WHEN verdict IN ('fail', 'partial') AND r.status IN ('resolved', 'rejected') THEN 'open'
+      WHEN kind = 'error' AND even AND r.status = 'open' AND reasoned AND e.sev >= 2 AND allowed THEN 'accepted_risk'
+      WHEN kind = 'error' AND NOT even AND r.status = 'open' AND approval AND allowed THEN 'waived' ELSE r.status END AS ns
+    FROM r JOIN e ON e.id = r.id AND e.k = r.k + 1)),
+l AS (SELECT id AS finding_id, status, ['BLOCKER', 'MAJOR', 'MINOR', 'INFO'][sev + 1] AS severity, ['MET', 'SRC', 'LOG', 'LNG', 'STY', 'EVD', 'TEC', 'DOC', 'OWN'][gate + 1] AS gate, history, resolved AS resolved_seq FROM r QUALIFY row_number() OVER (PARTITION BY id ORDER BY k DESC) = 1)
+"""
+
+
+@catalog.add("replay_status", _REPLAY + "SELECT * FROM l WHERE status IS NOT NULL")
 def replay_status(spark, sf_dir):
     return A.replay(log(spark, sf_dir))
 
 
-@catalog.add("replay_view")
+@catalog.add("replay_view", _REPLAY + f"SELECT gate, {', '.join(f'count(*) FILTER (status = {chr(39)}{s}{chr(39)}) AS {s}' for s in A.STATUSES)}, coalesce(string_agg(finding_id, ',' ORDER BY finding_id) FILTER (status = 'open' AND severity IN ('BLOCKER', 'MAJOR')), '') AS open_high FROM l WHERE status IS NOT NULL GROUP BY gate")
 def replay_view(spark, sf_dir):
     return A.findings_view(A.replay(log(spark, sf_dir)), ["gate"])
 
@@ -224,7 +242,7 @@ def html_blocks(spark, sf_dir):
     return S.html_blocks(table(spark, sf_dir, "pages"))
 
 
-@catalog.add("html_fingerprints")
+@catalog.add("html_fingerprints", f"SELECT page_id, count(*) AS lines, sha256(string_agg(text, chr(10) ORDER BY idx)) AS fingerprint FROM ({catalog.sql['html_blocks']}) GROUP BY page_id")
 def html_fingerprints(spark, sf_dir):
     return S.text_fingerprint(S.html_blocks(table(spark, sf_dir, "pages")), ["page_id"])
 
@@ -258,11 +276,19 @@ def regions(spark, sf_dir):
     return S.regions(work_blocks(spark, sf_dir)).select("doc_id", "idx", "region_kind", "chapter_no", "region", "starts")
 
 
-@catalog.add("sections")
+_REGIONS = f"""{_BLOCKS}, r AS (SELECT doc_id, idx, text, coalesce(last_value(kind IGNORE NULLS) OVER w, 'front') AS region_kind, CASE WHEN last_value(kind IGNORE NULLS) OVER w = 'chapter' THEN last_value(CASE WHEN kind = 'chapter' THEN number END IGNORE NULLS) OVER w END AS chapter_no, kind IS NOT NULL AS starts FROM k WINDOW w AS (PARTITION BY doc_id ORDER BY idx ROWS UNBOUNDED PRECEDING))"""
+_SECTIONS = f"""{_REGIONS}, t AS (SELECT doc_id, idx, CASE WHEN region_kind = 'chapter' THEN 'chapter' || chapter_no WHEN region_kind IN ('introduction', 'conclusion') THEN region_kind END AS section, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM r WHERE NOT starts),
+sec AS (SELECT doc_id, section, count(*) FILTER (length(t) > 30) AS paragraphs, coalesce(string_agg(t, chr(10) ORDER BY idx) FILTER (length(t) > 30), '') AS text FROM t WHERE section IS NOT NULL AND t <> '' AND NOT (length(t) <= 250 AND regexp_matches(t, '(?:\\t|\\.{{3,}}|…+|_{{3,}})\\s*\\d{{1,4}}\\s*$')) GROUP BY doc_id, section)"""
+
+
+@catalog.add("sections", f"WITH {_SECTIONS} SELECT * FROM sec")
 def sections(spark, sf_dir):
     return S.sections(work_blocks(spark, sf_dir))
 
 
-@catalog.add("missing_sections")
+@catalog.add(
+    "missing_sections",
+    f"""WITH {_SECTIONS}, g AS (SELECT doc_id, coalesce(max(TRY_CAST(regexp_extract(section, '^chapter(\\d+)$', 1) AS INT)), 0) AS n FROM sec GROUP BY doc_id), w AS (SELECT doc_id, unnest(list_concat(['introduction', 'conclusion'], ['chapter' || i FOR i IN range(1, n + 1)])) AS section FROM g) SELECT * FROM w WHERE NOT EXISTS (SELECT 1 FROM sec WHERE sec.doc_id = w.doc_id AND sec.section = w.section)""",
+)
 def missing_sections(spark, sf_dir):
     return S.missing_sections(S.sections(work_blocks(spark, sf_dir)))

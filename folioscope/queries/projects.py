@@ -85,7 +85,11 @@ def build_violations(spark, sf_dir):
     return _work(spark, sf_dir)["violations"]
 
 
-@catalog.add("build_texts")
+@catalog.add(
+    "build_texts",
+    """WITH n AS (SELECT s_nationkey, s_suppkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_name) AS number FROM supplier WHERE s_suppkey % 5 <> 0)
+    SELECT s.s_nationkey, s.s_suppkey, 'See ' || coalesce('[' || a.number || ']', '[@s' || s.s_suppkey || ']') || ' and ' || coalesce('[' || b.number || ']', '[@s' || (s.s_suppkey + 1) || ']') || '.' AS rewritten FROM supplier s LEFT JOIN n a ON a.s_nationkey = s.s_nationkey AND a.s_suppkey = s.s_suppkey LEFT JOIN n b ON b.s_nationkey = s.s_nationkey AND b.s_suppkey = s.s_suppkey + 1""",
+)
 def build_texts(spark, sf_dir):
     return _work(spark, sf_dir)["texts"]
 

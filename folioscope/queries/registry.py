@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from folioscope.functions import text as X
+from folioscope.operators import audit as A
 from folioscope.operators import registry as R
 from folioscope.queries.common import Catalog, table
 
@@ -271,3 +272,54 @@ def filled_forward(spark, sf_dir):
 def set_algebra(spark, sf_dir):
     g = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_set(F.when(F.col("l_returnflag") == "N", F.col("l_suppkey"))).alias("a"), F.collect_set(F.when(F.col("l_linestatus") == "O", F.col("l_suppkey"))).alias("b"))
     return g.select("l_orderkey", F.size(F.array_except("a", "b")).cast("long").alias("only_first"), F.size(F.array_intersect("a", "b")).cast("long").alias("in_both"), (F.size(F.array_except("b", "a")) == 0).alias("subset"))
+
+
+@catalog.add(
+    "text_forms",
+    r"""SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[\p{L}\p{N}_]+'))::INT AS words, CASE WHEN length(text) <= 40 THEN text ELSE rtrim(substring(text, 1, 39), ' ') || '…' END AS short, trim(regexp_replace(lower(source || ' ' || lang || '!'), '[^a-z0-9]+', '-', 'g'), '-') AS slug, doc_id % 3 = 1 AS is_url,
+    CASE WHEN doc_id % 70 BETWEEN 1 AND 60 THEN repeat('L', (doc_id % 70 // 50)::INT) || ['', 'X', 'XX', 'XXX', 'XL'][doc_id % 70 % 50 // 10 + 1] || ['', 'I', 'II', 'III', 'IV', 'V', 'VI', 'VII', 'VIII', 'IX'][doc_id % 10 + 1] END AS roman, doc_id % 2 = 0 AS dated, sha256(coalesce(text, '')) AS sha FROM documents""",
+)
+def text_forms(spark, sf_dir):
+    n = F.col("doc_id")
+    url = F.when(n % 3 == 0, "ftp://x.org").when(n % 3 == 1, "HTTPS://x.org/a?b").otherwise("https://x y")
+    date = F.when(n % 2 == 0, "01.02.2024").otherwise("1.2.2024")
+    return table(spark, sf_dir, "documents").select("doc_id", X.word_count(F.col("text")).alias("words"), X.truncate(F.col("text"), 40).alias("short"), X.slug(F.concat("source", F.lit(" "), "lang", F.lit("!"))).alias("slug"), X.is_url(url).alias("is_url"), X.to_roman(n % 70).alias("roman"), X.is_dotted_date(date).alias("dated"), X.sha256_text(F.col("text")).alias("sha"))
+
+
+@catalog.add(
+    "review_forms",
+    """SELECT event_id, list_concat(['a', 'b', 'c', 'd'][event_id % 9 % 4 + 1:], ['a', 'b', 'c', 'd'][:event_id % 9 % 4]) AS parts, CASE WHEN event_type = 'click' AND event_id % 3 < 2 THEN 'fail' WHEN event_type = 'click' THEN 'pass' ELSE event_type END AS status, CASE WHEN event_id % 5 = 0 THEN 'recovery_required' WHEN event_id % 4 = 0 THEN 'needs_rebaseline' WHEN event_id % 3 = 0 THEN 'external_changes' ELSE 'ok' END AS memory,
+    coalesce(CASE WHEN event_id % 3 <> 0 THEN event_type END, '') <> 'view' AS stale, event_id % 4 IN (0, 1, 2) AS forbidden FROM events""",
+)
+def review_forms(spark, sf_dir):
+    n, kind = F.col("event_id"), F.col("event_type")
+    severities = F.array(F.lit("INFO"), F.element_at(F.array(*[F.lit(s) for s in ("BLOCKER", "MAJOR", "MINOR")]), (n % 3 + 1).cast("int")))
+    name = F.element_at(F.array(*[F.lit(s) for s in ("checkGhostText2", "ghost_a", "G-h-o-s-t", "aghost")]), (n % 4 + 1).cast("int"))
+    flag = lambda k: F.when(n % k == 0, 1).otherwise(0)
+    return table(spark, sf_dir, "events").select(
+        "event_id",
+        A.review_order(F.array(*[F.lit(x) for x in "abcd"]), (n % 9).cast("int")).alias("parts"),
+        A.stored_status(F.when(kind == "click", "pass").otherwise(kind), severities).alias("status"),
+        A.memory_status(flag(3), flag(4), F.lit(0), flag(5)).alias("memory"),
+        A.verification_stale(F.when(n % 3 != 0, kind), F.lit("view")).alias("stale"),
+        A.forbidden_identifier(name, ["ghost"]).alias("forbidden"),
+    )
+
+
+@catalog.add("new_snapshots", "SELECT o_orderkey, sha256(o_orderpriority || o_orderkey) AS snapshot_sha FROM orders WHERE o_orderkey % 4 = 0 AND o_orderkey % 3 <> 0")
+def new_snapshots(spark, sf_dir):
+    found = table(spark, sf_dir, "orders").select("o_orderkey", F.sha2(F.concat("o_orderpriority", F.col("o_orderkey").cast("string")).cast("binary"), 256).alias("snapshot_sha"))
+    return A.snapshots_to_add(found.filter("o_orderkey % 4 = 0"), found.filter("o_orderkey % 3 = 0"))
+
+
+@catalog.add(
+    "run_blocking",
+    """WITH t AS (SELECT l_orderkey, l_linenumber, max(l_suppkey) AS s, max(l_partkey) AS p FROM lineitem GROUP BY ALL), g AS (SELECT l_orderkey, count(*) FILTER (s % 3 = 0 AND s % 5 <> 0) AS pending FROM t GROUP BY l_orderkey),
+    f AS (SELECT l_orderkey, unnest([p % 200, p % 77]) AS finding_id FROM t), o AS (SELECT l_orderkey, count(*) AS unclosed, count(*) FILTER (s_suppkey % 4 < 2) AS open_high FROM f JOIN supplier ON s_suppkey = finding_id AND s_suppkey % 3 <> 0 GROUP BY l_orderkey)
+    SELECT l_orderkey, pending, coalesce(unclosed, 0) AS unclosed, coalesce(open_high, 0) AS open_high FROM g LEFT JOIN o USING (l_orderkey)""",
+)
+def run_blocking(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", F.col("l_linenumber").alias("task_id")).agg(F.max("l_suppkey").alias("s"), F.max("l_partkey").alias("p"))
+    tasks = lines.select("l_orderkey", "task_id", F.when(F.col("s") % 3 == 0, 0).otherwise(1).alias("attempts"), F.when(F.col("s") % 5 == 0, "cancelled").otherwise("planned").alias("status"), F.array(F.col("p") % 200, F.col("p") % 77).alias("finding_ids"))
+    registry = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("finding_id"), F.when(F.col("s_suppkey") % 3 == 0, "resolved").otherwise("open").alias("status"), F.element_at(F.array(*[F.lit(s) for s in A.SEVERITIES]), (F.col("s_suppkey") % 4 + 1).cast("int")).alias("severity"))
+    return A.blocking(tasks, registry, ["l_orderkey"])

@@ -6,13 +6,11 @@ from pyspark.sql import functions as F
 
 from folioscope.operators import rules as V
 from folioscope.operators import segments as S
-from folioscope.queries.audit import _BLOCKS, work_blocks
+from folioscope.queries.audit import _REGIONS, work_blocks
 from folioscope.queries.common import Catalog, table
 
 catalog = Catalog()
 
-_REGIONS = f"""{_BLOCKS}, r AS (SELECT doc_id, idx, text, coalesce(last_value(kind IGNORE NULLS) OVER w, 'front') AS region_kind, CASE WHEN last_value(kind IGNORE NULLS) OVER w = 'chapter' THEN last_value(CASE WHEN kind = 'chapter' THEN number END IGNORE NULLS) OVER w END AS chapter_no, kind IS NOT NULL AS starts FROM k WINDOW w AS (PARTITION BY doc_id ORDER BY idx ROWS UNBOUNDED PRECEDING))"""
-
 
 def _works(spark, sf_dir):
     return S.regions(work_blocks(spark, sf_dir))
@@ -86,7 +84,7 @@ def rule_references(spark, sf_dir):
     return V.cross_references(_listed(spark, sf_dir))
 
 
-@catalog.add("rule_bibliography")
+@catalog.add("rule_bibliography", "WITH l AS (SELECT l_orderkey AS doc_id, l_linenumber AS n, max(l_quantity) AS q FROM lineitem GROUP BY ALL), g AS (SELECT doc_id, min(n) AS lo, max(n) AS hi, count(*) AS k FROM l WHERE q < 30 GROUP BY doc_id) SELECT doc_id, 'bibliography' AS rule, 'error' AS severity, 'numbering' AS code FROM g WHERE lo <> 1 OR hi - lo + 1 <> k")
 def rule_bibliography(spark, sf_dir):
     return V.bibliography_order(_listed(spark, sf_dir))
 
@@ -128,3 +126,75 @@ def rule_indent(spark, sf_dir):
 def rule_colours(spark, sf_dir):
     runs = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("doc_id"), F.element_at(F.array(F.lit("000000"), F.lit("1A1A1A"), F.lit("FF0000"), F.lit("0000ff")), (F.col("l_linenumber") % 4 + 1).cast("int")).alias("colour"), F.col("l_quantity").cast("long").alias("chars"))
     return V.colours(runs)
+
+
+_LINES = "SELECT l_suppkey AS doc_id, l_orderkey * 10 + l_linenumber AS idx, l_quantity::BIGINT AS chars, CASE l_linenumber % 3 WHEN 0 THEN 'Times New Roman' WHEN 1 THEN 'Arial' END AS font, CASE WHEN l_linenumber % 4 = 0 THEN 24 ELSE 28 END AS size FROM lineitem"
+
+
+def _own_lines(spark, sf_dir, *columns):
+    return table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("doc_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("idx"), *columns)
+
+
+@catalog.add(
+    "rule_fonts",
+    f"""WITH r AS ({_LINES}), f AS (SELECT doc_id, font AS v, sum(chars) AS w, min(idx) AS pos FROM r GROUP BY ALL), s AS (SELECT doc_id, size AS v, sum(chars) AS w, min(idx) AS pos FROM r GROUP BY ALL),
+    a AS (SELECT doc_id, v FROM f QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY w DESC, pos) = 1), b AS (SELECT doc_id, v FROM s QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY w DESC, pos) = 1)
+    SELECT doc_id, 'fonts' AS rule, 'error' AS severity, 'font: ' || coalesce(v, 'none') AS code FROM a WHERE v IS DISTINCT FROM 'Times New Roman' UNION ALL SELECT doc_id, 'fonts', 'error', 'size: ' || v FROM b WHERE v <> 28""",
+)
+def rule_fonts(spark, sf_dir):
+    n = F.col("l_linenumber")
+    return V.fonts(_own_lines(spark, sf_dir, F.col("l_quantity").cast("long").alias("chars"), F.when(n % 3 == 0, "Times New Roman").when(n % 3 == 1, "Arial").alias("font"), F.when(n % 4 == 0, 24).otherwise(28).alias("size")))
+
+
+@catalog.add("rule_spacing", "WITH g AS (SELECT l_suppkey AS doc_id, round(avg((l_quantity > 10 AND l_linenumber <> 7)::INT), 3) AS r, avg((l_quantity > 10 AND l_linenumber <> 7)::INT) AS s FROM lineitem GROUP BY l_suppkey) SELECT doc_id, 'spacing' AS rule, 'error' AS severity, CASE WHEN r = 0 THEN '0.0' ELSE r::VARCHAR END AS code FROM g WHERE s < 0.8")
+def rule_spacing(spark, sf_dir):
+    n, q = F.col("l_linenumber"), F.col("l_quantity")
+    return V.line_spacing(_own_lines(spark, sf_dir, F.when(q <= 5, 1.0).when(q <= 10, 2.04).otherwise(1.46).alias("line"), F.when(n == 7, "exact").otherwise("auto").alias("line_rule")))
+
+
+@catalog.add("rule_alignment", "WITH g AS (SELECT l_suppkey AS doc_id, count(*) FILTER (l_linenumber > 5) AS n, count(*) AS k FROM lineitem GROUP BY l_suppkey) SELECT doc_id, 'alignment' AS rule, 'warning' AS severity, n::VARCHAR AS code FROM g WHERE n >= 3 AND n >= 0.1 * k")
+def rule_alignment(spark, sf_dir):
+    n = F.col("l_linenumber")
+    return V.alignment(_own_lines(spark, sf_dir, F.when(n <= 5, "both").when(n == 6, "center").alias("alignment")))
+
+
+FRAME = ("the", "und", "que", "les", "ein", "ción", "ung")
+
+
+@catalog.add("rule_frame", f"WITH g AS (SELECT doc_id, {' + '.join(f'contains(lower(coalesce(text, {chr(39) * 2})), {chr(39)}{w}{chr(39)})::INT' for w in FRAME)} AS n FROM documents) SELECT doc_id, 'frame' AS rule, CASE WHEN n >= 2 THEN 'warning' ELSE 'error' END AS severity, n::VARCHAR AS code FROM g WHERE n < 5")
+def rule_frame(spark, sf_dir):
+    return V.frame_words(table(spark, sf_dir, "documents").select("doc_id", "text"), FRAME)
+
+
+def _pages(spark, sf_dir):
+    part = F.col("l_partkey")
+    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("idx")).agg(F.min("l_partkey").alias("l_partkey")).select("doc_id", "idx", (F.col("idx") % 3 == 0).alias("chapter"), (part % 4 == 0).alias("breaks"), (part % 3 != 0).alias("visible"))
+
+
+_PAGES = "p AS (SELECT l_orderkey AS doc_id, l_linenumber AS idx, l_linenumber % 3 = 0 AS chapter, min(l_partkey) % 4 = 0 AS breaks, min(l_partkey) % 3 <> 0 AS visible FROM lineitem GROUP BY l_orderkey, l_linenumber)"
+
+
+@catalog.add("rule_page_breaks", f"WITH {_PAGES}, w AS (SELECT *, last_value(CASE WHEN visible OR breaks THEN breaks END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM p) SELECT doc_id, 'page_break' AS rule, 'warning' AS severity, idx::VARCHAR AS code FROM w WHERE chapter AND NOT before AND NOT breaks")
+def rule_page_breaks(spark, sf_dir):
+    return V.page_breaks(_pages(spark, sf_dir))
+
+
+@catalog.add("rule_last_page", f"WITH {_PAGES}, g AS (SELECT doc_id, max(idx) FILTER (visible) AS v, max(idx) FILTER (breaks) AS b FROM p GROUP BY doc_id) SELECT doc_id, 'empty_last_page' AS rule, 'warning' AS severity, b::VARCHAR AS code FROM g WHERE b > v")
+def rule_last_page(spark, sf_dir):
+    return V.trailing_page(_pages(spark, sf_dir))
+
+
+@catalog.add("chapter_ranges", f"WITH {_REGIONS}, h AS (SELECT doc_id, idx FROM r WHERE starts AND region_kind = 'chapter'), m AS (SELECT doc_id, max(idx) + 1 AS n FROM r GROUP BY doc_id) SELECT doc_id, idx AS start, coalesce(lead(idx) OVER (PARTITION BY doc_id ORDER BY idx), n) AS \"end\" FROM h JOIN m USING (doc_id)")
+def chapter_ranges(spark, sf_dir):
+    works = _works(spark, sf_dir)
+    return S.chapter_ranges(works.filter("starts and region_kind = 'chapter'"), works.groupBy("doc_id").agg((F.max("idx") + 1).alias("n")))
+
+
+@catalog.add(
+    "marks_shown",
+    "WITH m AS (SELECT l_suppkey AS doc_id, '[Вставить: ' || (l_partkey % 40) || ']' AS mark, min(l_orderkey * 10 + l_linenumber) AS pos FROM lineitem GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos, mark) AS n FROM m) SELECT doc_id, string_agg(mark, ' ' ORDER BY n) FILTER (n <= 10) AS shown, greatest(count(*) - 10, 0) AS more FROM k GROUP BY doc_id",
+)
+def marks_shown(spark, sf_dir):
+    lines = _own_lines(spark, sf_dir, F.concat(F.lit("Text [Вставить: "), (F.col("l_partkey") % 40).cast("string"), F.lit("] goes on")).alias("text"))
+    found = S.markers(lines, ["doc_id", "idx"]).select("doc_id", F.col("idx").alias("pos"), "mark")
+    return S.distinct_marks(found, ["doc_id"])

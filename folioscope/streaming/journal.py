@@ -8,6 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from folioscope.operators import audit as A
 
@@ -27,15 +28,23 @@ def into_journal(events: DataFrame, path: str, checkpoint: str):
     return events.writeStream.format("json").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
 
 
+#: Parts of the log by finding; a batch reads those of its own findings.
+BUCKETS = 64
+
+
 def registry_updates(log_path: str, write: Callable[[DataFrame], None]) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: adds a batch's events to the log (once for each batch number) and hands over the rows of the findings that it is about, replayed over their whole log."""
+    """For foreachBatch: adds a batch's events to the log (once for each batch number) and hands over the rows of the findings that it is about, replayed over their whole log. The log lies in parts by a hash of the finding, and only the batch's own parts are read."""
 
     def update(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{log_path}/batch={number}")
         spark = batch.sparkSession
-        log = spark.read.option("basePath", log_path).parquet(f"{log_path}/batch=*").filter(f"batch <= {number}").drop("batch")
-        touched = batch.select("finding_id").distinct()
-        write(A.replay(log.join(touched, "finding_id", "left_semi")))
+        batch.withColumn("bucket", F.pmod(F.xxhash64("finding_id"), F.lit(BUCKETS)).cast("int")).write.mode("overwrite").partitionBy("bucket").parquet(f"{log_path}/batch={number}")
+        if batch.isEmpty():
+            return
+        log = spark.read.option("basePath", log_path).parquet(f"{log_path}/batch=*")
+        own = log.filter(F.col("batch") == number)
+        buckets = [r["bucket"] for r in own.select("bucket").distinct().collect()]  # BUCKETS at most
+        theirs = log.filter((F.col("batch") <= number) & F.col("bucket").isin(buckets)).drop("batch", "bucket")
+        write(A.replay(theirs.join(own.select("finding_id").distinct(), "finding_id", "left_semi")))
 
     return update
 
