@@ -1,16 +1,17 @@
 """Toxicity by gradient-boosted trees over dense features, with isotonic calibration.
 
-Features of a document: densities and counts of lexicon words, their nearness to words of the second person, rates of capitals, punctuation and obfuscation. The lexicon has fixed seeds and the words and word beginnings that the labels single out. Labelled rows are split by a hash of their id: from one half terms are learned, on the other half trees are grown and, from predictions across folds, calibrated. The labelled rows used are bounded (max_rows); everything is scored.
+Features of a document: densities and counts of lexicon words, their nearness to words of the second person, rates of capitals, punctuation and obfuscation. The lexicon has fixed seeds and the words and word beginnings that the labels single out: by standing in toxic texts at all, or by standing in them densely (in languages whose clean texts hold them now and then). Labelled rows are split by a hash of their id: from one half terms are learned, on the other half trees are grown and, from predictions across folds, calibrated. The labelled rows used are bounded (max_rows); everything is scored.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,7 +26,9 @@ _REPEAT = re.compile(r"(.)\1{2,}")
 PREFIXES = (4, 5, 6)
 ROOT = 3
 NEAR = 5
-WIDTH = 13
+WIDTH = 14
+#: A term is dense in a text that has it so often at least, and once in so many words.
+DENSE_TIMES, DENSE_WORDS = 2, 100
 
 
 def terms_of(word: str) -> list[str]:
@@ -33,8 +36,19 @@ def terms_of(word: str) -> list[str]:
     return [word, *(word[:n] + "*" for n in PREFIXES if len(word) > n)]
 
 
-def token_features(token: str, lexicon: dict[str, float], roots: frozenset[str]) -> tuple[float, ...]:
-    """Of a whitespace token: seed, learned weight, learned, seed after undoing an obfuscation, second person, all capitals, capitals, letters, exclamation marks, question marks, other signs, digits or signs between letters, letter repeated thrice. roots: the first letters of the lexicon's terms."""
+def dense_terms(text: str | None) -> list[str]:
+    """The terms that are dense in a text, ascending."""
+    words = Counter("".join(c if c.isalpha() else " " for c in (text or "").lower()).split())
+    counts: Counter[str] = Counter()
+    for word, n in words.items():
+        for term in terms_of(word):
+            counts[term] += n
+    least = max(DENSE_TIMES, sum(words.values()) / DENSE_WORDS)
+    return sorted(t for t, n in counts.items() if n >= least)
+
+
+def token_features(token: str, lexicon: dict[str, float], dense: dict[str, float], roots: frozenset[str]) -> tuple[float, ...]:
+    """Of a whitespace token: seed, learned weight, learned, seed after undoing an obfuscation, second person, all capitals, capitals, letters, exclamation marks, question marks, other signs, digits or signs between letters, letter repeated thrice, densely learned weight. roots: the first letters of both lexicons' terms."""
     letters = len(token)
     if plain := token.isalpha():
         bare = core = token.lower()
@@ -43,27 +57,28 @@ def token_features(token: str, lexicon: dict[str, float], roots: frozenset[str])
         core = bare if bare.isalpha() else "".join(filter(str.isalpha, bare))
         letters = sum(map(str.isalpha, token))
     if plain and core == token and core[:ROOT] not in roots and not _REPEAT.search(core):  # as most words are
-        return (0.0, 0.0, 0.0, 0.0, float(core in SECOND_PERSON), 0.0, 0.0, float(letters), 0.0, 0.0, 0.0, 0.0, 0.0)
+        return (0.0, 0.0, 0.0, 0.0, float(core in SECOND_PERSON), 0.0, 0.0, float(letters), 0.0, 0.0, 0.0, 0.0, 0.0, 0.0)
     upper = 0 if token.islower() else 1 if token.istitle() else sum(map(str.isupper, token))
     get = lexicon.get
-    weight = max(get(t, 0.0) for t in terms_of(core)) if core[:ROOT] in roots else 0.0
+    terms = terms_of(core) if core[:ROOT] in roots else ()
+    weight, often = max((get(t, 0.0) for t in terms), default=0.0), max((dense.get(t, 0.0) for t in terms), default=0.0)
     seed = core in SEEDS and bare is core
     stretched = float(_REPEAT.search(bare) is not None)
     hidden = not seed and (bare is not core or stretched) and bool(core) and (core in SEEDS or _REPEAT.sub(r"\1", "".join(filter(str.isalpha, bare.translate(_LEET)))) in SEEDS)
     if plain:
-        return (float(seed), weight, float(weight > 0), float(hidden), float(bare in SECOND_PERSON), float(letters > 1 and upper == letters), float(upper), float(letters), 0.0, 0.0, 0.0, 0.0, stretched)
+        return (float(seed), weight, float(weight > 0), float(hidden), float(bare in SECOND_PERSON), float(letters > 1 and upper == letters), float(upper), float(letters), 0.0, 0.0, 0.0, 0.0, stretched, often)
     exclaimed, asked = token.count("!"), token.count("?")
     signs = len(token) - sum(map(str.isalnum, token)) - exclaimed - asked
     mixed = len(bare) > 2 and bare is not core and bare[0].isalpha() and not bare.replace("'", "").replace("-", "").isalpha()
-    return (float(seed), weight, float(weight > 0), float(hidden), float(bare in SECOND_PERSON), float(letters > 1 and upper == letters), float(upper), float(letters), float(exclaimed), float(asked), float(signs), float(mixed), stretched)
+    return (float(seed), weight, float(weight > 0), float(hidden), float(bare in SECOND_PERSON), float(letters > 1 and upper == letters), float(upper), float(letters), float(exclaimed), float(asked), float(signs), float(mixed), stretched, often)
 
 
-FEATURES = ("seed rate", "seeds", "learned rate", "learned", "strongest", "hidden rate", "hidden", "second rate", "near", "near rate", "shouted rate", "capitals", "exclamations", "questions", "signs", "mixed rate", "repeats", "length")
+FEATURES = ("seed rate", "seeds", "learned rate", "learned", "strongest", "hidden rate", "hidden", "second rate", "near", "near rate", "shouted rate", "capitals", "exclamations", "questions", "signs", "mixed rate", "repeats", "length", "dense rate", "dense", "densest")
 
 
-def features(texts: list[str | None], lexicon: dict[str, float]) -> np.ndarray:
+def features(texts: list[str | None], lexicon: dict[str, float], dense: dict[str, float]) -> np.ndarray:
     """A row of FEATURES for each whole text; null and empty texts have zeros."""
-    table = _table(tuple(sorted(lexicon.items())))
+    table = _table(tuple(sorted(lexicon.items())), tuple(sorted(dense.items())))
     out = np.zeros((len(texts), len(FEATURES)))
     for r, text in enumerate(texts):
         tokens = (text or "").split()
@@ -79,14 +94,14 @@ def features(texts: list[str | None], lexicon: dict[str, float]) -> np.ndarray:
             second = np.nonzero(own[:, 4] > 0)[0]
             at = np.searchsorted(second, bad)
             near = int((np.minimum(np.abs(bad - second[np.maximum(at - 1, 0)]), np.abs(second[np.minimum(at, len(second) - 1)] - bad)) <= NEAR).sum())
-        out[r] = (s[0] / n, np.log1p(s[0]), s[1] / n, np.log1p(s[2]), own[:, 1].max(), s[3] / n, np.log1p(s[3]), s[4] / n, np.log1p(near), near / n, s[5] / n, s[6] / letters, s[8] / chars, s[9] / chars, s[10] / chars, s[11] / n, s[12] / n, np.log1p(n))
+        out[r] = (s[0] / n, np.log1p(s[0]), s[1] / n, np.log1p(s[2]), own[:, 1].max(), s[3] / n, np.log1p(s[3]), s[4] / n, np.log1p(near), near / n, s[5] / n, s[6] / letters, s[8] / chars, s[9] / chars, s[10] / chars, s[11] / n, s[12] / n, np.log1p(n), s[13] / n, np.log1p(s[13]), own[:, 13].max())
     return out
 
 
-def _table(lexicon: tuple) -> TokenTable:
-    words = dict(lexicon)
-    roots = frozenset(t[:ROOT].rstrip("*") for t in (*words, *SEEDS))
-    return held("toxicity", lexicon, lambda: TokenTable(lambda token: token_features(token, words, roots), WIDTH))
+def _table(lexicon: tuple, dense: tuple) -> TokenTable:
+    words, often = dict(lexicon), dict(dense)
+    roots = frozenset(t[:ROOT].rstrip("*") for t in (*words, *often, *SEEDS))
+    return held("toxicity", (lexicon, dense), lambda: TokenTable(lambda token: token_features(token, words, often, roots), WIDTH))
 
 
 @dataclass
@@ -180,19 +195,18 @@ def isotonic(score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 @dataclass
 class ToxicityModel:
     lexicon: dict[str, float]
+    dense: dict[str, float]
     trees: Trees
     at: np.ndarray
     probability: np.ndarray
 
     def score(self, texts: list[str | None]) -> np.ndarray:
-        raw = self.trees.score(features(texts, self.lexicon))
+        raw = self.trees.score(features(texts, self.lexicon, self.dense))
         return np.clip(np.interp(raw, self.at, np.maximum.accumulate(self.probability)), 0.0, 1.0)
 
 
-def learned_terms(rows: DataFrame, most: int = 2000, least: int = 6, floor: float = 1.5) -> dict[str, float]:
-    """Words and word beginnings that toxic rows hold far more often: the lower bound of their log odds, over floor. rows has text and y."""
-    words = F.array_distinct(F.expr(r"regexp_extract_all(lower(text), '\\p{L}+', 0)"))
-    terms = F.array_distinct(F.flatten(F.transform(words, lambda w: F.array(w, *[F.when(F.length(w) > n, F.concat(F.substring(w, 1, n), F.lit("*"))) for n in PREFIXES]))))
+def _telling(rows: DataFrame, terms: Column, most: int, least: int, floor: float) -> dict[str, float]:
+    """Terms of an array that toxic rows hold far more often: the lower bound of their log odds, over floor; most of them at most."""
     pos, neg = (float(x or 0) for x in rows.agg(F.sum("y"), F.sum(1 - F.col("y"))).first())
     if not pos or not neg:
         return {}
@@ -202,6 +216,19 @@ def learned_terms(rows: DataFrame, most: int = 2000, least: int = 6, floor: floa
     return {r["term"]: float(r["w"]) for r in top.collect()}
 
 
+def learned_terms(rows: DataFrame, most: int = 2000, least: int = 6, floor: float = 1.5) -> dict[str, float]:
+    """Words and word beginnings that more toxic rows hold. rows has text and y."""
+    words = F.array_distinct(F.expr(r"regexp_extract_all(lower(text), '\\p{L}+', 0)"))
+    terms = F.array_distinct(F.flatten(F.transform(words, lambda w: F.array(w, *[F.when(F.length(w) > n, F.concat(F.substring(w, 1, n), F.lit("*"))) for n in PREFIXES]))))
+    return _telling(rows, terms, most, least, floor)
+
+
+def learned_dense(rows: DataFrame, most: int = 500, least: int = 3, floor: float = 1.0) -> dict[str, float]:
+    """Words and word beginnings that are dense in more toxic rows. rows has text and y."""
+    make = lambda: lambda texts: [pa.array([dense_terms(t) for t in texts], pa.list_(pa.string()))]
+    return _telling(map_texts(rows, [T.StructField("terms", T.ArrayType(T.StringType(), True))], make, keep=["y"]), F.col("terms"), most, least, floor)
+
+
 def fit(labelled: DataFrame, max_rows: int = 12_000, folds: int = 3) -> ToxicityModel:
     """Fit on labelled (doc_id, text, y with 0 or 1), of which the max_rows rows with the smallest hash of doc_id are used. Without rows of both labels the score is the labels' share (or 0.5)."""
     rows = labelled.filter("y is not null").select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.col("y").cast("double").alias("y"))
@@ -209,16 +236,16 @@ def fit(labelled: DataFrame, max_rows: int = 12_000, folds: int = 3) -> Toxicity
     part = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("rows")), F.lit(1_000_000))
     used = rows.filter(part < F.lit(int(min(1.0, max_rows / max(total, 1)) * 1_000_000)))
     half = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("half")), F.lit(2))
-    lexicon = learned_terms(used.filter(half == 0))
+    lexicon, dense = learned_terms(used.filter(half == 0)), learned_dense(used.filter(half == 0))
     fields = [T.StructField("x", T.ArrayType(T.DoubleType(), True))]
-    make = lambda: lambda texts: [pa.array(list(features(texts, lexicon)), pa.list_(pa.float64()))]
+    make = lambda: lambda texts: [pa.array(list(features(texts, lexicon, dense)), pa.list_(pa.float64()))]
     seen = sorted(map_texts(used.filter(half == 1), fields, make, keep=["doc_id", "y"]).collect(), key=lambda r: str(r["doc_id"]))
     x, y = np.array([r["x"] for r in seen]).reshape(-1, len(FEATURES)), np.array([r["y"] for r in seen])
     fold = np.arange(len(y)) % folds
     held = np.zeros(len(y))
     for k in range(folds):
         held[fold == k] = Trees().fit(x[fold != k], y[fold != k]).score(x[fold == k])
-    return ToxicityModel(lexicon, Trees().fit(x, y), *isotonic(held, y))
+    return ToxicityModel(lexicon, dense, Trees().fit(x, y), *isotonic(held, y))
 
 
 def toxicity(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
