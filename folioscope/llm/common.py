@@ -101,6 +101,12 @@ def free_columns(df: DataFrame, names: Sequence[str]) -> DataFrame:
     return df.drop(*[c for c in df.columns if c in set(names)])
 
 
+def keeping_columns(docs: DataFrame, work: Callable[[DataFrame, dict[str, str]], DataFrame]) -> DataFrame:
+    """The rows of docs that work leaves, with docs's columns as they were, whatever their names: work gets docs under stand-in names, and those by name."""
+    stand_in = {c: f"in{i}" for i, c in enumerate(docs.columns)}
+    return work(docs.toDF(*stand_in.values()), stand_in).select(*stand_in.values()).toDF(*docs.columns)
+
+
 #: Rows that are worked on at once.
 SLICE = 256
 #: Bytes of an Arrow batch, at which it is closed (Spark's own bound of 64 MB is held several times over by an executor and its worker).

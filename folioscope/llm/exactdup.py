@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import ascii_lower_col, free_columns, heavy_rows, settled, stored
+from folioscope.llm.common import ascii_lower_col, free_columns, heavy_rows, keeping_columns, settled, stored
 
 #: Bits of one map piece, as bitmap_construct_agg makes them.
 PIECE = 32_768
@@ -80,7 +80,6 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return straight.unionByName(shuffled)
 
 
-def exact_dedup(docs: DataFrame, **options) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of docs that stay, with docs's columns."""
-    mark = exact_groups(docs.select("*"), **options)
-    return mark.filter("kept").select(*[c for c in docs.columns if c in mark.columns])
+    return keeping_columns(docs, lambda d, name: exact_groups(d, name[id_col], name[text_col], **options).filter("kept"))

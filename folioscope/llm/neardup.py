@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioscope.llm.common import _WORD_BYTES, ascii_lower_col, bounded_batches, free_columns, heavy_rows, held, map_texts, removed, settled, step_path, stored
+from folioscope.llm.common import _WORD_BYTES, ascii_lower_col, bounded_batches, free_columns, heavy_rows, held, keeping_columns, map_texts, removed, settled, step_path, stored
 
 OUTPUT = ("class_id", "class_size", "kept")
 
@@ -389,6 +389,6 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return out.select(*base.columns, *OUTPUT)
 
 
-def near_dedup(docs: DataFrame, **options) -> DataFrame:
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One row of each class, with docs's columns."""
-    return near_groups(docs, **options).filter("kept").select(*[c for c in docs.columns if c not in OUTPUT])
+    return keeping_columns(docs, lambda d, name: near_groups(d, name[id_col], name[text_col], **options).filter("kept"))

@@ -246,7 +246,7 @@ def read_tokens(spark: SparkSession, path: str, ids: bool = True) -> DataFrame:
 
 
 def token_files(docs: DataFrame, definition: str, pattern: str, end_id: int, path: str | None = None, **options) -> DataFrame:
-    """Write the token files (under path, or in the shared folder) and read them back: read_tokens's rows without ids."""
+    """Write the token files (under path, or in the shared folder) and read them back: read_tokens's rows without ids. A row for each row of docs, repeated ones too; a null or empty text has the end id alone; an empty table gives an empty table; docs's other columns play no part."""
     spark = docs.sparkSession
     path = path or f"{shared_dir(spark).rstrip('/')}/tokens-{uuid.uuid4().hex}"
     write_tokens(docs, path, definition, pattern, end_id, **options)

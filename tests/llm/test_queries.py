@@ -1,11 +1,21 @@
-"""All queries on the smallest tables, with their SQL where there is one; the pipeline, stage by stage."""
+"""All queries on the smallest tables, with their SQL where there is one, or a plain version of their own columns; the pipeline, stage by stage."""
 
+import base64
+import hashlib
+import re
+import zlib
+
+import numpy as np
+import public_tokenizers
 import pytest
+import tiktoken
+from tokenizers import Tokenizer
 
 import corpus_pipeline
-from folioscope.llm import decontam, exactdup, oracles, queries, toxicity
+from folioscope.llm import decontam, exactdup, oracles, queries, secrets, toxicity
 from folioscope.llm.common import ascii_lower, words_of
 from tests.compare import connect, difference
+from tests.llm.data import documents, stored
 from tests.llm.test_neardup import classes
 from tests.llm.test_scans import plain_hits
 
@@ -18,6 +28,83 @@ def test_query(spark, sf, name):
         assert difference(df, connect(sf), oracles.oracle_sql()[name]) is None
 
 
+def texts_of(spark, sf):
+    return {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+
+
+def sha(text):
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def joined(spans, kinds):
+    return ",".join(f"{k}:{a}:{b}" for a, _, k, b in sorted((a, kinds.index(k), k, b) for k, a, b in spans))
+
+
+def luhn(digits):
+    return sum(sum(divmod(2 * int(d), 10)) if i % 2 else int(d) for i, d in enumerate(reversed(digits))) % 10 == 0
+
+
+def digits(text):
+    return "".join(c for c in text if c in "0123456789")
+
+
+PII = (
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
+    ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(x) <= 255 for x in m[0].split("."))),
+    ("card", r"[0-9]([\x20-]?[0-9])+", lambda m: 14 <= len(digits(m[0])) <= 19 and luhn(digits(m[0]))),
+    ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 10 <= len(digits(m[0])) <= 15),
+)
+SECRETS = (
+    ("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", lambda m: len(m[2]) >= 6 and m[1].isascii()),
+    ("access", r"AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 20),
+    ("hex", r"[0-9a-f]+", lambda m: len(m[0]) >= 24),
+)
+
+
+@pytest.mark.parametrize("name, base, rules", [("op2_pii", PII, ()), ("op3_secrets", SECRETS, secrets.ADDED_RULES)])
+def test_spans_by_plain_patterns(spark, sf, name, base, rules):
+    """Counts, the digest of the base spans, and the list of all spans: base ones by plain patterns, and those of the added rules where they are patterns."""
+    texts = texts_of(spark, sf)
+    kinds = [k for k, _, _ in base]
+    for r in queries.queries()[name](spark, sf).collect():
+        text = texts[r.doc_id]
+        spans = [(k, m.start(), m.end()) for k, p, ok in base for m in re.finditer(p, text) if ok(m)]
+        assert [r[f"n_{k}"] for k in kinds] == [sum(s[0] == k for s in spans) for k in kinds]
+        assert r.base_sha256 == sha(joined(spans, kinds)), r.doc_id
+        found = r.spans.split(",") if r.spans else []
+        if rules:
+            spans += [(x.kind, m.start(), m.end()) for x in rules for m in re.finditer(x.pattern, text)]
+            assert r.spans == joined(spans, [*kinds, *(x.kind for x in rules)])
+        else:
+            assert {f"{k}:{a}:{b}" for k, a, b in spans} <= set(found) and len(found) == len(set(found))
+
+
+def test_token_digests(spark, sf):
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    plain = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    texts = texts_of(spark, sf)
+    for r in queries.queries()["op7_byte_bpe"](spark, sf).collect():
+        ids = plain.encode_ordinary(texts[r.doc_id])
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), sha(" ".join(map(str, ids))), sha(texts[r.doc_id]))
+
+
+def test_token_files(spark, sf):
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rows = {r.doc_id: r for r in queries.queries()["op8_token_files"](spark, sf).collect()}
+    at = 0
+    for i, text in sorted(texts_of(spark, sf).items()):
+        ids = [*library.encode(text, add_special_tokens=False).ids, 2]
+        assert (rows[i].start, rows[i].n_tokens, rows[i].ids_crc32) == (at, len(ids), zlib.crc32(np.array(ids, dtype="<u4").tobytes()))
+        at += len(ids)
+
+
+def test_long_runs_are_scanned_once():
+    """A rule's time follows the text's length."""
+    scanner = secrets.Scanner(secrets.RULES)
+    assert scanner.scan(["eyJ" * 300_000, "eyJ." * 200_000, "x eyJa.eyJb.c"])[2]["jwt"] == [(2, 13)]
+
+
 def test_pipeline_by_brute_force(spark, sf):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     model = queries.toxicity_model(spark, sf)
@@ -49,3 +136,21 @@ def test_stages_keep_columns(spark, sf):
         out = stage(spark, docs.limit(0), sf)
         assert out.columns == docs.columns and out.count() == 0
     assert exactdup and toxicity
+
+
+def test_stages_on_awkward_rows(spark, sf, tmp_path):
+    """Nulls, empty and very long texts, repeated rows and clashing names: columns stay, and what goes is what the stage takes out."""
+    docs = stored(documents(spark), tmp_path)
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    nodes, of = {ascii_lower(t or "") for _, t in rows}, classes(rows)
+    want = {"exact dedup": len(nodes), "near dedup": len({of[n][0] if of[n][1] > 1 else n for n in nodes}), "byte-level BPE": len(rows)}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, sf)
+        found = out.collect()
+        assert len(found) == want.get(name, len(found)) <= len(rows)
+        if name != "byte-level BPE":
+            assert out.columns == docs.columns
+            left = {(r.doc_id, r.text) for r in found}
+            assert left <= set(rows)
+            if name in ("toxicity", "decontamination"):  # equal rows go or stay together
+                assert len(found) == sum(r in left for r in rows)
