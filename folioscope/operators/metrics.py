@@ -37,10 +37,22 @@ def _cv(values: Column) -> Column:
 
 
 def parts(docs: DataFrame, more_than: int = 30) -> DataFrame:
-    """docs with paras and sents: arrays of paragraphs and of their sentences."""
+    """docs with paras and sents: arrays of paragraphs and of their sentences, where it hasn't them already."""
+    if {"paras", "sents"} <= set(docs.columns):
+        return docs
     return docs.withColumn("paras", X.paragraphs(F.col("text"), more_than)).withColumn("sents", X.sentences(F.col("paras")))
 
 
+def _with_plain(docs: DataFrame) -> DataFrame:
+    """docs with __plain: the folded text with single blanks."""
+    return docs if "__plain" in docs.columns else docs.withColumn("__plain", F.regexp_replace(X.fold(X.null_empty(F.col("text"))), X.SPACE, " "))
+
+
+def _words(docs: DataFrame) -> Column:
+    """Number of words of the text."""
+    return F.col("__words") if "__words" in docs.columns else F.size(X.tokens(F.col("text"))).cast("long")
+
+
 def burstiness(docs: DataFrame, keep: Sequence[str] = KEEP) -> DataFrame:
     """Variation of paragraph lengths (characters) and sentence lengths (words); null verdict without paragraphs."""
     df = parts(docs).select(*keep, F.transform("paras", lambda p: F.length(p).cast("double")).alias("p"), F.transform("sents", lambda s: F.size(X.tokens(s)).cast("double")).alias("s"))
@@ -72,8 +84,8 @@ def top_hits(hits: Column, k: int = 5) -> Column:
 def phrase_density(docs: DataFrame, strong: Sequence[str] = L.STRONG, medium: Sequence[str] = L.MEDIUM, allowed: Sequence[str] = (), keep: Sequence[str] = KEEP) -> DataFrame:
     """How many phrases of two tiers stand in a document for each thousand words, whatever is allowed left out."""
     skip = {_norm(a) for a in allowed}
-    df = docs.withColumn("__plain", F.regexp_replace(X.fold(X.null_empty(F.col("text"))), X.SPACE, " "))
-    df = df.select(*keep, F.size(X.tokens(F.col("text"))).cast("long").alias("words"), phrase_hits(df, [p for p in strong if _norm(p) not in skip]).alias("s"), phrase_hits(df, [p for p in medium if _norm(p) not in skip]).alias("m"))
+    df = _with_plain(docs)
+    df = df.select(*keep, _words(df).alias("words"), phrase_hits(df, [p for p in strong if _norm(p) not in skip]).alias("s"), phrase_hits(df, [p for p in medium if _norm(p) not in skip]).alias("m"))
     rate = lambda c: F.when(F.col("words") > 0, _total(F.col(c)) / F.col("words") * 1000).otherwise(F.lit(0.0))
     verdict = F.when(rate("s") > 0.5, "too many strong").when((rate("s") > 0.2) | (rate("m") > 3.0), "suspicious").otherwise("acceptable")
     return df.select(*keep, "words", _total(F.col("s")).alias("n_strong"), _total(F.col("m")).alias("n_medium"), F.round(rate("s"), 6).alias("strong_per_1k"), F.round(rate("m"), 6).alias("medium_per_1k"), F.array_join(F.transform(top_hits(F.col("s")), lambda h: F.concat_ws("=", h["phrase"], h["n"].cast("string"))), ";").alias("top_strong"), verdict.alias("verdict"))
@@ -128,8 +140,8 @@ def lexical_diversity(docs: DataFrame, overused: Sequence[str] = L.OVERUSED, lea
 def author_anchors(docs: DataFrame, personal: Sequence[str] = (), builtin: Sequence[str] = L.ANCHORS, keep: Sequence[str] = KEEP) -> DataFrame:
     """Phrases of an author's stance, personal ones first and each once, for each thousand words."""
     seen = {_norm(p): p for p in reversed((*personal, *builtin)) if _norm(p)}
-    df = docs.withColumn("__plain", F.regexp_replace(X.fold(X.null_empty(F.col("text"))), X.SPACE, " "))
-    df = df.select(*keep, F.size(X.tokens(F.col("text"))).cast("long").alias("words"), phrase_hits(df, list(seen.values())).alias("h"))
+    df = _with_plain(docs)
+    df = df.select(*keep, _words(df).alias("words"), phrase_hits(df, list(seen.values())).alias("h"))
     rate = F.when(F.col("words") > 0, _total(F.col("h")) / F.col("words") * 1000).otherwise(F.lit(0.0))
     verdict = F.when(rate > 1.5, "too many").when((rate < 0.2) & (F.col("words") > 3000), "no author voice").otherwise("balanced")
     return df.select(*keep, "words", _total(F.col("h")).alias("anchors"), F.size("h").cast("long").alias("distinct_anchors"), F.round(rate, 6).alias("per_1k"), verdict.alias("verdict"))
@@ -254,6 +266,7 @@ def risk(docs: DataFrame, section: Column | None = None, strong: Sequence[str] =
         "readability": readability,
         "anchors": lambda d, keep: author_anchors(d, (), anchors, keep=keep),
     }
+    df = _with_plain(parts(df))  # what several measures read is made once
     keep = list(df.columns)
     for name, measure in steps.items():  # one map over the rows, without a join
         df = measure(df, keep=keep).select(*keep, F.col("verdict").alias(name))

@@ -6,6 +6,8 @@ Blocks come with their region (segments.regions). Rules about geometry read the
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -83,6 +85,8 @@ CAPTIONS = (("table", r"(?iu)^таблица\s*(?:№\s*)?(\d+(?:\.\d+)*)", r"(?
 def caption_mentions(blocks: DataFrame) -> DataFrame:
     """Tables and figures that no text mentions, and mentions of such as don't exist."""
     text = X.collapse_space(F.col("text"))
+    low = F.lower("text")
+    blocks = blocks.filter(F.contains(low, F.lit("табл")) | F.contains(low, F.lit("рис")))  # no other text can hold either
     out = None
     for kind, caption, mention in CAPTIONS:
         have = blocks.select("doc_id", F.regexp_extract(text, caption, 1).alias("n")).filter("n <> ''").distinct()
@@ -116,10 +120,16 @@ def cliche_rule(blocks: DataFrame, phrases: Sequence[str]) -> DataFrame:
     return _rows(g, "cliches", F.when(F.col("n") == 0, None).when(F.col("n") <= 3, "info").when(F.col("n") <= 8, "warning").otherwise("error"), F.col("n").cast("string"))
 
 
+def _bracketed(blocks: DataFrame) -> DataFrame:
+    """Blocks that can hold a citation."""
+    return blocks.filter(F.contains("text", F.lit("[")))
+
+
 def citation_rule(blocks: DataFrame, least: int = 20) -> DataFrame:
     """No citations, few of them, or some in the conclusion."""
-    df = blocks.withColumn("n", F.size(C.lenient_numbers(F.col("text"))))
-    g = df.groupBy("doc_id").agg(F.sum("n").alias("n"), F.sum(F.when((F.col("region_kind") == "conclusion") & (F.col("n") > 0), 1).otherwise(0)).alias("c"))
+    df = _bracketed(blocks).withColumn("n", F.size(C.lenient_numbers(F.col("text"))))
+    some = df.groupBy("doc_id").agg(F.sum("n").alias("n"), F.sum(F.when((F.col("region_kind") == "conclusion") & (F.col("n") > 0), 1).otherwise(0)).alias("c"))
+    g = blocks.select("doc_id").distinct().join(some, "doc_id", "left").na.fill(0, ["n", "c"])
     both = F.array_compact(F.array(F.when(F.col("n") == 0, F.struct(F.lit("error").alias("s"), F.lit("none").alias("c"))).when(F.col("n") < least, F.struct(F.lit("info").alias("s"), F.lit("few").alias("c"))), F.when(F.col("c") > 0, F.struct(F.lit("error").alias("s"), F.lit("in conclusion").alias("c")))))
     return _rows(g.select("doc_id", F.explode(both).alias("x")), "citations", F.col("x.s"), F.col("x.c"))
 
@@ -136,7 +146,7 @@ def entries(blocks: DataFrame) -> DataFrame:
 
 def cross_references(blocks: DataFrame) -> DataFrame:
     """Numbers cited but not listed, and listed but not cited."""
-    cited = blocks.filter(F.col("region_kind").isin(*S.BODY, "appendix")).select("doc_id", F.explode(C.lenient_numbers(F.col("text"))).alias("number")).distinct()
+    cited = _bracketed(blocks).filter(F.col("region_kind").isin(*S.BODY, "appendix")).select("doc_id", F.explode(C.lenient_numbers(F.col("text"))).alias("number")).distinct()
     listed = entries(blocks).select("doc_id", "number").distinct()
     return _rows(cited.join(listed, ["doc_id", "number"], "left_anti"), "references", F.lit("error"), F.concat(F.lit("not listed: "), F.col("number").cast("string"))).unionByName(_rows(listed.join(cited, ["doc_id", "number"], "left_anti"), "references", F.lit("warning"), F.concat(F.lit("not cited: "), F.col("number").cast("string"))))
 
@@ -157,6 +167,7 @@ def bibliography_order(blocks: DataFrame) -> DataFrame:
 def surnames(blocks: DataFrame) -> DataFrame:
     """Initials behind a surname in running text (they belong before it), where the surname is one: the same stem stands with initials somewhere in the work."""
     text = X.null_empty(F.col("text"))
+    blocks = blocks.filter(text.rlike(r"[А-ЯЁ]\."))
     body = blocks.filter(F.col("region_kind").isin(*S.BODY))
     late = body.select("doc_id", F.explode(F.regexp_extract_all(text, F.lit(r"([А-ЯЁ][а-яё]{2,})\s+[А-ЯЁ]\.\s?[А-ЯЁ]\."), F.lit(1))).alias("name"))
     known = blocks.select("doc_id", F.explode(F.regexp_extract_all(text, F.lit(r"[А-ЯЁ]\.\s?[А-ЯЁ]\.\s?([А-ЯЁ][а-яё]{2,})"), F.lit(1))).alias("name"))
@@ -168,6 +179,7 @@ def surnames(blocks: DataFrame) -> DataFrame:
 def sample_size(blocks: DataFrame, least: int = 5) -> DataFrame:
     """The smallest sample that the work names (1 to 500 people), if it is too small."""
     text = F.lower(X.null_empty(F.col("text")))
+    blocks = blocks.filter(reduce(or_, [F.contains(text, F.lit(x)) for x in ("человек", "участник", "респондент", "студент", "школьник", "обучающ", "испытуем")]))
     n = F.regexp_extract_all(text, F.lit(r"(\d{1,3})\s+(?:человек|участник\p{L}*|респондент\p{L}*|студент\p{L}*|школьник\p{L}*|обучающ\p{L}*|испытуем\p{L}*)"), F.lit(1))
     g = blocks.select("doc_id", F.explode(n).alias("n")).select("doc_id", F.col("n").cast("int").alias("n")).filter("n between 1 and 500").groupBy("doc_id").agg(F.min("n").alias("n"))
     return _rows(g, "sample", F.when(F.col("n") < least, "warning"), F.col("n").cast("string"))

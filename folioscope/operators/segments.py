@@ -6,6 +6,8 @@ Blocks are rows (doc_id, idx, text and flags). A block's kind is a chain of cond
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -170,6 +172,8 @@ def markers(df: DataFrame, keep: Sequence[str], text: str = "text", patterns: Se
     def named(i: int, code: str) -> Callable[[Column], Column]:
         return lambda m: F.struct(F.lit(i).alias("rank"), F.lit(code).alias("code"), m.alias("mark"))
 
+    if patterns is MARKERS:  # most texts hold nothing that a mark could begin with
+        df = df.filter(reduce(or_, [F.contains(F.col(text), F.lit(x)) for x in ("[", "{{", "<!--", "TODO", "FIXME", "TBD")]))
     found = F.flatten(F.array(*[F.transform(F.regexp_extract_all(X.null_empty(F.col(text)), F.lit(p), F.lit(0)), named(i, code)) for i, (code, p) in enumerate(patterns)]))
     return df.select(*keep, F.posexplode(found).alias("pos", "m")).select(*keep, "pos", "m.code", "m.mark")
 
