@@ -16,7 +16,7 @@ from folioscope.operators import registry as R
 from folioscope.operators.doctor import _found
 
 #: The document that is handed in, and the parts that it needs.
-FINAL = "final/vkr.docx"
+FINAL = "final/work.docx"
 PARTS = ("[Content_Types].xml", "word/document.xml")
 #: How an annotation states its pages, and how it says that they are those of a part.
 STATED_PAGES = r"(?iu)(?<![\d.,])(\d{1,4})\s*(?:с\.|стр\.?(?![а-яё])|страниц[а-яё]*)"
@@ -162,7 +162,7 @@ def final_waves(projects: DataFrame, runs: DataFrame) -> DataFrame:
     rank = lambda c: F.array_position(F.array(*[F.lit(i) for i in INTENSITIES]), c)
     earlier = runs.filter(F.col("intensity").isin(*INTENSITIES)).join(pairs.select("project_id", "x.*"), "project_id").filter(F.col("planned") < F.col("p")).groupBy("project_id", F.col("applied")).agg(F.max(rank(F.col("intensity"))).alias("top"))
     out = [_found(no_primary, "AUDIT_PRIMARY_WAVE_MISSING", F.lit("ERROR"), F.lit("audit/manifest.json")), _found(no_blind, "AUDIT_BLIND_WAVE_MISSING", F.lit("ERROR"), F.lit("audit/manifest.json"))]
-    out.append(_found(earlier, "AUDIT_INTENSITY_LOWERED", F.when(F.col("top") > rank(F.col("applied")), "WARNING"), F.lit("vkr-project.json")))
+    out.append(_found(earlier, "AUDIT_INTENSITY_LOWERED", F.when(F.col("top") > rank(F.col("applied")), "WARNING"), F.lit("project.json")))
     return _all(out)
 
 

@@ -79,8 +79,8 @@ def doctor_audit(spark, sf_dir):
 
 @catalog.add(
     "doctor_final_files",
-    f"""WITH {_P}, f AS (SELECT o_custkey AS project_id, CASE WHEN o_orderkey % 10 = 0 THEN 'final/vkr.docx' ELSE 'final/' || o_orderkey END AS path, o_orderkey % 3 <> 0 AS doc, o_orderkey % 5 AS k, o_orderkey % 7 = 0 AS damaged FROM orders JOIN p ON project_id = o_custkey AND stage = 'final'),
-    g AS (SELECT project_id, count(*) FILTER (doc) AS docs, count(*) FILTER (NOT doc) AS others, coalesce(bool_or(doc AND path = 'final/vkr.docx'), false) AS named FROM p LEFT JOIN f USING (project_id) WHERE stage = 'final' GROUP BY project_id)
+    f"""WITH {_P}, f AS (SELECT o_custkey AS project_id, CASE WHEN o_orderkey % 10 = 0 THEN 'final/work.docx' ELSE 'final/' || o_orderkey END AS path, o_orderkey % 3 <> 0 AS doc, o_orderkey % 5 AS k, o_orderkey % 7 = 0 AS damaged FROM orders JOIN p ON project_id = o_custkey AND stage = 'final'),
+    g AS (SELECT project_id, count(*) FILTER (doc) AS docs, count(*) FILTER (NOT doc) AS others, coalesce(bool_or(doc AND path = 'final/work.docx'), false) AS named FROM p LEFT JOIN f USING (project_id) WHERE stage = 'final' GROUP BY project_id)
     SELECT project_id, unnest([x FOR x IN [CASE WHEN others > 0 THEN 'FINAL_EXTRA_FILES' END, CASE WHEN docs > 0 AND NOT named THEN 'FINAL_DOCX_NAME' END, CASE WHEN docs = 0 THEN 'FINAL_DOCX_MISSING' END, CASE WHEN docs > 1 THEN 'FINAL_DOCX_MULTIPLE' END] IF x IS NOT NULL]) AS code, 'ERROR' AS severity, 'final/' AS path FROM g
     UNION ALL SELECT project_id, 'FINAL_DOCX_INVALID', 'ERROR', path FROM f WHERE doc AND k < 2
     UNION ALL SELECT project_id, 'FINAL_DOCX_CORRUPT', 'ERROR', path FROM f WHERE doc AND k > 0 AND damaged""",
@@ -91,7 +91,7 @@ def doctor_final_files(spark, sf_dir):
     return Z.final_files(projects(spark, sf_dir), files)
 
 
-@catalog.add("doctor_build", f"WITH {_P}, {_INPUTS}, d AS (SELECT DISTINCT project_id FROM a FULL JOIN b USING (project_id, path) WHERE a.sha256 IS DISTINCT FROM b.sha256) SELECT project_id, 'FINAL_DOCX_OUTDATED' AS code, 'ERROR' AS severity, 'final/vkr.docx' AS path FROM p JOIN d USING (project_id) WHERE stage <> 'draft' AND project_id % 4 <> 0")
+@catalog.add("doctor_build", f"WITH {_P}, {_INPUTS}, d AS (SELECT DISTINCT project_id FROM a FULL JOIN b USING (project_id, path) WHERE a.sha256 IS DISTINCT FROM b.sha256) SELECT project_id, 'FINAL_DOCX_OUTDATED' AS code, 'ERROR' AS severity, 'final/work.docx' AS path FROM p JOIN d USING (project_id) WHERE stage <> 'draft' AND project_id % 4 <> 0")
 def doctor_build(spark, sf_dir):
     files = table(spark, sf_dir, "customer").filter("c_custkey % 4 <> 0").select(F.col("c_custkey").alias("project_id"), F.lit(Z.FINAL).alias("path"))
     return Z.outdated_build(projects(spark, sf_dir), files, *_inputs(spark, sf_dir))
@@ -116,8 +116,8 @@ def doctor_annotation(spark, sf_dir):
     "doctor_validation",
     f"""WITH {_P}, d AS (SELECT project_id, stage, project_id % 4 <> 0 AS has, project_id % 8 <> 1 AS readable, project_id % 3 <> 0 AS same, CASE WHEN project_id % 6 = 0 THEN 'b' ELSE 'a' END AS profile, project_id % 5 % 2 AS r_errors, project_id % 2 AS r_warnings, CASE WHEN project_id % 9 <> 0 THEN project_id % 2 END AS errors, project_id % 5 AS warnings FROM p WHERE project_id % 5 <> 0 AND project_id % 11 <> 0),
     e AS (SELECT *, stage = 'final' AS fin, has AND readable AS ok FROM d)
-    SELECT project_id, unnest([x FOR x IN [CASE WHEN fin AND NOT has THEN 'AUTOMATED_VALIDATION_MISSING' END, CASE WHEN fin AND has AND NOT readable THEN 'AUTOMATED_VALIDATION_INVALID' END, CASE WHEN fin AND ok AND NOT (same AND profile = 'a') THEN 'AUTOMATED_VALIDATION_STALE' END, CASE WHEN fin AND errors IS NULL THEN 'VALIDATION_FAILED_TO_RUN' END, CASE WHEN fin AND errors > 0 THEN 'VALIDATION_ERRORS' END, CASE WHEN fin AND errors IS NOT NULL AND ok AND same AND r_errors <> errors THEN 'AUTOMATED_VALIDATION_MISMATCH' END] IF x IS NOT NULL]) AS code, 'ERROR' AS severity, 'final/vkr.docx' AS path FROM e
-    UNION ALL SELECT project_id, 'VALIDATION_WARNINGS', 'WARNING', 'final/vkr.docx' FROM e WHERE CASE WHEN fin THEN errors IS NOT NULL AND warnings > 0 ELSE ok AND same AND r_warnings > 0 END""",
+    SELECT project_id, unnest([x FOR x IN [CASE WHEN fin AND NOT has THEN 'AUTOMATED_VALIDATION_MISSING' END, CASE WHEN fin AND has AND NOT readable THEN 'AUTOMATED_VALIDATION_INVALID' END, CASE WHEN fin AND ok AND NOT (same AND profile = 'a') THEN 'AUTOMATED_VALIDATION_STALE' END, CASE WHEN fin AND errors IS NULL THEN 'VALIDATION_FAILED_TO_RUN' END, CASE WHEN fin AND errors > 0 THEN 'VALIDATION_ERRORS' END, CASE WHEN fin AND errors IS NOT NULL AND ok AND same AND r_errors <> errors THEN 'AUTOMATED_VALIDATION_MISMATCH' END] IF x IS NOT NULL]) AS code, 'ERROR' AS severity, 'final/work.docx' AS path FROM e
+    UNION ALL SELECT project_id, 'VALIDATION_WARNINGS', 'WARNING', 'final/work.docx' FROM e WHERE CASE WHEN fin THEN errors IS NOT NULL AND warnings > 0 ELSE ok AND same AND r_warnings > 0 END""",
 )
 def doctor_validation(spark, sf_dir):
     k = F.col("c_custkey")
@@ -137,7 +137,7 @@ def doctor_validation(spark, sf_dir):
     e AS (SELECT x.project_id, applied, max(lvl) AS top FROM x JOIN r ON r.project_id = x.project_id AND r.planned < x.p AND lvl < 3 GROUP BY ALL)
     SELECT project_id, 'AUDIT_PRIMARY_WAVE_MISSING' AS code, 'ERROR' AS severity, 'audit/manifest.json' AS path FROM i WHERE project_id NOT IN (SELECT project_id FROM a)
     UNION ALL SELECT project_id, 'AUDIT_BLIND_WAVE_MISSING', 'ERROR', 'audit/manifest.json' FROM i WHERE project_id IN (SELECT project_id FROM a) AND project_id NOT IN (SELECT project_id FROM x)
-    UNION ALL SELECT project_id, 'AUDIT_INTENSITY_LOWERED', 'WARNING', 'vkr-project.json' FROM e WHERE top > applied""",
+    UNION ALL SELECT project_id, 'AUDIT_INTENSITY_LOWERED', 'WARNING', 'project.json' FROM e WHERE top > applied""",
 )
 def doctor_waves(spark, sf_dir):
     p = projects(spark, sf_dir, F.lit("O").alias("current_sha"), F.lit("strict").alias("intensity"))
