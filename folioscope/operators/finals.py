@@ -23,8 +23,13 @@ STATED_PAGES = r"(?iu)(?<![\d.,])(\d{1,4})\s*(?:с\.|стр\.?(?![а-яё])|ст
 PARTIAL = r"(?iuU)текстов\w*\s+част|основн\w+\s+(?:текст|част)|без\s+(?:учёта\s+|учета\s+)?приложени|без\s+списка\s+литератур|не\s+считая\s+приложени"
 INTENSITIES = ("balanced", "strict", "maximum")
 
-_STAGE = F.col("stage")
-_LATE = _STAGE.isin("prefinal", "final")
+
+def _stage() -> Column:
+    return F.col("stage")
+
+
+def _late() -> Column:
+    return _stage().isin("prefinal", "final")
 
 
 def snapshots(projects: DataFrame, recorded: DataFrame, recorded_inputs: DataFrame, current_inputs: DataFrame) -> DataFrame:
@@ -33,11 +38,11 @@ def snapshots(projects: DataFrame, recorded: DataFrame, recorded_inputs: DataFra
     recorded: project_id, sha, manifest_sha, copy_sha; inputs: project_id, path, sha256. The path of a stale snapshot's finding is the first changed input's.
     """
     df = projects.join(recorded, "project_id", "left")
-    missing = _found(df, "AUDIT_SNAPSHOT_MISSING", F.when(F.col("sha").isNull(), A.by_stage(_STAGE, "INFO", "WARNING", "ERROR")), F.lit("audit/snapshot-inputs.json"))
+    missing = _found(df, "AUDIT_SNAPSHOT_MISSING", F.when(F.col("sha").isNull(), A.by_stage(_stage(), "INFO", "WARNING", "ERROR")), F.lit("audit/snapshot-inputs.json"))
     differs = ~F.col("sha").eqNullSafe(F.col("manifest_sha")) | ~F.col("sha").eqNullSafe(F.col("copy_sha"))
-    hashed = _found(df, "AUDIT_SNAPSHOT_HASH_MISMATCH", F.when(F.col("sha").isNotNull() & differs, A.by_stage(_STAGE, "WARNING", "ERROR", "ERROR")), F.lit("audit/snapshot-inputs.json"))
+    hashed = _found(df, "AUDIT_SNAPSHOT_HASH_MISMATCH", F.when(F.col("sha").isNotNull() & differs, A.by_stage(_stage(), "WARNING", "ERROR", "ERROR")), F.lit("audit/snapshot-inputs.json"))
     changed = R.snapshot_diff(recorded_inputs, current_inputs, ["project_id", "path"], "sha256").groupBy("project_id").agg(F.min("path").alias("path"))
-    stale = _found(df.filter("sha is not null").join(changed, "project_id"), "AUDIT_SNAPSHOT_STALE", A.by_stage(_STAGE, "INFO", "WARNING", "ERROR"), F.col("path"))
+    stale = _found(df.filter("sha is not null").join(changed, "project_id"), "AUDIT_SNAPSHOT_STALE", A.by_stage(_stage(), "INFO", "WARNING", "ERROR"), F.col("path"))
     return missing.unionByName(hashed).unionByName(stale)
 
 
@@ -47,7 +52,7 @@ def audit_registry(projects: DataFrame, runs: DataFrame, findings: DataFrame, re
     projects: also current_sha, recorded_sha. runs: project_id, run_id, status, pending, unclosed (numbers of tasks and findings), snapshot_sha, legacy. findings: project_id, finding_id, status, severity. reports and attempts: project_id, path. problems: project_id, problem.
     """
     stage = projects.select("project_id", "stage")
-    three = A.by_stage(_STAGE, "WARNING", "ERROR", "ERROR")
+    three = A.by_stage(_stage(), "WARNING", "ERROR", "ERROR")
     out = [_found(R.unmatched(reports, attempts, ["project_id", "path"]).join(stage, "project_id"), "AUDIT_REPORT_ORPHAN", three, F.col("path"))]
     out.append(_found(runs.filter("legacy").select("project_id").distinct(), "AUDIT_LEGACY_RUNS", F.lit("WARNING"), F.lit("audit/manifest.json")))
     out.append(_found(problems.join(stage, "project_id"), "AUDIT_REPLAY_PROBLEM", three, F.col("problem")))
@@ -55,7 +60,7 @@ def audit_registry(projects: DataFrame, runs: DataFrame, findings: DataFrame, re
     out.append(_found(high.join(stage, "project_id"), "AUDIT_FINDINGS_OPEN", three, F.col("finding_id").cast("string")))
     own = runs.filter("not legacy").join(projects.select("project_id", "stage", "current_sha", "recorded_sha"), "project_id")
     unfinished = F.col("status").isin("planned", "running") | ((F.col("status") == "reported") & (F.col("pending") > 0))
-    out.append(_found(own, "AUDIT_RUNS_INCOMPLETE", F.when(unfinished, A.by_stage(_STAGE, "INFO", "ERROR", "ERROR")), F.col("run_id").cast("string")))
+    out.append(_found(own, "AUDIT_RUNS_INCOMPLETE", F.when(unfinished, A.by_stage(_stage(), "INFO", "ERROR", "ERROR")), F.col("run_id").cast("string")))
     focus = F.coalesce((F.col("snapshot_sha") == F.col("current_sha")) | (F.col("snapshot_sha") == F.col("recorded_sha")), F.lit(False))
     out.append(_found(own, "AUDIT_FAIL_UNCLOSED", F.when(focus & (F.col("unclosed") > 0), three), F.col("run_id").cast("string")))
     return _all(out)
@@ -88,7 +93,7 @@ def final_files(projects: DataFrame, files: DataFrame, name: str = FINAL, parts:
 
 def outdated_build(projects: DataFrame, files: DataFrame, built: DataFrame, now: DataFrame, name: str = FINAL) -> DataFrame:
     """Late projects whose document was made from other inputs than there are now. built and now: project_id, path, sha256; files: project_id, path."""
-    late = projects.filter(_LATE).join(files.filter(F.col("path") == name).select("project_id").distinct(), "project_id", "left_semi")
+    late = projects.filter(_late()).join(files.filter(F.col("path") == name).select("project_id").distinct(), "project_id", "left_semi")
     changed = R.snapshot_diff(built, now, ["project_id", "path"], "sha256").select("project_id").distinct()
     return _found(late.join(changed, "project_id", "left_semi"), "FINAL_DOCX_OUTDATED", F.lit("ERROR"), F.lit(name))
 
@@ -111,11 +116,11 @@ def _prose(c: Column) -> Column:
 
 def annotation_pages(projects: DataFrame, annotations: DataFrame, pages: DataFrame) -> DataFrame:
     """Late projects whose annotation states no pages, or others than the document has (each alone or all added up). annotations: project_id, path, text; pages: project_id, pages (null: not known)."""
-    df = projects.filter(_LATE).join(annotations, "project_id").join(pages, "project_id")
+    df = projects.filter(_late()).join(annotations, "project_id").join(pages, "project_id")
     df = df.filter(X.strip(X.null_empty(F.col("text"))) != "").withColumn("n", stated_pages(F.col("text")))
     n, actual = F.col("n"), F.col("pages")
     fits = F.array_contains(n, actual) | ((F.size(n) > 1) & (F.aggregate(n, F.lit(0), lambda a, x: a + x) == actual))
-    final = _STAGE == "final"
+    final = _stage() == "final"
     code = F.when(F.size(n) == 0, "ANNOTATION_PAGES_UNVERIFIED").when(actual.isNull(), "ANNOTATION_PAGES_UNVERIFIED").when(fits, None).when(partial_pages(F.col("text")), "ANNOTATION_PAGES_PARTIAL").otherwise("ANNOTATION_PAGES_MISMATCH")
     df = df.withColumn("code", code).withColumn("severity", F.when(F.col("code") == "ANNOTATION_PAGES_MISMATCH", "ERROR").when(F.col("code") == "ANNOTATION_PAGES_PARTIAL", "WARNING").when((F.size(n) > 0) & final, "WARNING").otherwise("INFO"))
     return df.filter("code is not null").select("project_id", "code", "severity", "path")
@@ -129,7 +134,7 @@ def validation(projects: DataFrame, documents: DataFrame, reports: DataFrame, re
     one = documents.groupBy("project_id").agg(F.min("path").alias("path"), F.min("sha256").alias("sha256"), F.count("*").alias("__n")).filter("__n = 1")
     r = reports.select("project_id", "document_sha256", F.col("profile").alias("r_profile"), F.col("errors").alias("r_errors"), F.col("warnings").alias("r_warnings"), "readable")
     df = projects.select("project_id", "stage", "profile").join(one, "project_id").join(r, "project_id", "left").join(reruns, "project_id", "left")
-    final, same = _STAGE == "final", F.coalesce(F.col("document_sha256") == F.col("sha256"), F.lit(False))
+    final, same = _stage() == "final", F.coalesce(F.col("document_sha256") == F.col("sha256"), F.lit(False))
     readable = F.coalesce("readable", F.lit(False))
     ran = F.col("errors").isNotNull()
     rows = [

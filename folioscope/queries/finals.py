@@ -33,14 +33,17 @@ def orders(spark, sf_dir, *columns):
     return table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("project_id"), *columns)
 
 
-_K = F.col("o_orderkey")
+def _k():
+    return F.col("o_orderkey")
+
+
 _INPUTS = "a AS (SELECT o_custkey AS project_id, o_orderkey::VARCHAR AS path, o_orderstatus AS sha256 FROM orders WHERE o_orderkey % 90 <> 4), b AS (SELECT o_custkey AS project_id, o_orderkey::VARCHAR AS path, CASE WHEN o_orderkey % 17 = 0 THEN 'X' ELSE o_orderstatus END AS sha256 FROM orders)"
 
 
 def _inputs(spark, sf_dir):
-    path = _K.cast("string").alias("path")
-    old = orders(spark, sf_dir, _K, path, F.col("o_orderstatus").alias("sha256")).filter(_K % 90 != 4).drop("o_orderkey")
-    return old, orders(spark, sf_dir, path, F.when(_K % 17 == 0, "X").otherwise(F.col("o_orderstatus")).alias("sha256"))
+    path = _k().cast("string").alias("path")
+    old = orders(spark, sf_dir, _k(), path, F.col("o_orderstatus").alias("sha256")).filter(_k() % 90 != 4).drop("o_orderkey")
+    return old, orders(spark, sf_dir, path, F.when(_k() % 17 == 0, "X").otherwise(F.col("o_orderstatus")).alias("sha256"))
 
 
 @catalog.add(
@@ -69,12 +72,12 @@ def doctor_snapshots(spark, sf_dir):
 )
 def doctor_audit(spark, sf_dir):
     p = projects(spark, sf_dir, F.lit("1-URGENT").alias("current_sha"), F.when(F.col("c_custkey") % 2 == 0, "2-HIGH").otherwise("5-LOW").alias("recorded_sha"))
-    name = _K.cast("string")
-    runs = orders(spark, sf_dir, _K.alias("run_id"), _pick("o_orderkey", "planned", "running", "reported", "complete", "cancelled").alias("status"), (_K % 3).alias("pending"), F.when(_K % 6 == 0, 1).otherwise(0).alias("unclosed"), F.col("o_orderpriority").alias("snapshot_sha"), (_K % 19 == 0).alias("legacy"))
+    name = _k().cast("string")
+    runs = orders(spark, sf_dir, _k().alias("run_id"), _pick("o_orderkey", "planned", "running", "reported", "complete", "cancelled").alias("status"), (_k() % 3).alias("pending"), F.when(_k() % 6 == 0, 1).otherwise(0).alias("unclosed"), F.col("o_orderpriority").alias("snapshot_sha"), (_k() % 19 == 0).alias("legacy"))
     findings = orders(spark, sf_dir, F.concat(F.lit("F"), name).alias("finding_id"), F.when(F.col("o_orderstatus") == "O", "open").otherwise("resolved").alias("status"), _pick("o_orderkey", "BLOCKER", "MAJOR", "MINOR", "INFO").alias("severity"))
-    reports = orders(spark, sf_dir, _K, F.concat(F.lit("r"), name).alias("path"))
-    problems = orders(spark, sf_dir, _K, F.concat(F.lit("duplicate "), name).alias("problem")).filter(_K % 29 == 0)
-    return Z.audit_registry(p, runs, findings, reports, reports.filter(_K % 23 != 0), problems)
+    reports = orders(spark, sf_dir, _k(), F.concat(F.lit("r"), name).alias("path"))
+    problems = orders(spark, sf_dir, _k(), F.concat(F.lit("duplicate "), name).alias("problem")).filter(_k() % 29 == 0)
+    return Z.audit_registry(p, runs, findings, reports, reports.filter(_k() % 23 != 0), problems)
 
 
 @catalog.add(
@@ -86,8 +89,8 @@ def doctor_audit(spark, sf_dir):
     UNION ALL SELECT project_id, 'FINAL_DOCX_CORRUPT', 'ERROR', path FROM f WHERE doc AND k > 0 AND damaged""",
 )
 def doctor_final_files(spark, sf_dir):
-    parts = F.when(_K % 5 == 1, F.array(F.lit(Z.PARTS[0]))).when(_K % 5 > 1, F.array(*[F.lit(p) for p in Z.PARTS]))
-    files = orders(spark, sf_dir, F.when(_K % 10 == 0, Z.FINAL).otherwise(F.concat(F.lit("final/"), _K.cast("string"))).alias("path"), (_K % 3 != 0).alias("is_document"), parts.alias("parts"), (_K % 7 == 0).alias("damaged"))
+    parts = F.when(_k() % 5 == 1, F.array(F.lit(Z.PARTS[0]))).when(_k() % 5 > 1, F.array(*[F.lit(p) for p in Z.PARTS]))
+    files = orders(spark, sf_dir, F.when(_k() % 10 == 0, Z.FINAL).otherwise(F.concat(F.lit("final/"), _k().cast("string"))).alias("path"), (_k() % 3 != 0).alias("is_document"), parts.alias("parts"), (_k() % 7 == 0).alias("damaged"))
     return Z.final_files(projects(spark, sf_dir), files)
 
 
@@ -144,24 +147,24 @@ def doctor_waves(spark, sf_dir):
     runs = orders(
         spark,
         sf_dir,
-        _K.alias("run_id"),
+        _k().alias("run_id"),
         _pick("o_orderkey", "primary", "blind_regression").alias("kind"),
         F.col("o_orderstatus").alias("snapshot_sha"),
-        _K.alias("planned"),
-        (_K + 50).alias("closed"),
-        (_K % 7 != 0).alias("complete"),
-        (_K % 11 == 0).alias("degraded"),
+        _k().alias("planned"),
+        (_k() + 50).alias("closed"),
+        (_k() % 7 != 0).alias("complete"),
+        (_k() % 11 == 0).alias("degraded"),
         _pick("o_orderkey", *Z.INTENSITIES, "other").alias("intensity"),
-        F.array(_K % 5, _K % 7).alias("auditors"),
-        F.array(_K).alias("tasks"),
-        F.array(_K % 101).alias("executions"),
+        F.array(_k() % 5, _k() % 7).alias("auditors"),
+        F.array(_k()).alias("tasks"),
+        F.array(_k() % 101).alias("executions"),
     )
     return Z.final_waves(p, runs)
 
 
 @catalog.add("doctor_defense", f"WITH {_P} SELECT project_id, 'USER_EVIDENCE_REQUIRED' AS code, 'ERROR' AS severity, 'evidence/index.json' AS path FROM p WHERE stage = 'final' AND project_id NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderkey % 3 > 0)")
 def doctor_defense(spark, sf_dir):
-    return Z.defense_evidence(projects(spark, sf_dir), orders(spark, sf_dir, F.when(F.col("o_orderpriority") == "1-URGENT", "defense").otherwise("pilot").alias("group"), (_K % 3).alias("size")))
+    return Z.defense_evidence(projects(spark, sf_dir), orders(spark, sf_dir, F.when(F.col("o_orderpriority") == "1-URGENT", "defense").otherwise("pilot").alias("group"), (_k() % 3).alias("size")))
 
 
 @catalog.add(
@@ -199,8 +202,8 @@ def doctor_labels(spark, sf_dir):
     UNION ALL SELECT project_id, 'EVIDENCE_DUPLICATE', 'ERROR', lower(id) FROM e GROUP BY project_id, lower(id) HAVING count(*) > 1""",
 )
 def doctor_evidence(spark, sf_dir):
-    number = F.floor(_K % 10 / 2).cast("string")
-    return H.evidence(orders(spark, sf_dir, F.concat(F.when(_K % 2 == 0, "E").otherwise("e"), number).alias("id"), _pick("o_orderkey", "evidence/a", "../a", "", None).alias("path"), F.when(_K % 3 == 0, "https://x").alias("url")))
+    number = F.floor(_k() % 10 / 2).cast("string")
+    return H.evidence(orders(spark, sf_dir, F.concat(F.when(_k() % 2 == 0, "E").otherwise("e"), number).alias("id"), _pick("o_orderkey", "evidence/a", "../a", "", None).alias("path"), F.when(_k() % 3 == 0, "https://x").alias("url")))
 
 
 @catalog.add(
@@ -212,8 +215,8 @@ def doctor_evidence(spark, sf_dir):
     UNION ALL SELECT project_id, 'SOURCE_DUPLICATE', 'WARNING', key FROM (SELECT *, row_number() OVER (PARTITION BY project_id, key) AS n FROM k) WHERE n > 1""",
 )
 def doctor_sources(spark, sf_dir):
-    name = _K.cast("string")
-    records = orders(spark, sf_dir, _K.alias("pos"), F.concat(F.lit("S"), name).alias("id"), F.concat(F.lit("Title, "), "o_orderpriority").alias("title"), F.when(_K % 3 == 0, F.concat(F.lit("10.1/"), (_K % 4).cast("string"))).alias("doi"), _pick("o_orderkey", "confirmed", "pending", "rejected", "verified").alias("status"), F.when(_K % 5 != 0, "web").alias("method"), F.lit("2024-01-01").alias("checked_at"), F.when(_K % 7 != 0, "https://x").alias("url"))
+    name = _k().cast("string")
+    records = orders(spark, sf_dir, _k().alias("pos"), F.concat(F.lit("S"), name).alias("id"), F.concat(F.lit("Title, "), "o_orderpriority").alias("title"), F.when(_k() % 3 == 0, F.concat(F.lit("10.1/"), (_k() % 4).cast("string"))).alias("doi"), _pick("o_orderkey", "confirmed", "pending", "rejected", "verified").alias("status"), F.when(_k() % 5 != 0, "web").alias("method"), F.lit("2024-01-01").alias("checked_at"), F.when(_k() % 7 != 0, "https://x").alias("url"))
     return H.sources(records.withColumn("stage", _stage("project_id")), F.col("stage"))
 
 
@@ -248,7 +251,7 @@ def doctor_pages(spark, sf_dir):
 )
 def doctor_claims(spark, sf_dir):
     ids = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_set("l_suppkey").alias("source_ids"))
-    claims = ids.join(table(spark, sf_dir, "orders"), F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("project_id"), _K.alias("claim_id"), "source_ids")
+    claims = ids.join(table(spark, sf_dir, "orders"), F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("project_id"), _k().alias("claim_id"), "source_ids")
     records = table(spark, sf_dir, "supplier").filter("s_suppkey % 20 <> 0").select(F.col("s_suppkey").alias("id"), _pick("s_suppkey", "confirmed", "pending", "rejected").alias("status"))
     return H.claims(claims, records, _stage("project_id"))
 

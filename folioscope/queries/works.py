@@ -10,7 +10,9 @@ from folioscope.queries.common import Catalog, table
 
 catalog = Catalog()
 
-_S = F.col("s_suppkey")
+
+def _s():
+    return F.col("s_suppkey")
 
 
 def _choice(key, *values):
@@ -22,7 +24,7 @@ ENDINGS = ("ends here.", "и т. д.", "by A. B.", "see п. 2.3.", "and so on…
 
 @catalog.add("open_ends", "SELECT s_suppkey, s_suppkey % 8 NOT IN (0, 5) AS open_ended FROM supplier")
 def open_ends(spark, sf_dir):
-    return table(spark, sf_dir, "supplier").select("s_suppkey", K.open_ended(F.concat("s_name", F.lit(" "), _choice(_S, *ENDINGS))).alias("open_ended"))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", K.open_ended(F.concat("s_name", F.lit(" "), _choice(_s(), *ENDINGS))).alias("open_ended"))
 
 
 @catalog.add(
@@ -65,7 +67,7 @@ def _asked(category: str, options) -> str:
     a AS (SELECT s_suppkey, CASE WHEN len(own) < 3 THEN list_append(own, more) ELSE own END AS xs FROM q), u AS (SELECT s_suppkey, unnest(range(len(xs)))::INT AS pos, unnest(xs) AS x FROM a) SELECT s_suppkey, pos, x.category AS category, x.question AS question FROM u""",
 )
 def seeded_questions(spark, sf_dir):
-    categories = F.array_compact(F.array(F.when(_S % 2 == 0, "fact"), F.when(_S % 3 == 0, "choice"), F.when(_S % 5 == 0, "result"), F.when(_S % 2 == 0, "fact"), F.lit("unheard of")))
+    categories = F.array_compact(F.array(F.when(_s() % 2 == 0, "fact"), F.when(_s() % 3 == 0, "choice"), F.when(_s() % 5 == 0, "result"), F.when(_s() % 2 == 0, "fact"), F.lit("unheard of")))
     return K.seeded_questions(table(spark, sf_dir, "supplier").select("s_suppkey", categories.alias("categories")), QUESTIONS, GENERIC, ["s_suppkey"], 42)
 
 
@@ -79,20 +81,20 @@ def caption_numbers(spark, sf_dir):
 
 @catalog.add("chapter_prefixes", "SELECT s_suppkey, CASE s_suppkey % 5 WHEN 0 THEN 'arabic' WHEN 2 THEN 'spelled' WHEN 4 THEN 'arabic' END AS numbering, s_suppkey % 5 = 4 AS doubled FROM supplier")
 def chapter_prefixes(spark, sf_dir):
-    text = _choice(_S, "Глава 1. Основы", "ГЛАВА II", "Глава вторая: итоги", "Введение", "Глава 3. Глава III. Итоги")
+    text = _choice(_s(), "Глава 1. Основы", "ГЛАВА II", "Глава вторая: итоги", "Введение", "Глава 3. Глава III. Итоги")
     return table(spark, sf_dir, "supplier").select("s_suppkey", K.chapter_prefix(text).alias("p")).select("s_suppkey", "p.*")
 
 
 @catalog.add("state_texts", "SELECT s_suppkey, '# State' || chr(10) || s_name || chr(10) || CASE WHEN s_suppkey % 2 = 0 THEN '```' || chr(10) || '## История сессий' || chr(10) || '```' || chr(10) ELSE '' END || '## Next' || chr(10) || 'end' || chr(10) AS state FROM supplier")
 def state_texts(spark, sf_dir):
-    fence = F.when(_S % 2 == 0, "```\n## История сессий\n```\n").otherwise("##  история сессий \nold\n### more\n```\n# no heading\n```\n")
+    fence = F.when(_s() % 2 == 0, "```\n## История сессий\n```\n").otherwise("##  история сессий \nold\n### more\n```\n# no heading\n```\n")
     text = F.concat(F.lit("﻿# State  \r\n"), "s_name", F.lit("\nПоследнее обновление: вчера\n"), fence, F.lit("## Next\n**Последнее обновление** 5\nend\n\n\n"))
     return table(spark, sf_dir, "supplier").select("s_suppkey", K.state_projection(text).alias("state"))
 
 
 @catalog.add("draft_keys", "SELECT s_suppkey, sha256('a ' || s_name || chr(10) || chr(10) || 'b') AS key FROM supplier")
 def draft_keys(spark, sf_dir):
-    text = F.when(_S % 2 == 0, F.concat(F.lit("﻿a \t "), "s_name", F.lit("  \r\n\r\n\r\n \n b\n"))).otherwise(F.concat(F.lit("a "), "s_name", F.lit("\n\nb")))
+    text = F.when(_s() % 2 == 0, F.concat(F.lit("﻿a \t "), "s_name", F.lit("  \r\n\r\n\r\n \n b\n"))).otherwise(F.concat(F.lit("a "), "s_name", F.lit("\n\nb")))
     return table(spark, sf_dir, "supplier").select("s_suppkey", K.draft_key(text).alias("key"))
 
 
@@ -103,7 +105,7 @@ def draft_keys(spark, sf_dir):
 )
 def content_keys(spark, sf_dir):
     s = table(spark, sf_dir, "supplier")
-    drafts = s.select("s_nationkey", F.col("s_name").alias("path"), F.concat(F.lit("text  "), _S.cast("string"), F.lit(" \n")).alias("text"))
+    drafts = s.select("s_nationkey", F.col("s_name").alias("path"), F.concat(F.lit("text  "), _s().cast("string"), F.lit(" \n")).alias("text"))
     documents = s.filter("s_nationkey % 2 = 0").select("s_nationkey", F.concat(F.lit("f"), F.col("s_nationkey").cast("string")).alias("fingerprint")).distinct()
     return K.content_key(drafts, documents, "s_nationkey", "2", "x 1.0")
 
