@@ -21,10 +21,19 @@ def _bit(map_col: str, cell_col: str) -> Column:
     return F.coalesce(F.expr(f"cast(pmod({cell_col}, 8) as int)").isNotNull() & (F.call_function("getbit", byte, F.expr(f"cast(pmod({cell_col}, 8) as int)")) == 1), F.lit(False))
 
 
-def repeated_cells(keys: DataFrame, cells: list[str]) -> DataFrame:
-    """(piece, bits): the map of the cells that two rows or more hit. keys has a long column for each of a row's cells."""
-    hit = keys.select(F.explode(F.array(*[F.col(c) for c in cells])).alias("cell")).groupBy("cell").agg(F.count("*").alias("n")).filter("n > 1")
-    return hit.groupBy(F.expr(f"cell div {PIECE}").alias("piece")).agg(F.expr(f"bitmap_construct_agg(pmod(cell, {PIECE}))").alias("bits"))
+def cell_map(cells: DataFrame) -> DataFrame:
+    """(piece, bits): the map of the cells in column cell."""
+    return cells.groupBy(F.expr(f"cell div {PIECE}").alias("piece")).agg(F.expr(f"bitmap_construct_agg(pmod(cell, {PIECE}))").alias("bits"))
+
+
+def all_cells(rows: DataFrame, digest: str, size: int) -> DataFrame:
+    """(cell): both cells of each row's digest."""
+    return rows.select(F.explode(F.array(*cells_of(digest, size))).alias("cell"))
+
+
+def repeated_cells(rows: DataFrame, digest: str, size: int) -> DataFrame:
+    """(piece, bits): the map of the cells that two rows or more hit."""
+    return cell_map(all_cells(rows, digest, size).groupBy("cell").agg(F.count("*").alias("n")).filter("n > 1"))
 
 
 def filter_size(rows: int, most: int) -> int:
@@ -32,15 +41,15 @@ def filter_size(rows: int, most: int) -> int:
     return max(PIECE, min(most, -(-16 * rows // PIECE) * PIECE))
 
 
-def _seen(rows: DataFrame, digest: str, bits: DataFrame, size: int) -> DataFrame:
-    """rows with __maybe: are both cells of the row's digest hit by two rows or more."""
-    for i, cell in enumerate(_cells(digest, size)):
+def seen(rows: DataFrame, digest: str, bits: DataFrame, size: int) -> DataFrame:
+    """rows with __maybe: are both cells of the row's digest in the map."""
+    for i, cell in enumerate(cells_of(digest, size)):
         rows = rows.withColumn(f"__c{i}", cell).withColumn("__piece", F.expr(f"__c{i} div {PIECE}"))
         rows = rows.join(bits.select(F.col("piece").alias("__piece"), F.col("bits").alias(f"__b{i}")), "__piece", "left")
     return rows.withColumn("__maybe", _bit("__b0", "__c0") & _bit("__b1", "__c1")).drop("__piece", "__b0", "__b1", "__c0", "__c1")
 
 
-def _cells(digest: str, size: int) -> list[Column]:
+def cells_of(digest: str, size: int) -> list[Column]:
     return [F.pmod(F.xxhash64(digest, F.lit(i)), F.lit(size)) for i in (0, 1)]
 
 
@@ -61,22 +70,22 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     total = rows.count()
     size = filter_size(total, most_bits)
     # cells lie in a map as bits, so it is small: most_bits / 8 bytes at most
-    bits = F.broadcast(stored(repeated_cells(rows.select(*[c.alias(f"c{i}") for i, c in enumerate(_cells("digest", size))]), ["c0", "c1"]), "bits"))
+    bits = F.broadcast(stored(repeated_cells(rows, "digest", size), "bits"))
     best = F.max(F.struct("id", "row"))
-    groups = stored(_seen(rows, "digest", bits, size).filter("__maybe").groupBy("digest").agg(F.count("*").alias("__n"), best.alias("__best")).filter("__n > 1").withColumnRenamed("digest", "__digest"), "groups")
+    groups = stored(seen(rows, "digest", bits, size).filter("__maybe").groupBy("digest").agg(F.count("*").alias("__n"), best.alias("__best")).filter("__n > 1").withColumnRenamed("digest", "__digest"), "groups")
     heavy = heavy_rows(total)
     hot = F.broadcast(groups.filter(F.col("__n") > heavy))
     columns = [*base.columns, *OUTPUT]
 
-    def resolved(found: DataFrame) -> DataFrame:
+    def resolved(rows: DataFrame) -> DataFrame:
         """Rows with __n and __best of their group, null for a row that is alone."""
-        named = found.withColumns({"keep_id": F.when(F.col("__n").isNull(), F.col(id_col)).otherwise(F.col("__best.id")), "group_size": F.coalesce("__n", F.lit(1)).cast("long"), "kept": F.coalesce(F.col("__best.row") == F.col("__row"), F.lit(True))})
+        named = rows.withColumns({"keep_id": F.when(F.col("__n").isNull(), F.col(id_col)).otherwise(F.col("__best.id")), "group_size": F.coalesce("__n", F.lit(1)).cast("long"), "kept": F.coalesce(F.col("__best.row") == F.col("__row"), F.lit(True))})
         return named.withColumn("text_sha256", F.lower(F.hex("__digest"))).select(*columns)
 
     # one scan for the rows that pass straight through or are in a hot group, one for those that are shuffled
-    seen = _seen(base.withColumns({"__digest": digest, "__row": place}), "__digest", bits, size).join(hot, "__digest", "left")
-    straight = resolved(seen.filter("not __maybe or __n is not null"))
-    shuffled = resolved(seen.filter("__maybe and __n is null").drop("__n", "__best").join(groups.filter(F.col("__n") <= heavy), "__digest", "left"))
+    found = seen(base.withColumns({"__digest": digest, "__row": place}), "__digest", bits, size).join(hot, "__digest", "left")
+    straight = resolved(found.filter("not __maybe or __n is not null"))
+    shuffled = resolved(found.filter("__maybe and __n is null").drop("__n", "__best").join(groups.filter(F.col("__n") <= heavy), "__digest", "left"))
     return straight.unionByName(shuffled)
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folioscope.llm.common import _WORD_BYTES, ascii_lower_col, bounded_batches, free_columns, heavy_rows, held, keeping_columns, map_texts, removed, settled, step_path, stored
+from folioscope.llm.exactdup import all_cells, cell_map, filter_size, seen
 
 OUTPUT = ("class_id", "class_size", "kept")
 
@@ -348,11 +349,13 @@ def components(edges: DataFrame) -> DataFrame:
         state = tuple(now)
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = 0.8, words: int = 5, bands: int = 20, rows: int = 5, tile: int = 256, tile_bytes: int = 32 << 20, broadcast_rows: int = 1 << 20) -> DataFrame:
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = 0.8, words: int = 5, bands: int = 20, rows: int = 5, tile: int = 256, tile_bytes: int = 32 << 20, broadcast_rows: int = 1 << 20, most_bits: int = 1 << 30) -> DataFrame:
     """docs with class_id, class_size and kept; input columns of these names give way.
 
     A class is a connected component of texts whose shingles (of words words; a text of fewer words, but not none, is one shingle) have a probability Jaccard of similar or more, weighted by 1 + ln(count) or equally (the Jaccard similarity of the sets), or that are equal after lower-casing A-Z (null counts as empty); texts without words are linked to equal texts only. class_id is the smallest id of the class (null is the smallest), class_size its number of rows; kept is true in exactly one row of each class, one with that id. Whole texts are read. An empty table gives an empty table. A table that isn't read from files alone is stored first, since it is read more than once.
 
+    Rows of texts in classes of one row pass straight through: a bit map of the others' nodes (16 bits for each, most_bits at most) is broadcast, and what it lets through by mistake is only shuffled.
+
     Candidates: pairs that agree on a band of rows slots, in the signature of either weighting; with the standard 20 bands of 5, a pair of similarity 0.8 does so with a probability of 0.9996, however often each text repeats its shingles.
     """
     docs = settled(docs)
@@ -380,13 +383,18 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     heavy = heavy_rows(nodes.agg(F.sum("copies")).first()[0] or 0)
     hot = F.broadcast(several.filter(F.col("copies") > heavy).select("__node", F.col("__best").alias("__hot_best"), F.col("__size").alias("__hot_size")))
     rest = several.filter(F.col("copies") <= heavy).select(F.col("__node").alias("__key"), F.lit(False).alias("__hot"), "__best", "__size")
-    out = base.withColumns({"__row": place, "__node": _node(docs[text_col])}).join(hot, "__node", "left")
+    # a bit map of these nodes, of bounded size: rows that it doesn't hold pass straight through
+    size = filter_size(several.count(), most_bits)
+    bits = F.broadcast(stored(cell_map(all_cells(several, "__node", size)), "bits"))
+    rows = seen(base.withColumns({"__row": place, "__node": _node(docs[text_col])}), "__node", bits, size)
+    alone = rows.filter("not __maybe").withColumns({"class_id": F.col(id_col), "class_size": F.lit(1).cast("long"), "kept": F.lit(True)})
+    out = rows.filter("__maybe").join(hot, "__node", "left")
     # rows of a hot text have their answer, and are dealt out by their places
     is_hot = F.col("__hot_size").isNotNull()
     out = out.withColumns({"__hot": is_hot, "__key": F.when(is_hot, F.col("__row").cast("string").cast("binary")).otherwise(F.col("__node"))}).join(rest, ["__key", "__hot"], "left")
-    best, size = F.coalesce("__hot_best", "__best"), F.coalesce("__hot_size", "__size")
-    out = out.withColumns({"class_id": F.when(size.isNull(), F.col(id_col)).otherwise(best["id"]), "class_size": F.coalesce(size, F.lit(1)).cast("long"), "kept": F.coalesce(best["row"] == F.col("__row"), F.lit(True))})
-    return out.select(*base.columns, *OUTPUT)
+    best, total = F.coalesce("__hot_best", "__best"), F.coalesce("__hot_size", "__size")
+    out = out.withColumns({"class_id": F.when(total.isNull(), F.col(id_col)).otherwise(best["id"]), "class_size": F.coalesce(total, F.lit(1)).cast("long"), "kept": F.coalesce(best["row"] == F.col("__row"), F.lit(True))})
+    return alone.select(*base.columns, *OUTPUT).unionByName(out.select(*base.columns, *OUTPUT))
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

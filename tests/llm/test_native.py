@@ -82,8 +82,8 @@ def test_filter_grows_with_the_rows(spark, tmp_path):
         rows = spark.range(n).select((F.col("id") - F.when(F.col("id") % 10 == 0, F.col("id") % 20).otherwise(0)).cast("string").alias("t"))
         size = exactdup.filter_size(n, 1 << 30)
         keys = rows.select(F.unhex(F.sha2("t", 256)).alias("digest"))
-        bits = exactdup.repeated_cells(keys.select(*[c.alias(f"c{i}") for i, c in enumerate(exactdup._cells("digest", size))]), ["c0", "c1"])
-        share = exactdup._seen(keys, "digest", bits, size).filter("__maybe").count() / n
+        bits = exactdup.repeated_cells(keys, "digest", size)
+        share = exactdup.seen(keys, "digest", bits, size).filter("__maybe").count() / n
         assert 0.1 <= share < 0.13
     assert exactdup.filter_size(10**12, 1 << 30) == 1 << 30
 
