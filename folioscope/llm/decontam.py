@@ -2,7 +2,7 @@
 
 The automaton holds all normalised test items, as sequences of word numbers. A document's words run through it, and at each word the length of the longest match that ends there is tracked: from window words on, the last window words are hit; an item shorter than the window is hit as a whole where it ends. Words that no item has end a match, so only runs of known words are walked, and only in documents that hold some window's longest word.
 
-The automaton is broadcast with the tasks. Its size follows the benchmark's, which is checked: a benchmark of over block_bytes of text is dealt into blocks by item id, and the documents pass by one block after the other.
+The automaton is broadcast with the tasks. Its size follows the benchmark's, which is checked: a benchmark of over block_bytes of text is dealt into blocks by item id, and the documents pass by one block after the other, at_once blocks in one job; between jobs they are stored. So the driver and each core hold at_once blocks at most, whatever the benchmark's size.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioscope.llm.common import _WORD, ascii_lower, bounded_batches, free_columns, held, words_of
+from folioscope.llm.common import _WORD, ascii_lower, bounded_batches, free_columns, held, stored, words_of
 
 OUTPUT = ("n_words", "n_hit", "longest", "item_ids", "contaminated")
 
@@ -138,17 +138,17 @@ def _automaton(items: tuple, window: int) -> SuffixAutomaton:
     return held("automaton", (items, window), lambda: SuffixAutomaton([(i, words_of(t)) for i, t in items], window))
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Iterator[tuple]:
-    """The benchmark's (id, text), in blocks of about block_bytes of text; an item belongs to one block."""
+def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Iterator[tuple[tuple, bool]]:
+    """The benchmark's (id, text), in blocks of about block_bytes of text, each with whether it is the last one; an item belongs to one block."""
     rows = benchmark.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t")).filter("t is not null and t <> ''")
     size = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     n = int(size // block_bytes) + 1
     for k in range(n):
         own = rows if n == 1 else rows.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k)
-        yield tuple(sorted(((r["i"], r["t"]) for r in own.collect()), key=lambda r: (str(r[0]), r[1])))
+        yield tuple(sorted(((r["i"], r["t"]) for r in own.collect()), key=lambda r: (str(r[0]), r[1]))), k == n - 1
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, coverage: int = 20, text_col: str = "text", keep: Sequence[str] | None = None, clean: bool = False, item_id: str = "item_id", block_bytes: int = 1 << 20) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, coverage: int = 20, text_col: str = "text", keep: Sequence[str] | None = None, clean: bool = False, item_id: str = "item_id", block_bytes: int = 1 << 20, at_once: int = 4) -> DataFrame:
     """docs's columns (or those in keep), n_words, n_hit, longest, item_ids and contaminated; with clean also clean_text, the text without its hit spans (from a hit run's first word to its last). Input columns of these names give way.
 
     A window is window consecutive words of an item, or a whole item of fewer words (but not none); a document's word inside any occurrence of a window is hit. item_ids are the items with occurring windows (ascending; an item without id is left out of the list); contaminated: any word is hit and coverage * n_hit >= n_words. Null and empty texts have no words; whole texts are read; repeated rows give repeated results; an empty benchmark hits nothing; an empty table gives an empty table.
@@ -160,11 +160,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, cover
     df = base.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(passed)], F.col(f"`{text_col}`").cast("string").alias("t"))
     state = [T.StructField("n", T.LongType()), T.StructField("flags", T.BinaryType()), T.StructField("longest", T.IntegerType()), T.StructField("items", T.ArrayType(item_type))]
     out_fields = [*df.schema.fields, *state]
-    blocks = list(_blocks(benchmark, item_id, "text", block_bytes))
-    for k, block in enumerate(blocks):
-        last = k == len(blocks) - 1
+    for k, (block, last) in enumerate(_blocks(benchmark, item_id, "text", block_bytes)):
         schema = T.StructType(out_fields if clean or not last else [f for f in out_fields if f.name != "t"])
         df = bounded_batches(df).mapInArrow(_scan(block, window, k == 0, clean or not last, schema), schema)
+        if not last and (k + 1) % at_once == 0:
+            df = stored(df, "scanned")
     flags = F.coalesce(F.col("flags").cast("string"), F.lit(""))
     hit = F.length(flags) - F.length(F.replace(flags, F.lit("1"), F.lit("")))
     done = [F.col("n").alias("n_words"), hit.cast("long").alias("n_hit"), F.col("longest"), F.array_sort(F.array_distinct("items")).alias("item_ids")]
