@@ -128,9 +128,9 @@ class Attention:
         return self.forward(np.concatenate(bags), starts)["y"]
 
 
-def fit(labelled: DataFrame, max_rows: int = 4_000, hidden: int = 16, gate: int = 8) -> Attention:
-    """Fit on labelled (doc_id, text, y with 0 or 1), of which about max_rows rows, those with the smallest hash of doc_id, are used. Without rows of both labels the score is the labels' share (or 0.5)."""
-    rows = labelled.filter("y is not null").select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.col("y").cast("double").alias("y"))
+def fit(labelled: DataFrame, max_rows: int = 4_000, hidden: int = 16, gate: int = 8, max_chars: int = 200_000) -> Attention:
+    """Fit on labelled (doc_id, text, y with 0 or 1), of which about max_rows rows, those with the smallest hash of doc_id among texts of up to max_chars characters, are used; so what the driver collects is bounded. Without rows of both labels the score is the labels' share (or 0.5)."""
+    rows = labelled.filter("y is not null").select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.col("y").cast("double").alias("y")).filter(F.length("text") <= max_chars)
     total = rows.select("doc_id").count()
     part = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("rows")), F.lit(1_000_000))
     used = rows.filter(part < F.lit(int(min(1.0, max_rows / max(total, 1)) * 1_000_000)))
