@@ -114,10 +114,14 @@ def caption_numbers(blocks: DataFrame, keep: Sequence[str]) -> DataFrame:
     return blocks.select(*keep, F.explode(F.filter(F.array(*each), lambda x: x["number"] != "")).alias("x")).select(*keep, "x.kind", "x.number")
 
 
+#: Fixed value: a chapter's number at the beginning of its heading.
+CHAPTER_PREFIX = r"(?iuU)^\s*глава\s+([IVXLCDM]+|\d+|перв\w*|втор\w*|трет\w*|четв[её]рт\w*|пят\w*|шест\w*)(?=$|[\s.:,)—–-])"
+
+
 def chapter_prefix(c: Column) -> Column:
     """(numbering, doubled) of a heading that begins with a chapter's number: arabic, spelled, or null where it is Roman or there is none; whether the prefix stands twice."""
     line = F.trim(F.get(F.split(X.null_empty(c), "\n"), 0))
-    token = F.regexp_extract(line, r"(?iuU)^\s*глава\s+([IVXLCDM]+|\d+|перв\w*|втор\w*|трет\w*|четв[её]рт\w*|пят\w*|шест\w*)(?=$|[\s.:,)—–-])", 1)
+    token = F.regexp_extract(line, CHAPTER_PREFIX, 1)
     kind = F.when((token == "") | (token.rlike(r"^[IVXLCDM]+$") & (X.from_roman(token, 100) > 0)), None).when(token.rlike(r"^\d+$"), "arabic").otherwise("spelled")
     return F.struct(kind.alias("numbering"), ((token != "") & X.collapse_space(F.lower(c)).rlike(r"^глава\s+\S+\s+глава\s+\S+")).alias("doubled"))
 
