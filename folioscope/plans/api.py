@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 from folioscope.operators.audit import replay
+from folioscope.operators.doctor import diagnose, readiness
+from folioscope.operators.finals import next_actions
 from folioscope.operators.bibliography import formatted as bibliography
 from folioscope.operators.citations import strict_refs as citation_refs
 from folioscope.operators.metrics import risk
 from folioscope.operators.registry import snapshot_diff as diff
 from folioscope.operators.rules import checks
 from folioscope.operators.segments import sections
+from folioscope.operators.works import build_stats, content_key, content_problems
+from folioscope.operators.works import validator_regions as places
 
-__all__ = ["bibliography", "build", "checks", "citation_refs", "citations", "diff", "metrics", "replay", "risk", "sections"]
+__all__ = ["bibliography", "build", "build_stats", "checks", "citation_refs", "citations", "content_key", "content_problems", "diagnose", "diff", "metrics", "next_actions", "places", "readiness", "replay", "risk", "sections"]
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
