@@ -107,6 +107,13 @@ def keeping_columns(docs: DataFrame, work: Callable[[DataFrame, dict[str, str]],
     return work(docs.toDF(*stand_in.values()), stand_in).select(*stand_in.values()).toDF(*docs.columns)
 
 
+def adding_columns(docs: DataFrame, outputs: Sequence[str], work: Callable[[DataFrame, dict[str, str]], DataFrame]) -> DataFrame:
+    """docs's columns as they were, whatever their names, and the outputs that work makes: work gets docs under stand-in names, and those by name. An input column with an output's name gives way."""
+    stand_in = {c: f"in{i}" for i, c in enumerate(docs.columns)}
+    kept = [c for c in docs.columns if c not in set(outputs)]
+    return work(docs.toDF(*stand_in.values()), stand_in).select(*[stand_in[c] for c in kept], *outputs).toDF(*kept, *outputs)
+
+
 #: Rows that are worked on at once.
 SLICE = 256
 #: Bytes of an Arrow batch, at which it is closed (Spark's own bound of 64 MB is held several times over by an executor and its worker).

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import bpe, decontam, exactdup, neardup, pii, quality, secrets, sharding, tokenbin, toxicity
+from folioscope.llm import bpe, decontam, exactdup, fim, hardneg, neardup, pii, quality, secrets, sharding, tokenbin, toxicity
 from folioscope.llm.common import table
 
 #: Two regions of three racks of four shards: shards 0 to 23.
@@ -100,6 +100,19 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenbin.token_files(docs, definition, public_tokenizers.PATTERN, end_id=2)
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    made = fim.fill_in_middle(docs)
+    digest = [F.sha2(c.cast("binary"), 256).alias(n) for c, n in ((F.col("output"), "output_sha256"), (fim.restored(F.col("output"), F.col("form")), "restored_sha256"))]
+    return made.select("doc_id", F.col("n_units").alias("n"), "form", "prefix_chars", "middle_chars", *digest)
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hardneg.hard_negatives(rows.withColumn("label", label), F.col("vec_id") % 50 == 0)
+
+
 def queries() -> dict:
     return {
         "op1_sharding": op1_sharding,
@@ -112,4 +125,6 @@ def queries() -> dict:
         "op8_token_files": op8_token_files,
         "op9_toxicity": op9_toxicity,
         "op10_decontamination": op10_decontamination,
+        "op11_fill_in_middle": op11_fill_in_middle,
+        "op13_hard_negatives": op13_hard_negatives,
     }
