@@ -59,12 +59,12 @@ def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64)), starts
 
 
-def shingles(texts: list[str | None], words: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+def shingles(texts: list[str | None], words: int = 5, letters: bytes = _WORD_BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
     """(document, 64-bit hash and count of each distinct shingle, ordered by document and hash; each text's words joined by blanks).
 
-    A text of fewer words than a shingle, but not none, is one shingle.
+    A text of fewer words than a shingle, but not none, is one shingle. letters: what each byte becomes; blanks separate words.
     """
-    clean = [(t or "").encode("utf-8", "surrogatepass").translate(_WORD_BYTES) for t in texts]
+    clean = [(t or "").encode("utf-8", "surrogatepass").translate(letters) for t in texts]
     hashes, at = word_hashes(b" ".join(clean))
     ends = np.cumsum([len(c) + 1 for c in clean])
     doc = np.searchsorted(ends, at, side="right")

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import bpe, decontam, exactdup, fim, hardneg, neardup, pii, quality, secrets, sharding, tokenbin, toxicity
+from folioscope.llm import bpe, decontam, exactdup, fim, hardneg, neardup, ngramjoin, pii, quality, secrets, sharding, tokenbin, toxicity
 from folioscope.llm.common import table
 
 #: Two regions of three racks of four shards: shards 0 to 23.
@@ -107,6 +107,11 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", F.col("n_units").alias("n"), "form", "prefix_chars", "middle_chars", *digest)
 
 
+def op12_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return ngramjoin.ngram_components(docs).select("doc_id", *ngramjoin.OUTPUT)
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
@@ -126,5 +131,6 @@ def queries() -> dict:
         "op9_toxicity": op9_toxicity,
         "op10_decontamination": op10_decontamination,
         "op11_fill_in_middle": op11_fill_in_middle,
+        "op12_ngram_join": op12_ngram_join,
         "op13_hard_negatives": op13_hard_negatives,
     }
