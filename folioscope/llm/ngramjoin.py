@@ -4,7 +4,7 @@ A document is its set of distinct shingles; equal sets are one node. Two nodes o
 
 Light sets, up to a boundary, enumerate subsets: for each size b that a partner can have, all subsets of t(a, b) shingles, keyed with both sizes. Two light sets are linked if and only if they share a key, so all sets of one size with a key are linked to all of the other size, and a key joins its sets in a line, without pairs. Heavy sets scan inverted lists. By one order of all shingles, rarest first, linked sets share one of their first a - ceil(s a) + 1 shingles; only these are in lists, with those of light sets that can have a heavy partner. The boundary is the size where enumerating costs least in all, by a histogram of sizes and the expected length of lists.
 
-The order is by counts that a table of fixed size holds (2^22 cells, as a byte of their logarithm): any order gives the same result, a good one short lists. Lists are worked off in two rounds. In the first, each list's members are compared with its smallest member, which joins groups of near copies in time linear in the lists; nothing else is compared for members that are in one component then. In the second, lists that still hold several components, and more than two members, are dealt out as tiles of bounded size, and a tile scans its sets' full inverted lists for exact overlaps. So no pair is written unless it is compared with a list's first member, or is a verified link, and nothing is capped.
+The order is by counts that a table of fixed size holds (2^22 cells, as a byte of their logarithm): any order gives the same result, a good one short lists. Lists are worked off in two rounds. In the first, each list's members are compared with its smallest member, which joins groups of near copies in time linear in the lists; nothing else is compared for members that are in one component then. In the second, lists that still hold several components, and more than two members, are dealt out as tiles of bounded size, and a tile scans its sets' full inverted lists for exact overlaps. Before whole sets are sent for either round, a set's spread (counts of its shingles by ranges of the hash, a byte for four) tells whether a link is possible at all. So no pair is written unless it is compared with a list's first member, or is a verified link, and nothing is capped.
 """
 
 from __future__ import annotations
@@ -118,6 +118,36 @@ def _cell(elements: np.ndarray, bits: int) -> np.ndarray:
     return (elements >> _U(64 - bits)).astype(np.int64)
 
 
+def _narrow(counts: np.ndarray) -> str:
+    """The least number of bytes for counts."""
+    most = int(counts.max())
+    return "<u1" if most < 1 << 8 else "<u2" if most < 1 << 16 else "<u4" if most < 1 << 32 else "<u8"
+
+
+def spread(elements: np.ndarray) -> bytes:
+    """How many shingles lie in each part of the range of hashes, a byte each: about a part for four shingles. Empty if a byte is too small."""
+    parts = 16
+    while 4 * parts < len(elements):
+        parts *= 2
+    counts = np.bincount(_cell(elements, parts.bit_length() - 1), minlength=parts)
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else b""
+
+
+def may_link(law: Law, n: int, spread: bytes, sizes: np.ndarray, spreads: Sequence[bytes]) -> np.ndarray:
+    """Whether a set's link to each of others is possible: parts whose counts differ by d in all hold d shingles at least that the sets don't share."""
+    out = (100 * np.minimum(sizes, n) >= law.percent * np.maximum(sizes, n))
+    if not spread:
+        return out
+    own = np.frombuffer(spread, dtype=np.uint8).astype(np.int64)
+    for parts in {len(s) for i, s in enumerate(spreads) if out[i] and s}:
+        at = np.array([i for i, s in enumerate(spreads) if out[i] and len(s) == parts])
+        theirs = np.frombuffer(b"".join(spreads[i] for i in at), dtype=np.uint8).astype(np.int64).reshape(len(at), parts)
+        least = min(parts, len(own))
+        apart = np.abs(theirs.reshape(len(at), least, -1).sum(axis=2) - own.reshape(least, -1).sum(axis=1)).sum(axis=1)
+        out[at] = law.linked((sizes[at] + n - apart) // 2, n, sizes[at])
+    return out
+
+
 def count_table(texts: DataFrame, words: int, bits: int) -> tuple[np.ndarray, dict[int, int], float]:
     """(a byte for each of 2^bits cells: 8 times the binary logarithm of its count of shingles; number of texts of each size up to MOST_LIGHT; expected length of a shingle's list). All texts are counted; what comes to the driver has a fixed size."""
     cells = min(CELLS, 1 << bits)
@@ -133,7 +163,7 @@ def count_table(texts: DataFrame, words: int, bits: int) -> tuple[np.ndarray, di
         pieces = [(i, p) for i, p in enumerate([*table.reshape(-1, cells), small]) if p.any()]
         for at in range(0, len(pieces), 64):
             own = pieces[at : at + 64]
-            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in own], pa.int32()), pa.array([p.astype("<u4").tobytes() for _, p in own], pa.binary())], names=["piece", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in own], pa.int32()), pa.array([p.astype(_narrow(p)).tobytes() for _, p in own], pa.binary())], names=["piece", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, total = None, None
@@ -143,7 +173,7 @@ def count_table(texts: DataFrame, words: int, bits: int) -> tuple[np.ndarray, di
                     if at is not None:
                         yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([total.astype("<i8").tobytes()], pa.binary())], names=["piece", "counts"])
                     at, total = piece, np.zeros(cells, dtype=np.int64)
-                total += np.frombuffer(counts, dtype="<u4")
+                total += np.frombuffer(counts, dtype=f"<u{len(counts) // cells}")
         if at is not None:
             yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([total.astype("<i8").tobytes()], pa.binary())], names=["piece", "counts"])
 
@@ -165,6 +195,7 @@ def count_table(texts: DataFrame, words: int, bits: int) -> tuple[np.ndarray, di
 SIGNED = (
     T.StructField("digest", T.BinaryType()),
     T.StructField("n", T.LongType()),
+    T.StructField("spread", T.BinaryType()),
     T.StructField("prefix", T.ArrayType(T.LongType(), True)),
     T.StructField("keys", T.ArrayType(T.BinaryType(), True)),
     T.StructField("sides", T.ArrayType(T.IntegerType(), True)),
@@ -172,7 +203,7 @@ SIGNED = (
 
 
 def signer(words: int, law: Law, boundary: int, level, bits: int):
-    """For each text: digest of its set (null where it has no words), size, first shingles for lists, keys of subsets and their sides. level: broadcast."""
+    """For each text: digest of its set (null where it has no words), size, spread, first shingles for lists, keys of subsets and their sides. level: broadcast."""
     wanted = {a: law.subsets(a, boundary) for a in range(1, boundary + 1)}
 
     def make():
@@ -183,7 +214,7 @@ def signer(words: int, law: Law, boundary: int, level, bits: int):
             for elements in sets_of(texts, words):
                 n = len(elements)
                 if not n:
-                    out.append((None, 0, [], [], []))
+                    out.append((None, 0, b"", [], [], []))
                     continue
                 keys = subset_keys(elements, wanted[n]) if n <= boundary else []
                 first = np.zeros(0, dtype=np.int64)
@@ -191,8 +222,8 @@ def signer(words: int, law: Law, boundary: int, level, bits: int):
                     count = table[_cell(elements, bits)]
                     own = np.lexsort((elements, count))[: law.prefix(n)]
                     first = elements[own[count[own] > 0]].astype(np.int64)  # a cell of one shingle is in no other text
-                out.append((hashlib.md5(elements.tobytes()).digest(), n, first, [k for k, _ in keys], [s for _, s in keys]))
-            kinds = (pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.binary()), pa.list_(pa.int32()))
+                out.append((hashlib.md5(elements.tobytes()).digest(), n, spread(elements), first, [k for k, _ in keys], [s for _, s in keys]))
+            kinds = (pa.binary(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.binary()), pa.list_(pa.int32()))
             return [pa.array([o[k] for o in out], t) for k, t in enumerate(kinds)]
 
         return work
@@ -231,6 +262,19 @@ def _sets(texts: DataFrame, wanted: DataFrame, words: int, broadcast_rows: int,
     return map_texts(own, [T.StructField("elements", T.BinaryType())], make, "text", ["node"])
 
 
+def _possible(pairs: DataFrame, nodes: DataFrame, law: Law) -> DataFrame:
+    """The pairs (u, v) that their sizes and spreads let be links."""
+    own = nodes.select("node", "n", "spread")
+    both = pairs.join(own.select(F.col("node").alias("u"), F.col("n").alias("a"), F.col("spread").alias("x")), "u").join(own.select(F.col("node").alias("v"), F.col("n").alias("b"), F.col("spread").alias("y")), "v")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = [bool(may_link(law, a, x, np.array([b]), [y])[0]) for a, b, x, y in zip(*(c.to_pylist() for c in batch.columns[2:]))]
+            yield batch.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
+
+    return bounded_batches(both.select("u", "v", "a", "b", "x", "y")).mapInArrow(run, LINK)
+
+
 def _compared(pairs: DataFrame, sets: DataFrame, law: Law) -> DataFrame:
     """The linked ones of the pairs (u, v)."""
     both = pairs.join(sets.select(F.col("node").alias("u"), F.col("elements").alias("x")), "u").join(sets.select(F.col("node").alias("v"), F.col("elements").alias("y")), "v")
@@ -275,28 +319,29 @@ def scanned(nodes: list[int], roots: list[int], blocks: list[int], sets: list[np
     return out
 
 
-def _tiles(members: DataFrame, sets: DataFrame, law: Law, tile: int, tile_bytes: int) -> DataFrame:
-    """Links across components in the lists (list, node, root, n); lists of equal members are worked off once."""
-    lists = members.groupBy("element").agg(F.count("*").alias("m"), F.sum("n").alias("total"), F.bit_xor(F.xxhash64("node")).alias("x"), F.sum(F.xxhash64("node", F.lit(1)).cast("decimal(20,0)")).alias("s"))
+def _blocks(members: DataFrame, tile: int, tile_bytes: int, each_bytes: int) -> DataFrame:
+    """members with the number of blocks of their list; of lists of equal members one is kept."""
+    lists = members.groupBy("element").agg(F.count("*").alias("m"), F.sum("n").alias("total"), F.bit_xor(F.xxhash64("node")).alias("x"), F.sum(F.xxhash64("node", F.lit(1)).cast("decimal(20,0)")).alias("s")).filter("m > 1")
     kept = lists.groupBy("m", "x", "s").agg(F.min(F.struct("element", "total")).alias("k")).select("k.element", "m", "k.total")
-    blocks = F.greatest(F.ceil(F.col("m") / F.greatest(F.lit(tile), F.ceil(8 * F.sqrt("m")))), F.ceil(16 * F.col("total") / F.lit(tile_bytes))).cast("int")
-    rows = members.join(kept.select("element", blocks.alias("blocks")), "element").join(sets, "node")
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("node", F.lit(2)), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("element", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "root", "elements")
-    dealt = rows.repartition("element", "low", "high").sortWithinPartitions("element", "low", "high")
+    blocks = F.greatest(F.ceil(F.col("m") / F.greatest(F.lit(tile), F.ceil(8 * F.sqrt("m")))), F.ceil(2 * each_bytes * F.col("total") / F.lit(tile_bytes))).cast("int")
+    return members.join(kept.select("element", blocks.alias("blocks")), "element")
+
+
+def _in_tiles(rows: DataFrame, columns: Sequence[str], work, schema: str) -> DataFrame:
+    """What work makes of each two blocks of each list; it gets the element, the blocks' numbers and a list for each column."""
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("node", F.lit(2)), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("element", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", *columns)
+    dealt = dealt.repartition("element", "low", "high").sortWithinPartitions("element", "low", "high")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: list[tuple] = []
         at = None
 
         def done():
-            if len(own) < 2:
-                return []
-            block, node, root, data = zip(*own)
-            return scanned(node, root, block, [np.frombuffer(d, dtype="<u8") for d in data], law)
+            return work(at[0], *zip(*own)) if len(own) > 1 else []
 
         def out(found):
-            return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["u", "v"])
+            return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=[c.split()[0] for c in schema.split(", ")])
 
         for batch in batches:
             found = []
@@ -310,7 +355,37 @@ def _tiles(members: DataFrame, sets: DataFrame, law: Law, tile: int, tile_bytes:
         if found := done():
             yield out(found)
 
-    return bounded_batches(dealt).mapInArrow(compare, LINK).distinct()
+    return bounded_batches(dealt).mapInArrow(compare, schema).distinct()
+
+
+def _hopeful(members: DataFrame, nodes: DataFrame, law: Law, tile: int, tile_bytes: int) -> DataFrame:
+    """(element, node): members of lists (element, node, root, n) with a possible link to a member of another component, by their spreads alone."""
+    rows = _blocks(members, tile, tile_bytes, 1).join(nodes.select("node", "spread"), "node")
+
+    def work(element, block, node, root, n, spreads):
+        sizes, roots, blocks = np.array(n), np.array(root), np.array(block)
+        across, good = len(set(block)) > 1, np.zeros(len(node), dtype=bool)
+        for i in range(len(node) - 1):
+            other = roots[i + 1 :] != roots[i]
+            if across:
+                other &= blocks[i + 1 :] != blocks[i]
+            places = np.nonzero(other)[0] + i + 1
+            if len(places):
+                found = places[may_link(law, n[i], spreads[i], sizes[places], [spreads[j] for j in places])]
+                good[found] = True
+                good[i] |= bool(len(found))
+        return [(element, node[i]) for i in np.nonzero(good)[0]]
+
+    return _in_tiles(rows, ["node", "root", "n", "spread"], work, "element long, node long")
+
+
+def _tiles(members: DataFrame, sets: DataFrame, law: Law, tile: int, tile_bytes: int) -> DataFrame:
+    """Links across components in the lists (element, node, root, n)."""
+
+    def work(element, block, node, root, data):
+        return scanned(node, root, block, [np.frombuffer(d, dtype="<u8") for d in data], law)
+
+    return _in_tiles(_blocks(members, tile, tile_bytes, 8).join(sets, "node"), ["node", "root", "elements"], work, LINK)
 
 
 def _heavy_links(nodes: DataFrame, texts: DataFrame, light: DataFrame, law: Law, words: int, tile: int, tile_bytes: int, broadcast_rows: int, most_bits: int) -> DataFrame:
@@ -321,7 +396,8 @@ def _heavy_links(nodes: DataFrame, texts: DataFrame, light: DataFrame, law: Law,
     path = step_path(spark, "lists")
     listed = stored(places.join(lists, "element").select("element", "node", "n", "m", F.col("first.node").alias("first"), F.col("first.n").alias("first_n")), path=path)
     fits = 100 * F.least("n", "first_n") >= law.percent * F.greatest("n", "first_n")
-    pairs = stored(listed.filter((F.col("node") != F.col("first")) & fits).select(F.col("first").alias("u"), F.col("node").alias("v")).distinct(), "pairs")
+    first_pairs = listed.filter((F.col("node") != F.col("first")) & fits).select(F.col("first").alias("u"), F.col("node").alias("v")).distinct()
+    pairs = stored(_possible(first_pairs, nodes, law), "pairs")
     wanted = stored(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "wanted")
     sets_path = step_path(spark, "sets")
     stored(_sets(texts, wanted, words, broadcast_rows, most_bits), path=sets_path)
@@ -335,7 +411,8 @@ def _heavy_links(nodes: DataFrame, texts: DataFrame, light: DataFrame, law: Law,
     # lists of two are done with; of the others those are left which hold several components
     left = spark.read.schema(listed.schema).parquet(path).filter("m > 2").select("element", "node", "n").join(rooted, "node", "left").withColumn("root", F.coalesce("root", "node"))
     several = left.groupBy("element").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("element")
-    members = stored(left.join(several, "element"), "members")
+    mixed = stored(left.join(several, "element"), "mixed")
+    members = stored(mixed.join(stored(_hopeful(mixed, nodes, law, tile, tile_bytes), "hopeful"), ["element", "node"], "left_semi"), "members")
     more = stored(members.select("node").distinct(), "wanted")
     new = more.join(wanted, "node", "left_anti")
     others = stored(_sets(texts, stored(new, "wanted"), words, broadcast_rows, most_bits), "sets")
@@ -365,7 +442,7 @@ def ngram_components(
         sent = spark.sparkContext.broadcast(level)
         path = step_path(spark, "signed")
         signed = stored(map_texts(d.select(F.col(name[id_col]).alias("id"), row, text), SIGNED, signer(words, law, boundary, sent, bits), "text", ["id", "node"]), path=path)
-        own = signed.filter("digest is not null").groupBy("digest").agg(F.min("node").alias("node"), F.min("id").alias("id"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("keys").alias("keys"), F.first("sides").alias("sides"))
+        own = signed.filter("digest is not null").groupBy("digest").agg(F.min("node").alias("node"), F.min("id").alias("id"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("spread").alias("spread"), F.first("prefix").alias("prefix"), F.first("keys").alias("keys"), F.first("sides").alias("sides"))
         nodes_path = step_path(spark, "nodes")
         nodes = stored(own, path=nodes_path)
         light = stored(_light_links(nodes).distinct(), "light")
