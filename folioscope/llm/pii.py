@@ -110,18 +110,20 @@ def expand_phone(text: str, at: int) -> tuple[int, Span | None]:
 
 
 def expand_url(text: str, scheme: int, body: int) -> Span | None:
+    if text[body : body + 1] not in _ALNUM:  # looked at first: a text of many such schemes is walked through once
+        return None
     found = _URL_END.search(text, body)
     end = found.start() if found else len(text)
-    while end > body and text[end - 1] in ".,;:!?":
+    while text[end - 1] in ".,;:!?":
         end -= 1
-    return (scheme, end) if end > body and text[body] in _ALNUM else None
+    return scheme, end
 
 
 def expand_iban(text: str, at: int) -> Span | None:
     """The account number behind a cue: after blanks, colon or equals sign."""
     while at < len(text) and text[at] in " :=\t":
         at += 1
-    end = _run(text, at, _ALNUM)
+    end = at + _run(text[at : at + 35], 0, _ALNUM)  # a run of 35 or more is none, however long
     run = text[at:end]
     if not (15 <= len(run) <= 34 and run[0] in _UPPER and run[1] in _UPPER and run[2] in _DIGITS and run[3] in _DIGITS):
         return None
