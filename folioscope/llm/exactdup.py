@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import ascii_lower_col, free_columns, heavy_rows, keeping_columns, settled, stored
+from folioscope.llm.common import adding_columns, ascii_lower_col, heavy_rows, keeping_columns, settled, stored
 
 #: Bits of one map piece, as bitmap_construct_agg makes them.
 PIECE = 32_768
@@ -62,8 +62,11 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     if most_bits % PIECE or most_bits <= 0:
         raise ValueError(f"most_bits is a multiple of {PIECE}")
-    docs = settled(docs)
-    base = free_columns(docs, OUTPUT)
+    return adding_columns(docs, OUTPUT, lambda d, name: _grouped(d, name[id_col], name[text_col], most_bits))
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str, most_bits: int) -> DataFrame:
+    base = docs = settled(docs)
     digest = F.unhex(F.sha2(ascii_lower_col(F.col(text_col).cast("string")).cast("binary"), 256))
     place = F.monotonically_increasing_id()
     rows = stored(docs.select(F.col(id_col).alias("id"), place.alias("row"), digest.alias("digest")), "digests")

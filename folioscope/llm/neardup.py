@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioscope.llm.common import _WORD_BYTES, ascii_lower_col, bounded_batches, free_columns, heavy_rows, held, keeping_columns, map_texts, removed, settled, step_path, stored
+from folioscope.llm.common import _WORD_BYTES, adding_columns, ascii_lower_col, bounded_batches, heavy_rows, held, keeping_columns, map_texts, removed, settled, step_path, stored
 from folioscope.llm.exactdup import all_cells, cell_map, filter_size, seen
 
 OUTPUT = ("class_id", "class_size", "kept")
@@ -358,8 +358,11 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Candidates: pairs that agree on a band of rows slots, in the signature of either weighting; with the standard 20 bands of 5, a pair of similarity 0.8 does so with a probability of 0.9996, however often each text repeats its shingles.
     """
-    docs = settled(docs)
-    base = free_columns(docs, OUTPUT)
+    return adding_columns(docs, OUTPUT, lambda d, name: _grouped(d, name[id_col], name[text_col], similar, words, bands, rows, tile, tile_bytes, broadcast_rows, most_bits))
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str, similar: float, words: int, bands: int, rows: int, tile: int, tile_bytes: int, broadcast_rows: int, most_bits: int) -> DataFrame:
+    base = docs = settled(docs)
     signer = Signer(words, bands, rows)
     place = F.monotonically_increasing_id()
     narrow = docs.select(F.col(id_col).alias("id"), place.alias("row"), _node(F.col(text_col)).alias("node"), F.col(text_col).cast("string").alias("text"))

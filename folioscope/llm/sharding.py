@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import free_columns
+from folioscope.llm.common import adding_columns
 
 OUTPUT = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
@@ -82,9 +82,13 @@ def shard(docs: DataFrame, tree: ShardTree, grow: float | None = 1.0, id_col: st
 
     Size is the text's UTF-8 bytes (null: 0) plus 8. The shard depends on the id and the tree only (a null id is a key like any other). Slots are gapless from 0 in each shard: a shard's rows are numbered in runs (by a hash of id and text; of about run_rows rows, but 64 runs at least), and runs are put one behind the other, so that no task holds a whole shard; rows that repeat id and text get neighbouring slots in any order. grown_shard is the shard after tree.grown(grow), or null where grow is None. An empty table gives an empty table.
     """
+    return adding_columns(docs, OUTPUT, lambda d, name: _sharded(d, tree, grow, name[id_col], name[text_col], run_rows))
+
+
+def _sharded(docs: DataFrame, tree: ShardTree, grow: float | None, id_col: str, text_col: str, run_rows: int) -> DataFrame:
     key = F.col(id_col).cast("string")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    df = free_columns(docs, OUTPUT).withColumns({"size": (F.octet_length(text) + 8).cast("long"), "text_crc32": F.crc32(text.cast("binary")), "law": F.lit("key")})
+    df = docs.withColumns({"size": (F.octet_length(text) + 8).cast("long"), "text_crc32": F.crc32(text.cast("binary")), "law": F.lit("key")})
     df = place(df, tree, key, "shard")
     if grow is None:
         df = df.withColumn("grown_shard", F.lit(None).cast("int"))

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import re
+import time
 import zlib
 
 import numpy as np
@@ -12,7 +13,7 @@ import tiktoken
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from folioscope.llm import decontam, exactdup, oracles, queries, secrets, toxicity
+from folioscope.llm import decontam, exactdup, neardup, oracles, pii, queries, secrets, sharding, toxicity
 from folioscope.llm.common import ascii_lower, words_of
 from tests.compare import connect, difference
 from tests.llm.data import documents, stored
@@ -106,6 +107,55 @@ def test_long_runs_are_scanned_once():
     assert scanner.scan(["eyJ" * 300_000, "eyJ." * 200_000, "x eyJa.eyJb.c"])[2]["jwt"] == [(2, 13)]
 
 
+@pytest.mark.parametrize("work", [lambda d: sharding.shard(d, queries.SHARD_TREE), exactdup.exact_groups, neardup.near_groups])
+def test_columns_of_any_name_stay(spark, tmp_path, work):
+    names = ["a.b", *(f"__{n}" for n in "rank start run row node digest key hot n best piece c0 b0 maybe region rack size".split()), "row", "node", "id", "in0", "cell"]
+    rows = [(i, f"some text of some words number {i // 2}", *[f"{n} {i}" for n in names]) for i in range(6)]
+    docs = stored(spark.createDataFrame(rows, ["doc_id", "text", *names]), tmp_path)
+    made = work(docs)
+    assert made.columns[: len(docs.columns)] == docs.columns
+    assert sorted(tuple(r)[: len(docs.columns)] for r in made.collect()) == rows
+
+
+def test_shards_of_the_query_by_hand(spark, sf):
+    """The query's own tree of 24 shards: sizes, checksums, slots, and what one more shard takes."""
+    text = texts_of(spark, sf)
+    rows = queries.queries()["op1_sharding"](spark, sf).collect()
+    slots = {}
+    for r in rows:
+        data = text[r.doc_id].encode()
+        assert (r.size, r.text_crc32, r.law) == (len(data) + 8, zlib.crc32(data), "key") and 0 <= r.shard < 24
+        assert r.grown_shard in (r.shard, 24)
+        slots.setdefault(r.shard, []).append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and len(slots) == 24
+    assert 0 < sum(r.grown_shard == 24 for r in rows) < len(rows) / 4
+    again = sharding.shard(spark.createDataFrame([(r.doc_id, None) for r in rows], "doc_id long, text string"), queries.SHARD_TREE)
+    assert {r.doc_id: r.shard for r in again.collect()} == {r.doc_id: r.shard for r in rows}
+
+
+def test_near_classes_of_the_query(spark, sf):
+    docs = sorted(texts_of(spark, sf).items())
+    of = classes(docs)
+    rows = {r.doc_id: r for r in queries.queries()["op5_near_dedup"](spark, sf).collect()}
+    sizes = {}
+    for _, t in docs:
+        first = of[ascii_lower(t)][0]
+        sizes[first] = sizes.get(first, 0) + 1
+    for i, t in docs:
+        first = of[ascii_lower(t)][0]
+        assert (rows[i].class_id, rows[i].class_size, rows[i].kept) == (first, sizes[first], i == first)
+
+
+def test_pii_time_follows_the_length():
+    for unit in ("IBAN", "iban DE", "http://-", "http://", "@", "a@", "a@b.", "+1", "+1(", "ssn:", "SSN    ", "1.", "1-"):
+        took = []
+        for size in (40_000, 320_000):
+            began = time.process_time()
+            pii.find(unit * (size // len(unit)))
+            took.append(time.process_time() - began)
+        assert took[1] < 30 * max(took[0], 0.01)  # 8 times the text; a quadratic walk takes 64 times as long
+
+
 def test_pipeline_by_brute_force(spark, sf):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     model = queries.toxicity_model(spark, sf)
