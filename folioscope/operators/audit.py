@@ -5,12 +5,15 @@ A log is a table of events with a sequence number. Replay groups it by finding a
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from folioscope.functions import text as X
+from folioscope.operators.walk import walked
 
 #: Domains of the log.
 GATES = ("MET", "SRC", "LOG", "LNG", "STY", "EVD", "TEC", "DOC", "OWN")
@@ -227,18 +230,20 @@ def snapshots_to_add(found: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def chained_ids(events: DataFrame, by: Sequence[str], order: str, content: Sequence[str]) -> DataFrame:
-    """Event ids that hang on the id before: SHA-256 of it and of the event's content. Contents are hashed in parallel, each group's chain is one ordered fold."""
-    hashed = events.select(*by, F.col(order).alias("__o"), X.canonical_sha256(*content).alias("__h"))
-    rows = F.array_sort(F.collect_list(F.struct(F.col("__o").alias("o"), F.col("__h").alias("h"))))
-    kind = dict(hashed.dtypes)["__o"]
-    start = F.struct(F.lit("").alias("last"), F.array().cast(f"array<struct<o:{kind},id:string>>").alias("out"))
-
-    def step(a: Column, r: Column) -> Column:
-        own = F.sha2(F.concat_ws("|", a["last"], r["h"]).cast("binary"), 256)
-        return F.struct(own.alias("last"), F.array_append(a["out"], F.struct(r["o"].alias("o"), own.alias("id"))).alias("out"))
-
-    done = hashed.groupBy(*by).agg(F.aggregate(rows, start, step)["out"].alias("r")).select(*by, F.explode("r").alias("r"))
-    return done.select(*by, F.col("r.o").alias(order), F.col("r.id").alias("event_sha"))
+    """Event ids that hang on the id before: SHA-256 of it and of the event's content, with the id before it (none: empty). Contents are hashed in parallel; each group's chain is one ordered walk that holds the last id only."""
+    hashed = events.select(*by, order, X.canonical_sha256(*content).alias("__h"))
+
+    def make():
+        last = ""
+
+        def step(row: dict) -> dict:
+            nonlocal last
+            before, last = last, hashlib.sha256(f"{last}|{row['__h']}".encode()).hexdigest()
+            return {"event_sha": last, "previous_sha": before}
+
+        return step
+
+    return walked(hashed, by, [order], make, [T.StructField("event_sha", T.StringType()), T.StructField("previous_sha", T.StringType())])
 
 
 def journal_append(journal: DataFrame, events: DataFrame, key: Sequence[str] = ("event_id",)) -> DataFrame:
