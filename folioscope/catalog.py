@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from folioscope.queries import audit, commands, finals, projects, records, registry, resolve, rules, style, works
+from folioscope.queries import audit, commands, finals, projects, records, registry, resolve, rules, sources, style, works
 from folioscope.queries.common import Query
 
-THEMES = (style, registry, records, audit, rules, projects, finals, works, commands, resolve)
+THEMES = (style, registry, records, audit, rules, projects, finals, works, commands, resolve, sources)
 
 
 def queries() -> dict[str, Query]:

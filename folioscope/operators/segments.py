@@ -134,6 +134,18 @@ def regions(blocks: DataFrame) -> DataFrame:
     return df.drop("__lead", "__sub", "__named", "__seen", "__own", "__last", "__kind", "__given", "__sum", "__top", "__number")
 
 
+def chosen_bibliography(blocks: DataFrame) -> DataFrame:
+    """Of each document the list of references that counts: doc_id, region, heading_idx, entries, after_conclusion, and how many regions there are.
+
+    Those with entries come first, then those behind the last conclusion (any, where there is none), then the earlier one. blocks: as regions gives them, with entry (is the block a list's entry). Two aggregates and a join of a few rows a document."""
+    lists = blocks.filter("region_kind = 'bibliography'").groupBy("doc_id", "region").agg(F.min("idx").alias("heading_idx"), F.count_if(F.col("entry") & ~F.col("starts")).alias("entries"))
+    last = blocks.filter("region_kind = 'conclusion' and starts").groupBy("doc_id").agg(F.max("idx").alias("__last"))
+    seen = lists.join(last, "doc_id", "left").withColumn("after_conclusion", F.col("heading_idx") > F.coalesce("__last", F.lit(-1)))
+    rank = F.struct((F.col("entries") == 0).alias("none"), (~F.col("after_conclusion")).alias("early"), "heading_idx", "region", "entries", "after_conclusion")
+    best = seen.groupBy("doc_id").agg(F.min(rank).alias("b"), F.count("*").alias("regions"))
+    return best.select("doc_id", *[F.col(f"b.{c}").alias(c) for c in ("region", "heading_idx", "entries", "after_conclusion")], "regions")
+
+
 def section_name(kind: Column, number: Column) -> Column:
     return F.when(kind == "chapter", F.concat(F.lit("chapter"), number.cast("string"))).when(kind.isin("introduction", "conclusion"), kind)
 
