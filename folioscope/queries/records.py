@@ -142,3 +142,80 @@ def collation(spark, sf_dir):
     df = table(spark, sf_dir, "customer").withColumn("key", B.collation_key(F.col("c_name")))
     out = R.numbered(df, ["c_nationkey"], [F.col("key"), F.col("c_custkey")])
     return out.select("c_custkey", "c_nationkey", "number", F.aggregate("key", F.lit(0).cast("long"), lambda a, w: a + w).alias("weight"))
+
+
+#: The types beside books, articles and sites, in the order of the remainders that make them.
+OTHER_TYPES = ("collection_article", "conference", "newspaper", "electronic", "software_doc", "repository", "preprint", "dataset", "video", "dissertation", "autoreferat", "normative", "standard", "patent")
+_ONLINE = OTHER_TYPES[3:9]
+
+
+def _other_records(spark, sf_dir):
+    """All parts as records of the other types, in two languages, some without what their type requires."""
+    n, kinds = F.col("p_partkey"), len(OTHER_TYPES)
+    person = lambda last, initials: F.struct(F.lit(last).alias("last"), F.lit(initials).alias("initials"), F.lit(False).alias("is_organization"))
+    five = F.array(*[person(f"Smith{x}", "A.B.") for x in "abcde"])
+    people = F.when(n % 6 == 5, five).when(n % 2 == 0, F.slice(five, 1, 1)).otherwise(F.slice(five, 1, 2))
+    kind = F.element_at(F.array(*[F.lit(t) for t in OTHER_TYPES]), (n % kinds + 1).cast("int"))
+    full = n % 5 != 0
+    text = lambda *parts: F.concat(*[p.cast("string") if not isinstance(p, str) else F.lit(p) for p in parts])
+    return table(spark, sf_dir, "part").select(
+        "p_partkey",
+        kind.alias("type"),
+        F.col("p_name").alias("title"),
+        F.when(kind.isin("dissertation", "autoreferat") & (n % 7 == 0), F.array().cast(f"array<{B.PERSON}>")).otherwise(people).alias("authors"),
+        F.when(kind.isin("collection_article", "conference"), F.array(person("Петров", "В.Г."))).alias("editors"),
+        F.when(kind.isin("collection_article", "conference") & full, text("Proceedings of ", F.col("p_brand"))).alias("container_title"),
+        F.when((kind == "newspaper") & full, text("Daily ", F.col("p_brand"))).alias("newspaper"),
+        F.when(kind.isin(*_ONLINE), "The Site").alias("journal"),
+        F.lit("London").alias("place"),
+        F.when(n % 3 != 0, F.col("p_brand")).alias("publisher"),
+        (F.lit(1990) + F.col("p_size") % 30).cast("string").alias("year"),
+        F.lit("2").alias("volume"),
+        F.when((kind != "patent") | full, "7").alias("number"),
+        text("1-", F.col("p_size")).alias("pages"),
+        F.when(kind.isin(*_ONLINE, "normative") & full, text("https://example.org/", n)).alias("url"),
+        F.when(n % 10 == 0, "10.1/x").alias("doi"),
+        F.lit("01.02.2024").alias("access_date"),
+        F.lit("03.04.2020").alias("date"),
+        F.lit("02.02.2020").alias("published"),
+        F.lit("Act").alias("doc_type"),
+        F.lit("Gazette").alias("source"),
+        text("ISO ", n).alias("designation"),
+        F.lit("2021-01-01").alias("introduced"),
+        F.lit("US").alias("country"),
+        F.lit("A61B").alias("ipc"),
+        F.lit("Acme").alias("holder"),
+        F.lit("123").alias("application_number"),
+        F.lit("01.01.2019").alias("filed"),
+        F.when(F.floor(n / kinds) % 2 == 0, "ru").otherwise("en").alias("language"),
+    )
+
+
+def _areas(*parts: str) -> str:
+    return f"array_to_string([rtrim(x, '.') FOR x IN [{', '.join(parts)}] IF x <> ''], '. – ') || '.'"
+
+
+_MARK, _WHERE, _PP = "CASE WHEN ru THEN ' [Текст]' ELSE '' END", "'London' || CASE WHEN p_partkey % 3 <> 0 THEN ': ' || p_brand ELSE '' END || ', ' || year", "CASE WHEN ru THEN 'С. ' ELSE 'P. ' END || '1–' || p_size"
+_VOL, _ISSUE = "CASE WHEN ru THEN 'Т. 2' ELSE 'Vol. 2' END", "CASE WHEN ru THEN '№ 7' ELSE 'No. 7' END"
+_URL, _DOI = "CASE WHEN p_partkey % 5 <> 0 THEN 'URL: https://example.org/' || p_partkey || ' (дата обращения: 01.02.2024)' ELSE '' END", "CASE WHEN p_partkey % 10 = 0 THEN 'DOI: 10.1/x' ELSE '' END"
+_EDITED = "CASE WHEN ru THEN 'под ред. В.Г. Петрова' ELSE 'ed. by В.Г. Петров' END"
+_NOTE = "CASE t WHEN 5 THEN ': репозиторий' WHEN 6 THEN ': препринт' WHEN 7 THEN ': датасет' ELSE '' END"
+OTHER_FORMATS = f"""
+WITH r AS (SELECT p_partkey, p_name, p_brand, p_size, p_partkey % 14 AS t, (p_partkey // 14) % 2 = 0 AS ru, (1990 + p_size % 30)::VARCHAR AS year, p_partkey % 6 = 5 AS many FROM part),
+n AS (SELECT *, CASE WHEN t IN (9, 10) AND p_partkey % 7 = 0 THEN '' WHEN many THEN 'A.B. Smitha, A.B. Smithb, A.B. Smithc' || CASE WHEN ru THEN ' [и др.]' ELSE ' [et al.]' END WHEN p_partkey % 2 = 0 THEN 'A.B. Smitha' ELSE 'A.B. Smitha, A.B. Smithb' END AS people, CASE WHEN many THEN p_name ELSE 'Smitha, A.B. ' || p_name END AS lead,
+  CASE WHEN p_partkey % 5 = 0 AND t IN (0, 1) THEN 'no container' WHEN p_partkey % 5 = 0 AND t = 2 THEN 'no newspaper' WHEN p_partkey % 10 = 5 AND t BETWEEN 3 AND 8 THEN 'no url or doi' WHEN p_partkey % 7 = 0 AND t IN (9, 10) THEN 'no author' WHEN p_partkey % 5 = 0 AND t = 13 THEN 'no number' END AS error FROM r)
+SELECT p_partkey, error, CASE WHEN error IS NULL THEN CASE
+  WHEN t IN (0, 1) THEN {_areas(f"lead || {_MARK} || ' / ' || people || ' // Proceedings of ' || p_brand || ' / ' || {_EDITED}", _WHERE, _VOL, _ISSUE, _PP, f"CASE WHEN t < 9 THEN {_DOI} END")}
+  WHEN t = 2 THEN {_areas(f"lead || {_MARK} || ' / ' || people || ' // Daily ' || p_brand", "year", f"'03.04.2020 (' || {_ISSUE} || ')'", _PP)}
+  WHEN t < 9 THEN {_areas(f"lead || ' [Электронный ресурс]' || {_NOTE} || ' / ' || people || ' // The Site'", _WHERE, "'Дата публикации: 02.02.2020'", f"{_VOL} || ', ' || {_ISSUE}", _PP, _DOI, _URL)}
+  WHEN t IN (9, 10) THEN {_areas("lead || ': ' || CASE t WHEN 9 THEN 'Дис. … канд. пед. наук' ELSE 'автореф. дис. … канд. пед. наук' END || ' [Текст] / ' || people", _WHERE, "'1-' || p_size || ' с.'")}
+  WHEN t = 11 THEN {_areas("p_name || CASE WHEN p_partkey % 5 <> 0 THEN ' [Электронный ресурс]' ELSE ' [Текст]' END || ': Act от 03.04.2020 № 7'", "'Gazette'", _URL)}
+  WHEN t = 12 THEN {_areas("'ISO ' || p_partkey || '. ' || p_name || ' [Текст]'", "'Введ. 2021-01-01'", _WHERE, "'1-' || p_size || ' с.'")}
+  ELSE {_areas("'Пат. 7 US, МПК A61B. ' || p_name || ' [Текст] / ' || people || '; Acme'", "'№ 123; заявл. 01.01.2019; опубл. 02.02.2020'")}
+  END END AS record FROM n
+"""
+
+
+@catalog.add("format_other_types", OTHER_FORMATS)
+def format_other_types(spark, sf_dir):
+    return B.formatted(_other_records(spark, sf_dir)).select("p_partkey", "error", "record")
