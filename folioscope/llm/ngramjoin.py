@@ -4,7 +4,7 @@ A document is its set of distinct shingles; equal sets are one node. Two nodes o
 
 Light sets, up to a boundary, enumerate subsets: for each size b that a partner can have, all subsets of t(a, b) shingles, keyed with both sizes. Two light sets are linked if and only if they share a key, so all sets of one size with a key are linked to all of the other size, and a key joins its sets in a line, without pairs. Heavy sets scan inverted lists. By one order of all shingles, rarest first, linked sets share one of their first a - ceil(s a) + 1 shingles; only these are in lists, with those of light sets that can have a heavy partner. The boundary is the size where enumerating costs least in all, by a histogram of sizes and the expected length of lists.
 
-The order is by counts that a table of fixed size holds (2^22 cells, as a byte of their logarithm): any order gives the same result, a good one short lists. Lists are worked off in two rounds. In the first, each list's members are compared with its smallest member, which joins groups of near copies in time linear in the lists; nothing else is compared for members that are in one component then. In the second, lists that still hold several components, and more than two members, are dealt out as tiles of bounded size, and a tile scans its sets' full inverted lists for exact overlaps. Before whole sets are sent for either round, a set's spread (counts of its shingles by ranges of the hash, a byte for four) tells whether a link is possible at all. So no pair is written unless it is compared with a list's first member, or is a verified link, and nothing is capped.
+The order is by counts that a table of fixed size holds (2^22 cells, as a byte of their logarithm): any order gives the same result, a good one short lists. Lists are worked off in two rounds. In the first, each list's members are compared with its smallest member, which joins groups of near copies in time linear in the lists; nothing else is compared for members that are in one component then. In the second, lists that still hold several components, and more than two members, are dealt out as tiles of bounded size, and a tile scans its sets' full inverted lists for exact overlaps. Before whole sets are sent for either round, a set's spread (counts of its shingles by ranges of the hash, a byte for 6 to 12) tells whether a link is possible at all. So no pair is written unless it is compared with a list's first member, or is a verified link, and nothing is capped.
 """
 
 from __future__ import annotations
@@ -125,9 +125,9 @@ def _narrow(counts: np.ndarray) -> str:
 
 
 def spread(elements: np.ndarray) -> bytes:
-    """How many shingles lie in each part of the range of hashes, a byte each: about a part for four shingles. Empty if a byte is too small."""
+    """How many shingles lie in each part of the range of hashes, a byte each: a part for 6 to 12 shingles. Empty if a byte is too small."""
     parts = 16
-    while 4 * parts < len(elements):
+    while 12 * parts < len(elements):
         parts *= 2
     counts = np.bincount(_cell(elements, parts.bit_length() - 1), minlength=parts)
     return counts.astype(np.uint8).tobytes() if counts.max() < 256 else b""
