@@ -215,8 +215,12 @@ class Joined:
         return i != j
 
 
+#: Candidate pairs of a tile that are held at once.
+PAIRS = 1 << 20
+
+
 def links(nodes: list[bytes], keys: list[bytes], sets: list[bytes], counts: list[bytes], block: np.ndarray, bands: int, band: int, similar: float) -> list[tuple[bytes, bytes]]:
-    """Verified links that join all similar nodes of one tile: pairs whose first common band is this one, likeliest first, without those that links found before have joined. keys holds the bands of each node's signature or signatures, counts the shingles' counts (empty: all 1). block tells the tile's two blocks apart (all 0: one block); pairs of a tile with two are across them.
+    """Verified links that join all similar nodes of one tile: pairs whose first common band is this one, likeliest first (of PAIRS at a time, which bounds a tile's memory), without those that links found before have joined. keys holds the bands of each node's signature or signatures, counts the shingles' counts (empty: all 1). block tells the tile's two blocks apart (all 0: one block); pairs of a tile with two are across them.
 
     Where neither text repeats a shingle, the smaller set's size is at most the union's times the similarity, so pairs whose sizes differ by more are no links.
     """
@@ -225,7 +229,24 @@ def links(nodes: list[bytes], keys: list[bytes], sets: list[bytes], counts: list
     own = np.stack([np.resize(np.frombuffer(k, dtype="<i8"), 2 * bands) for k in keys]).reshape(n, 2, bands)
     double = np.array([len(c) > 0 for c in counts])
     sizes = np.array([len(s) // 8 for s in sets])
-    rates, lefts, rights = [], [], []
+    out, joined, arrays = [], Joined(n), {}
+
+    def verify(rates: list[np.ndarray], lefts: list[np.ndarray], rights: list[np.ndarray]) -> None:
+        rate, left, right = map(np.concatenate, (rates, lefts, rights))
+        order = np.argsort(-rate.astype(np.int16), kind="stable")
+        for at in range(0, len(order), 4096):
+            roots = np.array([joined.root(k) for k in range(n)])
+            i, j = left[order[at : at + 4096]], right[order[at : at + 4096]]
+            apart = roots[i] != roots[j]
+            for i, j in zip(i[apart].tolist(), j[apart].tolist()):
+                if joined.root(i) == joined.root(j) or nodes[i] == nodes[j]:
+                    continue
+                (a, m), (b, k) = (arrays.setdefault(x, (np.frombuffer(sets[x], dtype="<u8"), np.frombuffer(counts[x], dtype="<u4"))) for x in (i, j))
+                if linked(a, m, b, k, similar):
+                    joined.join(i, j)
+                    out.append((min(nodes[i], nodes[j]), max(nodes[i], nodes[j])))
+
+    held, size = ([], [], []), 0
     for i in range(n - 1):
         equal = own[i + 1 :, 0] == own[i, 0]
         if double.any():
@@ -235,23 +256,14 @@ def links(nodes: list[bytes], keys: list[bytes], sets: list[bytes], counts: list
         if across:
             good &= block[i + 1 :] != block[i]
         right = np.nonzero(good)[0]
-        rates.append(equal[right].sum(axis=1).astype(np.uint8))
-        lefts.append(np.full(len(right), i, dtype=np.int32))
-        rights.append((right + i + 1).astype(np.int32))
-    rate, left, right = map(np.concatenate, (rates, lefts, rights))
-    order = np.argsort(-rate.astype(np.int16), kind="stable")
-    out, joined, arrays = [], Joined(n), {}
-    for at in range(0, len(order), 4096):
-        roots = np.array([joined.root(k) for k in range(n)])
-        i, j = left[order[at : at + 4096]], right[order[at : at + 4096]]
-        apart = roots[i] != roots[j]
-        for i, j in zip(i[apart].tolist(), j[apart].tolist()):
-            if joined.root(i) == joined.root(j) or nodes[i] == nodes[j]:
-                continue
-            (a, m), (b, k) = (arrays.setdefault(x, (np.frombuffer(sets[x], dtype="<u8"), np.frombuffer(counts[x], dtype="<u4"))) for x in (i, j))
-            if linked(a, m, b, k, similar):
-                joined.join(i, j)
-                out.append((min(nodes[i], nodes[j]), max(nodes[i], nodes[j])))
+        for column, values in zip(held, (equal[right].sum(axis=1).astype(np.uint8), np.full(len(right), i, dtype=np.int32), (right + i + 1).astype(np.int32))):
+            column.append(values)
+        size += len(right)
+        if size >= PAIRS:
+            verify(*held)
+            held, size = ([], [], []), 0
+    if size:
+        verify(*held)
     return out
 
 
