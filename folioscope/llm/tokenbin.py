@@ -148,14 +148,15 @@ BLOCK = T.StructType(
 PACKED = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("i", T.LongType()), T.StructField("n", T.LongType()), T.StructField("payload", T.BinaryType())])
 
 
-def write_tokens(docs: DataFrame, path: str, definition: str, pattern: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", block_ids: int = 1 << 16, pieces: int = 800_000) -> None:
+def write_tokens(docs: DataFrame, path: str, definition: str, pattern: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", block_ids: int = 1 << 16, pieces: int = 800_000, part_rows: int = 200_000) -> None:
     """Write every whole text's ids (null: none) and end_id, in ascending id order (null first; rows that repeat an id by their packed ids, so repeated rows give equal documents side by side), as blocks under path.
 
-    Texts are encoded and packed where they are read; only packed ids are shuffled, by ranges of the id that a first pass over the ids alone finds, so parts are even; rows of an id that fills several parts are dealt out among them by their packed ids. A block ends with the document in which it reaches block_ids; pieces bounds a worker's memory of pieces, and is larger than where other operators share the worker. An empty table gives no blocks.
+    Texts are encoded and packed where they are read; only packed ids are shuffled, by ranges of the id that a first pass over the ids alone finds, so parts are even; rows of an id that fills several parts are dealt out among them by their packed ids. A block ends with the document in which it reaches block_ids; A part has about part_rows documents at most. pieces bounds a worker's memory of pieces, and is larger than where other operators share the worker. An empty table gives no blocks.
     """
     spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t"))
+    # parts grow with the table, so that a task's share doesn't
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.select("i").count() // part_rows))
     shares = [k / parts for k in range(1, parts)]
     least = np.iinfo(np.int64).min
     bounds = rows.agg(F.percentile_approx(F.coalesce("i", F.lit(int(least))), shares, max(10_000, 20 * parts))).first()[0] if shares else None
