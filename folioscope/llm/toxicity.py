@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioscope.llm.common import held, map_texts
+from folioscope.llm.common import held, map_texts, stored
 from folioscope.llm.tokens import TokenTable
 
 #: Common English insults; any other term comes from the labels.
@@ -234,7 +234,8 @@ def fit(labelled: DataFrame, max_rows: int = 12_000, folds: int = 3) -> Toxicity
     rows = labelled.filter("y is not null").select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.col("y").cast("double").alias("y"))
     total = rows.select("doc_id").count()
     part = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("rows")), F.lit(1_000_000))
-    used = rows.filter(part < F.lit(int(min(1.0, max_rows / max(total, 1)) * 1_000_000)))
+    # a bounded number of rows, which the steps below read again and again
+    used = stored(rows.filter(part < F.lit(int(min(1.0, max_rows / max(total, 1)) * 1_000_000))), "sample")
     half = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("half")), F.lit(2))
     lexicon, dense = learned_terms(used.filter(half == 0)), learned_dense(used.filter(half == 0))
     fields = [T.StructField("x", T.ArrayType(T.DoubleType(), True))]
