@@ -294,3 +294,57 @@ def forbidden_identifier(c: Column, words: Sequence[str]) -> Column:
     parts = F.transform(F.regexp_extract_all(X.null_empty(c), F.lit(r"\p{Lu}?\p{Ll}+|\p{Lu}+(?!\p{Ll})|\d+"), F.lit(0)), F.lower)
     whole = F.lower(F.regexp_replace(X.null_empty(c), r"[^\p{L}\p{N}]", ""))
     return F.arrays_overlap(parts, F.array(*[F.lit(w) for w in words])) | whole.isin(*words)
+
+
+def subsection_index(runs: DataFrame) -> DataFrame:
+    """For each run how many other subsections of its chapter were reviewed before it was planned: run_id, chapter, index, odd (then an extra review of style is due).
+
+    runs: work, run_id, kind, preset, checkpoint, planned, closed (null: not completed); both are places in the log. Distinct checkpoints subsection-<chapter>.<n> of completed primary runs count, without regard to case; a run without a chapter counts those of completed subsection runs of all chapters. One running count over plans and first completions: no run is joined with the others.
+    """
+    name = F.lower(X.null_empty(F.col("checkpoint")))
+    chapter = F.nullif(F.regexp_extract(name, r"^subsection-0*(\d+)\.\d", 1), F.lit(""))
+    rows = runs.withColumns({"__name": F.when(name != "", name).otherwise(F.col("run_id").cast("string")), "chapter": chapter})
+    done = rows.filter("kind = 'primary' and closed is not null")
+    # a run asks in its chapter's line, or in that of all subsection runs ('*')
+    lines = done.filter("chapter is not null").select("work", "chapter", "__name", "closed").unionByName(done.filter("preset = 'subsection'").select("work", F.lit("*").alias("chapter"), "__name", "closed"))
+    firsts = lines.groupBy("work", F.col("chapter").alias("__line"), "__name").agg(F.min("closed").alias("__at"))
+    asks = rows.withColumn("__line", F.coalesce("chapter", F.lit("*")))
+    points = asks.select("work", "__line", F.col("planned").alias("__at"), F.lit(0).alias("__one"), "run_id").unionByName(firsts.select("work", "__line", "__at", F.lit(1).alias("__one"), F.lit(None).cast(dict(runs.dtypes)["run_id"]).alias("run_id")))
+    before = Window.partitionBy("work", "__line").orderBy("__at", "__one").rowsBetween(Window.unboundedPreceding, -1)
+    counted = points.withColumn("__n", F.coalesce(F.sum("__one").over(before), F.lit(0))).filter("__one = 0").select("work", "run_id", "__n")
+    own = asks.join(firsts.withColumnRenamed("__at", "__first"), ["work", "__line", "__name"], "left").select("work", "run_id", "chapter", F.coalesce(F.col("__first") < F.col("planned"), F.lit(False)).cast("int").alias("__own"))
+    index = (F.col("__n") - F.col("__own")).cast("long")
+    return own.join(counted, ["work", "run_id"]).select("work", "run_id", "chapter", index.alias("index"), (index % 2 == 1).alias("odd"))
+
+
+def approval_problems(decisions: DataFrame, files: DataFrame, entries: DataFrame, by: Sequence[str], id_col: str) -> DataFrame:
+    """Decisions whose approval doesn't hold: by, id_col, problem. decisions: approval (a path), sha (as it was, or null); files: path, size, sha256; entries of the evidence index: grp, path. Paths are compared as logical ids, without regard to case.
+
+    outside: not a relative path inside evidence/; missing: no such file, or an empty one; unregistered: not among the index's approvals; changed: the file isn't what it was."""
+    by = list(by)
+    key = lambda c: F.lower(X.logical_id(c))
+    there = files.groupBy(*by, key(F.col("path")).alias("__key")).agg(F.max("size").alias("__size"), F.max("sha256").alias("__now"))
+    listed = entries.filter("grp = 'approvals'").select(*by, key(F.col("path")).alias("__key")).distinct().withColumn("__listed", F.lit(True))
+    seen = decisions.withColumn("__key", key(F.col("approval"))).join(there, [*by, "__key"], "left").join(listed, [*by, "__key"], "left")
+    inside = X.safe_path(F.col("approval")) & F.col("__key").startswith("evidence/")
+    problem = (
+        F.when(~F.coalesce(inside, F.lit(False)), "outside")
+        .when(F.coalesce("__size", F.lit(0)) == 0, "missing")
+        .when(F.col("__listed").isNull(), "unregistered")
+        .when(F.col("sha").isNotNull() & ~F.col("sha").eqNullSafe(F.col("__now")), "changed")
+    )
+    return seen.select(*by, id_col, problem.alias("problem")).filter("problem is not null")
+
+
+def stable_sha(payload: Column, volatile: Sequence[str]) -> Column:
+    """SHA-256 of a JSON object without its volatile keys, keys in order; null for what is no object."""
+    held = F.try_variant_get(F.try_parse_json(payload), "$", "map<string,variant>")
+    kept = F.transform_values(F.map_filter(held, lambda k, v: ~k.isin(*volatile)), lambda k, v: F.to_json(v))
+    return F.sha2(F.to_json(F.array_sort(F.map_entries(kept))).cast("binary"), 256)
+
+
+def stored_reports(reports: DataFrame, by: Sequence[str], order: str, payload: str, volatile: Sequence[str]) -> DataFrame:
+    """Of each group's reports those that are stored: the first, and each that differs from the one before it in more than volatile keys (times, paths). by, order and sha; what is no JSON object is never stored, and doesn't part equal ones."""
+    seen = reports.select(*by, order, stable_sha(F.col(payload), volatile).alias("sha")).filter("sha is not null")
+    last = F.lag("sha").over(Window.partitionBy(*by).orderBy(order))
+    return seen.withColumn("__last", last).filter("__last is null or __last <> sha").drop("__last")

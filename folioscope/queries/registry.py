@@ -256,10 +256,10 @@ def seeded_sample(spark, sf_dir):
     return R.seeded_sample(paras, ["doc_id"], "pos", 5, 42)
 
 
-@catalog.add("override_union", "SELECT o_orderkey, o_orderpriority, 'new' AS origin FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT o_orderkey, o_orderpriority, 'old' FROM orders WHERE o_orderkey % 2 = 0 AND o_orderkey % 3 <> 0")
+@catalog.add("override_union", "SELECT o_orderkey, o_orderpriority, CASE WHEN o_orderkey % 3 = 1 THEN 'old' ELSE 'new' END AS origin FROM orders")
 def override_union(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
-    return R.override_union(orders.filter("o_orderkey % 2 = 0").withColumn("origin", F.lit("old")), orders.filter("o_orderkey % 3 = 0").withColumn("origin", F.lit("new")), on=["o_orderkey"])
+    return R.override_union(orders.filter("o_orderkey % 3 <> 2").withColumn("origin", F.lit("old")), orders.filter("o_orderkey % 3 <> 1").withColumn("origin", F.lit("new")), on=["o_orderkey"])
 
 
 @catalog.add("filled_forward", "SELECT user_id, event_id, last_value(CASE WHEN event_type = 'purchase' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS chapter FROM events")
@@ -306,10 +306,10 @@ def review_forms(spark, sf_dir):
     )
 
 
-@catalog.add("new_snapshots", "SELECT o_orderkey, sha256(o_orderpriority || o_orderkey) AS snapshot_sha FROM orders WHERE o_orderkey % 4 = 0 AND o_orderkey % 3 <> 0")
+@catalog.add("new_snapshots", "SELECT o_orderkey, sha256(o_orderpriority || o_orderkey) AS snapshot_sha FROM orders WHERE o_orderkey % 4 IN (0, 3)")
 def new_snapshots(spark, sf_dir):
     found = table(spark, sf_dir, "orders").select("o_orderkey", F.sha2(F.concat("o_orderpriority", F.col("o_orderkey").cast("string")).cast("binary"), 256).alias("snapshot_sha"))
-    return A.snapshots_to_add(found.filter("o_orderkey % 4 = 0"), found.filter("o_orderkey % 3 = 0"))
+    return A.snapshots_to_add(found.filter("o_orderkey % 4 <> 1"), found.filter("o_orderkey % 4 in (1, 2)"))
 
 
 @catalog.add(
