@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from folioscope.queries import audit, commands, finals, projects, records, registry, resolve, reviews, rules, sources, style, works
+from folioscope.queries import audit, commands, finals, projects, records, registry, resolve, reviews, rules, sources, style, texts, works
 from folioscope.queries.common import Query
 
-THEMES = (style, registry, records, audit, rules, projects, finals, works, commands, resolve, reviews, sources)
+THEMES = (style, registry, records, audit, rules, projects, finals, works, commands, resolve, reviews, sources, texts)
 
 
 def queries() -> dict[str, Query]:
