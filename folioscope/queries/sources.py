@@ -8,6 +8,7 @@ from folioscope.operators import migrate as M
 from folioscope.operators import segments as S
 from folioscope.queries.audit import _BLOCKS, work_blocks
 from folioscope.queries.common import Catalog, table
+from folioscope.sources import profiles as P
 from folioscope.sources import yaml as Y
 
 catalog = Catalog()
@@ -122,3 +123,20 @@ def migrated_records(spark, sf_dir):
 def chosen_bibliography(spark, sf_dir):
     blocks = S.regions(work_blocks(spark, sf_dir)).withColumn("entry", F.col("text").rlike(r"^\p{Lu}.{30,}[.]$"))
     return S.chosen_bibliography(blocks)
+
+
+@catalog.add(
+    "profile_anchors",
+    """WITH w AS (SELECT doc_id, regexp_extract_all(text, '[A-Za-z]+') AS w FROM documents), p AS (SELECT doc_id, unnest([1, 2, 3, 4]) AS ord, unnest([w[1] || ' ' || w[2], w[5] || ' ' || w[6], w[2] || ' ' || w[3], w[3] || ' ' || w[4]]) AS phrase FROM w WHERE len(w) >= 6),
+    f AS (SELECT doc_id, lower(phrase) AS phrase, min(ord) AS ord FROM p GROUP BY ALL) SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY ord) - 1)::INT AS pos, phrase FROM f""",
+)
+def profile_anchors(spark, sf_dir):
+    """State texts of all documents of six words or more, with phrases out of their own words inside and outside of the profile's list."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)).alias("w")).filter("size(w) >= 6")
+    for i in range(6):
+        docs = docs.withColumn(f"w{i}", F.get("w", F.lit(i)))
+    text = _text(
+        "# State\n- «before»\n## personal_style_profile\n- «no list yet»\n**Якорьки для ВКР:**\n- «", "$w0", "  ", "$w1", "»\n- [«template one»]\n<!-- «hidden» -->\n* [«template»] \"", "$w4", " ", "$w5", "\" and «", "$w5", " ", "$w0", "»\n```\n- «in a fence»\n## Other\n```\n- no quotes\n",
+        "**Оборот для критики:** «", "$w1", " ", "$w2", "», «second»\n- «not in the list»\n### Ниже\nЯкорьки\n+ „", "$w2", " ", "$w3", "“\n**Прочее**\n- «after bold»\n## Next\nЯкорьки\n- «outside»\n",
+    )
+    return P.personal_anchors(docs.select("doc_id", text.alias("state")), ["doc_id"], "state")
