@@ -4,7 +4,7 @@ A document is its set of distinct shingles; equal sets are one node. Two nodes o
 
 Light sets, up to a boundary, enumerate subsets: for each size b that a partner can have, all subsets of t(a, b) shingles, keyed with both sizes. Two light sets are linked if and only if they share a key, so all sets of one size with a key are linked to all of the other size, and a key joins its sets in a line, without pairs. Heavy sets scan inverted lists. By one order of all shingles, rarest first, linked sets share one of their first a - ceil(s a) + 1 shingles; only these are in lists, with those of light sets that can have a heavy partner. The boundary is the size where enumerating costs least in all, by a histogram of sizes and the expected length of lists.
 
-The order is by counts that a table of fixed size holds (2^22 cells, as a byte of their logarithm): any order gives the same result, a good one short lists. Lists are worked off in two rounds. In the first, each list's members are compared with its smallest member, which joins groups of near copies in time linear in the lists; nothing else is compared for members that are in one component then. In the second, lists that still hold several components, and more than two members, are dealt out as tiles of bounded size, and a tile scans its sets' full inverted lists for exact overlaps. Before whole sets are sent for either round, a set's spread (counts of its shingles by ranges of the hash, a byte for 6 to 12) tells whether a link is possible at all. So no pair is written unless it is compared with a list's first member, or is a verified link, and nothing is capped.
+The order is by counts that a table of fixed size holds (2^22 cells, as a byte of their logarithm): any order gives the same result, a good one short lists. Lists are worked off in two rounds. In the first, each list's members are compared with its smallest member, which joins groups of near copies in time linear in the lists; nothing else is compared for members that are in one component then. In the second, lists that still hold several components, and more than two members, are dealt out as tiles of bounded size, and a tile scans its sets' full inverted lists for exact overlaps. Before whole sets are sent for either round, a set's spread (counts of its shingles by ranges of the hash, a byte for four) tells whether a link is possible at all. So no pair is written unless it is compared with a list's first member, or is a verified link, and nothing is capped.
 """
 
 from __future__ import annotations
@@ -125,9 +125,9 @@ def _narrow(counts: np.ndarray) -> str:
 
 
 def spread(elements: np.ndarray) -> bytes:
-    """How many shingles lie in each part of the range of hashes, a byte each: a part for 6 to 12 shingles. Empty if a byte is too small."""
+    """How many shingles lie in each part of the range of hashes, a byte each: about a part for four shingles. Empty if a byte is too small."""
     parts = 16
-    while 12 * parts < len(elements):
+    while 4 * parts < len(elements):
         parts *= 2
     counts = np.bincount(_cell(elements, parts.bit_length() - 1), minlength=parts)
     return counts.astype(np.uint8).tobytes() if counts.max() < 256 else b""
@@ -358,25 +358,30 @@ def _in_tiles(rows: DataFrame, columns: Sequence[str], work, schema: str) -> Dat
     return bounded_batches(dealt).mapInArrow(compare, schema).distinct()
 
 
-def _hopeful(members: DataFrame, nodes: DataFrame, law: Law, tile: int, tile_bytes: int) -> DataFrame:
-    """(element, node): members of lists (element, node, root, n) with a possible link to a member of another component, by their spreads alone."""
-    rows = _blocks(members, tile, tile_bytes, 1).join(nodes.select("node", "spread"), "node")
+def _hopeful(members: DataFrame, spreads: DataFrame | None, law: Law, tile: int, tile_bytes: int) -> DataFrame:
+    """(element, node): members of lists (element, node, root, n, pos) with a possible partner among the members of other components.
 
-    def work(element, block, node, root, n, spreads):
-        sizes, roots, blocks = np.array(n), np.array(root), np.array(block)
+    If a list's shingle is the first that two sets share, each of them has no more of those places before it than the shingles that it may lack; other pairs meet in an earlier list. spreads: (node, spread), or None to go by sizes and places alone.
+    """
+    rows = _blocks(members, tile, tile_bytes, 1)
+    rows = rows.withColumn("spread", F.lit(None).cast("binary")) if spreads is None else rows.join(spreads, "node")
+
+    def work(element, block, node, root, n, pos, spread):
+        sizes, places, roots, blocks = np.array(n), np.array(pos), np.array(root), np.array(block)
         across, good = len(set(block)) > 1, np.zeros(len(node), dtype=bool)
         for i in range(len(node) - 1):
-            other = roots[i + 1 :] != roots[i]
+            overlap = -(-law.percent * (sizes[i + 1 :] + n[i]) // (100 + law.percent))
+            other = (roots[i + 1 :] != roots[i]) & (places[i + 1 :] <= sizes[i + 1 :] - overlap) & (pos[i] <= n[i] - overlap)
             if across:
                 other &= blocks[i + 1 :] != blocks[i]
-            places = np.nonzero(other)[0] + i + 1
-            if len(places):
-                found = places[may_link(law, n[i], spreads[i], sizes[places], [spreads[j] for j in places])]
+            found = np.nonzero(other)[0] + i + 1
+            if len(found):
+                found = found[may_link(law, n[i], spread[i] or b"", sizes[found], [spread[j] or b"" for j in found])]
                 good[found] = True
                 good[i] |= bool(len(found))
         return [(element, node[i]) for i in np.nonzero(good)[0]]
 
-    return _in_tiles(rows, ["node", "root", "n", "spread"], work, "element long, node long")
+    return _in_tiles(rows, ["node", "root", "n", "pos", "spread"], work, "element long, node long")
 
 
 def _tiles(members: DataFrame, sets: DataFrame, law: Law, tile: int, tile_bytes: int) -> DataFrame:
@@ -391,11 +396,12 @@ def _tiles(members: DataFrame, sets: DataFrame, law: Law, tile: int, tile_bytes:
 def _heavy_links(nodes: DataFrame, texts: DataFrame, light: DataFrame, law: Law, words: int, tile: int, tile_bytes: int, broadcast_rows: int, most_bits: int) -> DataFrame:
     """(u, v): links that join what inverted lists find, together with the light links."""
     spark = nodes.sparkSession
-    places = nodes.select(F.explode("prefix").alias("element"), "node", "n")
-    lists = places.groupBy("element").agg(F.count("*").alias("m"), F.min(F.struct("node", "n")).alias("first")).filter("m > 1")
+    places = nodes.select(F.posexplode("prefix").alias("pos", "element"), "node", F.col("n").cast("int").alias("n"))
+    lists = places.groupBy("element").agg(F.count("*").alias("m"), F.min(F.struct("node", "n", "pos")).alias("first")).filter("m > 1")
     path = step_path(spark, "lists")
-    listed = stored(places.join(lists, "element").select("element", "node", "n", "m", F.col("first.node").alias("first"), F.col("first.n").alias("first_n")), path=path)
-    fits = 100 * F.least("n", "first_n") >= law.percent * F.greatest("n", "first_n")
+    listed = stored(places.join(lists, "element").select("element", "node", "n", "pos", "m", F.col("first.node").alias("first"), F.col("first.n").alias("first_n"), F.col("first.pos").alias("first_pos")), path=path)
+    overlap = F.ceil(law.percent * (F.col("n") + F.col("first_n")) / F.lit(100 + law.percent))
+    fits = (100 * F.least("n", "first_n") >= law.percent * F.greatest("n", "first_n")) & (F.col("pos") <= F.col("n") - overlap) & (F.col("first_pos") <= F.col("first_n") - overlap)
     first_pairs = listed.filter((F.col("node") != F.col("first")) & fits).select(F.col("first").alias("u"), F.col("node").alias("v")).distinct()
     pairs = stored(_possible(first_pairs, nodes, law), "pairs")
     wanted = stored(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "wanted")
@@ -409,10 +415,13 @@ def _heavy_links(nodes: DataFrame, texts: DataFrame, light: DataFrame, law: Law,
     links = stored(_compared(pairs, sets(), law).unionByName(light).distinct(), path=links_path)
     rooted = components(links)
     # lists of two are done with; of the others those are left which hold several components
-    left = spark.read.schema(listed.schema).parquet(path).filter("m > 2").select("element", "node", "n").join(rooted, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    left = spark.read.schema(listed.schema).parquet(path).filter("m > 2").select("element", "node", "n", "pos").join(rooted, "node", "left").withColumn("root", F.coalesce("root", "node"))
     several = left.groupBy("element").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("element")
     mixed = stored(left.join(several, "element"), "mixed")
-    members = stored(mixed.join(stored(_hopeful(mixed, nodes, law, tile, tile_bytes), "hopeful"), ["element", "node"], "left_semi"), "members")
+    # by sizes and places alone, then by spreads: members without a possible partner leave a list before anything larger is sent
+    for spreads in (None, nodes.select("node", "spread")):
+        mixed = stored(mixed.join(stored(_hopeful(mixed, spreads, law, tile, tile_bytes), "hopeful"), ["element", "node"], "left_semi"), "mixed")
+    members = mixed
     more = stored(members.select("node").distinct(), "wanted")
     new = more.join(wanted, "node", "left_anti")
     others = stored(_sets(texts, stored(new, "wanted"), words, broadcast_rows, most_bits), "sets")
