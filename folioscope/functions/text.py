@@ -74,9 +74,9 @@ def letter_words(c: Column) -> Column:
 
 
 def count_bounded(text: Column, phrase: str) -> Column:
-    """How often a phrase stands in a normalised text with no word character at either side. Most texts don't hold it at all, which needs no pattern."""
+    """How often a phrase stands in a normalised text with no word character at either side. Most texts don't hold it at all, which needs no pattern; the pattern begins with the phrase, as a literal is searched for by leaps, and looks at what is beside it only where it stands."""
     quoted = "".join(rf"\{x}" if x in r"\.[]{}()*+-?^$|&~#" else x for x in phrase)
-    return F.when(F.contains(text, F.lit(phrase)), F.regexp_count(text, F.lit(rf"(?<!{W}){quoted}(?!{W})"))).otherwise(F.when(text.isNotNull(), 0))
+    return F.when(F.contains(text, F.lit(phrase)), F.regexp_count(text, F.lit(rf"{quoted}(?<!{W}{quoted})(?!{W})"))).otherwise(F.when(text.isNotNull(), 0))
 
 
 def count_plain(text: Column, phrase: Column) -> Column:
