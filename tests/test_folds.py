@@ -107,6 +107,28 @@ def test_risk_facts(spark):
     assert allowed([*waves[:2], ("LOG", "r3", 30, 35, "k0")], findings) is False
 
 
+def test_risk_facts_by_pairs(spark):
+    """Many questions and waves of a gate: as by pairs, and without any join of the two."""
+    rng = random.Random(4)
+    findings = [(i, rng.choice(["LOG", "STY", "MET"]), rng.randrange(400), rng.choice([None, 1, 150, 300]), rng.choice([None, *"abcdefgh"]), rng.choice(["E1", "E1", "E1", "E2"]), rng.choice(["MINOR", "MINOR", "MAJOR"])) for i in range(60)]
+    waves = [(rng.choice(["LOG", "STY", "MET"]), i, p := rng.choice([None, *range(1, 400)]), rng.choice([None, (p or 0) + rng.randrange(40)]), rng.choice([None, *"abcdefgh"])) for i in range(400)]
+    asks = [(f, s, "accept_risk", None) for f in range(60) for s in rng.sample(range(450), 6)]
+    new = {(g, r) for _, g, r, _, _, level, _ in findings if level == "E2"}
+    want = {}
+    for f, g, _, start, key, _, severity in findings:
+        for s in (s for i, s, _, _ in asks if i == f):
+            seen = [(w, k) for gate, w, p, c, k in waves if gate == g and None not in (p, c, k, start) and p > start and c < s and k != key]
+            want[f, s] = len({k for _, k in seen}) >= 3 and not any((g, w) in new for w, _ in seen) if g != "MET" and severity == "MINOR" else None
+    out = A.risk_facts(spark.createDataFrame(asks, "finding_id long, seq long, action string, allowed boolean"), spark.createDataFrame(waves, "gate string, run_id long, planned long, closed long, content_key string"), spark.createDataFrame(findings, "finding_id long, gate string, run_id long, planned long, content_key string, evidence_level string, severity string"))
+    assert {(r.finding_id, r.seq): r.allowed for r in out.collect()} == want and {True, False, None} == set(want.values())
+    nodes, todo = [], [out._jdf.queryExecution().optimizedPlan()]
+    while todo:
+        node = todo.pop()
+        nodes.append(node)
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    assert not any(n.nodeName() == "Join" and "seq" in n.toString().split("\n")[0] and "<" in n.toString().split("\n")[0] for n in nodes)  # no question meets each wave
+
+
 def test_assigned_ids(spark):
     rng = random.Random(1)
     rows = [(g, i, rng.choice([None, 0, -1, 1, 2, 3, 7])) for g in range(30) for i in range(8)]
