@@ -272,39 +272,50 @@ YEAR = r"(?<!\d)(1[89]\d{2}|20\d{2})(?!\d)"
 NORMATIVE = r"(?iu)(?:федеральн\p{L}*\s+закон|федер\.\s*закон|приказ|постановлени\p{L}*|кодекс|гост|фгос|указ|распоряжени\p{L}*|конституци\p{L}*)(?![\p{L}\p{N}_])"
 
 
-def hints(c: Column) -> Column:
-    """author_last, author_initials, title, year, doi, url, isbn, doc_number, type and language of a raw entry; null where nothing is found."""
-    raw = X.collapse_space(c)
-    text = F.regexp_replace(raw, r"^\s*(?:\[\d{1,3}\]|\d{1,3}\s*[.)])\s*", "")
+HINTS = ("author_last", "author_initials", "title", "year", "doi", "url", "isbn", "doc_number", "type", "language")
+
+
+def hints(df: DataFrame, raw: str, out: str = "hints") -> DataFrame:
+    """df with a struct of author_last, author_initials, title, year, doi, url, isbn, doc_number, type and language of raw entries; null where nothing is found.
+
+    What several hints read, and each hint, is a column of its own: as one expression all of it would be worked out anew wherever a hint is used.
+    """
+    name = lambda x: f"__{out}_{x}"
+    own = lambda x: F.col(f"`{name(x)}`")
     some = lambda x: F.nullif(x, F.lit(""))
-    body = F.trim(F.regexp_replace(text, AUTHOR, ""))
-    head = F.get(F.split(body, TITLE_STOP, 2), 0)
-    title = F.regexp_replace(head, r"^[ .,:;«»\"]+|[ .,:;«»\"]+$", "")
-    rest = F.regexp_replace(F.regexp_replace(F.substring(body, F.length(head) + 1, F.length(body)), r"(?iu)\(\s*дата\s+обращения[^)]*\)", " "), URL, " ")
-    whole = F.regexp_replace(F.regexp_replace(text, r"(?iu)\(\s*дата\s+обращения[^)]*\)", " "), URL, " ")
-    urls = F.filter(F.regexp_extract_all(raw, F.lit(URL), F.lit(0)), lambda u: ~F.lower(u).contains("doi.org/"))
-    low = F.lower(raw)
+    without = lambda x: F.regexp_replace(F.regexp_replace(x, r"(?iu)\(\s*дата\s+обращения[^)]*\)", " "), URL, " ")
+    head, body, text, whole, low = own("head"), own("body"), own("text"), own("raw"), own("low")
     kind = (
-        F.when(raw.rlike(NORMATIVE), "normative")
+        F.when(whole.rlike(NORMATIVE), "normative")
         .when(low.contains("автореф"), "autoreferat")
         .when(low.rlike(rf"(?<!{X.W})(?:дисс?\.|диссертаци)"), "dissertation")
-        .when(raw.contains(" // "), "article")
+        .when(whole.contains(" // "), "article")
         .when(low.contains("[электронный ресурс]") | low.contains("[electronic resource]") | low.contains("url:"), "electronic")
         .otherwise("book")
     )
-    probe = F.coalesce(some(title), text)
-    return F.struct(
-        some(F.regexp_extract(text, AUTHOR, 1)).alias("author_last"),
-        some(F.regexp_replace(F.regexp_extract(text, AUTHOR, 2), r"\s+", "")).alias("author_initials"),
-        some(title).alias("title"),
-        F.coalesce(some(F.regexp_extract(rest, YEAR, 1)), some(F.regexp_extract(whole, YEAR, 1))).cast("int").alias("year"),
-        some(F.regexp_replace(F.regexp_extract(raw, DOI, 1), r"\.+$", "")).alias("doi"),
-        F.regexp_replace(F.get(urls, 0), r"[.,;)]+$", "").alias("url"),
-        some(F.regexp_replace(F.regexp_extract(raw, ISBN, 1), r"\s+", "")).alias("isbn"),
-        some(F.regexp_replace(F.regexp_extract(raw, r"№\s*([\p{L}\p{N}_\-–/]+)", 1), r"[.,]+$", "")).alias("doc_number"),
-        kind.alias("type"),
-        F.when(probe.rlike("[A-Za-z]") & ~probe.rlike("[А-Яа-яЁё]"), "en").alias("language"),
+    probe = F.coalesce(own("title"), text)
+    steps = (
+        {"raw": X.collapse_space(F.col(raw))},
+        {"text": F.regexp_replace(whole, r"^\s*(?:\[\d{1,3}\]|\d{1,3}\s*[.)])\s*", ""), "low": F.lower(whole)},
+        {"body": F.trim(F.regexp_replace(text, AUTHOR, ""))},
+        {"head": F.get(F.split(body, TITLE_STOP, 2), 0)},
+        {"title": some(F.regexp_replace(head, r"^[ .,:;«»\"]+|[ .,:;«»\"]+$", "")), "rest": without(F.substring(body, F.length(head) + 1, F.length(body)))},
+        {
+            "author_last": some(F.regexp_extract(text, AUTHOR, 1)),
+            "author_initials": some(F.regexp_replace(F.regexp_extract(text, AUTHOR, 2), r"\s+", "")),
+            "year": F.coalesce(some(F.regexp_extract(own("rest"), YEAR, 1)), some(F.regexp_extract(without(text), YEAR, 1))).cast("int"),
+            "doi": some(F.regexp_replace(F.regexp_extract(whole, DOI, 1), r"\.+$", "")),
+            "url": F.regexp_replace(F.get(F.filter(F.regexp_extract_all(whole, F.lit(URL), F.lit(0)), lambda u: ~F.lower(u).contains("doi.org/")), 0), r"[.,;)]+$", ""),
+            "isbn": some(F.regexp_replace(F.regexp_extract(whole, ISBN, 1), r"\s+", "")),
+            "doc_number": some(F.regexp_replace(F.regexp_extract(whole, r"№\s*([\p{L}\p{N}_\-–/]+)", 1), r"[.,]+$", "")),
+            "type": kind,
+            "language": F.when(probe.rlike("[A-Za-z]") & ~probe.rlike("[А-Яа-яЁё]"), "en"),
+        },
     )
+    done = df
+    for step in steps:
+        done = done.withColumns({name(k): v for k, v in step.items()})
+    return done.select(*[F.col(f"`{c}`") for c in df.columns if c != out], F.struct(*[own(h).alias(h) for h in HINTS]).alias(out))
 
 
 def search_queries(h: Column) -> Column:

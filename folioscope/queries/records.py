@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from folioscope.operators import bibliography as B
 from folioscope.operators import citations as C
 from folioscope.operators import registry as R
+from folioscope.operators.deal import dealt
 from folioscope.queries.common import Catalog, table
 
 catalog = Catalog()
@@ -114,7 +115,7 @@ def _raw(spark, sf_dir):
     "SELECT p_partkey, 'Smith' AS author_last, 'A.B.' AS author_initials, p_name AS title, 1990 + p_size % 30 AS year, '10.1234/abc.' || p_partkey AS doi, 'https://example.org/' || p_partkey AS url, '978-5-12345-678-X' AS isbn, NULL::VARCHAR AS doc_number, CASE WHEN p_partkey % 2 = 0 THEN 'article' ELSE 'electronic' END AS type, 'en' AS language FROM part",
 )
 def hint_parse(spark, sf_dir):
-    return _raw(spark, sf_dir).select("p_partkey", B.hints(F.col("raw")).alias("h")).select("p_partkey", "h.*")
+    return B.hints(dealt(_raw(spark, sf_dir)), "raw", "h").select("p_partkey", "h.*")
 
 
 @catalog.add(
@@ -122,7 +123,8 @@ def hint_parse(spark, sf_dir):
     """SELECT p_partkey, unnest(['"' || p_name || '"', 'Smith A.B. "' || p_name || '"', 'Smith ' || p_name, '"' || p_name || '" ' || (1990 + p_size % 30), 'https://doi.org/10.1234/abc.' || p_partkey, '"10.1234/abc.' || p_partkey || '"', 'ISBN 978-5-12345-678-X', 'https://example.org/' || p_partkey]) AS query FROM part""",
 )
 def search_queries(spark, sf_dir):
-    return _raw(spark, sf_dir).select("p_partkey", F.explode(B.search_queries(B.hints(F.col("raw")))).alias("q")).select("p_partkey", "q.query")
+    found = B.hints(dealt(_raw(spark, sf_dir)), "raw", "h")
+    return found.select("p_partkey", F.explode(B.search_queries(F.col("h"))).alias("q")).select("p_partkey", "q.query")
 
 
 @catalog.add("people", "SELECT n_nationkey, form, CASE form WHEN 3 THEN upper(n) || '4' WHEN 4 THEN n || ' and Sons' ELSE n END AS last, CASE WHEN form < 2 THEN 'A.B.' ELSE '' END AS initials, form >= 3 AS is_organization FROM (SELECT n_nationkey, 'Nation' || chr(97 + n_nationkey) AS n FROM nation), (VALUES (0), (1), (2), (3), (4)) f(form)")

@@ -233,3 +233,18 @@ def test_plan_counts():
     assert total("final", "strict") == 15 and total("final", "balanced") == 9 and total("final", "maximum") == 18
     assert [total("subsection", "strict", False, o) for o in (False, True)] == [3, 4]
     assert total("sources", "balanced") == 3 and total("docx", "balanced") == 4
+
+
+def test_hints_are_worked_out_once(spark):
+    """Hints are columns that queries read, and not expressions that each reader repeats."""
+    raw = spark.createDataFrame([(1, "3. Иванов, И. И. Книга о книгах / И. И. Иванов. – М.: Наука, 2001"), (2, None)], "k int, raw string")
+    found = B.hints(raw, "raw").select("k", B.search_queries(F.col("hints")).alias("q"))
+    assert {r.k: [q.query for q in r.q] for r in found.collect()}[1][:2] == ['"Книга о книгах"', 'Иванов И.И. "Книга о книгах"']
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+
+
+def test_costly_maps_are_dealt_out(spark, sf):
+    from folioscope import catalog
+
+    for name in ("search_queries", "hint_parse"):
+        assert catalog.queries()[name](spark, sf).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
