@@ -11,3 +11,16 @@ from pyspark.sql import DataFrame
 def dealt(df: DataFrame) -> DataFrame:
     """df's rows in as many parts as the session's shuffles have."""
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+#: Bytes of an Arrow batch of whole texts, at which it is closed.
+BATCH_BYTES = 2 << 20
+_BATCH_CONF, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df. From now on its session's Arrow batches are closed at BATCH_BYTES, unless the session has a bound of its own: what a worker makes of a batch of texts is many times as large. Results don't depend on it."""
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH_CONF) == _BATCH_DEFAULT:
+        conf.set(_BATCH_CONF, str(BATCH_BYTES))
+    return df

@@ -48,6 +48,11 @@ def _with_plain(docs: DataFrame) -> DataFrame:
     return docs if "__plain" in docs.columns else docs.withColumn("__plain", F.regexp_replace(X.fold(X.null_empty(F.col("text"))), X.SPACE, " "))
 
 
+def prepared(docs: DataFrame) -> DataFrame:
+    """docs with what several measures read: __words, paras, sents and __plain, each made once."""
+    return _with_plain(parts(docs.withColumn("__words", _words(docs))))
+
+
 def _words(docs: DataFrame) -> Column:
     """Number of words of the text."""
     return F.col("__words") if "__words" in docs.columns else F.size(X.tokens(F.col("text"))).cast("long")
@@ -255,7 +260,7 @@ def risk(docs: DataFrame, section: Column | None = None, strong: Sequence[str] =
     section names the weights' row (unknown: full). Pronouns give five points, whatever the section.
     """
     known = F.lit("full") if section is None else F.when(section.isin(*SECTIONS), section).otherwise("full")
-    df = docs.select("doc_id", "text", known.alias("__section"), F.size(X.tokens(F.col("text"))).cast("long").alias("__words"))
+    df = prepared(docs.select("doc_id", "text", known.alias("__section")))
     steps = {
         "burstiness": burstiness,
         "ngrams": lambda d, keep: phrase_density(d, strong, medium, keep=keep),
@@ -266,7 +271,6 @@ def risk(docs: DataFrame, section: Column | None = None, strong: Sequence[str] =
         "readability": readability,
         "anchors": lambda d, keep: author_anchors(d, (), anchors, keep=keep),
     }
-    df = _with_plain(parts(df))  # what several measures read is made once
     keep = list(df.columns)
     for name, measure in steps.items():  # one map over the rows, without a join
         df = measure(df, keep=keep).select(*keep, F.col("verdict").alias(name))

@@ -28,13 +28,15 @@ from folioscope.operators import registry as R
 def metrics(docs: DataFrame) -> DataFrame:
     """All measures of each document, one struct each, in one map over the rows."""
     keep = list(dict.fromkeys(["doc_id", "text", *docs.columns]))
-    df = docs.select(*keep)
+    df = M.prepared(docs.select(*keep))
+    made = [c for c in df.columns if c not in keep]
+    keep = list(df.columns)
     steps = {"burstiness": M.burstiness, "phrases": M.phrase_density, "lexical": M.lexical_diversity, "rhythm": M.paragraph_rhythm, "starters": M.starter_variety, "passive": M.passive_ratio, "readability": M.readability, "anchors": M.author_anchors, "pronouns": M.pronouns}
     for name, measure in steps.items():
         out = measure(df, keep=keep)
         df = out.select(*keep, F.struct(*[F.col(c) for c in out.columns if c not in keep]).alias(name))
         keep.append(name)
-    return df.drop("text")
+    return df.drop("text", *made)
 
 
 def citations(texts: DataFrame, key: str, text: str = "text") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from folioscope.operators import doctor as H
 from folioscope.operators import merge
+from folioscope.operators.deal import dealt
 from folioscope.plans import api
 from folioscope.queries.common import Catalog, table
 from folioscope.sources import files
@@ -40,7 +41,7 @@ def jsonl_lines(spark, sf_dir):
 
 
 def _drafts(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = dealt(table(spark, sf_dir, "documents"))
     text = F.concat(F.lit("# Title\n\n"), F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit("\n\n")), F.lit("\n\n- one\n- two\n\n| a | b |\n|---|---|\n| 1 | 2 |\n"))
     return docs.select("doc_id", text.alias("text"))
 
@@ -96,5 +97,5 @@ def build_texts(spark, sf_dir):
 
 @catalog.add("all_metrics")
 def all_metrics(spark, sf_dir):
-    m = api.metrics(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    m = api.metrics(dealt(table(spark, sf_dir, "documents").select("doc_id", "text")))
     return m.select("doc_id", *[F.col(f"{c}.verdict").alias(c) for c in ("burstiness", "phrases", "lexical", "rhythm", "starters", "passive", "readability", "anchors", "pronouns")])

@@ -246,5 +246,30 @@ def test_hints_are_worked_out_once(spark):
 def test_costly_maps_are_dealt_out(spark, sf):
     from folioscope import catalog
 
-    for name in ("search_queries", "hint_parse"):
+    for name in ("search_queries", "hint_parse", "all_metrics", "risk_score", "risk_score_full", "burstiness", "markdown_blocks", "merged_drafts"):
         assert catalog.queries()[name](spark, sf).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_texts_reach_python_in_small_batches(spark):
+    """A batch of drafts is closed by its bytes, not by its rows alone."""
+    from folioscope.operators import merge
+    from folioscope.sources.markdown import md_blocks
+
+    conf = "spark.sql.execution.arrow.maxBytesPerBatch"
+    drafts = spark.createDataFrame([(1, "# A\n\ntext", "# B\n\ntext")], "k int, old string, new string")
+    for make in (lambda: merge.merge_drafts(drafts, "k"), lambda: md_blocks(drafts, "k", "old")):
+        spark.conf.unset(conf)
+        assert make().count() > 0 and int(spark.conf.get(conf)) == 2 << 20
+    spark.conf.set(conf, "1m")
+    assert md_blocks(drafts, "k", "old").count() == 2 and spark.conf.get(conf) == "1m"  # a bound of the session's own stays
+    spark.conf.unset(conf)
+
+
+def test_metrics_share_what_they_read(spark, sf):
+    """Paragraphs of all measures are split once."""
+    from folioscope.plans import api
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    out = api.metrics(docs)
+    assert out.columns == ["doc_id", "burstiness", "phrases", "lexical", "rhythm", "starters", "passive", "readability", "anchors", "pronouns"]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("AS paras#") == 1
