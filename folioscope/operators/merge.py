@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.functions import text as X
+from folioscope.operators.deal import small_batches
 from folioscope.sources.markdown import parse
 
 
@@ -68,4 +69,4 @@ def merge_drafts(pairs: DataFrame, key: str, old: str = "old", new: str = "new")
             done = [merged_text(o or "", n or "") for o, n in zip(batch["o"], batch["n"])]
             yield pd.DataFrame({"k": batch["k"], "merged": [d[0] for d in done], "changed": [d[1] for d in done]})
 
-    return pairs.select(F.col(key).alias("k"), F.col(old).alias("o"), F.col(new).alias("n")).mapInPandas(run, schema).withColumnRenamed("k", key)
+    return small_batches(pairs).select(F.col(key).alias("k"), F.col(old).alias("o"), F.col(new).alias("n")).mapInPandas(run, schema).withColumnRenamed("k", key)
