@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from folioscope.operators import metrics as M
+from folioscope.operators.deal import dealt
 from folioscope.queries.common import SQL_PARAS, Catalog, sql_bounded, sql_cv, table
 
 catalog = Catalog()
 
+
+def _documents(spark, sf_dir):
+    return dealt(table(spark, sf_dir, "documents"))
+
 #: Phrases that the synthetic corpus holds, in place of the standard lexicon.
 STRONG = ("of the", "to be", "de la", "in der")
 MEDIUM = ("is the", "and the", "en la", "et de", "und die")
@@ -42,7 +47,7 @@ SELECT doc_id, paragraph_count, sentence_count, round(a, 6) AS paragraph_cv, rou
 
 @catalog.add("burstiness", BURSTINESS)
 def burstiness(spark, sf_dir):
-    return M.burstiness(table(spark, sf_dir, "documents"))
+    return M.burstiness(_documents(spark, sf_dir))
 
 
 def _hits(phrases) -> str:
@@ -63,7 +68,7 @@ SELECT doc_id, words, n_strong, n_medium, round(a, 6) AS strong_per_1k, round(b,
 
 @catalog.add("phrase_density", PHRASES)
 def phrase_density(spark, sf_dir):
-    return M.phrase_density(table(spark, sf_dir, "documents"), STRONG, MEDIUM)
+    return M.phrase_density(_documents(spark, sf_dir), STRONG, MEDIUM)
 
 
 PLAIN = (
@@ -75,7 +80,7 @@ PLAIN = (
 
 @catalog.add("plain_phrase_counts", PLAIN)
 def plain_phrase_counts(spark, sf_dir):
-    return M.plain_phrase_counts(table(spark, sf_dir, "documents"), (*STRONG, *MEDIUM))
+    return M.plain_phrase_counts(_documents(spark, sf_dir), (*STRONG, *MEDIUM))
 
 
 _LETTERS = r"[w FOR w IN regexp_extract_all(lower(x), '[\p{L}\p{N}_]+') IF regexp_full_match(w, '\p{L}+')]"
@@ -91,12 +96,12 @@ SELECT doc_id, words, distinct_words, CASE WHEN words >= 100 THEN round(ttr, 6)
 
 @catalog.add("type_token_ratio", TTR)
 def type_token_ratio(spark, sf_dir):
-    return M.lexical_diversity(table(spark, sf_dir, "documents"), OVERUSED, with_mtld=False).drop("mtld")
+    return M.lexical_diversity(_documents(spark, sf_dir), OVERUSED, with_mtld=False).drop("mtld")
 
 
 @catalog.add("mtld")
 def mtld(spark, sf_dir):
-    return M.lexical_diversity(table(spark, sf_dir, "documents"), OVERUSED)
+    return M.lexical_diversity(_documents(spark, sf_dir), OVERUSED)
 
 
 ANCHORS_SQL = f"""
@@ -110,7 +115,7 @@ SELECT doc_id, words, anchors, distinct_anchors, round(a, 6) AS per_1k, CASE WHE
 
 @catalog.add("author_anchors", ANCHORS_SQL)
 def author_anchors(spark, sf_dir):
-    return M.author_anchors(table(spark, sf_dir, "documents"), (), ANCHORS)
+    return M.author_anchors(_documents(spark, sf_dir), (), ANCHORS)
 
 
 PRONOUNS_SQL = rf"""
@@ -123,7 +128,7 @@ SELECT doc_id, list_sum([x.n FOR x IN h])::BIGINT AS total, array_to_string([x.p
 
 @catalog.add("pronouns", PRONOUNS_SQL)
 def pronouns(spark, sf_dir):
-    return M.pronouns(table(spark, sf_dir, "documents"), PRONOUNS)
+    return M.pronouns(_documents(spark, sf_dir), PRONOUNS)
 
 
 RHYTHM = f"""
@@ -139,7 +144,7 @@ SELECT doc_id, paragraph_count, longest, CASE WHEN longest >= 5 THEN 'long run'
 
 @catalog.add("rhythm_runs", RHYTHM)
 def rhythm_runs(spark, sf_dir):
-    return M.paragraph_rhythm(table(spark, sf_dir, "documents"))
+    return M.paragraph_rhythm(_documents(spark, sf_dir))
 
 
 _OVER_50 = SQL_PARAS.replace("> 30", "> 50")
@@ -154,7 +159,7 @@ SELECT doc_id, paragraph_count, round(v, 6) AS cv, CASE WHEN v < 0.25 THEN 'warn
 
 @catalog.add("cv_rule", CV_RULE)
 def cv_rule(spark, sf_dir):
-    return M.rhythm_cv(table(spark, sf_dir, "documents"))
+    return M.rhythm_cv(_documents(spark, sf_dir))
 
 
 STARTS = f"""
@@ -169,7 +174,7 @@ SELECT doc_id, len(paras) AS paragraph_count, coalesce(n, 0) AS longest, coalesc
 
 @catalog.add("same_starts", STARTS)
 def same_starts(spark, sf_dir):
-    return M.same_starts(table(spark, sf_dir, "documents"))
+    return M.same_starts(_documents(spark, sf_dir))
 
 
 STARTERS = f"""
@@ -184,7 +189,7 @@ SELECT doc_id, CASE WHEN n >= 10 THEN sentences END AS sentences, CASE WHEN n >=
 
 @catalog.add("starter_variety", STARTERS)
 def starter_variety(spark, sf_dir):
-    return M.starter_variety(table(spark, sf_dir, "documents"))
+    return M.starter_variety(_documents(spark, sf_dir))
 
 
 PASSIVE_SQL = r"""
@@ -198,7 +203,7 @@ SELECT doc_id, marks, sentences, round(v, 6) AS ratio, CASE WHEN v > 0.70 THEN '
 
 @catalog.add("passive_ratio", PASSIVE_SQL)
 def passive_ratio(spark, sf_dir):
-    return M.passive_ratio(table(spark, sf_dir, "documents"), PASSIVE)
+    return M.passive_ratio(_documents(spark, sf_dir), PASSIVE)
 
 
 READABILITY = f"""
@@ -212,7 +217,7 @@ SELECT doc_id, sentences, round(a, 6) AS short_share, round(b, 6) AS long_share,
 
 @catalog.add("readability", READABILITY)
 def readability(spark, sf_dir):
-    return M.readability(table(spark, sf_dir, "documents"))
+    return M.readability(_documents(spark, sf_dir))
 
 
 def _weights(i: int) -> str:
@@ -242,13 +247,13 @@ SELECT doc_id, section, words, CASE WHEN words >= 300 THEN s END AS score, CASE
 @catalog.add("risk_score", RISK)
 def risk_score(spark, sf_dir):
     # the lexical verdict's words are the standard ones of the measure; the corpus's own stand in for them here
-    docs = table(spark, sf_dir, "documents")
+    docs = _documents(spark, sf_dir)
     return M.risk(docs, section_of_source(), STRONG, MEDIUM, ANCHORS, PRONOUNS, PASSIVE, with_mtld=False, overused=OVERUSED)
 
 
 @catalog.add("risk_score_full")
 def risk_score_full(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = _documents(spark, sf_dir)
     return M.risk(docs, section_of_source(), STRONG, MEDIUM, ANCHORS, PRONOUNS, PASSIVE, overused=OVERUSED)
 
 
@@ -257,7 +262,7 @@ def risk_score_full(spark, sf_dir):
     f"WITH d AS (SELECT source, len({_tokens(chr(34) + 'text' + chr(34))}) AS words FROM documents) SELECT source, count(*) AS documents, count(*) FILTER (words < 300) AS too_short, count(*) FILTER (words < 120) AS too_short_section, CASE WHEN bool_and(words < 300) THEN 'insufficient' WHEN bool_or(words < 300) THEN 'incomplete' ELSE 'ok' END AS status FROM d GROUP BY source",
 )
 def insufficient_gate(spark, sf_dir):
-    return M.sufficiency(table(spark, sf_dir, "documents"), "source")
+    return M.sufficiency(_documents(spark, sf_dir), "source")
 
 
 @catalog.add(
@@ -265,7 +270,7 @@ def insufficient_gate(spark, sf_dir):
     f"WITH {SQL_PARAS}, c AS (SELECT doc_id, coalesce(list_sum([length(x) FOR x IN paras]), 0)::BIGINT AS chars FROM s), r AS (SELECT *, chars / 1800 AS v FROM c) SELECT doc_id, chars, round(v, 6) AS pages, CASE WHEN v < 5 THEN 'too short' WHEN v < 8 THEN 'short' WHEN v > 25 THEN 'long' ELSE 'ok' END AS level FROM r",
 )
 def chapter_length(spark, sf_dir):
-    return M.chapter_pages(table(spark, sf_dir, "documents"))
+    return M.chapter_pages(_documents(spark, sf_dir))
 
 
 @catalog.add(
@@ -273,4 +278,4 @@ def chapter_length(spark, sf_dir):
     f"WITH {SQL_PARAS}, c AS (SELECT source, lang, sum(coalesce(list_sum([length(x) FOR x IN paras]), 0)) / 1800 + 6 AS v FROM s JOIN documents USING (doc_id) GROUP BY ALL) SELECT source, lang, round(v, 6) AS pages, CASE WHEN v < 8 THEN 'below' WHEN v > 72 THEN 'above' ELSE 'ok' END AS level FROM c",
 )
 def work_length(spark, sf_dir):
-    return M.work_pages(table(spark, sf_dir, "documents"), ["source", "lang"], 10, 60)
+    return M.work_pages(_documents(spark, sf_dir), ["source", "lang"], 10, 60)
