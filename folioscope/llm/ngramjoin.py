@@ -149,8 +149,8 @@ def may_link(law: Law, n: int, spread: bytes, sizes: np.ndarray, spreads: Sequen
 
 
 def count_table(texts: DataFrame, words: int, bits: int) -> tuple[np.ndarray, dict[int, int], float]:
-    """(a byte for each of 2^bits cells: 8 times the binary logarithm of its count of shingles; number of texts of each size up to MOST_LIGHT; expected length of a shingle's list). All texts are counted; what comes to the driver has a fixed size."""
-    cells = min(CELLS, 1 << bits)
+    """(a byte for each of 2^bits cells: 8 times the binary logarithm of its count of shingles; number of texts of each size up to MOST_LIGHT; expected length of a shingle's list). All texts are counted; what comes to the driver has a fixed size: a byte for each cell, and a few numbers for each piece of the table."""
+    cells, last = min(CELLS, 1 << bits), (1 << bits) // min(CELLS, 1 << bits)
     schema = "piece int, counts binary"
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,29 +165,33 @@ def count_table(texts: DataFrame, words: int, bits: int) -> tuple[np.ndarray, di
             own = pieces[at : at + 64]
             yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in own], pa.int32()), pa.array([p.astype(_narrow(p)).tobytes() for _, p in own], pa.binary())], names=["piece", "counts"])
 
+    def summary(piece: int, counts: np.ndarray) -> pa.RecordBatch:
+        """A piece's levels (of the sizes: their counts), its counts' sum and the sum of their squares."""
+        level = counts.astype("<i8") if piece == last else np.where(counts > 0, np.minimum(8 * np.log2(np.maximum(counts, 1)), 255), 0).astype(np.uint8)
+        return pa.RecordBatch.from_arrays([pa.array([piece], pa.int32()), pa.array([level.tobytes()], pa.binary()), pa.array([int(counts.sum())], pa.int64()), pa.array([float((counts.astype(float) ** 2).sum())], pa.float64())], names=["piece", "level", "total", "squares"])
+
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, total = None, None
         for batch in batches:
             for piece, counts in zip(*(c.to_pylist() for c in batch.columns)):
                 if piece != at:
                     if at is not None:
-                        yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([total.astype("<i8").tobytes()], pa.binary())], names=["piece", "counts"])
+                        yield summary(at, total)
                     at, total = piece, np.zeros(cells, dtype=np.int64)
                 total += np.frombuffer(counts, dtype=f"<u{len(counts) // cells}")
         if at is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([total.astype("<i8").tobytes()], pa.binary())], names=["piece", "counts"])
+            yield summary(at, total)
 
     parts = bounded_batches(texts).mapInArrow(count, schema)
-    summed = parts.repartition("piece").sortWithinPartitions("piece").mapInArrow(add, schema)
-    level, last = np.zeros(1 << bits, dtype=np.uint8), (1 << bits) // cells
+    summed = parts.repartition("piece").sortWithinPartitions("piece").mapInArrow(add, "piece int, level binary, total long, squares double")
+    level = np.zeros(1 << bits, dtype=np.uint8)
     small, squares, total = np.zeros(cells, dtype=np.int64), 0.0, 0
     for row in summed.toLocalIterator():
-        counts = np.frombuffer(row.counts, dtype="<i8")
         if row.piece == last:
-            small = counts
+            small = np.frombuffer(row.level, dtype="<i8")
             continue
-        level[row.piece * cells : (row.piece + 1) * cells] = np.where(counts > 0, np.minimum(8 * np.log2(np.maximum(counts, 1)), 255), 0).astype(np.uint8)
-        squares, total = squares + float((counts.astype(float) ** 2).sum()), total + int(counts.sum())
+        level[row.piece * cells : (row.piece + 1) * cells] = np.frombuffer(row.level, dtype=np.uint8)
+        squares, total = squares + row.squares, total + row.total
     expected = max(squares / total - total / (1 << bits), 0.0) if total else 0.0
     return level, {a: int(n) for a, n in enumerate(small[: MOST_LIGHT + 1].tolist()) if a and n}, expected
 
@@ -451,6 +455,7 @@ def ngram_components(
         sent = spark.sparkContext.broadcast(level)
         path = step_path(spark, "signed")
         signed = stored(map_texts(d.select(F.col(name[id_col]).alias("id"), row, text), SIGNED, signer(words, law, boundary, sent, bits), "text", ["id", "node"]), path=path)
+        sent.destroy()  # signed is read from its files from here on
         own = signed.filter("digest is not null").groupBy("digest").agg(F.min("node").alias("node"), F.min("id").alias("id"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("spread").alias("spread"), F.first("prefix").alias("prefix"), F.first("keys").alias("keys"), F.first("sides").alias("sides"))
         nodes_path = step_path(spark, "nodes")
         nodes = stored(own, path=nodes_path)

@@ -123,3 +123,25 @@ def test_tile_scan_is_exact():
     assert classes(links) == classes(pairs)
     roots = classes(pairs)
     assert ngramjoin.scanned(list(range(n)), roots, [0] * n, sets, law) == []
+
+
+def test_driver_gets_a_byte_for_each_cell(spark, monkeypatch):
+    """Of the count table the driver gets levels, a byte each, and a few numbers for each piece; not the counts."""
+    from folioscope.llm import ngramjoin
+
+    docs = spark.createDataFrame([(" ".join(f"w{i * j % 97}" for i in range(40)),) for j in range(1, 30)], "text string")
+    got, read = [], type(docs).toLocalIterator
+
+    def counted(self, *args):
+        for row in read(self, *args):
+            got.append(sum(len(x) for x in row if isinstance(x, bytes | bytearray)))
+            yield row
+
+    monkeypatch.setattr(type(docs), "toLocalIterator", counted)
+    level, sizes, length = ngramjoin.count_table(docs, 5, 16)
+    assert sum(got) <= (1 << 16) + 8 * ngramjoin.CELLS
+    counts = np.zeros(1 << 16, dtype=np.int64)
+    for elements in ngramjoin.sets_of([r.text for r in docs.collect()], 5):
+        np.add.at(counts, ngramjoin._cell(elements, 16), 1)
+    assert (level == np.where(counts > 0, np.minimum(8 * np.log2(np.maximum(counts, 1)), 255), 0).astype(np.uint8)).all()
+    assert length == max(float((counts.astype(float) ** 2).sum()) / counts.sum() - counts.sum() / (1 << 16), 0.0) and sizes == {}
