@@ -6,6 +6,8 @@ Sides are joined by shuffle or broadcast as Catalyst finds from their sizes; not
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -30,9 +32,12 @@ def unmatched(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame
 
 
 def both_sides(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
-    """Keys of either side without a partner, and the side."""
-    a, b = left.select(*on).distinct(), right.select(*on).distinct()
-    return unmatched(a, b, on).withColumn("side", F.lit("left")).unionByName(unmatched(b, a, on).withColumn("side", F.lit("right")))
+    """Keys of either side without a partner, and the side. A key with a null has no partner. Both sides are grouped at once, so nothing is sorted and each side is read once."""
+    each = left.select(*on, F.lit(True).alias("__left")).unionByName(right.select(*on, F.lit(False).alias("__left")))
+    seen = each.groupBy(*on).agg(F.bool_or("__left").alias("__a"), F.bool_or(~F.col("__left")).alias("__b"))
+    alone = reduce(or_, [F.col(c).isNull() for c in on])
+    sides = F.array_compact(F.array(F.when(F.col("__a") & (~F.col("__b") | alone), F.lit("left")), F.when(F.col("__b") & (~F.col("__a") | alone), F.lit("right"))))
+    return seen.select(*on, F.explode(sides).alias("side"))
 
 
 def resolve(refs: DataFrame, sources: DataFrame, ref: str, key: str, value: str, out: str = "resolved") -> DataFrame:

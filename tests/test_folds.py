@@ -273,3 +273,11 @@ def test_metrics_share_what_they_read(spark, sf):
     out = api.metrics(docs)
     assert out.columns == ["doc_id", "burstiness", "phrases", "lexical", "rhythm", "starters", "passive", "readability", "anchors", "pronouns"]
     assert out._jdf.queryExecution().optimizedPlan().toString().count("AS paras#") == 1
+
+
+def test_both_sides_are_read_once(spark):
+    """Keys of one side; a null has no partner; no join."""
+    side = lambda rows: spark.createDataFrame(rows, "a int, b int")
+    out = R.both_sides(side([(1, 1), (1, 1), (2, 1), (3, None)]), side([(2, 1), (4, 1), (3, None)]), ["a", "b"])
+    assert sorted((r.a, r.b or 0, r.side) for r in out.collect()) == [(1, 1, "left"), (3, 0, "left"), (3, 0, "right"), (4, 1, "right")]
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
