@@ -13,6 +13,15 @@ def dealt(df: DataFrame) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
+#: Parts of rows that are dealt out by key for sorts and groups, at least.
+KEYED_PARTS = 192
+
+
+def dealt_by(df: DataFrame, *by: str) -> DataFrame:
+    """df's rows dealt out by key, for the windows and groups that follow. A part that is small as it is sent may be large in a sort or a group, so parts aren't left to be joined by what is sent: they are as many as the session's shuffles have, and KEYED_PARTS at least."""
+    return df.repartition(max(KEYED_PARTS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *by)
+
+
 #: Bytes of an Arrow batch of whole texts, at which it is closed.
 BATCH_BYTES = 2 << 20
 _BATCH_CONF, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"

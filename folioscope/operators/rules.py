@@ -134,14 +134,22 @@ def citation_rule(blocks: DataFrame, least: int = 20) -> DataFrame:
     return _rows(g.select("doc_id", F.explode(both).alias("x")), "citations", F.col("x.s"), F.col("x.c"))
 
 
-def entries(blocks: DataFrame) -> DataFrame:
-    """Entries of the bibliography: their number (given, or counted), group and place. A heading in capitals begins a group."""
+def _entry_lines(blocks: DataFrame) -> DataFrame:
+    """Lines of the bibliography: whether they head a group, the number that they give, and the entry without it."""
     df = blocks.filter("region_kind = 'bibliography' and not starts").withColumn("text", X.collapse_space(F.col("text"))).filter("text <> ''")
-    df = df.withColumn("heads", B.group_heading(F.col("text"), X.is_upper(F.col("text"))))
+    return df.select("doc_id", "idx", B.group_heading(F.col("text"), X.is_upper(F.col("text"))).alias("heads"), F.regexp_extract("text", r"^\s*\[?(\d{1,3})[\].)]\s*", 1).try_cast("int").alias("given"), F.regexp_replace("text", r"^\s*\[?\d{1,3}[\].)]\s*", "").alias("entry"))
+
+
+def _numbered(lines: DataFrame) -> DataFrame:
+    """Entries with group and number, by one sort; it holds only the columns of lines that are read."""
     w = Window.partitionBy("doc_id").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
-    df = df.withColumn("grp", F.sum(F.col("heads").cast("int")).over(w)).filter("not heads").withColumn("given", F.regexp_extract("text", r"^\s*\[?(\d{1,3})[\].)]\s*", 1).try_cast("int"))
-    counted = F.row_number().over(Window.partitionBy("doc_id").orderBy("idx"))
-    return df.withColumn("number", F.coalesce("given", counted)).withColumn("entry", F.regexp_replace("text", r"^\s*\[?\d{1,3}[\].)]\s*", "")).select("doc_id", "idx", "grp", "number", "entry")
+    df = lines.withColumn("grp", F.sum(F.col("heads").cast("int")).over(w)).withColumn("counted", F.count_if(~F.col("heads")).over(w)).filter("not heads")
+    return df.withColumn("number", F.coalesce("given", F.col("counted").cast("int"))).drop("heads", "given", "counted")
+
+
+def entries(blocks: DataFrame) -> DataFrame:
+    """Entries of the bibliography: their number (given, or counted), group and place. A heading in capitals begins a group."""
+    return _numbered(_entry_lines(blocks)).select("doc_id", "idx", "grp", "number", "entry")
 
 
 def cross_references(blocks: DataFrame) -> DataFrame:
@@ -152,16 +160,26 @@ def cross_references(blocks: DataFrame) -> DataFrame:
 
 
 def bibliography_order(blocks: DataFrame) -> DataFrame:
-    """Entries out of alphabetical order in their group, doubled numbers and gaps."""
-    e = entries(blocks)
-    key = B.collation_key(F.regexp_extract("entry", r"([\p{L}'’\-]+)", 1))
-    df = e.withColumn("key", key).withColumn("before", F.lag("key").over(Window.partitionBy("doc_id", "grp").orderBy("idx")))
-    order = _rows(df.filter("before > key"), "bibliography", F.lit("warning"), F.concat(F.lit("order: "), F.col("number").cast("string")))
-    g = e.groupBy("doc_id", "number").agg(F.count("*").alias("n"))
-    doubled = _rows(g.filter("n > 1"), "bibliography", F.lit("error"), F.concat(F.lit("doubled: "), F.col("number").cast("string")))
-    ends = g.groupBy("doc_id").agg(F.min("number").alias("lo"), F.max("number").alias("hi"), F.count("*").alias("k"))
-    gaps = _rows(ends, "bibliography", F.when((F.col("lo") != 1) | (F.col("hi") - F.col("lo") + 1 != F.col("k")), "error"), F.lit("numbering"))
-    return order.unionByName(doubled).unionByName(gaps)
+    """Entries out of alphabetical order in their group, doubled numbers and gaps.
+
+    Entries are sorted once by place and once by number, and all is told by what stands beside an entry: nothing is grouped, and sorts hold short rows."""
+    word = F.regexp_extract("entry", r"([\p{L}'’\-]+)", 1)
+    e = _numbered(_entry_lines(blocks).withColumn("word", word).drop("entry"))
+    w = Window.partitionBy("doc_id").orderBy("idx")
+    e = e.withColumn("key", B.collation_key(F.col("word"))).withColumn("last", F.lag(F.struct("grp", "key")).over(w))
+    e = e.select("doc_id", "number", F.coalesce((F.col("last.grp") == F.col("grp")) & (F.col("last.key") > F.col("key")), F.lit(False)).alias("late"))
+    w = Window.partitionBy("doc_id").orderBy("number")
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    e = e.withColumn("one", F.lag("number").over(w)).withColumn("two", F.lag("number", 2).over(w)).withColumn("next", F.lead("number").over(w)).withColumn("lo", F.min("number").over(so_far))
+    e = e.withColumn("k", F.count_if(~F.col("number").eqNullSafe(F.col("one"))).over(so_far))
+    found = lambda when, severity, code: F.when(when, F.struct(F.lit(severity).alias("s"), code.alias("c")))
+    number = F.col("number").cast("string")
+    all_ = F.array(
+        found(F.col("late"), "warning", F.concat(F.lit("order: "), number)),
+        found((F.col("one") == F.col("number")) & ~F.col("two").eqNullSafe(F.col("number")), "error", F.concat(F.lit("doubled: "), number)),
+        found(F.col("next").isNull() & ((F.col("lo") != 1) | (F.col("number") - F.col("lo") + 1 != F.col("k"))), "error", F.lit("numbering")),
+    )
+    return _rows(e.select("doc_id", F.explode(F.array_compact(all_)).alias("x")), "bibliography", F.col("x.s"), F.col("x.c"))
 
 
 def surnames(blocks: DataFrame) -> DataFrame:

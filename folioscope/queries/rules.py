@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from folioscope.operators import rules as V
 from folioscope.operators import segments as S
+from folioscope.operators.deal import dealt_by
 from folioscope.queries.audit import _REGIONS, work_blocks
 from folioscope.queries.common import Catalog, table
 
@@ -72,7 +73,7 @@ def rule_captions(spark, sf_dir):
 
 def _listed(spark, sf_dir):
     """Orders as works: lines cite their number, and the list has the numbers of lines with a small quantity."""
-    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("n"), F.col("l_quantity").alias("q")).groupBy("doc_id", "n").agg(F.max("q").alias("q"))
+    lines = dealt_by(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("n"), F.col("l_quantity").alias("q")), "doc_id").groupBy("doc_id", "n").agg(F.max("q").alias("q"))
     n = F.col("n").cast("string")
     text = lines.select("doc_id", F.col("n").alias("idx"), F.concat(F.lit("Тезис ["), n, F.lit(", с. 5].")).alias("text"), F.lit("chapter").alias("region_kind"))
     listed = lines.filter("q < 30").select("doc_id", (F.col("n") + 100).alias("idx"), F.concat(n, F.lit(". Автор "), F.chr(F.lit(65) + F.col("q").cast("int") % 26), F.lit(". Книга")).alias("text"), F.lit("bibliography").alias("region_kind"))

@@ -13,6 +13,7 @@ from folioscope.operators import bibliography as B
 from folioscope.operators import citations as C
 from folioscope.operators import metrics as M
 from folioscope.operators import registry as R
+from folioscope.operators import rules as V
 from folioscope.operators import segments as S
 from folioscope.queries.audit import log
 
@@ -281,3 +282,33 @@ def test_both_sides_are_read_once(spark):
     out = R.both_sides(side([(1, 1), (1, 1), (2, 1), (3, None)]), side([(2, 1), (4, 1), (3, None)]), ["a", "b"])
     assert sorted((r.a, r.b or 0, r.side) for r in out.collect()) == [(1, 1, "left"), (3, 0, "left"), (3, 0, "right"), (4, 1, "right")]
     assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def _bibliographies(spark):
+    """Works with doubled numbers, gaps, group headings, entries without a number, and entries out of order."""
+    lists = {
+        1: ["1. Автор А. Книга", "2. Борис Б. Книга", "3. Вера В. Книга"],
+        2: ["1. Вера В. Книга", "1. Автор А. Книга", "1. Борис Б. Книга", "4. Ёлка Ё. Книга"],
+        3: ["ЗАКОНЫ СТРАНЫ", "1. Яков Я. Книга", "КНИГИ И СТАТЬИ", "Автор А. Книга", "2. Абрам А. Книга"],
+        4: ["2. Автор А. Книга"],
+        5: ["КНИГИ И СТАТЬИ"],
+    }
+    rows = [(k, i + 100, t, "bibliography", False) for k, ts in lists.items() for i, t in enumerate(ts)]
+    rows += [(1, 0, "Текст [1; 3] и [1].", "chapter", False), (2, 0, "Текст [9].", "chapter", False), (6, 0, "Текст [2].", "chapter", False)]
+    return spark.createDataFrame(rows, "doc_id int, idx int, text string, region_kind string, starts boolean")
+
+
+def test_bibliography_order_is_one_pass(spark):
+    """Entries are read once, and nothing is grouped or joined."""
+    out = V.bibliography_order(_bibliographies(spark))
+    got = sorted((r.doc_id, r.severity, r.code) for r in out.collect())
+    assert got == [(2, "error", "doubled: 1"), (2, "error", "numbering"), (2, "warning", "order: 1"), (3, "error", "doubled: 2"), (3, "warning", "order: 2"), (4, "error", "numbering")]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in ("Aggregate", "Join", "Union") if x in plan]
+
+
+def test_listed_works_are_dealt_out_by_key(spark, sf):
+    from folioscope import catalog
+    from folioscope.operators.deal import KEYED_PARTS
+
+    assert catalog.queries()["rule_bibliography"](spark, sf).rdd.getNumPartitions() == KEYED_PARTS
