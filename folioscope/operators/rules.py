@@ -16,6 +16,7 @@ from folioscope.functions import text as X
 from folioscope.operators import bibliography as B
 from folioscope.operators import citations as C
 from folioscope.operators import segments as S
+from folioscope.operators.registry import both_sides
 
 #: Page and margins in millimetres with their tolerance; indent in centimetres; characters of a page.
 PAGE, PAGE_TOLERANCE = (210.0, 297.0), 1.0
@@ -154,9 +155,10 @@ def entries(blocks: DataFrame) -> DataFrame:
 
 def cross_references(blocks: DataFrame) -> DataFrame:
     """Numbers cited but not listed, and listed but not cited."""
-    cited = _bracketed(blocks).filter(F.col("region_kind").isin(*S.BODY, "appendix")).select("doc_id", F.explode(C.lenient_numbers(F.col("text"))).alias("number")).distinct()
-    listed = entries(blocks).select("doc_id", "number").distinct()
-    return _rows(cited.join(listed, ["doc_id", "number"], "left_anti"), "references", F.lit("error"), F.concat(F.lit("not listed: "), F.col("number").cast("string"))).unionByName(_rows(listed.join(cited, ["doc_id", "number"], "left_anti"), "references", F.lit("warning"), F.concat(F.lit("not cited: "), F.col("number").cast("string"))))
+    cited = _bracketed(blocks).filter(F.col("region_kind").isin(*S.BODY, "appendix")).select("doc_id", F.explode(C.lenient_numbers(F.col("text"))).alias("number"))
+    sides = both_sides(cited, entries(blocks).select("doc_id", "number"), ["doc_id", "number"])
+    left = F.col("side") == "left"
+    return _rows(sides, "references", F.when(left, "error").otherwise("warning"), F.concat(F.when(left, "not listed: ").otherwise("not cited: "), F.col("number").cast("string")))
 
 
 def bibliography_order(blocks: DataFrame) -> DataFrame:

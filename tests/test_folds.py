@@ -312,3 +312,11 @@ def test_listed_works_are_dealt_out_by_key(spark, sf):
     from folioscope.operators.deal import KEYED_PARTS
 
     assert catalog.queries()["rule_bibliography"](spark, sf).rdd.getNumPartitions() == KEYED_PARTS
+
+
+def test_cross_references_group_both_sides_at_once(spark):
+    """Numbers cited and listed meet in one group, without a join."""
+    out = V.cross_references(_bibliographies(spark))
+    got = sorted((r.doc_id, r.code) for r in out.collect())
+    assert got == [(1, "not cited: 2"), (2, "not cited: 1"), (2, "not cited: 4"), (2, "not listed: 9"), (3, "not cited: 1"), (3, "not cited: 2"), (4, "not cited: 2"), (6, "not listed: 2")]
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
