@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folioscope.functions import text as X
+from folioscope.operators.deal import dealt_by
 from folioscope.operators.walk import walked
 
 #: A quote holds all up to the next one of its kind, or up to the end.
@@ -23,7 +24,8 @@ _LINE = r"""^([ ]*)(-(?:[ ]+|$))?(?:("[^"]*"|'[^']*'|[^\s"'\[{#:-][^:]*?)[ ]*:(?
 
 def without_comment(line: Column) -> Column:
     """A line without the comment behind a number sign that begins it or follows a blank, outside of quotes; trimmed at the end."""
-    return F.rtrim(F.regexp_extract(X.null_empty(line), _CODE, 0))
+    line = X.null_empty(line)
+    return F.rtrim(F.when(F.contains(line, F.lit("#")), F.regexp_extract(line, _CODE, 0)).otherwise(line))
 
 
 def unquoted(value: Column) -> Column:
@@ -38,7 +40,7 @@ def inline_items(value: Column) -> Column:
     v = F.trim(value)
     body = F.regexp_extract(v, r"^\[(.*)\]$", 1)
     items = F.transform(F.regexp_extract_all(body, F.lit(_ITEM), F.lit(1)), lambda i: F.trim(i))
-    return F.when(v.rlike(r"^\[.*\]$"), F.transform(F.filter(items, lambda i: i != ""), unquoted))
+    return F.when(F.startswith(v, F.lit("[")) & v.rlike(r"^\[.*\]$"), F.transform(F.filter(items, lambda i: i != ""), unquoted))
 
 
 def _tree():
@@ -47,7 +49,7 @@ def _tree():
 
     def step(row: dict) -> dict | None:
         indent, key = row["indent"], row["name"]
-        if row["item"]:
+        if row["inner"]:
             # an item hangs on a list at its own indent, or on the key above it
             while stack and (stack[-1][0] > indent):
                 stack.pop()
@@ -73,17 +75,21 @@ def _tree():
 
 
 def values(texts: DataFrame, by: Sequence[str], text_col: str) -> DataFrame:
-    """by, line, path and value of each value in texts: paths as sources[0].title, items of inline lists numbered behind their path. Texts of by that repeats are read as one; null and empty texts have no values."""
-    lines = texts.filter(F.col(text_col).isNotNull()).select(*by, F.posexplode(F.split(F.regexp_replace(text_col, r"^\uFEFF", ""), r"\r?\n")).alias("line", "__text"))
-    code = without_comment(F.col("__text"))
-    lines = lines.withColumn("__code", code).filter("trim(`__code`) <> '' and trim(`__code`) <> '---'")
-    part = lambda i: F.regexp_extract("__code", _LINE, i)
+    """by, line, path and value of each value in texts: paths as sources[0].title, items of inline lists numbered behind their path. Texts of by that repeats are read as one; null and empty texts have no values.
+
+    Whole texts are dealt out by key before they are cut, so lines aren't sent; comments go before lines are rows, so that no filter looks for them again."""
+    dealt = dealt_by(texts.filter(F.col(text_col).isNotNull()).select(*by, F.col(text_col).alias("__text")), *by)
+    code = F.transform(F.split(F.replace(F.regexp_replace("__text", r"^\uFEFF", ""), F.lit("\r\n"), F.lit("\n")), "\n"), without_comment)
+    lines = dealt.select(*by, F.posexplode(code).alias("line", "__code")).filter("trim(`__code`) <> '' and trim(`__code`) <> '---'")
+    # the pattern is matched once: its groups are put behind each other, parted by what no line holds
+    lines = lines.select(*by, "line", F.split(F.regexp_replace("__code", _LINE, "$1\n$2\n$3\n$4\n$5\n"), "\n").alias("__parts"))
+    part = lambda i: F.get("__parts", F.lit(i - 1))
     dash = part(2)
     name = F.when(part(3) != "", unquoted(part(3)))
     shaped = lines.select(
-        *by, "line", F.length(part(1)).alias("indent"), (dash != "").alias("item"), (F.length(part(1)) + F.greatest(F.length(dash), F.lit(2))).alias("inner"), name.alias("name"), F.trim(F.when(name.isNotNull(), part(4)).otherwise(part(5))).alias("raw")
+        *by, "line", F.length(part(1)).alias("indent"), F.when(dash != "", F.length(part(1)) + F.greatest(F.length(dash), F.lit(2))).otherwise(0).alias("inner"), name.alias("name"), F.trim(F.when(name.isNotNull(), part(4)).otherwise(part(5))).alias("raw")
     )
-    found = walked(shaped, list(by), ["line"], _tree, [T.StructField("path", T.StringType()), T.StructField("raw", T.StringType())])
+    found = walked(shaped, list(by), ["line"], _tree, [T.StructField("path", T.StringType()), T.StructField("raw", T.StringType())], placed=True)
     items = F.transform(inline_items(F.col("raw")), lambda v, i: F.struct(F.concat(F.col("path"), F.lit("["), i.cast("string"), F.lit("]")).alias("path"), v.alias("value")))
     one = F.array(F.struct(F.col("path").alias("path"), unquoted(F.col("raw")).alias("value")))
     return found.select(*by, "line", F.explode(F.coalesce(items, one)).alias("v")).select(*by, "line", "v.path", "v.value")

@@ -114,3 +114,15 @@ def test_stored_reports_skip_what_only_times_change(spark):
     rows = [(1, '{"at":1,"x":{"b":1,"a":2}}'), (2, '{"x":{"a":2,"b":1},"at":2}'), (3, "no json"), (4, '{"x":{"a":2,"b":1}}'), (5, '{"x":3}'), (6, None), (7, '{"at":9,"x":{"a":2,"b":1}}')]
     reports = spark.createDataFrame([("g", i, p) for i, p in rows], "g string, i int, p string")
     assert [r.i for r in A.stored_reports(reports, ["g"], "i", "p", ["at"]).orderBy("i").collect()] == [1, 5, 7]
+
+
+def test_yaml_lines_are_matched_once_and_not_sent(spark):
+    """Texts are dealt out by key before they are cut, and the pattern of a line stands once in the plan."""
+    from folioscope.operators.deal import KEYED_PARTS
+
+    texts = spark.createDataFrame([(1, "a: 1\r\nb:\n- x # one\n- k: [p, 'q # r']\n"), (2, None), (3, "a\rb: 2\n-\n")], "k int, t string")
+    out = Y.values(texts, ["k"], "t")
+    assert sorted((r.k, r.path, r.value) for r in out.collect()) == [(1, "a", "1"), (1, "b[0]", "x"), (1, "b[1].k[0]", "p"), (1, "b[1].k[1]", "q # r"), (3, "a\rb", "2")]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("[^:]*?") == 1 and plan.index("Generate posexplode") < plan.index("RepartitionByExpression")
+    assert out.rdd.getNumPartitions() == KEYED_PARTS
