@@ -291,8 +291,8 @@ def snapshots_to_add(found: DataFrame, known: DataFrame) -> DataFrame:
     return found.join(known.select("snapshot_sha"), "snapshot_sha", "left_anti")
 
 
-def chained_ids(events: DataFrame, by: Sequence[str], order: str, content: Sequence[str]) -> DataFrame:
-    """Event ids that hang on the id before: SHA-256 of it and of the event's content, with the id before it (none: empty). Contents are hashed in parallel; each group's chain is one ordered walk that holds the last id only."""
+def chained_ids(events: DataFrame, by: Sequence[str], order: str, content: Sequence[str], digest: str | None = None) -> DataFrame:
+    """Event ids that hang on the id before: SHA-256 of it and of the event's content, with the id before it (none: empty), and with the content's own SHA-256 under the name of digest, if one is given. Contents are hashed in parallel; each group's chain is one ordered walk that holds the last id only."""
     hashed = events.select(*by, order, X.canonical_sha256(*content).alias("__h"))
 
     def make():
@@ -301,11 +301,11 @@ def chained_ids(events: DataFrame, by: Sequence[str], order: str, content: Seque
         def step(row: dict) -> dict:
             nonlocal last
             before, last = last, hashlib.sha256(f"{last}|{row['__h']}".encode()).hexdigest()
-            return {"event_sha": last, "previous_sha": before}
+            return {"event_sha": last, "previous_sha": before, digest: row["__h"]}
 
         return step
 
-    return walked(hashed, by, [order], make, [T.StructField("event_sha", T.StringType()), T.StructField("previous_sha", T.StringType())])
+    return walked(hashed, by, [order], make, [T.StructField(name, T.StringType()) for name in ("event_sha", "previous_sha", *([digest] if digest else []))])
 
 
 def journal_append(journal: DataFrame, events: DataFrame, key: Sequence[str] = ("event_id",)) -> DataFrame:

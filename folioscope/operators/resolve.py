@@ -7,9 +7,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioscope.operators.deal import dealt_by
+
 #: When a reviewer may answer that a check doesn't apply. None stands for any value; the row with the most values decides.
 NOT_APPLICABLE = (
     # gate, preset, type, has_docx, has_product, allowed
@@ -124,6 +126,11 @@ def map_problems(entries: DataFrame, registry: DataFrame, by: Sequence[str], num
     return seen.select(*by, number, id_col, F.explode(code).alias("problem"))
 
 
+def _packed(text: Column) -> Column:
+    """A text as bytes that only its like has; a SHA-256 in lower case takes half of its length."""
+    return F.when(text.rlike("^[0-9a-f]{64}\\z"), F.concat(F.lit(b"\x01"), F.unhex(text))).otherwise(F.concat(F.lit(b"\x00"), F.encode(text, "utf-8")))
+
+
 def chain_problems(events: DataFrame, by: Sequence[str], order: str, sha: str, previous: str, content: Column) -> DataFrame:
     """Broken links of a log in which each record holds its own SHA-256 and that of the one before: by, order, problem, first.
 
@@ -131,22 +138,17 @@ def chain_problems(events: DataFrame, by: Sequence[str], order: str, sha: str, p
     """
     by = list(by)
     made = F.sha2(F.concat_ws("|", F.coalesce(F.col(previous), F.lit("")), content).cast("binary"), 256)
-    rows = events.select(*by, F.col(order).alias("__o"), F.col(sha).alias("__sha"), F.when(F.col(previous) != "", F.col(previous)).alias("__p"), (made == F.col(sha)).alias("__own"))
-    there = rows.select(*by, F.col("__sha").alias("__p")).distinct().withColumn("__there", F.lit(True))
-    # how many records follow one: of a fork all but the first are problems
-    follow = rows.groupBy(*by, "__p").agg(F.min("__o").alias("__first"), F.count("*").alias("__n")).filter("__n > 1")
-    seen = rows.join(there, [*by, "__p"], "left").join(follow.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate([*by, "__p"])], "__first"), [*[F.col(c).eqNullSafe(F.col(f"__k{i}")) for i, c in enumerate([*by, "__p"])]], "left")
+    own = F.coalesce(made == F.col(sha), F.lit(False))
+    # each record asks for the SHA before it and offers its own; both meet once, and nothing else is sent
+    asks = F.struct(_packed(F.when(F.col(previous) != "", F.col(previous))).alias("__key"), F.col(order).alias("__o"), own.alias("__own"))
+    offers = F.struct(_packed(F.col(sha)).alias("__key"), F.lit(None).cast(events.schema[order].dataType).alias("__o"), F.lit(None).cast("boolean").alias("__own"))
+    met = dealt_by(events.select(*by, F.explode(F.array(asks, offers)).alias("__t")).select(*by, "__t.*").filter("__own is not null or __key is not null"), *by, "__key")
+    w = Window.partitionBy(*by, "__key")
+    seen = met.withColumn("__first", F.min("__o").over(w)).withColumn("__there", F.bool_or(F.col("__own").isNull()).over(w)).filter("__own is not null")
     later = F.col("__o") > F.col("__first")
-    code = F.array_compact(
-        F.array(
-            F.when(~F.coalesce("__own", F.lit(False)), "tampered"),
-            F.when(F.col("__p").isNotNull() & F.col("__there").isNull(), "orphan"),
-            F.when(later & F.col("__p").isNotNull(), "fork").when(later, "beginning"),
-        )
-    )
+    code = F.array_compact(F.array(F.when(~F.col("__own"), "tampered"), F.when(F.col("__key").isNotNull() & ~F.col("__there"), "orphan"), F.when(later & F.col("__key").isNotNull(), "fork").when(later, "beginning")))
     broken = seen.select(*by, F.col("__o").alias(order), F.explode(code).alias("problem"))
-    least = broken.groupBy(*by).agg(F.min(order).alias("__least"))
-    return broken.join(least, by).select(*by, order, "problem", (F.col(order) == F.col("__least")).alias("first"))
+    return broken.withColumn("first", F.col(order) == F.min(order).over(Window.partitionBy(*by)))
 
 
 def manifest_kind(schema: Column, marks: Column, expected: str) -> Column:

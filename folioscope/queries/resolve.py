@@ -169,10 +169,8 @@ _CHAIN = """WITH RECURSIVE e AS (SELECT user_id, event_id, event_type, sha256('{
 def chain_problems(spark, sf_dir):
     """Chains of all events, with hashes and links changed, and records deleted, by rules on their ids."""
     n = F.col("event_id")
-    events = table(spark, sf_dir, "events")
-    chained = A.chained_ids(events, ["user_id"], "event_id", ["event_type", "user_id"])
-    content = A.X.canonical_sha256("event_type", "user_id")
-    both = chained.join(events.select("event_id", F.when(n % 89 == 4, F.sha2(F.lit("else").cast("binary"), 256)).otherwise(content).alias("content")), "event_id")
+    both = A.chained_ids(table(spark, sf_dir, "events"), ["user_id"], "event_id", ["event_type", "user_id"], digest="content")
+    both = both.withColumn("content", F.when(n % 89 == 4, F.sha2(F.lit("else").cast("binary"), 256)).otherwise(F.col("content")))
     back = F.lag("previous_sha").over(A.Window.partitionBy("user_id").orderBy("event_id"))
     tampered = both.select("user_id", n, F.when(n % 97 == 1, F.concat(F.lit("f"), F.substring("event_sha", 2, 63))).otherwise(F.col("event_sha")).alias("sha"), F.when(n % 101 == 2, back).when(n % 103 == 3, "").otherwise(F.col("previous_sha")).alias("previous"), "content")
     return R.chain_problems(tampered.filter(n % 83 != 5), ["user_id"], "event_id", "sha", "previous", F.col("content"))

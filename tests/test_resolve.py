@@ -126,3 +126,14 @@ def test_yaml_lines_are_matched_once_and_not_sent(spark):
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("[^:]*?") == 1 and plan.index("Generate posexplode") < plan.index("RepartitionByExpression")
     assert out.rdd.getNumPartitions() == KEYED_PARTS
+
+
+def test_links_of_a_chain_meet_once(spark):
+    """Each record is sent once as what it asks for and what it offers, without a join; digests in other letters are other texts."""
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    a = sha("|c")
+    b = sha(f"{a}|c")
+    rows = [(1, 1, a, None, "c"), (1, 2, b, a, "c"), (1, 3, b, a, "c"), (1, 4, sha("|d"), "", "d"), (2, 1, "f", None, "c"), (2, 2, sha(f"{a.upper()}|c"), a.upper(), "c"), (2, 3, None, "f", "c")]
+    out = R.chain_problems(spark.createDataFrame(rows, "g int, o int, sha string, p string, c string"), ["g"], "o", "sha", "p", F.col("c"))
+    assert sorted((r.g, r.o, r.problem, r.first) for r in out.collect()) == [(1, 3, "fork", True), (1, 4, "beginning", False), (2, 1, "tampered", True), (2, 2, "orphan", False), (2, 3, "tampered", False)]
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
