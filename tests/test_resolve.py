@@ -137,3 +137,11 @@ def test_links_of_a_chain_meet_once(spark):
     out = R.chain_problems(spark.createDataFrame(rows, "g int, o int, sha string, p string, c string"), ["g"], "o", "sha", "p", F.col("c"))
     assert sorted((r.g, r.o, r.problem, r.first) for r in out.collect()) == [(1, 3, "fork", True), (1, 4, "beginning", False), (2, 1, "tampered", True), (2, 2, "orphan", False), (2, 3, "tampered", False)]
     assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_yaml_records_match_lines_once(spark, sf):
+    from folioscope import catalog
+
+    out = catalog.queries()["yaml_records"](spark, sf)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("[^:]*?") == 1
+    assert out.count() == 2 * spark.read.parquet(f"{sf}/orders.parquet").count()
