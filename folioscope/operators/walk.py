@@ -20,8 +20,8 @@ def _plain(column: pa.Array) -> list:
     return column.to_numpy(zero_copy_only=False).tolist() if whole else column.to_pylist()
 
 
-def walked(df: DataFrame, by: Sequence[str], order: Sequence[str], make: Callable[[], Callable[[dict], dict | None]], fields: Sequence[T.StructField], placed: bool = False) -> DataFrame:
-    """A row for each of df's rows for which a step returns values: by, order and the fields. make() returns the step of a new group; a step gets a row's columns by name. placed: df's rows are dealt out by key already."""
+def walked(df: DataFrame, by: Sequence[str], order: Sequence[str], make: Callable[[], Callable[[dict], dict | None]], fields: Sequence[T.StructField]) -> DataFrame:
+    """A row for each of df's rows for which a step returns values: by, order and the fields. make() returns the step of a new group; a step gets a row's columns by name."""
     schema = T.StructType([*(df.schema[c] for c in (*by, *order)), *fields])
     out_schema, width, kept = to_arrow_schema(schema), len(by), len(by) + len(order)
     rest = [c for c in df.columns if c not in (*by, *order)]
@@ -43,5 +43,4 @@ def walked(df: DataFrame, by: Sequence[str], order: Sequence[str], make: Callabl
             own = [c.cast(f.type) for c, f in zip(batch.select(range(kept)).take(pa.array(at_rows, pa.int64())).columns, out_schema)]
             yield pa.RecordBatch.from_arrays([*own, *(pa.array(v, out_schema.field(n).type) for v, n in zip(out, made_names))], schema=out_schema)
 
-    rows = df.select(*names)
-    return (rows if placed else rows.repartition(*by)).sortWithinPartitions(*by, *order).mapInArrow(run, schema)
+    return df.select(*names).repartition(*by).sortWithinPartitions(*by, *order).mapInArrow(run, schema)

@@ -145,3 +145,25 @@ def test_yaml_records_match_lines_once(spark, sf):
     out = catalog.queries()["yaml_records"](spark, sf)
     assert out._jdf.queryExecution().optimizedPlan().toString().count("[^:]*?") == 1
     assert out.count() == 2 * spark.read.parquet(f"{sf}/orders.parquet").count()
+
+
+def test_yaml_texts_are_walked_whole(spark):
+    """Lines are rows only behind the walk, and keep their numbers; what other systems end lines with stands within a line; texts of one key are read one behind the other."""
+    odd = "\n\n---\na: # none\n  - 'b # c' : \"d\" # e\n  \n  -\n  - f\r: g\r\n\u2028h\n    i: j\u2028\n"
+    texts = spark.createDataFrame([(1, odd), (2, "p:\n- q: 1\n"), (2, "s:\n  t: 2\n"), (3, "# only")], "k int, t string")
+    out = Y.values(texts, ["k"], "t")
+    got = sorted((r.k, r.line, r.path, r.value) for r in out.collect())
+    assert got == [(1, 4, "a[0].b # c", "d"), (1, 7, "a[2].f\r", "g"), (1, 9, "i", "j"), (2, 1, "p[0].q", "1"), (2, 1, "s.t", "2")]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate posexplode") < plan.index("MapInArrow") < plan.index("Sort [") < plan.index("RepartitionByExpression")
+
+
+def test_yaml_records_of_a_nested_list(spark):
+    """The list's path is taken as it is written, without a pattern for each value; a record without the fields is one all the same."""
+    text = "p.q:\n- s:\n  - id: 1\n    t: [x, y]\n  - u: 3\npxq:\n- s:\n  - id: 4\np:\n- v\n'p.q[x].s[0].id': 5\n"
+    found = Y.values(spark.createDataFrame([(1, text)], "k int, t string"), ["k"], "t")
+    out = Y.records(found, ["k"], "p.q[0].s", ["id", "t[1]"])
+    assert sorted(map(tuple, out.collect())) == [(1, 0, "1", "y"), (1, 1, None, None)]
+    assert sorted(map(tuple, Y.records(found, ["k"], "p.q", ["s[0].id"]).collect())) == [(1, 0, "1")]
+    above = out._jdf.queryExecution().optimizedPlan().toString().split("Generate")[0].lower()
+    assert "regexp" not in above and "rlike" not in above
