@@ -38,7 +38,7 @@ def line_parts(text: Column) -> Column:
 def unquoted(value: Column) -> Column:
     """A value without the pair of quotes around it; white space outside of them goes."""
     v = F.trim(value)
-    pair = (F.length(v) >= 2) & F.substring(v, 1, 1).isin('"', "'") & (F.substring(v, 1, 1) == F.substring(v, -1, 1))
+    pair = (F.length(v) >= 2) & ((F.startswith(v, F.lit('"')) & F.endswith(v, F.lit('"'))) | (F.startswith(v, F.lit("'")) & F.endswith(v, F.lit("'"))))
     return F.when(pair, F.substring(v, F.lit(2), F.length(v) - 2)).otherwise(v)
 
 
@@ -46,8 +46,8 @@ def inline_items(value: Column) -> Column:
     """The items of [a, "b, c", 'd'], unquoted; empty items are left out. Null for what is no inline list."""
     v = F.trim(value)
     body = F.regexp_extract(v, r"^\[(.*)\]$", 1)
-    items = F.transform(F.regexp_extract_all(body, F.lit(_ITEM), F.lit(1)), lambda i: F.trim(i))
-    return F.when(F.startswith(v, F.lit("[")) & v.rlike(r"^\[.*\]$"), F.transform(F.filter(items, lambda i: i != ""), unquoted))
+    items = F.regexp_extract_all(body, F.lit(_ITEM), F.lit(1))
+    return F.when(F.startswith(v, F.lit("[")) & v.rlike(r"^\[.*\]$"), F.transform(F.filter(items, lambda i: F.trim(i) != ""), unquoted))
 
 
 def _tree() -> Callable[[str], tuple[list[str | None], list[str | None]]]:
@@ -123,11 +123,13 @@ def values(texts: DataFrame, by: Sequence[str], text_col: str) -> DataFrame:
     """by, line, path and value of each value in texts: paths as sources[0].title, items of inline lists numbered behind their path. Texts of by that repeats are read as one, one behind the other in a fixed order; null and empty texts have no values.
 
     Whole texts are dealt out by key, sorted and walked, and lines are rows only once they have their values: a row for each line costs more to sort and to send to a walk than the line's step."""
-    dealt = dealt_by(texts.filter(F.col(text_col).isNotNull()).select(*by, F.col(text_col).alias("__text")), *by)
+    # an empty text instead of a filter, which would make the text twice
+    dealt = dealt_by(texts.select(*by, X.null_empty(F.col(text_col)).alias("__text")), *by)
     found = _walked(dealt.select(*by, line_parts(F.col("__text")).alias("__text")), by).select(*by, F.posexplode("found").alias("line", "v")).select(*by, "line", "v.path", "v.raw").filter("raw IS NOT NULL")
     items = F.transform(inline_items(F.col("raw")), lambda v, i: F.struct(F.concat(F.col("path"), F.lit("["), i.cast("string"), F.lit("]")).alias("path"), v.alias("value")))
-    one = F.array(F.struct(F.col("path").alias("path"), unquoted(F.col("raw")).alias("value")))
-    return found.select(*by, "line", F.explode(F.coalesce(items, one)).alias("v")).select(*by, "line", "v.path", "v.value")
+    # items in a column of their own: what stands beside a lambda in explode isn't compiled
+    found = found.select(*by, "line", "path", unquoted(F.col("raw")).alias("value"), items.alias("__items"))
+    return found.select(*by, "line", F.explode(F.coalesce("__items", F.array(F.struct("path", "value")))).alias("v")).select(*by, "line", "v.path", "v.value")
 
 
 _ALL = (1 << 31) - 1

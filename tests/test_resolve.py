@@ -165,5 +165,8 @@ def test_yaml_records_of_a_nested_list(spark):
     out = Y.records(found, ["k"], "p.q[0].s", ["id", "t[1]"])
     assert sorted(map(tuple, out.collect())) == [(1, 0, "1", "y"), (1, 1, None, None)]
     assert sorted(map(tuple, Y.records(found, ["k"], "p.q", ["s[0].id"]).collect())) == [(1, 0, "1")]
+    odd = Y.values(spark.createDataFrame([(1, "s:\n- x\ry: z\n"), (2, "s: [a, '', \"b]\", ' c ', ]\nt: []")], "k int, t string"), ["k"], "t")
+    assert sorted((r.k, r.path, r.value) for r in odd.collect()) == [(1, "s[0].x\ry", "z"), (2, "s[0]", "a"), (2, "s[1]", ""), (2, "s[2]", "b]"), (2, "s[3]", " c ")]
+    assert sorted(map(tuple, Y.records(odd, ["k"], "s", ["x\ry"]).collect())) == [(1, 0, "z")]
     above = out._jdf.queryExecution().optimizedPlan().toString().split("Generate")[0].lower()
     assert "regexp" not in above and "rlike" not in above
