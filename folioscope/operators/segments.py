@@ -150,13 +150,17 @@ def section_name(kind: Column, number: Column) -> Column:
     return F.when(kind == "chapter", F.concat(F.lit("chapter"), number.cast("string"))).when(kind.isin("introduction", "conclusion"), kind)
 
 
-def analysed(blocks: DataFrame) -> DataFrame:
-    """Paragraphs that are text to be measured: no headings, code, captions, placeholders and short lines of conclusions; text has single blanks."""
-    df = with_flags(blocks)
-    text = X.collapse_space(F.col("text"))
+def measured(text: Column) -> Column:
+    """Is a paragraph text to be measured: no heading, code, caption, placeholder or short line of conclusions? Of rows with flags; text has single blanks."""
     service = F.col("toc") | F.col("code") | F.col("caption") | F.col("title_style") | F.col("appendix_label") | F.col("appendix_title") | F.col("heading_level").isNotNull() | X.looks_like_toc(F.col("text"))
     short = (F.length(text) < 80) & X.heading_key(text).rlike(CONCLUSIONS)
-    return df.filter((F.col("type") == "p") & ~service & (text != "") & ~text.rlike(CAPTION) & ~text.rlike(PLACEHOLDER) & ~short).withColumn("text", text)
+    return (F.col("type") == "p") & ~service & (text != "") & ~text.rlike(CAPTION) & ~text.rlike(PLACEHOLDER) & ~short
+
+
+def analysed(blocks: DataFrame) -> DataFrame:
+    """Paragraphs that are text to be measured; text has single blanks."""
+    text = X.collapse_space(F.col("text"))
+    return with_flags(blocks).filter(measured(text)).withColumn("text", text)
 
 
 def sections(blocks: DataFrame) -> DataFrame:
@@ -179,15 +183,24 @@ def chapter_ranges(headings: DataFrame, last: DataFrame) -> DataFrame:
     return headings.withColumn("__next", following).join(last, "doc_id").select("doc_id", F.col("idx").alias("start"), F.coalesce("__next", "n").alias("end"))
 
 
-def markers(df: DataFrame, keep: Sequence[str], text: str = "text", patterns: Sequence[tuple[str, str]] = MARKERS) -> DataFrame:
-    """A row for each mark: code, place in the order of the patterns, and the mark. Each pattern is a literal of its own, compiled once."""
+def may_hold_marks(text: Column) -> Column:
+    """Most texts hold nothing that one of MARKERS could begin with."""
+    return reduce(or_, [F.contains(text, F.lit(x)) for x in ("[", "{{", "<!--", "TODO", "FIXME", "TBD")])
+
+
+def marks_of(text: Column, patterns: Sequence[tuple[str, str]] = MARKERS) -> Column:
+    """The marks of a text in the order of the patterns: rank, code and mark. Each pattern is a literal of its own, compiled once."""
     def named(i: int, code: str) -> Callable[[Column], Column]:
         return lambda m: F.struct(F.lit(i).alias("rank"), F.lit(code).alias("code"), m.alias("mark"))
 
-    if patterns is MARKERS:  # most texts hold nothing that a mark could begin with
-        df = df.filter(reduce(or_, [F.contains(F.col(text), F.lit(x)) for x in ("[", "{{", "<!--", "TODO", "FIXME", "TBD")]))
-    found = F.flatten(F.array(*[F.transform(F.regexp_extract_all(X.null_empty(F.col(text)), F.lit(p), F.lit(0)), named(i, code)) for i, (code, p) in enumerate(patterns)]))
-    return df.select(*keep, F.posexplode(found).alias("pos", "m")).select(*keep, "pos", "m.code", "m.mark")
+    return F.flatten(F.array(*[F.transform(F.regexp_extract_all(X.null_empty(text), F.lit(p), F.lit(0)), named(i, code)) for i, (code, p) in enumerate(patterns)]))
+
+
+def markers(df: DataFrame, keep: Sequence[str], text: str = "text", patterns: Sequence[tuple[str, str]] = MARKERS) -> DataFrame:
+    """A row for each mark: code, place in the order of the patterns, and the mark."""
+    if patterns is MARKERS:
+        df = df.filter(may_hold_marks(F.col(text)))
+    return df.select(*keep, F.posexplode(marks_of(F.col(text), patterns)).alias("pos", "m")).select(*keep, "pos", "m.code", "m.mark")
 
 
 def is_soft(mark: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from folioscope.functions import text as X
 from folioscope.operators import audit as A
 from folioscope.operators import segments as S
-from folioscope.operators.deal import dealt
+from folioscope.operators.deal import dealt_by
 from folioscope.queries.common import SQL_PARAS, Catalog, table
 
 catalog = Catalog()
@@ -249,8 +249,8 @@ def html_fingerprints(spark, sf_dir):
 
 
 def work_blocks(spark, sf_dir):
-    """Documents as works: headings are put between their lines."""
-    docs = dealt(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """Documents as works: headings are put between their lines. Documents are dealt out by key, so that their blocks are together when they are cut."""
+    docs = dealt_by(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     own = F.filter(F.split(X.null_empty(F.col("text")), "\n"), lambda p: F.length(p) > 0)
     n = F.col("doc_id")
     heads = F.array(*[F.lit(x) for x in ("Содержание", "Введение.", "Глава 1. Основы", "ГЛАВА II", "Заключение", "Список литературы", "Приложение 1")])
